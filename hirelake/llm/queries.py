@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, substring, suffix
+from . import bpe, fingerprints, jaccard, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", substring.removed_count().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_similar(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", substring.removed_count().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -34,5 +38,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring, op6_suffix_array, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring, op3_jaccard_join, op6_suffix_array, op10_bpe)}
 ORACLES: dict[str, str] = {}
