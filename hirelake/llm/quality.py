@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import chunks, flat, owners, word_hashes, words
 from .tables import written
@@ -96,6 +97,30 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
+def beside_statistics(docs: DataFrame, prefix: str) -> DataFrame:
+    """docs with the statistics as further columns, named with the prefix; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            x = statistics(chunk.column("text"))
+            yield pa.RecordBatch.from_arrays([*chunk.columns, *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=[*chunk.schema.names, *(prefix + s for s in STATISTICS)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + s, T.DoubleType()) for s in STATISTICS)])
+    return docs.mapInArrow(run, schema)
+
+
+def reject(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of docs whose score is ``least`` or more, with all their columns.
+
+    Learns from the labelled rows that are not held out. Statistics of the labelled documents alone are made for the
+    fit; then each text is judged where it is read, without a shuffle of texts.
+    """
+    known = labels.where(learnable()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    model = fit(with_statistics(docs.join(known, "doc_id", "left_semi")), labels, learnable())
+    prefix = "_quality_"
+    return beside_statistics(docs, prefix).where(model.column(prefix) >= least).select(*docs.columns)
+
+
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above the bound, bound)
 
 
@@ -182,12 +207,12 @@ class Model:
     def __init__(self, bias: float, rules: list[tuple[Rule, float]]):
         self.bias, self.rules = bias, rules
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         total = F.lit(self.bias)
         for rule, weight in self.rules:
             meets = F.lit(True)
             for f, above, bound in rule:
-                meets = meets & ((F.col(STATISTICS[f]) > bound) if above else (F.col(STATISTICS[f]) <= bound))
+                meets = meets & ((F.col(prefix + STATISTICS[f]) > bound) if above else (F.col(prefix + STATISTICS[f]) <= bound))
             total = total + F.when(meets, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,22 +224,52 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     with different texts follow each other by a hash of the text. Rows without a doc_id are kept whole and make
     nothing repeated. Columns other than doc_id and text are ignored.
     """
-    if length < 2 * SEED:
-        raise ValueError(f"the length must be at least {2 * SEED}")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), repeats.tie().alias("tie"), "text")
-    runs = repeats.repeated_windows(keyed.where("doc_id IS NOT NULL"), _find(length), _cut(length), _compare(length), "binary")
+    keyed, runs = _runs(docs.select("doc_id", "text"), length)
     both = keyed.join(runs, (keyed.doc_id == runs.doc_id) & (keyed.tie == runs.tie), "left").select(keyed.doc_id, keyed.text, runs.runs)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            data, offs = flat(chunk.column("text"))
-            raw = data.tobytes()
-            spans, kept = [], []
-            for i, found in enumerate(chunk.column("runs").to_pylist()):
-                text = raw[offs[i] : offs[i + 1]]
-                gone = covered([(r["lo"], r["n"]) for r in found or ()], length)
-                spans.append([{"begin": x, "end": y} for x, y in gone])
-                kept.append(b"".join(text[a:b] for a, b in zip([0, *(y for _, y in gone)], [*(x for x, _ in gone), len(text)], strict=True)) if gone else text)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.diff(offs)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            sizes, spans, kept = _left_over(chunk, length)
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     return both.mapInArrow(remove, SCHEMA)
+
+
+def _runs(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """docs with ``tie``, and the repeated windows of each document."""
+    if length < 2 * SEED:
+        raise ValueError(f"the length must be at least {2 * SEED}")
+    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", repeats.tie())
+    return keyed, repeats.repeated_windows(keyed.where("doc_id IS NOT NULL"), _find(length), _cut(length), _compare(length), "binary")
+
+
+def _left_over(chunk: pa.RecordBatch, length: int) -> tuple[np.ndarray, list, list[bytes]]:
+    data, offs = flat(chunk.column("text"))
+    raw = data.tobytes()
+    spans, kept = [], []
+    for i, found in enumerate(chunk.column("runs").to_pylist()):
+        text = raw[offs[i] : offs[i + 1]]
+        gone = covered([(r["lo"], r["n"]) for r in found or ()], length)
+        spans.append([{"begin": x, "end": y} for x, y in gone])
+        kept.append(b"".join(text[a:b] for a, b in zip([0, *(y for _, y in gone)], [*(x for x, _ in gone), len(text)], strict=True)) if gone else text)
+    return np.diff(offs), spans, kept
+
+
+def strip_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
+    """docs with each text replaced by what ``remove_repeated_bytes`` leaves of it, all other columns as they are.
+
+    A character cut in the middle goes as a whole. Rows of which nothing is left go; texts that were empty stay.
+    """
+    keyed, runs = _runs(docs, length)
+    both = keyed.join(runs, (keyed.doc_id == runs.doc_id) & (keyed.tie == runs.tie), "left").select(*[keyed[c] for c in docs.columns], runs.runs)
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            sizes, _, kept = _left_over(chunk, length)
+            texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            texts = pa.compute.if_else(chunk.column("text").is_valid(), texts, pa.scalar(None, pa.string()))
+            names = docs.columns
+            stay = pa.array([bool(k) or not n for k, n in zip(kept, sizes, strict=True)])
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else chunk.column(i) for i, c in enumerate(names)], names=names).filter(stay)
+
+    return both.mapInArrow(replace, keyed.drop("tie").schema)
