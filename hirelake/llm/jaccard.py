@@ -150,27 +150,14 @@ def _sets(size: int):
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column("ta"), batch.column("tb")
-        na, nb = a.value_lengths().to_numpy(zero_copy_only=False), b.value_lengths().to_numpy(zero_copy_only=False)
-        left, right = a.flatten().to_numpy().view(np.uint64), b.flatten().to_numpy().view(np.uint64)
-        # Both sets of a pair hold distinct hashes: a hash that occurs twice in the pair is shared.
-        pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
-        token = np.concatenate([left, right])
-        order = np.lexsort((token, pair))
-        pair, token = pair[order], token[order]
-        shared = np.bincount(pair[1:][(token[1:] == token[:-1]) & (pair[1:] == pair[:-1])], minlength=len(na))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared), pa.array((na + nb - shared).astype(np.int64))], names=["a", "b", "shared", "total"])
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are alike enough, with the sizes of intersection and union."""
+    """Of the pairs (a, b), those whose sets are alike enough: ``shared`` hashes in both, ``both`` in the two together."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, tokens array<long>")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return met.mapInArrow(_overlaps, "a long, b long, shared long, total long").where(F.col("shared") * 100 >= F.col("total") * percent)
+    met = pairs.select("a", "b").join(left, "a").join(right, "b")
+    counted = met.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"), (F.size("ta") + F.size("tb")).alias("both"))
+    return counted.where(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent)
 
 
 def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
