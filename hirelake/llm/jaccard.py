@@ -24,6 +24,8 @@ BUCKETS = 1 << 18
 #: Largest m that a document may pick, and the cost of verifying a candidate in prefix rows.
 MOST_MATCHES, VERIFY_COST = 3, 8.0
 _B = np.uint64(BUCKETS - 1)
+#: Bits of a set's parity bitmap, and the most documents whose ids are broadcast to pick them from the corpus.
+BITS, BROADCAST_IDS = 2048, 1_000_000
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,20 +60,30 @@ def _sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _parities(doc: np.ndarray, token: np.ndarray, n: int) -> pa.Array:
+    """For each document BITS bits: whether an odd number of its hashes falls on each.
+
+    The bits in which two bitmaps differ are at most as many as the hashes that only one of the sets has.
+    """
+    bit = (token >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(doc * BITS + bit, minlength=n * BITS) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(np.arange(0, (n + 1) * (BITS // 64), BITS // 64, dtype=np.int32), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def _summaries(size: int):
     """One row a document (set size and two set hashes), and one row a task with its counts of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "n", "s1", "s2", "counts"]
+        names = ["doc_id", "n", "s1", "s2", "bits", "counts"]
         for chunk in chunks(batches):
             doc, token = shingle_sets(chunk.column("text"), size)
             m = chunk.num_rows
             counts += np.bincount((token & _B).astype(np.int64), minlength=BUCKETS)
             s1, s2 = _sums(doc, mix(token), m).view(np.int64), _sums(doc, mix(token ^ np.uint64(0x5851F42D4C957F2D)), m).view(np.int64)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.bincount(doc, minlength=m)), pa.array(s1), pa.array(s2), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.bincount(doc, minlength=m)), pa.array(s1), pa.array(s2), _parities(doc, token, m), pa.nulls(m, pa.binary())], names=names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -150,12 +162,20 @@ def _sets(size: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are alike enough: ``shared`` hashes in both, ``both`` in the two together."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sets are alike enough: ``shared`` hashes in both, ``both`` in the two together.
+
+    Bitmaps rule most pairs out first: too many differing bits prove too many hashes that only one set has.
+    """
+    x, y = (bitmaps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    near = pairs.select("a", "b").join(x, "a").join(y, "b").where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    near = written(near.select("a", "b"), "near")
+    ids = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, tokens array<long>")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b")
+    met = near.join(left, "a").join(right, "b")
     counted = met.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"), (F.size("ta") + F.size("tb")).alias("both"))
     return counted.where(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent)
 
@@ -179,9 +199,10 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     docs = docs.where("doc_id IS NOT NULL")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = written(docs.groupBy("doc_id").agg(F.max("text").alias("text")), "docs")
-    summary = written(docs.unionByName(lost).mapInArrow(_summaries(size), "doc_id long, n long, s1 long, s2 long, counts binary"), "sets")
+    summary = written(docs.unionByName(lost).mapInArrow(_summaries(size), "doc_id long, n long, s1 long, s2 long, bits array<long>, counts binary"), "sets")
     excess = _excess(frequencies(summary.where("n < 0").select("counts")))
     members = summary.where("n >= 0").select("doc_id", "n", "s1", "s2")
+    bitmaps = summary.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits")
     speakers = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     nodes = written(members.join(speakers, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "nodes")
 
@@ -194,7 +215,7 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     pivots = lists.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("hi")).where("p.node < hi")
     stars = lists.join(pivots, "token").where("node != p.node").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
     stars = written(stars.where(fits).select("a", "b").distinct(), "stars")
-    links = written(_verified(stars, docs, size, percent).select("a", "b"), "links")
+    links = written(_verified(stars, docs, bitmaps, size, percent).select("a", "b"), "links")
     first = components(links)
 
     marked = lists.join(first.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
@@ -205,7 +226,7 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     met = left.join(right, "token").where("a < b AND ca != cb").where(fits)
     rest = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("ma", "mb")).alias("m")).where("k >= m").select("a", "b")
     rest = written(rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, docs, size, percent).select("a", "b")
+    more = _verified(rest, docs, bitmaps, size, percent).select("a", "b")
     final = components(links.unionByName(more))
     out = nodes.join(final, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
