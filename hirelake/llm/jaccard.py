@@ -26,6 +26,8 @@ MOST_MATCHES, VERIFY_COST = 3, 8.0
 _B = np.uint64(BUCKETS - 1)
 #: Bits of a set's parity bitmap, and the most documents whose ids are broadcast to pick them from the corpus.
 BITS, BROADCAST_IDS = 2048, 1_000_000
+#: Sets from this size on have a wide bitmap as well, as a narrow one tells nothing of them.
+WIDE_FROM, WIDE_BITS = 1200, 32768
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,20 +72,30 @@ def _parities(doc: np.ndarray, token: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, (n + 1) * (BITS // 64), BITS // 64, dtype=np.int32), pa.array(np.packbits(odd).view(np.int64)))
 
 
+def _wide(doc: np.ndarray, token: np.ndarray, n: int) -> pa.Array:
+    """The same with WIDE_BITS bits for large sets, null for others."""
+    out: list = [None] * n
+    at = np.searchsorted(doc, np.arange(n + 1))
+    for i in np.flatnonzero(np.diff(at) >= WIDE_FROM):
+        bit = (token[at[i] : at[i + 1]] >> np.uint64(40) & np.uint64(WIDE_BITS - 1)).astype(np.int64)
+        out[i] = np.packbits((np.bincount(bit, minlength=WIDE_BITS) & 1).astype(np.uint8)).view(np.int64)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def _summaries(size: int):
     """One row a document (set size and two set hashes), and one row a task with its counts of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "n", "s1", "s2", "bits", "counts"]
+        names = ["doc_id", "n", "s1", "s2", "bits", "wide", "counts"]
         for chunk in chunks(batches):
             doc, token = shingle_sets(chunk.column("text"), size)
             m = chunk.num_rows
             counts += np.bincount((token & _B).astype(np.int64), minlength=BUCKETS)
             s1, s2 = _sums(doc, mix(token), m).view(np.int64), _sums(doc, mix(token ^ np.uint64(0x5851F42D4C957F2D)), m).view(np.int64)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.bincount(doc, minlength=m)), pa.array(s1), pa.array(s2), _parities(doc, token, m), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.bincount(doc, minlength=m)), pa.array(s1), pa.array(s2), _parities(doc, token, m), _wide(doc, token, m), pa.nulls(m, pa.binary())], names=names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -147,7 +159,7 @@ def _prefixes(size: int, percent: int, shared):
                 best = np.minimum(best, cost)
             take = place < (n - need + matches)[doc]
             ids = longs(chunk.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(ids[doc[take]]), pa.array(matches[doc[take]].astype(np.int32))], names=["token", "doc_id", "matches"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(ids[doc[take]]), pa.array(matches[doc[take]].astype(np.int32)), pa.array(np.minimum(n, n - need + matches)[doc[take]].astype(np.int32))], names=["token", "doc_id", "matches", "length"])
 
     return run
 
@@ -167,8 +179,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame, size: int,
 
     Bitmaps rule most pairs out first: too many differing bits prove too many hashes that only one set has.
     """
-    x, y = (bitmaps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    x, y = (bitmaps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b"))
+    both_wide = F.col("wide_a").isNotNull() & F.col("wide_b").isNotNull()
+    one, two = (F.when(both_wide, F.col(f"wide_{c}")).otherwise(F.col(f"bits_{c}")) for c in ("a", "b"))
+    differ = F.aggregate(F.zip_with(one, two, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
     near = pairs.select("a", "b").join(x, "a").join(y, "b").where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
     near = written(near.select("a", "b"), "near")
     ids = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
@@ -199,21 +213,26 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     docs = docs.where("doc_id IS NOT NULL")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = written(docs.groupBy("doc_id").agg(F.max("text").alias("text")), "docs")
-    summary = written(docs.unionByName(lost).mapInArrow(_summaries(size), "doc_id long, n long, s1 long, s2 long, bits array<long>, counts binary"), "sets")
+    summary = written(docs.unionByName(lost).mapInArrow(_summaries(size), "doc_id long, n long, s1 long, s2 long, bits array<long>, wide array<long>, counts binary"), "sets")
     excess = _excess(frequencies(summary.where("n < 0").select("counts")))
     members = summary.where("n >= 0").select("doc_id", "n", "s1", "s2")
-    bitmaps = summary.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits")
+    bitmaps = summary.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits", "wide")
     speakers = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     nodes = written(members.join(speakers, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "nodes")
 
-    rows = docs.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(excess)), "token long, doc_id long, matches int")
+    rows = docs.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(excess)), "token long, doc_id long, matches int, length int")
     often = rows.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    lists = rows.join(often, "token").join(nodes.where("node IS NOT NULL"), "doc_id").groupBy("token", "node").agg(F.min("matches").alias("matches"), F.min("n").alias("n"))
+    lists = rows.join(often, "token").join(nodes.where("node IS NOT NULL"), "doc_id").groupBy("token", "node").agg(F.min("matches").alias("matches"), F.min("length").alias("length"), F.min("n").alias("n"))
     lists = written(lists, "lists")
-
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pivots = lists.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("hi")).where("p.node < hi")
-    stars = lists.join(pivots, "token").where("node != p.node").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
+    # Shingles of a prefix that no other node has are shared with none; the rest bounds what a node can share.
+    met_by_others = lists.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    lists = lists.join(met_by_others, "token")
+    alone = lists.groupBy("node").agg((F.max("n") - F.max("length") + F.count("*")).alias("most"))
+    lists = written(lists.join(alone, "node"), "lists")
+
+    fits = F.least("na", "nb", "sa", "sb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    pivots = lists.groupBy("token").agg(F.min(F.struct("node", "n", "most")).alias("p"))
+    stars = lists.join(pivots, "token").where("node != p.node").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("most").alias("sa"), F.col("p.most").alias("sb"))
     stars = written(stars.where(fits).select("a", "b").distinct(), "stars")
     links = written(_verified(stars, docs, bitmaps, size, percent).select("a", "b"), "links")
     first = components(links)
@@ -221,9 +240,9 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     marked = lists.join(first.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     split = marked.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     marked = written(marked.join(split, "token"), "marked")
-    left = marked.select("token", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("matches").alias("ma"))
-    right = marked.select("token", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("matches").alias("mb"))
-    met = left.join(right, "token").where("a < b AND ca != cb").where(fits)
+    left = marked.select("token", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("most").alias("sa"), F.col("matches").alias("ma"))
+    right = marked.select("token", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("sb"), F.col("matches").alias("mb"))
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
     rest = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("ma", "mb")).alias("m")).where("k >= m").select("a", "b")
     rest = written(rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, docs, bitmaps, size, percent).select("a", "b")
