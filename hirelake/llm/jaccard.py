@@ -157,9 +157,14 @@ def _prefixes(size: int, percent: int, shared):
                 cost = np.where(need >= k, length + met + VERIFY_COST * met / (k * k), np.inf)
                 matches = np.where(cost < best, k, matches)
                 best = np.minimum(best, cost)
-            take = place < (n - need + matches)[doc]
+            length = np.minimum(n, n - need + matches)
+            take = place < length[doc]
+            # Rare shingles come first: a prefix that reaches past them holds all that the set has.
+            rare = excess[bucket] == 0
+            rares = np.bincount(doc[rare], minlength=m)
+            info = np.minimum(rares, length)[doc] << 4 | (rares <= length)[doc] << 3 | rare << 2 | (matches - 1)[doc]
             ids = longs(chunk.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(ids[doc[take]]), pa.array(matches[doc[take]].astype(np.int32)), pa.array(np.minimum(n, n - need + matches)[doc[take]].astype(np.int32))], names=["token", "doc_id", "matches", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(ids[doc[take]]), pa.array(info[take].astype(np.int32))], names=["token", "doc_id", "info"])
 
     return run
 
@@ -220,19 +225,23 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     speakers = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     nodes = written(members.join(speakers, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "nodes")
 
-    rows = docs.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(excess)), "token long, doc_id long, matches int, length int")
+    rows = docs.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(excess)), "token long, doc_id long, info int")
     often = rows.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    lists = rows.join(often, "token").join(nodes.where("node IS NOT NULL"), "doc_id").groupBy("token", "node").agg(F.min("matches").alias("matches"), F.min("length").alias("length"), F.min("n").alias("n"))
+    lists = rows.join(often, "token").join(nodes.where("node IS NOT NULL"), "doc_id").groupBy("token", "node").agg(F.min("info").alias("info"), F.min("n").alias("n"))
     lists = written(lists, "lists")
-    # Shingles of a prefix that no other node has are shared with none; the rest bounds what a node can share.
+    # A rare shingle that is in no other prefix is in no set whose prefix holds all of its rare ones. The number of
+    # these bounds what two nodes can share.
     met_by_others = lists.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
     lists = lists.join(met_by_others, "token")
-    alone = lists.groupBy("node").agg((F.max("n") - F.max("length") + F.count("*")).alias("most"))
-    lists = written(lists.join(alone, "node"), "lists")
-
-    fits = F.least("na", "nb", "sa", "sb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    pivots = lists.groupBy("token").agg(F.min(F.struct("node", "n", "most")).alias("p"))
-    stars = lists.join(pivots, "token").where("node != p.node").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("most").alias("sa"), F.col("p.most").alias("sb"))
+    lists = lists.select("token", "node", "n", (F.col("info").bitwiseAND(3) + 1).alias("matches"), (F.col("info").bitwiseAND(4) > 0).alias("rare"), (F.col("info").bitwiseAND(8) > 0).alias("whole"), F.shiftright("info", 4).alias("rares"))
+    alone = lists.groupBy("node").agg((F.max("rares") - F.count_if("rare")).alias("lone"))
+    lists = written(lists.join(alone, "node").select("token", "node", "n", "matches", "whole", "lone"), "lists")
+
+    left_of = lambda n, lone, whole: F.col(n) - F.when(F.col(whole), F.col(lone)).otherwise(0)
+    most = F.least("na", "nb", left_of("na", "la", "wb"), left_of("nb", "lb", "wa"))
+    fits = most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    pivots = lists.groupBy("token").agg(F.min(F.struct("node", "n", "whole", "lone")).alias("p"))
+    stars = lists.join(pivots, "token").where("node != p.node").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("whole").alias("wa"), F.col("p.whole").alias("wb"), F.col("lone").alias("la"), F.col("p.lone").alias("lb"))
     stars = written(stars.where(fits).select("a", "b").distinct(), "stars")
     links = written(_verified(stars, docs, bitmaps, size, percent).select("a", "b"), "links")
     first = components(links)
@@ -240,8 +249,8 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     marked = lists.join(first.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     split = marked.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     marked = written(marked.join(split, "token"), "marked")
-    left = marked.select("token", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("most").alias("sa"), F.col("matches").alias("ma"))
-    right = marked.select("token", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("sb"), F.col("matches").alias("mb"))
+    left = marked.select("token", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("whole").alias("wa"), F.col("lone").alias("la"), F.col("matches").alias("ma"))
+    right = marked.select("token", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("whole").alias("wb"), F.col("lone").alias("lb"), F.col("matches").alias("mb"))
     met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
     rest = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("ma", "mb")).alias("m")).where("k >= m").select("a", "b")
     rest = written(rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
