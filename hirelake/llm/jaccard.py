@@ -141,8 +141,9 @@ def _prefixes(size: int, percent: int, shared):
             keep = speaks[doc]
             doc, token = doc[keep], token[keep]
             bucket = (token & _B).astype(np.int64)
-            order = np.lexsort(((token >> np.uint64(8)) | rank[bucket], doc))
-            doc, token, bucket = doc[order], token[order], bucket[order]
+            key = (token >> np.uint64(8)) | rank[bucket]
+            order = np.lexsort((key, doc))
+            doc, token, bucket, key = doc[order], token[order], bucket[order], key[order]
             begin = np.zeros(m, np.int64)
             at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             begin[doc[at]] = at
@@ -163,8 +164,11 @@ def _prefixes(size: int, percent: int, shared):
             rare = excess[bucket] == 0
             rares = np.bincount(doc[rare], minlength=m)
             info = np.minimum(rares, length)[doc] << 4 | (rares <= length)[doc] << 3 | rare << 2 | (matches - 1)[doc]
+            # Where in the common order the prefix ends, to 32 bits.
+            last = np.zeros(m, np.int32)
+            last[doc[at]] = (key[at + length[doc[at]] - 1] >> np.uint64(32)).astype(np.int32)
             ids = longs(chunk.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(ids[doc[take]]), pa.array(info[take].astype(np.int32))], names=["token", "doc_id", "info"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(ids[doc[take]]), pa.array(info[take].astype(np.int32)), pa.array(last[doc[take]])], names=["token", "doc_id", "info", "last"])
 
     return run
 
@@ -225,17 +229,17 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     speakers = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     nodes = written(members.join(speakers, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "nodes")
 
-    rows = docs.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(excess)), "token long, doc_id long, info int")
+    rows = docs.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(excess)), "token long, doc_id long, info int, last int")
     often = rows.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    lists = rows.join(often, "token").join(nodes.where("node IS NOT NULL"), "doc_id").groupBy("token", "node").agg(F.min("info").alias("info"), F.min("n").alias("n"))
+    lists = rows.join(often, "token").join(nodes.where("node IS NOT NULL"), "doc_id").groupBy("token", "node").agg(F.min("info").alias("info"), F.min("last").alias("last"), F.min("n").alias("n"))
     lists = written(lists, "lists")
     # A rare shingle that is in no other prefix is in no set whose prefix holds all of its rare ones. The number of
     # these bounds what two nodes can share.
     met_by_others = lists.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
     lists = lists.join(met_by_others, "token")
-    lists = lists.select("token", "node", "n", (F.col("info").bitwiseAND(3) + 1).alias("matches"), (F.col("info").bitwiseAND(4) > 0).alias("rare"), (F.col("info").bitwiseAND(8) > 0).alias("whole"), F.shiftright("info", 4).alias("rares"))
+    lists = lists.select("token", "node", "n", "last", (F.col("info").bitwiseAND(3) + 1).alias("matches"), (F.col("info").bitwiseAND(4) > 0).alias("rare"), (F.col("info").bitwiseAND(8) > 0).alias("whole"), F.shiftright("info", 4).alias("rares"))
     alone = lists.groupBy("node").agg((F.max("rares") - F.count_if("rare")).alias("lone"))
-    lists = written(lists.join(alone, "node").select("token", "node", "n", "matches", "whole", "lone"), "lists")
+    lists = written(lists.join(alone, "node").select("token", "node", "n", "last", "matches", "whole", "lone"), "lists")
 
     left_of = lambda n, lone, whole: F.col(n) - F.when(F.col(whole), F.col(lone)).otherwise(0)
     most = F.least("na", "nb", left_of("na", "la", "wb"), left_of("nb", "lb", "wa"))
@@ -249,10 +253,14 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     marked = lists.join(first.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     split = marked.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     marked = written(marked.join(split, "token"), "marked")
-    left = marked.select("token", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("whole").alias("wa"), F.col("lone").alias("la"), F.col("matches").alias("ma"))
-    right = marked.select("token", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("whole").alias("wb"), F.col("lone").alias("lb"), F.col("matches").alias("mb"))
+    left = marked.select("token", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("whole").alias("wa"), F.col("lone").alias("la"), F.col("matches").alias("ma"), F.col("last").alias("ea"))
+    right = marked.select("token", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("whole").alias("wb"), F.col("lone").alias("lb"), F.col("matches").alias("mb"), F.col("last").alias("eb"))
     met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
-    rest = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("ma", "mb")).alias("m")).where("k >= m").select("a", "b")
+    # The prefix that ends first in the common order has met all that it shares; the set it leaves over bounds the rest.
+    past = lambda n, m: F.greatest(F.ceil(F.col(n) * percent / 100) - F.col(m), F.lit(0))
+    open_ = F.when(F.col("ea") < F.col("eb"), past("na", "ma")).when(F.col("eb") < F.col("ea"), past("nb", "mb")).otherwise(F.least("na", "nb"))
+    paired = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("ma", "mb")).alias("m"), F.min(open_).alias("open"), F.min(F.col("na") + F.col("nb")).alias("both"))
+    rest = paired.where((F.col("k") >= F.col("m")) & ((F.col("k") + F.col("open")) * (100 + percent) >= F.col("both") * percent)).select("a", "b")
     rest = written(rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, docs, bitmaps, size, percent).select("a", "b")
     final = components(links.unionByName(more))
