@@ -28,9 +28,9 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 BLOCKS = "p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer"
 
 
-def clean_html(col: str) -> Column:
+def clean_html(col: Column | str) -> Column:
     """Text of markup: scripts and styles go, block ends are line breaks, tags go, entities are decoded, space is tidied."""
-    out = F.col(col)
+    out = F.col(col) if isinstance(col, str) else col
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     for tag in ("script", "style"):

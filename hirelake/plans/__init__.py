@@ -1 +1,3 @@
-"""Bindings of the driver's tables to the domain, and the registered queries over them."""
+"""Bindings and the registry; importing this registers every query."""
+
+from . import registry, streams  # noqa: F401
