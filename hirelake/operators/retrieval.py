@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import location_match
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -148,3 +150,38 @@ def pointwise_pairs(pool: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
     """(query, item, text): query and document text composed for an outer judge."""
     q, d = queries.select("query", F.col("text").alias("qt")), docs.select("item", F.col("text").alias("dt"))
     return pool.join(q, "query").join(d, "item").select("query", "item", F.concat_ws("\n---\n", "qt", "dt").alias("text"))
+
+
+#: Weights of the labels that count for more or less than others.
+FIELD_WEIGHTS = {"required skills": 3.0, "role": 2.0, "preferred skills": 1.5, "team": 1.0, "industry": 1.0, "level": 1.0, "experience": 0.5}
+
+
+def field_weighted_similarity(items: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """query, item, weighted, plain, rank: means of the cosines of labels that both have, by weight and unweighted.
+
+    Both sides are long tables (item or query, label, vector). Other labels weigh 0.5. The stated queries are a
+    size-checked broadcast side that meets items on the label; the k best of a query come back.
+    """
+    count = queries.count()
+    if count > MOST_QUERIES:
+        raise ValueError(f"{count} query fields; search for at most {MOST_QUERIES} at once")
+    weight = F.lit(0.5)
+    for label, value in (FIELD_WEIGHTS if weights is None else weights).items():
+        weight = F.when(F.col("label") == label, value).otherwise(weight)
+    met = items.join(F.broadcast(queries.withColumnRenamed("vector", "q")), "label").select("query", "item", weight.alias("w"), (dot("vector", "q") / F.sqrt(dot("vector", "vector") * dot("q", "q"))).alias("s"))
+    means = met.groupBy("query", "item").agg(F.round(F.sum(F.col("w") * F.col("s")) / F.sum("w"), 4).alias("weighted"), F.round(F.avg("s"), 4).alias("plain"))
+    return _ranked(means, "query", "weighted", k)
+
+
+def location_filtered_match(jobs: DataFrame, vector: list[float], scores: DataFrame, location: str = "", remote: str | None = None, pool: int = 250, keep: int = 40, k: int = 15) -> DataFrame:
+    """item, similarity, fit, rank: the nearest jobs, cut by place of work and location, reranked by an outer fit.
+
+    With a filter a pool of 250 is searched, else only the 40 that are kept; a job without a fit comes after all others.
+    """
+    wanted = remote if remote in ("remote", "hybrid", "onsite") else None
+    near = vector_topk(jobs, vector, pool if wanted or location.strip() else keep)
+    rows = near.join(jobs.select("item", "location", "remote"), "item")
+    rows = location_match(rows if wanted is None else rows.where(F.col("remote") == wanted), "location", location)
+    best = rows.orderBy(F.desc("similarity"), "item").limit(keep).join(scores.select("item", F.least(F.greatest("fit", F.lit(0.0)), F.lit(100.0)).alias("fit")), "item", "left")
+    order = Window.orderBy(F.desc_nulls_last("fit"), F.desc("similarity"), "item")  # over the 40 kept rows
+    return best.select("item", "similarity", "fit", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)

@@ -1,3 +1,3 @@
 """Bindings and the registry; importing this registers every query."""
 
-from . import registry, streams  # noqa: F401
+from . import payloads, registry, streams  # noqa: F401

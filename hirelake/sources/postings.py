@@ -44,7 +44,7 @@ def _if_remote(flag: Column) -> Column:
 
 def _span(low: Column, high: Column) -> Column:
     """Both ends of a pay range as text; null if there is none."""
-    ends = [F.format_number(x, "#,##0.###") for x in (low, high)]
+    ends = [F.call_function("format_number", x, F.lit("#,##0.###")) for x in (low, high)]
     return F.when(low.isNotNull() | high.isNotNull(), F.concat_ws(" – ", *ends))
 
 
@@ -140,6 +140,8 @@ def normalize_postings(raw: DataFrame) -> DataFrame:
     of another shape or no JSON has no postings, and so has an unknown board; ``rejected_payloads`` lists those.
     """
     body = {name: F.from_json(embedded_json("body") if name == "workatastartup" else F.col("body"), shape) for name, shape in SHAPES.items()}
+    # a lone object reads as an array of one
+    body["lever"] = F.when(F.ltrim("body").startswith("["), body["lever"])
     picked = {
         "greenhouse": F.transform(body["greenhouse"].jobs, _greenhouse),
         "ashby": F.transform(body["ashby"].jobs, _ashby),
