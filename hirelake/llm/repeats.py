@@ -68,13 +68,21 @@ def merged(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return doc[at], lo[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def first_of_equal(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by keys, then by order; and for each whether it is the first with its keys."""
+def first_of_equal(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...], once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by keys, then by order; and for each whether it is the first with its keys.
+
+    With ``once``, rows equal in keys and order (what a repeated document brings again) come as one.
+    """
     at = np.lexsort(tuple(reversed(keys + order)))
     first = np.ones(len(at), bool)
     for i, key in enumerate(keys):
         changed = key[at][1:] != key[at][:-1]
         first[1:] = changed if i == 0 else first[1:] | changed
+    if once:
+        own = first.copy()
+        for key in order:
+            own[1:] |= key[at][1:] != key[at][:-1]
+        at, first = at[own], first[own]
     return at, first
 
 
@@ -84,7 +92,7 @@ def _map(find: Callable) -> Callable:
             ids, ties = longs(chunk.column("doc_id")), longs(chunk.column("tie"))
             doc, lo, n, anchor, seg = find(chunk.column("text"))
             base = ties << 40
-            at, first = first_of_equal((anchor, seg), (ids[doc], base[doc] + lo))
+            at, first = first_of_equal((anchor, seg), (ids[doc], base[doc] + lo), once=True)
             kept, again = at[first], at[~first]
             again = again[np.lexsort((lo[again], doc[again]))]
             rdoc, rlo, rn = merged(doc[again], lo[again], n[again])
@@ -130,7 +138,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = n < 0
         out = [(ids[done], place[done], -n[done], np.zeros(int(done.sum()), np.int64))]
         route, seg, ids, place, n = (x[~done] for x in (route, seg, ids, place, n))
-        at, first = first_of_equal((route, seg), (ids, place))
+        at, first = first_of_equal((route, seg), (ids, place), once=True)
         again = at[~first]
         out[0] = tuple(np.concatenate(x) for x in zip(out[0], (ids[again], place[again], n[again], np.zeros(len(again), np.int64)), strict=True))
         kept = at[first]  # sorted by anchor: an anchor with one segment left needs no more
@@ -163,7 +171,9 @@ def repeated_windows(docs: DataFrame, find: Callable, cut: Callable, compare: Ca
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_group(batches, "anchor", 4000):
-            yield from compare(batch)
+            # The texts of a repeated row are all joined with its runs.
+            at, first = first_of_equal(tuple(batch.column(c).to_numpy() for c in ("anchor", "doc_id", "tie", "lo")), ())
+            yield from compare(batch if first.all() else batch.take(pa.array(at[first])))
 
     settled = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(settle, "doc_id long, tie int, lo long, n int")
     return known.unionByName(settled).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))

@@ -121,6 +121,27 @@ def test_suffix_array(docs, rows, empty):
     assert left[1].text is None and left[2].text == "" and left[0].lang is None
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_a_repeated_row_does_not_erase_itself(spark, rows, parts):
+    """Every row twice, in one task or in several: both copies keep what a single one keeps."""
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    twice = once.union(once).repartition(parts)
+    for run in (lambda d: substring.remove_repeated_words(d, 20), lambda d: suffix.remove_repeated_bytes(d, 64)):
+        want = {r.doc_id: r.kept for r in run(once).collect()}
+        got = [(r.doc_id, r.kept) for r in run(twice).collect()]
+        assert len(got) == 2 * len(rows) and all(want[i] == kept for i, kept in got)
+
+
+def test_the_pipeline_keeps_repeated_rows(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(60))
+    table = [(1, text, len(text)), (1, text, len(text)), (2, text + " more", len(text) + 5)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, n_chars long").repartition(3)
+    left = corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, text), (1, text), (2, " more")]
+
+
 def test_suffix_array_sorts_and_merges():
     rng = np.random.default_rng(2)
     text = rng.integers(0, 3, 500).astype(np.uint8)
