@@ -2,6 +2,10 @@
 
 Every token is hidden in turn and predicted from the two tokens before and the two after it; the sum of the
 log-probabilities of the tokens that were there scores the document.
+
+A word's probability is that of its class in the context, by the network, times the word's share of its class, by its
+count in the whole corpus. The counts are a table that grows with the corpus: its common words are broadcast, all others
+are joined.
 """
 
 from __future__ import annotations
@@ -13,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks, flat, joined, owners, word_hashes, words
+from .arrays import chunks, flat, owners, word_hashes, words
+from .tables import written
 
 #: Frequent words with an output each; all others share classes by their hash. The last class is the text's edge.
 FREQUENT, CLASSES = 192, 256
-SIDE, WIDTH, HIDDEN, BATCH = 2, 16, 32, 8192
+SIDE, WIDTH, HIDDEN, BATCH = 2, 16, 32, 1024
 EDGE = CLASSES - 1
-#: One position in so many, by a hash of the place and the word, is a training target; all of them are scored.
-TARGET_EVERY = 8
+#: Targets of one training step.
+STEP = 256
+#: Words that make one in so many tokens or more are broadcast with their counts (so many words at most).
+COMMON = 2_000_000
 _SHAPES = [(CLASSES, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 
 
@@ -33,7 +40,9 @@ def forward(net: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.
     """Inputs, hidden units, and log-probabilities of all classes, for rows of context classes."""
     e, w1, b1, w2, b2 = net
     x = e[context].reshape(len(context), -1)
-    h = np.tanh(x @ w1 + b1)
+    h = x @ w1
+    h += b1
+    np.tanh(h, out=h)
     z = h @ w2
     z += b2
     z -= z.max(1, keepdims=True)
@@ -43,8 +52,8 @@ def forward(net: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.
 
 def train_step(net: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
     e, w1, b1, w2, b2 = net
-    x, h, z = forward(net, context)
-    d = np.exp(z)
+    x, h, d = forward(net, context)
+    np.exp(d, out=d)
     d[np.arange(len(target)), target] -= 1
     d /= len(target)
     dh = (d @ w2.T) * (1 - h * h)
@@ -53,9 +62,11 @@ def train_step(net: list[np.ndarray], context: np.ndarray, target: np.ndarray, r
     b2 -= rate * d.sum(0)
     w1 -= rate * (x.T @ dh)
     b1 -= rate * dh.sum(0)
-    de = np.zeros_like(e)
-    np.add.at(de, context.ravel(), dx)
-    e -= rate * de
+    classes = context.ravel()
+    order = np.argsort(classes, kind="stable")
+    classes = classes[order]
+    at = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
+    e[classes[at]] -= rate * np.add.reduceat(dx[order], at)
 
 
 class Tokens:
@@ -90,9 +101,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the ``FREQUENT`` most frequent words, counted over all documents; ties go to the lesser hash."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """word (its hash), n: every word of the corpus and how often it occurs."""
+    return written(docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+
+
+def frequent_words(counts: DataFrame) -> np.ndarray:
+    """Hashes of the ``FREQUENT`` most frequent words; ties go to the lesser hash."""
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     return np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
 
@@ -100,23 +115,24 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
 def _trainer(frequent: np.ndarray, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen = start(), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        totals = np.zeros(CLASSES)
+        context, target = np.zeros((0, 2 * SIDE), np.int64), np.zeros(0, np.int64)
         for chunk in chunks(batches):
             t = Tokens(chunk.column("text"), frequent)
-            picked = np.flatnonzero(joined(t.hash, t.place.astype(np.uint64)) % np.uint64(TARGET_EVERY) == 0)
-            held.append((t.context(picked), t.classes[picked].astype(np.int64)))
-            size += len(picked)
-            while size >= 512:
-                context, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                for b in range(0, len(target) - 255, 256):
-                    train_step(net, context[b : b + 256], target[b : b + 256], rate)
-                    seen += 256
-                done = len(target) // 256 * 256
-                held, size = [(context[done:], target[done:])], len(target) - done
+            totals += np.bincount(t.classes, minlength=CLASSES)
+            context = np.concatenate([context, t.context(np.arange(len(t.classes)))])
+            target = np.concatenate([target, t.classes.astype(np.int64)])
+            done = len(target) // STEP * STEP
+            for b in range(0, done, STEP):
+                train_step(net, context[b : b + STEP], target[b : b + STEP], rate)
+            seen += done
+            context, target = context[done:], target[done:]
+        if len(target):  # a shorter step for what is left
+            train_step(net, context, target, rate * len(target) / STEP)
+            seen += len(target)
         if seen:
             flat_net = np.concatenate([p.ravel() for p in net]).astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(flat_net, seen).tobytes()], pa.binary())], names=["sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([flat_net, totals, [seen]]).tobytes()], pa.binary())], names=["sums"])
 
     return run
 
@@ -131,50 +147,83 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
-def train(docs: DataFrame, rate: float = 0.5) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Frequent words and the network.
+def train(docs: DataFrame, counts: DataFrame, rate: float = 0.5) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Frequent words, the network, and how many tokens each class has.
 
-    Each task trains a copy of one starting network on its documents, all of them; the copies are averaged by the
-    number of their targets, added up in a tree. One network of some 60 KB reaches the driver, whatever the corpus.
+    Each task trains a copy of one starting network on every position of its documents; the copies are averaged by the
+    number of their targets, added up in a tree. One network of some 60 KB reaches the driver, whatever the corpus;
+    what grows with the corpus is ``counts``, its vocabulary.
     """
-    frequent = frequent_words(docs)
+    frequent = frequent_words(counts)
     nets = docs.select("text").mapInArrow(_trainer(frequent, rate), "sums binary")
     total = nets.repartition(16).mapInArrow(_add, "sums binary").coalesce(1).mapInArrow(_add, "sums binary").first()
     if total is None:
-        return frequent, start()
+        return frequent, start(), np.zeros(CLASSES)
     sums = np.frombuffer(bytes(total.sums), np.float64)
-    values, out, at = (sums[:-1] / sums[-1]).astype(np.float32), [], 0
+    values, out, at = (sums[: -1 - CLASSES] / sums[-1]).astype(np.float32), [], 0
     for shape in _SHAPES:
         size = int(np.prod(shape))
         out.append(values[at : at + size].reshape(shape))
         at += size
-    return frequent, out
+    return frequent, out, sums[-1 - CLASSES : -1]
+
+
+def _places(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each hash in the sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+    return at, table[at] == hashes
 
 
-def score(docs: DataFrame, frequent: np.ndarray, net: list[np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, frequent: np.ndarray, net: list[np.ndarray], totals: np.ndarray, common: int = COMMON) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum of the tokens' conditional log-probabilities) and mean_log_prob.
 
     One row for each row of docs. A text without words (null, empty) has 0 tokens, log-likelihood 0 and a null mean;
-    repeated rows give repeated results; an empty corpus scores with the starting network. Columns other than doc_id
-    and text are ignored.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, net))
+    repeated rows give repeated results; an empty corpus scores with the starting network. A word that ``counts`` does
+    not have counts as one. Columns other than doc_id and text are ignored.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, net = shared.value
+    Words less common than one token in ``common`` are joined with their counts; as none of them is frequent, no task
+    gets many rows of one. A row's words are told by a hash of its doc_id and text; rows equal in both have equal means.
+    """
+    top = counts.where(F.col("n") * common >= float(totals.sum())).toArrow()
+    hashes = top.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    logs_of = np.log(top.column("n").to_numpy()[order]).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, net, -np.log(np.maximum(totals, 1)), hashes[order], logs_of))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, net, share, table, logs_of = shared.value
         for chunk in chunks(batches):
             t = Tokens(chunk.column("text"), frequent)
-            logs = np.zeros(len(t.classes), np.float64)
+            at, there = _places(table, t.hash)
+            logs = share[t.classes] + (np.where(there, logs_of[at], 0) if len(table) else 0)
             for b in range(0, len(logs), BATCH):
                 at = np.arange(b, min(b + BATCH, len(logs)))
-                logs[at] = forward(net, t.context(at))[2][np.arange(len(at)), t.classes[at]]
+                logs[at] += forward(net, t.context(at))[2][np.arange(len(at)), t.classes[at]]
             total = np.bincount(t.doc, logs, minlength=chunk.num_rows)
-            mean = pa.array(total / np.maximum(t.counts, 1), mask=t.counts == 0)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(t.counts), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
+            rest = np.bincount(t.doc[~there], minlength=chunk.num_rows)
+            yield pa.RecordBatch.from_arrays([chunk.column("key"), chunk.column("doc_id"), pa.array(t.counts), pa.array(total), pa.array(rest)], names=["key", "doc_id", "n_tokens", "known", "rest"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value[3]
+        for chunk in chunks(batches):
+            data, offs = flat(chunk.column("text"))
+            starts, ends, woffs = words(data, offs)
+            h = word_hashes(data, starts, ends)
+            left = np.flatnonzero(~_places(table, h)[1])
+            keys = chunk.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[owners(woffs)[left]]), pa.array(h[left].view(np.int64))], names=["key", "word"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
+    rare = keyed.select("key", "text").mapInArrow(others, "key long, word long").join(counts.where(F.col("n") * common < float(totals.sum())), "word", "left")
+    means = rare.groupBy("key").agg(F.avg(F.log(F.coalesce("n", F.lit(1)))).alias("mean"))
+    both = keyed.mapInArrow(known, "key long, doc_id long, n_tokens long, known double, rest long").join(means, "key", "left")
+    total = F.col("known") + F.col("rest") * F.coalesce("mean", F.lit(0.0))
+    return both.select("doc_id", "n_tokens", total.alias("log_likelihood")).withColumn("mean_log_prob", F.expr("CASE WHEN n_tokens > 0 THEN log_likelihood / n_tokens END"))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Trains on docs and scores them."""
-    return score(docs, *train(docs))
+    counts = vocabulary(docs)
+    return score(docs, counts, *train(docs, counts))

@@ -254,6 +254,25 @@ def test_lm(docs, empty):
     assert lm.forward(net, context)[2][np.arange(512), target].mean() > before + 1
 
 
+def test_lm_tells_words_of_a_class_apart_and_learns_from_small_partitions(spark, docs):
+    rng = random.Random(6)
+    often, seldom = [f"often{i}" for i in range(400)], [f"seldom{i}" for i in range(400)]
+    table = [(i, " ".join(rng.choice(often) for _ in range(30))) for i in range(2000)] + [(5000 + i, " ".join(seldom[30 * i : 30 * i + 30])) for i in range(13)]
+    own = spark.createDataFrame(table + table[:1], "doc_id long, text string").repartition(3)
+    counts = lm.vocabulary(own)
+    model = lm.train(own, counts)
+    assert model[2].sum() == sum(len(t.split()) for _, t in table + table[:1]) and counts.count() == 790
+    got = lm.score(own, counts, *model).collect()
+    mean = lambda rows: sum(r.log_likelihood for r in rows) / sum(r.n_tokens for r in rows)
+    assert len(got) == len(table) + 1
+    # A word seen once is one in some 150 of what an often seen word of its class is: their logarithms differ by 5.
+    assert mean([r for r in got if r.doc_id < 5000]) > mean([r for r in got if r.doc_id >= 5000]) + 3
+    joined = sorted((r.doc_id, r.log_likelihood) for r in lm.score(own, counts, *model, common=1).collect())
+    assert np.allclose([x for _, x in joined], [x for _, x in sorted((r.doc_id, r.log_likelihood) for r in got)], atol=1e-3)
+    small = docs.limit(40).repartition(40)
+    assert not np.array_equal(lm.train(small, lm.vocabulary(small))[1][3], lm.start()[3])
+
+
 def test_quality(spark, empty):
     rng = random.Random(8)
     good = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(60)) + "."
