@@ -34,7 +34,11 @@ _DROP = frozenset("head script style noscript template svg math canvas iframe ob
 _CONTENT = frozenset("article main".split())
 #: Blocks that hold running text; inside an article they are never taken for template, however often a text is copied.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th b i em strong a span figcaption br".split())
-_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:[-_ ]|$)", re.I)
+_NAME = r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)"
+#: A class or id made of such names alone (cookie-banner, but not has-sidebar, no-comments or social-science).
+_NAMES = re.compile(rf"(?:^|\s){_NAME}(?:[-_]+{_NAME})*(?:\s|$)", re.I)
+#: Elements that are never dropped for a class or id, and neither is what holds one.
+_WHOLE = frozenset("html body main article".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 #: An open element of the key is closed by the start of one of the values.
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -44,10 +48,11 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd ma
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "parts", "hash")
+    __slots__ = ("tag", "dropped", "named", "parts", "hash")
 
-    def __init__(self, tag: str, dropped: bool):
-        self.tag, self.dropped, self.parts, self.hash = tag, dropped, [], None
+    def __init__(self, tag: str, dropped: bool, named: bool = False):
+        #: named: dropped for nothing but its class or id.
+        self.tag, self.dropped, self.named, self.parts, self.hash = tag, dropped or named, named and not dropped, [], None
 
 
 def parse(html: str) -> Node:
@@ -84,7 +89,11 @@ def parse(html: str) -> Node:
                 del stack[top:]
             else:
                 break
-        node = Node(tag, tag in _DROP or _told(m[3]))
+        if tag in _WHOLE:
+            for x in stack:
+                if x.named:
+                    x.dropped = x.named = False
+        node = Node(tag, tag in _DROP or _told(m[3]), tag not in _WHOLE and _named(m[3]))
         stack[-1].parts.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -95,14 +104,17 @@ def parse(html: str) -> Node:
     return root
 
 
+def _named(attributes: str) -> bool:
+    """Whether a class or id names something that is no main text."""
+    return "=" in attributes and any(name.lower() in ("class", "id") and _NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values))) is not None for name, *values in _ATTRIBUTE.findall(attributes))
+
+
 def _told(attributes: str) -> bool:
-    """Whether attributes say that the element is no main text."""
+    """Whether attributes other than class and id say that the element is no main text."""
     if "=" not in attributes and "hidden" not in attributes:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and _NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
         if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
     return re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", attributes, re.I) is not None

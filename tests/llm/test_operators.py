@@ -235,6 +235,11 @@ def test_html():
     assert html.main_text("") == "" and html.main_text("plain <i>te</i>xt") == "plain text"
 
 
+@pytest.mark.parametrize("around", ["<body class='has-sidebar'>%s", "<div class='layout with-sidebar'>%s</div>", "<article class='post no-comments'>%s</article>", "<article class='widget'>%s</article>", "<div id='social-science'>%s</div>", "<div class='widget'><main>%s</main></div>"])
+def test_html_keeps_what_holds_the_text(around):
+    assert html.main_text(around % "<p>the text</p><div class='share'>share</div><div class='x cookie-banner'>ok?</div>") == "the text"
+
+
 def test_site_templates(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div>same on every page</div><p>page {i}</p><section><p>tail</p></section></body>") for i in range(9)] + [(50, None, None), (51, "http://g.example/", "<div>same on every page</div>")]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
