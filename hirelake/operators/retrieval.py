@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +24,28 @@ def _ranked(df: DataFrame, by: str, score: str, k: int, item: str = "item") -> D
     return df.withColumn("rank", rn).where(F.col("rank") <= k)
 
 
-#: Queries of one search are a broadcast side; more than this are refused rather than sent to every executor.
+#: Queries are a broadcast side; more than about this many rows are searched for in blocks, each broadcast by itself.
 MOST_QUERIES = 10_000
 
 
+def _in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """search(queries), in blocks of some ``MOST_QUERIES`` rows by a hash of the query, so that a query stays whole."""
+    blocks = -(-queries.count() // MOST_QUERIES)
+    if blocks <= 1:
+        return search(queries)
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [search(queries.where(block == i)) for i in range(blocks)])
+
+
 def vector_topk_many(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, item, similarity (4 digits), rank: the k nearest items of each query by cosine, exactly.
 
     Every item meets every stated query once; each partition keeps its own k best of a query before the shuffle.
     """
-    count = queries.count()
-    if count > MOST_QUERIES:
-        raise ValueError(f"{count} queries; search for at most {MOST_QUERIES} at once")
+    return _in_blocks(queries, lambda block: _topk(items, block, k))
+
+
+def _topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     met = items.select("item", "vector").crossJoin(F.broadcast(queries.select("query", F.col("vector").alias("q"))))
     scored = met.select("query", "item", cosine("vector", "q").alias("similarity"))
     best = scored.groupBy("query", F.pmod(F.xxhash64("item"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "item"))), 1, k).alias("b"))
@@ -159,12 +172,13 @@ FIELD_WEIGHTS = {"required skills": 3.0, "role": 2.0, "preferred skills": 1.5, "
 def field_weighted_similarity(items: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:
     """query, item, weighted, plain, rank: means of the cosines of labels that both have, by weight and unweighted.
 
-    Both sides are long tables (item or query, label, vector). Other labels weigh 0.5. The stated queries are a
-    size-checked broadcast side that meets items on the label; the k best of a query come back.
+    Both sides are long tables (item or query, label, vector). Other labels weigh 0.5. The stated queries are
+    broadcast, in blocks, and meet items on the label; the k best of a query come back.
     """
-    count = queries.count()
-    if count > MOST_QUERIES:
-        raise ValueError(f"{count} query fields; search for at most {MOST_QUERIES} at once")
+    return _in_blocks(queries, lambda block: _weighted(items, block, k, weights))
+
+
+def _weighted(items: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None) -> DataFrame:
     weight = F.lit(0.5)
     for label, value in (FIELD_WEIGHTS if weights is None else weights).items():
         weight = F.when(F.col("label") == label, value).otherwise(weight)
