@@ -39,6 +39,7 @@ def source_health(probes: DataFrame, companies: DataFrame, window: str, as_of: s
 
 
 def company_health(companies: DataFrame, probes: DataFrame, as_of: str, window: str = "7 DAY") -> DataFrame:
+    """Probes and successes of each company over a trailing window; one without probes has 0 and a null share."""
     recent = probes.where(F.col("created_at") > instant(as_of) - F.expr(f"INTERVAL {window}"))
     counts = recent.groupBy("company_id").agg(F.count("*").alias("n"), _count("schema_ok").alias("good"))
     rows = companies.select(F.col("id").alias("company_id"), "slug").join(counts, "company_id", "left")
@@ -54,6 +55,7 @@ def totals_by_source(companies: DataFrame, jobs: DataFrame, as_of: str) -> DataF
 
 
 def totals_rollup(companies: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:
+    """Totals of each source, and one row for all (is_total 1)."""
     rows = totals_by_source(companies, jobs, as_of)
     return rows.rollup("ats").agg(F.sum("total").alias("total"), F.sum("active").alias("active"), F.grouping("ats").cast("int").alias("is_total"))
 
@@ -78,14 +80,23 @@ def cycle_rollup(runs: DataFrame) -> DataFrame:
     return keyed.groupBy("cycle_id").agg(F.min_by("id", F.struct("shard_index", "id")).alias("id"), F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), status.alias("status"), *sums, F.max_by("active_jobs_after", F.struct("ended_at", "id")).alias("active_after"))
 
 
-def recent_cycles(runs: DataFrame, n: int = 30) -> DataFrame:
-    """The n newest cycles with their duration, the open count before (of the previous ok cycle), and re-opened postings."""
+def recent_cycles(runs: DataFrame, jobs: DataFrame, n: int = 30) -> DataFrame:
+    """The n newest cycles with their duration, new postings, the open count before and re-opened postings.
+
+    New postings of an ok cycle are those first seen inside its window, ends included; of others, what the runs
+    reported. The count before is that of the ok cycle before, so that a failed one between isn't taken for it. Where
+    there is none, or the cycle isn't ok, re-opened is null. Only postings inside the n windows are joined.
+    """
     newest = cycle_rollup(runs).orderBy(F.desc("started_at"), F.desc("cycle_id")).limit(n)
-    order = Window.partitionBy(F.col("status") == "ok").orderBy("started_at", "cycle_id")
-    rows = newest.withColumn("active_before", F.when(F.col("status") == "ok", F.lag("active_after").over(order)))
+    windows = newest.where("status = 'ok'").select(F.col("cycle_id").alias("cycle"), "started_at", "ended_at")
+    seen = interval_join(jobs.select("first_seen_at"), windows, "first_seen_at", "started_at", "ended_at").groupBy("cycle").agg(F.count("*").alias("n"))
+    ok = F.col("status") == "ok"
+    order = Window.partitionBy(ok).orderBy("started_at", "cycle_id")  # over n rows
+    rows = newest.join(seen, newest.cycle_id == seen.cycle, "left").withColumn("active_before", F.when(ok, F.lag("active_after").over(order)))
+    rows = rows.withColumnRenamed("new_jobs", "new_jobs_reported").withColumn("new_jobs", F.when(ok, F.coalesce("n", F.lit(0))).otherwise(F.col("new_jobs_reported")))
     seconds = F.unix_timestamp(F.col("ended_at").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp"))
     residual = F.col("active_after") - F.col("active_before") - F.col("new_jobs") + F.col("closed_jobs")
-    return rows.select("cycle_id", "status", seconds.alias("duration_s"), "new_jobs", "closed_jobs", "active_before", "active_after", F.greatest(F.lit(0), residual).alias("reopened"))
+    return rows.select("cycle_id", "status", seconds.alias("duration_s"), "new_jobs", "new_jobs_reported", "closed_jobs", "active_before", "active_after", F.when(ok & F.col("active_before").isNotNull(), F.greatest(F.lit(0), residual)).alias("reopened"))
 
 
 def active_balance_check(cycles: DataFrame) -> DataFrame:
@@ -117,6 +128,7 @@ def unique_active(jobs: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def unique_since(jobs: DataFrame, companies: DataFrame, window: str, as_of: str) -> DataFrame:
+    """The unique open postings first seen inside a trailing window."""
     return unique_active(jobs, companies).where(F.col("first_seen_at") > instant(as_of) - F.expr(f"INTERVAL {window}"))
 
 
@@ -128,26 +140,31 @@ def duplicate_postings(jobs: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def daily_new(jobs: DataFrame, days: int, as_of: str) -> DataFrame:
+    """New postings and their companies for each of the last days that has any."""
     rows = jobs.where(F.col("first_seen_at") > instant(as_of) - F.expr(f"INTERVAL {days} DAY"))
     return rows.groupBy(F.to_date("first_seen_at").alias("day")).agg(F.count("*").alias("new_jobs"), F.count_distinct("company_id").alias("companies"))
 
 
 def daily_closed(jobs: DataFrame, days: int, as_of: str) -> DataFrame:
+    """Closed postings of each of the last days that has any."""
     rows = jobs.where(F.col("closed_at") > instant(as_of) - F.expr(f"INTERVAL {days} DAY"))
     return rows.groupBy(F.to_date("closed_at").alias("day")).agg(F.count("*").alias("closed_jobs"))
 
 
 def top_employers(jobs: DataFrame, companies: DataFrame, n: int = 20) -> DataFrame:
+    """The companies with most open postings, ties by slug."""
     counts = jobs.where("closed_at IS NULL").groupBy("company_id").agg(F.count("*").alias("open_jobs"))
     return counts.join(_sources(companies), "company_id").select("slug", "ats", "open_jobs").orderBy(F.desc("open_jobs"), "slug").limit(n)
 
 
 def sla_block(health: DataFrame) -> DataFrame:
+    """GREEN, AMBER from 1 % of blocks, RED from 5 %; an unknown share is GREEN."""
     state = F.when(F.col("block_pct") >= 5, "RED").when(F.col("block_pct") >= 1, "AMBER").otherwise("GREEN")
     return health.select("ats", "block_pct", state.alias("state"))
 
 
 def sla_volume(unique: DataFrame, least: int = 50_000) -> DataFrame:
+    """Whether the unique open postings are as many as they should be; AMBER from four fifths of it."""
     n = F.count("*")
     return unique.agg(n.alias("unique_active"), F.when(n >= least, "GREEN").when(n >= least * 0.8, "AMBER").otherwise("RED").alias("state"))
 
@@ -215,14 +232,28 @@ def probe_retention(probes: DataFrame, companies: DataFrame, keep_days: int, as_
     return old.groupBy(F.to_date("created_at").alias("day"), "ats").agg(F.count("*").alias("probes"), _count("schema_ok").alias("ok"))
 
 
-def rolling_block_rate(probes: DataFrame, companies: DataFrame, n: int = 20) -> DataFrame:
-    """Share of blocks in each source's last n outcomes; flags come only once n are known."""
-    order = Window.partitionBy("ats").orderBy("created_at", "id").rowsBetween(-(n - 1), 0)
-    blocked = F.col("http_status").isin(403, 429) & F.col("http_status").isNotNull()
-    rows = probes.join(_sources(companies), "company_id").select("ats", "id", "created_at", F.sum(F.coalesce(blocked, F.lit(False)).cast("int")).over(order).alias("blocks"), F.count("*").over(order).alias("seen"))
+def rolling_block_rate(probes: DataFrame, companies: DataFrame, n: int = 20, days: int = 1) -> DataFrame:
+    """Share of blocks in each source's last n outcomes; flags come only once n are known. Ties of time go by id.
+
+    Time is cut into ranges of some days, so that a source's history is ranked in as many tasks as it has ranges. Each
+    range also gets the last n - 1 rows before it: of every range at most so many rows, for the few ranges after it that
+    hold less than n. A fact without a time comes before all others.
+    """
+    rows = probes.join(_sources(companies), "company_id").select("ats", "id", "created_at", F.coalesce(F.col("http_status").isin(403, 429), F.lit(False)).cast("int").alias("block"))
+    rows = rows.withColumn("range", F.coalesce(F.floor(F.unix_date(F.to_date("created_at")) / days), F.lit(-(2**40))))
+    by_time = Window.partitionBy("ats").orderBy("range")  # over the ranges of a source
+    sizes = rows.groupBy("ats", "range").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("before", F.sum("size").over(by_time) - F.col("size"))
+    later = F.collect_list(F.struct(F.col("range").alias("to"), F.col("before"))).over(by_time.rowsBetween(1, n - 1))
+    sizes = sizes.select("ats", "range", (F.col("before") + F.col("size")).alias("upto"), later.alias("later"))
+    newest = F.row_number().over(Window.partitionBy("ats", "range").orderBy(F.desc_nulls_last("created_at"), F.desc("id")))
+    tails = rows.withColumn("place", newest).where(F.col("place") < n).join(sizes, ["ats", "range"]).withColumn("next", F.explode("later"))
+    carried = tails.where(F.col("next.before") - F.col("upto") + F.col("place") < n).select("ats", "id", "created_at", "block", F.col("next.to").alias("range"), F.lit(False).alias("own"))
+    order = Window.partitionBy("ats", "range").orderBy(F.asc_nulls_first("created_at"), "id").rowsBetween(-(n - 1), 0)
+    both = rows.withColumn("own", F.lit(True)).unionByName(carried).select("ats", "id", "own", F.sum("block").over(order).alias("blocks"), F.count("*").over(order).alias("seen")).where("own")
     rate = F.col("blocks") / F.col("seen")
     flag = F.when(F.col("seen") < n, None).when(rate > 0.05, "throttle").when(rate < 0.01, "recover")
-    return rows.select("ats", "id", F.round(rate, 4).alias("rate"), flag.alias("flag"))
+    return both.select("ats", "id", F.round(rate, 4).alias("rate"), flag.alias("flag"))
 
 
 def slug_counts(mentions: DataFrame) -> DataFrame:
@@ -235,16 +266,27 @@ def slug_merge(pool: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def proportional_allocate(pool: DataFrame, group_col: str, target: int, order_cols: list[str]) -> DataFrame:
-    """Picks about ``target`` rows over groups by their share; what flooring leaves goes round the groups in turn."""
+    """Picks about ``target`` rows over groups by their share; what flooring leaves goes round the groups in turn.
+
+    How many whole rounds that makes follows from the groups' sizes, one row a group; no round is written out. Rows are
+    ranked in their group up to the target only. Fewer rows than the target are all taken.
+    """
     sizes = pool.groupBy(group_col).agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size").alias("all"))
-    base = sizes.crossJoin(total).withColumn("quota", F.least("size", F.floor(F.lit(target) * F.col("size") / F.col("all"))))
-    spare = base.withColumn("left", F.col("size") - F.col("quota")).where("left > 0").withColumn("round", F.explode(F.sequence(F.lit(1), F.least("left", F.lit(target)))))
-    short = base.agg((F.least(F.lit(target), F.first("all")) - F.sum("quota")).alias("short"))
-    extra = spare.withColumn("rn", F.row_number().over(Window.orderBy("round", group_col))).crossJoin(short).where("rn <= short").groupBy(group_col).agg(F.count("*").alias("extra"))
-    quota = base.join(extra, group_col, "left").select(group_col, (F.col("quota") + F.coalesce("extra", F.lit(0))).alias("quota"))
-    ranked = pool.withColumn("rn", F.row_number().over(Window.partitionBy(group_col).orderBy(*order_cols)))
-    return ranked.join(F.broadcast(quota), group_col).where("rn <= quota").drop("rn", "quota")
+    base = sizes.crossJoin(F.broadcast(total)).withColumn("quota", F.least("size", F.floor(F.lit(target) * F.col("size") / F.col("all")))).withColumn("left", F.col("size") - F.col("quota"))
+    short = base.agg((F.least(F.lit(target), F.first("all")) - F.sum("quota")).alias("short"), F.count("*").alias("groups"))
+    # If every group took as many rounds as this one has rows left, so many rows would go.
+    up_to = Window.orderBy("left", group_col)  # over the groups
+    levels = base.withColumn("at", F.row_number().over(up_to)).withColumn("taken", F.sum("left").over(up_to.rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(short))
+    whole = levels.withColumn("level", F.col("taken") + (F.col("groups") - F.col("at")) * F.col("left")).where("level <= short").agg(F.max(F.struct("level", "left", F.col("at").alias("full"))).alias("w"))
+    state = short.crossJoin(whole).select("short", F.coalesce("w.left", F.lit(0)).alias("done"), (F.col("groups") - F.coalesce("w.full", F.lit(0))).alias("open"), (F.col("short") - F.coalesce("w.level", F.lit(0))).alias("rest"))
+    state = state.select((F.col("done") + F.when(F.col("open") > 0, F.floor(F.col("rest") / F.greatest("open", F.lit(1)))).otherwise(0)).alias("rounds"), F.when(F.col("open") > 0, F.col("rest") % F.greatest("open", F.lit(1))).otherwise(0).alias("over"))
+    more = base.crossJoin(F.broadcast(state))
+    turn = F.sum((F.col("left") > F.col("rounds")).cast("int")).over(Window.orderBy(group_col))
+    extra = F.least("left", "rounds") + ((F.col("left") > F.col("rounds")) & (turn <= F.col("over"))).cast("int")
+    quota = more.select(group_col, (F.col("quota") + extra).alias("quota"))
+    ranked = pool.withColumn("rn", F.row_number().over(Window.partitionBy(group_col).orderBy(*order_cols))).where(F.col("rn") <= target)
+    return ranked.join(quota, group_col).where("rn <= quota").drop("rn", "quota")
 
 
 def class_coverage(jobs: DataFrame) -> DataFrame:

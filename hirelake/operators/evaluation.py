@@ -22,6 +22,7 @@ def ndcg_at_k(scores: DataFrame, gains: DataFrame, k: int = 10) -> DataFrame:
 
 
 def mean_gain_at_k(scores: DataFrame, gains: DataFrame, k: int = 10) -> DataFrame:
+    """Mean gain of the first k; unjudged items are left out."""
     return ranked(scores).where(F.col("pos") <= k).join(gains, ["query", "item"]).groupBy(*BY).agg(F.round(F.avg("gain"), 6).alias("mean_gain"))
 
 
@@ -47,6 +48,7 @@ def separation(scores: DataFrame, k: int = 10) -> DataFrame:
 
 
 def judge_ensemble(judgements: DataFrame) -> DataFrame:
+    """Mean of the judges that scored a pair."""
     return judgements.groupBy("query", "item").agg(F.round(F.avg("gain"), 6).alias("gain"))
 
 
@@ -61,8 +63,20 @@ def method_leaderboard(scores: DataFrame, gains: DataFrame, k: int = 10) -> Data
     return rows.groupBy("method").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("ndcg", "mean_gain", "recall")]).orderBy(F.desc("ndcg"), "method")
 
 
-def pipeline_diff(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
-    """Two rankings side by side: which item each has at a rank, and how many they share."""
+def rank_map(rankings: DataFrame) -> DataFrame:
+    """query, item and a map from each method to the item's rank under it; a method that lacks the item lacks the key."""
+    return rankings.where("method IS NOT NULL").groupBy("query", "item").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("method", "rank")))).alias("ranks"))
+
+
+def pipeline_diff(a: DataFrame, b: DataFrame, k: int = 10, fits: DataFrame | None = None) -> DataFrame:
+    """Two rankings side by side: which item each has at a rank, how many they share, and each one's mean fit.
+
+    Fits (query, item, fit) are those of an outer judge; an item without one is left out of the mean.
+    """
     left, right = (x.where(F.col("rank") <= k).select("query", "rank", F.col("item").alias(c)) for x, c in ((a, "item_a"), (b, "item_b")))
     shared = left.join(right.select("query", F.col("item_b").alias("item_a")), ["query", "item_a"]).groupBy("query").agg(F.count("*").alias("shared"))
-    return left.join(right, ["query", "rank"], "full_outer").join(shared, "query", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    out = left.join(right, ["query", "rank"], "full_outer").join(shared, "query", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    for side, one in () if fits is None else (("a", left), ("b", right)):
+        means = one.join(fits.select("query", F.col("item").alias(f"item_{side}"), "fit"), ["query", f"item_{side}"]).groupBy("query").agg(F.round(F.avg("fit"), 4).alias(f"fit_{side}"))
+        out = out.join(means, "query", "left")
+    return out

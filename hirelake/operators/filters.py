@@ -26,10 +26,12 @@ def three_valued_target(df: DataFrame, col: str = "is_target") -> DataFrame:
 
 
 def active_postings(jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """Open postings of known companies, with source and slug; repeated rows stay repeated."""
     return jobs.where("closed_at IS NULL").join(_named(companies), "company_id")
 
 
 def postings_since(jobs: DataFrame, companies: DataFrame, window: str, as_of: str) -> DataFrame:
+    """Open postings first seen inside a trailing window (its start is out, and so is a null time), newest first."""
     return active_postings(jobs, companies).where(F.col("first_seen_at") > instant(as_of) - F.expr(f"INTERVAL {window}")).orderBy(F.desc("first_seen_at"), "id")
 
 
@@ -55,6 +57,7 @@ def page(df: DataFrame, order: list[Column], frm: int, to: int) -> DataFrame:
 
 
 def browse_postings(jobs: DataFrame, companies: DataFrame, q: str | None = None, source: str | None = None, active: bool = True, remote: str | None = None, relevance: str | None = None, comp: bool = False, page_number: int = 1, size: int = 50) -> DataFrame:
+    """One page of postings with the total: a part of the title, source, place of work, relevance (true, false, null), pay."""
     rows = jobs.join(_named(companies), "company_id")
     if q:
         rows = rows.where(F.col("title").ilike(f"%{q}%"))
@@ -73,6 +76,7 @@ def browse_postings(jobs: DataFrame, companies: DataFrame, q: str | None = None,
 
 
 def browse_companies(companies: DataFrame, q: str | None = None, source: str | None = None, state: str | None = None, page_number: int = 1, size: int = 50) -> DataFrame:
+    """One page of companies with the total: a part of the slug, source, state (enabled, disabled, errored); most errors first."""
     rows = companies
     if q:
         rows = rows.where(F.col("slug").ilike(f"%{q}%"))
@@ -84,24 +88,27 @@ def browse_companies(companies: DataFrame, q: str | None = None, source: str | N
     return page(rows.select("id", "ats", "slug", "enabled", "consecutive_errors"), [F.desc("consecutive_errors"), F.col("slug"), F.col("id")], first, first + size - 1)
 
 
-def browse_probes(probes: DataFrame, run_id: str, mode: str = "all", size: int = 50) -> DataFrame:
-    """Facts of one run: all, failed, blocked (403 and 429), or slowest first with unknown latency last."""
+def browse_probes(probes: DataFrame, run_id: str, mode: str = "all", page_number: int = 1, size: int = 50) -> DataFrame:
+    """One page of a run's facts with the total: all, failed, blocked (403 and 429), or slowest first with unknown latency last."""
     rows = probes.where(F.col("run_id") == run_id)
     if mode == "failed":
         rows = rows.where("NOT schema_ok")
     if mode == "blocked":
         rows = rows.where(F.col("http_status").isin(403, 429))
     order = [F.desc_nulls_last("latency_ms"), F.col("id")] if mode == "slowest" else [F.desc("created_at"), F.col("id")]
-    return rows.select("id", "company_id", "http_status", "latency_ms", "created_at").orderBy(*order).limit(size)
+    first = (page_number - 1) * size
+    return page(rows.select("id", "company_id", "http_status", "latency_ms", "created_at"), order, first, first + size - 1)
 
 
 def browse_scans(runs: DataFrame, status: str | None = None, page_number: int = 1, size: int = 30) -> DataFrame:
+    """One page of runs with the total, newest first."""
     rows = runs.where(F.col("status") == status) if status else runs
     first = (page_number - 1) * size
     return page(rows.select("id", "started_at", "status"), [F.desc("started_at"), F.col("id")], first, first + size - 1)
 
 
 def title_search(jobs: DataFrame, companies: DataFrame, q: str, limit: int = 50) -> DataFrame:
+    """Newest open postings with a text in their title, in any case."""
     return active_postings(jobs, companies).where(F.col("title").ilike(f"%{q}%")).select("id", "title", "slug", "first_seen_at").orderBy(F.desc("first_seen_at"), "id").limit(limit)
 
 
@@ -119,34 +126,81 @@ def candidate_backlog(pool: DataFrame, in_use: DataFrame, budgets: dict[str, int
 
 
 def failing_companies(companies: DataFrame, min_errors: int = 3) -> DataFrame:
+    """Companies with so many errors in a row, most first; unknown counts are none."""
     return companies.where(F.col("consecutive_errors") >= min_errors).select("id", "slug", "consecutive_errors").orderBy(F.desc("consecutive_errors"), "slug")
 
 
 def disabled_companies(companies: DataFrame) -> DataFrame:
+    """Companies that are off, the newest error first, unknown times last."""
     return companies.where("NOT enabled").select("id", "slug", "last_error_at").orderBy(F.desc_nulls_last("last_error_at"), "slug")
 
 
-#: How a query names a country, and what a location may say for it.
-COUNTRY_NAMES = {
-    "united states": ["united states", "usa", "us"],
-    "united kingdom": ["united kingdom", "uk", "england"],
+#: States with their short names, and what a location may say for a country.
+STATES = {
+    "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "florida": "fl", "georgia": "ga", "hawaii": "hi", "idaho": "id",
+    "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me", "maryland": "md", "massachusetts": "ma", "michigan": "mi", "minnesota": "mn", "mississippi": "ms",
+    "missouri": "mo", "montana": "mt", "nebraska": "ne", "nevada": "nv", "new hampshire": "nh", "new jersey": "nj", "new mexico": "nm", "new york": "ny", "north carolina": "nc", "north dakota": "nd", "ohio": "oh", "oklahoma": "ok",
+    "oregon": "or", "pennsylvania": "pa", "rhode island": "ri", "south carolina": "sc", "south dakota": "sd", "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va", "washington": "wa",
+    "west virginia": "wv", "wisconsin": "wi", "wyoming": "wy", "district of columbia": "dc", "washington dc": "dc",
+}
+COUNTRIES = {
+    "united states": ["united states", "united states of america", "usa", "u.s.a.", "u.s.", "us", "america", "stateside"],
+    "united kingdom": ["united kingdom", "uk", "u.k.", "great britain", "britain", "england", "scotland", "wales", "northern ireland"],
+    "canada": ["canada"],
     "germany": ["germany", "deutschland"],
+    "india": ["india"],
+    "ireland": ["ireland"],
     "france": ["france"],
+    "spain": ["spain"],
+    "portugal": ["portugal"],
+    "netherlands": ["netherlands", "the netherlands", "holland"],
+    "australia": ["australia"],
 }
 
 
-def location_match(df: DataFrame, col: str, query: str) -> DataFrame:
-    """Rows whose location has one of the query's names; short names as words, long ones anywhere.
-
-    An empty query keeps all rows; an empty location matches nothing else.
-    """
+def place_names(query: str) -> list[str]:
+    """What a location may say for a query: a country's names (with the states of the US), a state's two, or itself."""
     text = query.strip().lower()
-    if not text:
+    for names in COUNTRIES.values():
+        if text in names:
+            return names + [x for pair in STATES.items() for x in pair] if "usa" in names else names
+    if text in STATES:
+        return [text, STATES[text]]
+    long = [name for name, short in STATES.items() if short == text]
+    return [long[-1], text] if long else [text]
+
+
+def _says(location: Column, name: str) -> Column:
+    """Short names and those with a full stop must stand by themselves, others may be anywhere."""
+    if len(name) <= 3 or "." in name:
+        return location.rlike(rf"(^|[^a-z])\Q{name}\E([^a-z]|$)")
+    return F.contains(location, F.lit(name))
+
+
+def location_match(df: DataFrame, col: str, query: str) -> DataFrame:
+    """Rows whose location has one of the query's names; a blank query keeps all rows, an empty location is nowhere."""
+    if not query or not query.strip():
         return df
-    names = COUNTRY_NAMES.get(text, [text])
     low = F.lower(F.coalesce(F.col(col), F.lit("")))
-    tests = [low.rlike(rf"(^|[^a-z]){name}([^a-z]|$)") if len(name) <= 3 else F.instr(low, name) > 0 for name in names]
-    met = tests[0]
-    for test in tests[1:]:
-        met = met | test
-    return df.where(met)
+    met = F.lit(False)
+    for name in place_names(query):
+        met = met | _says(low, name)
+    return df.where((low != "") & met)
+
+
+def location_matches(df: DataFrame, key: str, col: str, queries: list[str]) -> DataFrame:
+    """(query, key) for many stated queries: distinct locations meet a broadcast table of names once, and rows join these.
+
+    Each query's names are a handful (a hundred for the US), so the broadcast side grows with the stated queries only.
+    """
+    spark = df.sparkSession
+    low = df.select(F.col(key), F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_place"))
+    table = [(q, name, len(name) <= 3 or "." in name) for q in dict.fromkeys(queries) if q and q.strip() for name in place_names(q)]
+    out = spark.createDataFrame([(q,) for q in dict.fromkeys(queries) if not q or not q.strip()], "query string").crossJoin(low.select(key))
+    if not table:
+        return out
+    names = F.broadcast(spark.createDataFrame(table, "query string, name string, alone boolean"))
+    places = low.select("_place").where("_place != ''").distinct()
+    alone = F.rlike(F.col("_place"), F.concat(F.lit("(^|[^a-z])\\Q"), F.col("name"), F.lit("\\E([^a-z]|$)")))
+    met = places.join(names, F.when(F.col("alone"), alone).otherwise(F.contains(F.col("_place"), F.col("name")))).select("query", "_place").distinct()
+    return out.unionByName(low.join(met, "_place").select("query", key))

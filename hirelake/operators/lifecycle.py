@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import instant
@@ -11,12 +11,19 @@ KEYS = ["company_id", "external_id"]
 
 
 def lifecycle_merge(jobs: DataFrame, listing: DataFrame, as_of: str) -> DataFrame:
-    """Applies a listing: new rows first and last seen now, seen rows open and last seen now, others as they are."""
+    """Applies a listing: new rows first and last seen now, seen rows open and last seen now, others as they are.
+
+    All columns of jobs stay. Those that the listing has too take its values where it has one; those that it lacks are
+    null in new rows. A row that the listing repeats counts once, that of greatest values.
+    """
     now = instant(as_of)
-    new = listing.select(*KEYS, F.col("title").alias("_title"), F.lit(True).alias("_in")).dropDuplicates(KEYS)
+    fields = [c for c in listing.columns if c in jobs.columns and c not in (*KEYS, "first_seen_at", "last_seen_at", "closed_at")]
+    new = listing.groupBy(*KEYS).agg(F.max(F.struct(F.lit(True).alias("in"), *fields)).alias("_new"))
     both = jobs.join(new, KEYS, "full_outer")
-    seen = F.coalesce("_in", F.lit(False))
-    return both.select(*KEYS, F.coalesce("_title", "title").alias("title"), F.coalesce("first_seen_at", now).alias("first_seen_at"), F.when(seen, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"), F.when(seen, None).otherwise(F.col("closed_at")).alias("closed_at"))
+    seen = F.coalesce("_new.in", F.lit(False))
+    put = {"first_seen_at": F.coalesce("first_seen_at", now), "last_seen_at": F.when(seen, now).otherwise(F.col("last_seen_at")), "closed_at": F.when(seen, None).otherwise(F.col("closed_at"))}
+    put |= {c: F.coalesce(F.col("_new")[c], F.col(c)) for c in fields}
+    return both.select(*[put.get(c, F.col(c)).alias(c) for c in jobs.columns])
 
 
 def close_unseen(jobs: DataFrame, ok_companies: DataFrame, run_start: str) -> DataFrame:
@@ -41,9 +48,21 @@ def lifecycle_events(before: DataFrame, after: DataFrame, as_of: str) -> DataFra
 
 
 def run_totals(events: DataFrame) -> DataFrame:
+    """How many rows had each event."""
     return events.groupBy("event").agg(F.count("*").alias("n"))
 
 
+def run_outcomes(probes: DataFrame) -> DataFrame:
+    """Companies probed in each run, and of them those ok, in error, and (of those ok) whose write failed.
+
+    A company counts once a run, by its last probe (time, then id). A failed write is told by the error's beginning.
+    """
+    last = probes.groupBy("run_id", "company_id").agg(F.max_by(F.struct("schema_ok", "error"), F.struct("created_at", "id")).alias("p"))
+    failed = F.coalesce(F.col("p.error").startswith("db_write:"), F.lit(False))
+    good = F.coalesce("p.schema_ok", F.lit(False))
+    return last.groupBy("run_id").agg(F.count("*").alias("probed"), F.count_if(good & ~failed).alias("ok"), F.count_if(~good & ~failed).alias("error"), F.count_if(failed).alias("write_failed"))
+
+
 def changed_descriptions(snapshot: DataFrame, listing: DataFrame) -> DataFrame:
     """Listed rows whose text hash differs from the snapshot's; no hash means no change, an unknown row is a change."""
     old = snapshot.select(*KEYS, F.col("description_hash").alias("_old"))
@@ -59,30 +78,58 @@ def invalidate_derived(old: DataFrame, new: DataFrame, derived: list[str]) -> Da
 
 
 def source_state_update(companies: DataFrame, probes: DataFrame, threshold: int = 5) -> DataFrame:
-    """A failed probe adds an error, and the threshold disables; a good one resets errors but doesn't enable again."""
-    last = probes.groupBy("company_id").agg(F.max_by("schema_ok", F.struct("created_at", "id")).alias("good"))
+    """A failed probe adds an error, and the threshold disables; a good one resets errors but doesn't enable again.
+
+    A company's last probe decides (time, then id); one without probes stays as it is. last_error is what the failed
+    probe says, or else its status; its time, or that of the success, is noted. Columns that companies lack are null.
+    """
+    fields = F.struct("schema_ok", "created_at", F.coalesce("error", F.concat(F.lit("HTTP "), F.col("http_status").cast("string")), F.lit("unknown")).alias("said"))
+    last = probes.groupBy("company_id").agg(F.max_by(fields, F.struct("created_at", "id")).alias("p"))
     rows = companies.join(last.withColumnRenamed("company_id", "id"), "id", "left")
-    errors = F.when(F.col("good").isNull(), F.col("consecutive_errors")).when(F.col("good"), 0).otherwise(F.col("consecutive_errors") + 1)
-    return rows.select("id", "slug", errors.cast("int").alias("consecutive_errors"), (F.col("enabled") & ~(F.coalesce(~F.col("good"), F.lit(False)) & (errors >= threshold))).alias("enabled"))
+    old = lambda c, t: F.col(c) if c in companies.columns else F.lit(None).cast(t)
+    good, known = F.coalesce("p.schema_ok", F.lit(False)), F.col("p").isNotNull()
+    bad = known & ~good
+    errors = F.when(bad, F.col("consecutive_errors") + 1).when(known, 0).otherwise(F.col("consecutive_errors"))
+    return rows.select(
+        "id", "slug", errors.cast("int").alias("consecutive_errors"), (F.col("enabled") & ~(bad & (errors >= threshold))).alias("enabled"),
+        F.when(bad, F.col("p.said")).otherwise(old("last_error", "string")).alias("last_error"), F.when(bad, F.col("p.created_at")).otherwise(old("last_error_at", "timestamp_ntz")).alias("last_error_at"),
+        F.when(known & good, F.col("p.created_at")).otherwise(old("last_success_at", "timestamp_ntz")).alias("last_success_at"),
+    )
 
 
 def reap_stale_runs(runs: DataFrame, as_of: str, minutes: int = 45) -> DataFrame:
+    """Runs that have been running for longer than some minutes are failed; one without a start is left alone."""
     stale = (F.col("status") == "running") & (F.col("started_at") < instant(as_of) - F.expr(f"INTERVAL {minutes} MINUTE"))
     return runs.select("id", "started_at", F.when(stale, "failed").otherwise(F.col("status")).alias("status"))
 
 
+def content_hash(body: Column) -> Column:
+    """A hash of what a payload says: of its JSON with keys in order and no blanks, or of the text where it is none."""
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(body)), body), 256)
+
+
 def raw_archive_ingest(archive: DataFrame, batch: DataFrame, as_of: str) -> DataFrame:
-    """Content-addressed archive: a known (company, content) moves its last_seen_at, a new one is added."""
+    """Content-addressed archive of payloads (company_id, body, and any others that the archive has).
+
+    A payload that says what its company's newest one says changes nothing; one known from before moves its
+    last_seen_at; a new one is added. Null bodies are left out. Of payloads that say the same the least text is kept.
+    """
     now = instant(as_of)
-    new = batch.select("company_id", F.sha2("body", 256).alias("content_hash"), "body").dropDuplicates(["company_id", "content_hash"]).withColumnRenamed("body", "_body").withColumn("_in", F.lit(True))
+    extra = [c for c in batch.columns if c in archive.columns and c not in ("company_id", "content_hash", "body", "created_at", "last_seen_at")]
+    new = batch.where("body IS NOT NULL").withColumn("content_hash", content_hash(F.col("body"))).groupBy("company_id", "content_hash").agg(F.min(F.struct("body", *extra)).alias("_new"))
+    newest = archive.groupBy("company_id").agg(F.max_by("content_hash", F.struct("last_seen_at", "created_at", "content_hash")).alias("content_hash"))
+    new = new.join(newest, ["company_id", "content_hash"], "left_anti")
     both = archive.join(new, ["company_id", "content_hash"], "full_outer")
-    return both.select("company_id", "content_hash", F.coalesce("body", "_body").alias("body"), F.coalesce("created_at", now).alias("created_at"), F.when(F.col("_in"), now).otherwise(F.col("last_seen_at")).alias("last_seen_at"))
+    put = {"created_at": F.coalesce("created_at", now), "last_seen_at": F.when(F.col("_new").isNotNull(), now).otherwise(F.col("last_seen_at"))}
+    put |= {c: F.coalesce(F.col(c), F.col("_new")[c]) for c in ("body", *extra)}
+    return both.select(*[put.get(c, F.col(c)).alias(c) for c in archive.columns])
 
 
 def archive_replay(archive: DataFrame, as_of: str) -> DataFrame:
-    """Each company's latest payload as of an instant."""
+    """Each company's payload as of an instant: the newest of those archived by then, with all its columns."""
     known = archive.where(F.col("created_at") <= instant(as_of))
-    return known.groupBy("company_id").agg(F.max_by("content_hash", F.struct("created_at", "content_hash")).alias("content_hash"), F.max_by("body", F.struct("created_at", "content_hash")).alias("body"))
+    rest = [c for c in archive.columns if c != "company_id"]
+    return known.groupBy("company_id").agg(F.max_by(F.struct(*rest), F.struct("created_at", "content_hash")).alias("_a")).select("company_id", "_a.*")
 
 
 def constraint_check(companies: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -102,9 +149,16 @@ def constraint_check(companies: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def load_source_list(companies: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Upserts seeds on (ats, slug); a known row keeps ``enabled``, a new one is enabled."""
-    new = seeds.select("ats", "slug").distinct()
-    return companies.select("ats", "slug", "enabled").join(new, ["ats", "slug"], "full_outer").select("ats", "slug", F.coalesce("enabled", F.lit(True)).alias("enabled"))
+    """Upserts seeds on (ats, slug): a known row keeps ``enabled`` and takes the seed's addresses, a new one is enabled.
+
+    Seeds without an ats or slug are left out, and of repeated ones the greatest addresses count. Without the columns
+    careers_url and probe_url in seeds, only the key is written.
+    """
+    urls = [c for c in ("careers_url", "probe_url") if c in seeds.columns]
+    new = seeds.where("ats IS NOT NULL AND slug IS NOT NULL").groupBy("ats", "slug").agg(*[F.max(c).alias(f"_{c}") for c in urls], F.count("*").alias("_n")).drop("_n")
+    both = companies.select("ats", "slug", "enabled", *[c for c in urls if c in companies.columns]).join(new, ["ats", "slug"], "full_outer")
+    kept = [F.coalesce(f"_{c}", c).alias(c) if c in companies.columns else F.col(f"_{c}").alias(c) for c in urls]
+    return both.select("ats", "slug", F.coalesce("enabled", F.lit(True)).alias("enabled"), *kept)
 
 
 def pointer_recovery(candidates: DataFrame, owned: DataFrame) -> DataFrame:

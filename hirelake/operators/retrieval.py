@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .blocks import BLOCK, Best, ids, unit_vectors
 from .filters import location_match
 
 
@@ -16,7 +21,7 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def cosine(a: str, b: str) -> Column:
-    return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 4)
+    return F.round(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), 4)
 
 
 def _ranked(df: DataFrame, by: str, score: str, k: int, item: str = "item") -> DataFrame:
@@ -24,56 +29,143 @@ def _ranked(df: DataFrame, by: str, score: str, k: int, item: str = "item") -> D
     return df.withColumn("rank", rn).where(F.col("rank") <= k)
 
 
-#: Queries are a broadcast side; more than about this many rows are searched for in blocks, each broadcast by itself.
+#: Queries are a broadcast side; more than about this many are searched for in blocks, each broadcast by itself.
 MOST_QUERIES = 10_000
+#: Times of campaigns' last runs that one matching goes through.
+MOST_WATERMARKS = 200
+#: Numbers in the broadcast matrix of query terms by queries.
+MOST_TERM_CELLS = 16_000_000
 
 
-def _in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """search(queries), in blocks of some ``MOST_QUERIES`` rows by a hash of the query, so that a query stays whole."""
-    blocks = -(-queries.count() // MOST_QUERIES)
+def _in_blocks(queries: DataFrame, blocks: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """search(queries), in blocks by a hash of the query, so that a query stays whole."""
     if blocks <= 1:
         return search(queries)
     block = F.pmod(F.xxhash64("query"), F.lit(blocks))
     return reduce(DataFrame.unionByName, [search(queries.where(block == i)) for i in range(blocks)])
 
 
+def _schema(queries: DataFrame, items: DataFrame, *scores: str) -> T.StructType:
+    return T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("item", items.schema["item"].dataType), *(T.StructField(s, T.DoubleType()) for s in scores)])
+
+
 def vector_topk_many(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, item, similarity (4 digits), rank: the k nearest items of each query by cosine, exactly.
 
-    Every item meets every stated query once; each partition keeps its own k best of a query before the shuffle.
+    Every item meets every stated query once, as blocks of a matrix product; vectors are brought to length one once, and
+    each task keeps its k best of a query, so that k rows a task and query are shuffled. Ties go to the lesser item.
+    Vectors that are null, zero, hold a null or have another width than the queries' have no similarity to anything.
+    An item or query that comes twice is found twice. Other columns are ignored.
     """
-    return _in_blocks(queries, lambda block: _topk(items, block, k))
+    return _in_blocks(queries, -(-queries.count() // MOST_QUERIES), lambda block: _topk(items, block, k))
 
 
 def _topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    met = items.select("item", "vector").crossJoin(F.broadcast(queries.select("query", F.col("vector").alias("q"))))
-    scored = met.select("query", "item", cosine("vector", "q").alias("similarity"))
-    best = scored.groupBy("query", F.pmod(F.xxhash64("item"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "item"))), 1, k).alias("b"))
-    return _ranked(best.select("query", F.explode("b").alias("b")).select("query", "b.item", (-F.col("b.d")).alias("similarity")), "query", "similarity", k)
+    table = queries.select("query", "vector").where("query IS NOT NULL").toArrow()
+    at, matrix = unit_vectors(table.column("vector"))
+    shared = items.sparkSession.sparkContext.broadcast((ids(table.column("query").combine_chunks())[at], matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        best = Best(len(matrix), k, 4)
+        rows = max(1, BLOCK // max(len(matrix), 1))
+        for batch in batches:
+            for begin in range(0, batch.num_rows if len(matrix) else 0, rows):
+                part = batch.slice(begin, rows)
+                at, vectors = unit_vectors(part.column("vector"), matrix.shape[1])
+                best.add(ids(part.column("item"))[at], vectors @ matrix.T)
+        out = best.batch(names, ["similarity"])
+        if out is not None:
+            yield out
+
+    found = items.select("item", "vector").where("item IS NOT NULL").mapInArrow(run, _schema(queries, items, "similarity"))
+    return _ranked(found.withColumn("similarity", F.round("similarity", 4)), "query", "similarity", k)
 
 
 def vector_topk(items: DataFrame, vector: list[float], k: int) -> DataFrame:
+    """item, similarity of the k items nearest to one vector; a zero or null vector is near to nothing."""
     q = F.array(*[F.lit(float(x)) for x in vector])
-    return items.withColumn("_q", q).select("item", cosine("vector", "_q").alias("similarity")).orderBy(F.desc("similarity"), "item").limit(k)
+    return items.withColumn("_q", q).select("item", cosine("vector", "_q").alias("similarity")).where("similarity IS NOT NULL").orderBy(F.desc("similarity"), "item").limit(k)
+
+
+#: What parts words.
+WORDS = r"[^a-z0-9À-ɏ]+"
 
 
 def tokens(col: str) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^a-z0-9À-ɏ]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), WORDS), lambda t: t != "")
 
 
 def lexical_search(docs: DataFrame, queries: DataFrame, k: int, mode: str = "all", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over (item, text) for (query, text): rank, score (6 digits). mode "all" asks for every query term."""
-    terms = queries.select("query", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    wanted = terms.groupBy("query").agg(F.count("*").alias("n_terms"))
-    split = docs.select("item", tokens("text").alias("t"))
-    size = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    postings = split.select("item", F.size("t").alias("len"), F.explode("t").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("item", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = postings.join(df, "term").crossJoin(F.broadcast(size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    hits = weighted.select("item", "term", score.alias("s")).join(terms, "term").groupBy("query", "item").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("met")).join(wanted, "query")
-    return _ranked((hits.where("met = n_terms") if mode == "all" else hits).select("query", "item", "score"), "query", "score", k)
+    """BM25 over (item, text) for (query, text): the k best of each query with rank and score (6 digits).
+
+    mode "all" asks for every query term, "any" for one. Texts are whole; null ones have no terms. Lengths and document
+    frequencies are counted over all documents, for the terms of the stated queries. Documents are then weighed and
+    multiplied with the broadcast matrix of query terms, and each task keeps its k best of a query, so that a common word
+    meets its queries in no single task. Ties go to the lesser item; a query that comes twice counts once.
+    """
+    wanted = queries.select("query", F.explode(F.array_distinct(tokens("text"))).alias("term")).where("query IS NOT NULL").distinct()
+    size = wanted.agg(F.count("*").alias("rows"), F.count_distinct("query").alias("queries")).first()
+    blocks = int(np.ceil(np.sqrt(size["rows"] * size["queries"] / MOST_TERM_CELLS)))
+    split = docs.where("item IS NOT NULL").select("item", F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), WORDS).alias("t"))
+    return _in_blocks(wanted, blocks, lambda block: _lexical(split, block, k, mode, k1, b))
+
+
+def _frequencies(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, ...]:
+    """Lengths of the documents, and document, term and count of each query term in them."""
+    words = batch.column("t")
+    doc = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+    flat = words.flatten()
+    lengths = np.bincount(doc[pc.not_equal(flat, "").to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+    term = pc.index_in(flat, value_set=terms).fill_null(-1).to_numpy()
+    met, tf = np.unique(doc[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
+    return lengths, met // max(len(terms), 1), met % max(len(terms), 1), tf
+
+
+def _lexical(split: DataFrame, wanted: DataFrame, k: int, mode: str, k1: float, b: float) -> DataFrame:
+    table = wanted.toArrow()
+    names, query = np.unique(ids(table.column("query").combine_chunks()), return_inverse=True)
+    vocabulary = table.column("term").combine_chunks().dictionary_encode()
+    terms = vocabulary.dictionary
+    matrix = np.zeros((len(terms), len(names)))
+    matrix[vocabulary.indices.to_numpy(), query] = 1
+    sc = split.sparkSession.sparkContext
+    known = sc.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, words = np.zeros(len(known.value), np.int64), 0, 0
+        for batch in batches:
+            lengths, _, term, _ = _frequencies(batch, known.value)
+            df += np.bincount(term, minlength=len(df))
+            docs, words = docs + batch.num_rows, words + int(lengths.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(df))), pa.array(np.concatenate([[docs, words], df]))], names=["term", "n"])
+
+    n = np.zeros(len(terms) + 2)
+    for row in split.select("t").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        n[row.term + 2] = row.n
+    idf = np.log(1 + (n[0] - n[2:] + 0.5) / (n[2:] + 0.5))
+    shared = sc.broadcast((names, matrix, matrix.sum(0), idf, n[1] / max(n[0], 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, asked, idf, mean = shared.value
+        best = Best(len(names), k, 6)
+        rows = max(1, BLOCK // max(len(idf), len(names), 1))
+        for batch in batches:
+            for begin in range(0, batch.num_rows if len(names) else 0, rows):
+                part = batch.slice(begin, rows)
+                lengths, doc, term, tf = _frequencies(part, known.value)
+                weights = np.zeros((part.num_rows, len(idf)))
+                weights[doc, term] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
+                scores = weights @ matrix
+                if mode == "all":
+                    scores[(weights > 0) @ matrix < asked] = 0
+                best.add(ids(part.column("item")), np.where(scores > 0, scores, np.nan))
+        out = best.batch(names, ["score"])
+        if out is not None:
+            yield out
+
+    found = split.mapInArrow(run, _schema(wanted, split, "score"))
+    return _ranked(found.withColumn("score", F.round("score", 6)), "query", "score", k)
 
 
 def rrf_fuse(rankings: DataFrame, k: int = 60) -> DataFrame:
@@ -81,9 +173,14 @@ def rrf_fuse(rankings: DataFrame, k: int = 60) -> DataFrame:
     return rankings.groupBy("query", "item").agg(F.round(F.sum(1 / (k + F.col("rank"))), 8).alias("rrf"))
 
 
+def _pool(limit: int) -> int:
+    """How many of each arm are fused."""
+    return min(max(2 * limit, 100), 400)
+
+
 def hybrid_rrf(dense: DataFrame, lexical: DataFrame, limit: int, k: int = 60) -> DataFrame:
     """Fuses two arms by reciprocal rank, a missing arm counting nothing; both ranks are returned."""
-    pool = min(max(2 * limit, 100), 400)
+    pool = _pool(limit)
     a = dense.where(F.col("rank") <= pool).select("query", "item", F.col("rank").alias("dense_rank"))
     b = lexical.where(F.col("rank") <= pool).select("query", "item", F.col("rank").alias("lexical_rank"))
     part = lambda c: F.coalesce(1 / (k + F.col(c)), F.lit(0.0))
@@ -91,7 +188,7 @@ def hybrid_rrf(dense: DataFrame, lexical: DataFrame, limit: int, k: int = 60) ->
     return _ranked(both, "query", "rrf", limit)
 
 
-def filtered_search(jobs: DataFrame, families: list[str] | None = None, seniority: list[str] | None = None, remote: bool = False, comp_floor: float | None = None, since: str | None = None, target_only: bool = True) -> DataFrame:
+def hard_filters(jobs: DataFrame, families: list[str] | None = None, seniority: list[str] | None = None, remote: bool = False, comp_floor: float | None = None, since: str | None = None, target_only: bool = True) -> DataFrame:
     """The hard filters of a search over open postings; a floor on pay leaves out unknown pay, since is strict."""
     rows = jobs.where("closed_at IS NULL")
     if target_only:
@@ -109,6 +206,23 @@ def filtered_search(jobs: DataFrame, families: list[str] | None = None, seniorit
     return rows
 
 
+def filtered_search(jobs: DataFrame, queries: DataFrame, k: int, **filters) -> DataFrame:
+    """query, item, similarity, rank: the k nearest of the postings (item, vector and filtered columns) that pass.
+
+    Filters go first, so the search is exact however few rows pass.
+    """
+    return vector_topk_many(hard_filters(jobs, **filters), queries, k)
+
+
+def hybrid_search(base: DataFrame, queries: DataFrame, limit: int, mode: str = "all", k: int = 60) -> DataFrame:
+    """Both arms over one base (item, vector, text; filtered before) for queries (query, vector, text), fused.
+
+    An item or query without a vector is in the lexical arm only, one without a text in the other only.
+    """
+    pool = _pool(limit)
+    return hybrid_rrf(vector_topk_many(base, queries, pool), lexical_search(base, queries, pool, mode), limit, k)
+
+
 def skill_overlap(query_skills: DataFrame, doc_skills: DataFrame) -> DataFrame:
     """Share of each query's skills that a document lists."""
     size = query_skills.groupBy("query").agg(F.count_distinct("skill").alias("n"))
@@ -116,6 +230,7 @@ def skill_overlap(query_skills: DataFrame, doc_skills: DataFrame) -> DataFrame:
 
 
 def minmax_normalize(scores: DataFrame, by: str, score: str) -> DataFrame:
+    """``norm``: each score's place between the least and the greatest of its group; 0 where all are equal, null for null."""
     w = Window.partitionBy(by)
     span = F.max(score).over(w) - F.min(score).over(w)
     return scores.withColumn("norm", F.round((F.col(score) - F.min(score).over(w)) / F.when(span == 0, 1.0).otherwise(span), 6))
@@ -134,7 +249,7 @@ def feature_fusion(scored: DataFrame, weights: tuple[float, float, float] = (0.5
     """Weighted sum of normalised cosine and skills, and of seniority closeness (columns cos, skills, closeness)."""
     a = minmax_normalize(scored, "query", "cos").withColumnRenamed("norm", "_cos")
     b = minmax_normalize(a, "query", "skills").withColumnRenamed("norm", "_skills")
-    return b.select("query", "item", F.round(weights[0] * F.col("_cos") + weights[1] * F.col("_skills") + weights[2] * F.col("closeness"), 6).alias("score"))
+    return b.select("query", "item", F.round(weights[0] * F.col("_cos") + weights[1] * F.col("_skills") + weights[2] * F.col("closeness"), 8).alias("score"))
 
 
 def rerank_by_score(pool: DataFrame, scores: DataFrame, top_k: int) -> DataFrame:
@@ -145,10 +260,12 @@ def rerank_by_score(pool: DataFrame, scores: DataFrame, top_k: int) -> DataFrame
 
 
 def pool_union(rankings: DataFrame, k: int) -> DataFrame:
+    """The different (query, item) among the first k of any ranking."""
     return rankings.where(F.col("rank") <= k).select("query", "item").distinct()
 
 
 def overlap_at_k(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Share of k that two rankings have in common, for each query with any."""
     left, right = (x.where(F.col("rank") <= k).select("query", "item") for x in (a, b))
     return left.join(right, ["query", "item"]).groupBy("query").agg((F.count("*") / k).alias("overlap"))
 
@@ -159,6 +276,29 @@ def incremental_match(found: DataFrame, matches: DataFrame) -> DataFrame:
     return new.withColumn("rank", F.row_number().over(Window.partitionBy("campaign").orderBy(F.desc("score"), "job")))
 
 
+def campaign_match(campaigns: DataFrame, jobs: DataFrame, matches: DataFrame, k: int, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """New matches (campaign, job, score, rank) of all active campaigns, and the campaigns with their watermark moved.
+
+    campaigns: campaign, status, last_run_at, vector. jobs: item, vector, first_seen_at and the filtered columns. Jobs
+    are open, not known noise, and first seen after the campaign's last run (all, before its first). Each campaign finds
+    its k nearest of these; a rank is the place among what it found, and pairs in ``matches`` are not given again.
+    Campaigns that last ran at one time are searched together. One without a vector finds nothing and keeps its
+    watermark, as inactive ones do.
+    """
+    ready = (F.col("status") == "active") & F.col("vector").isNotNull()
+    active = campaigns.where(ready).select(F.col("campaign").alias("query"), "vector", "last_run_at")
+    runs = [r.last_run_at for r in active.select("last_run_at").distinct().orderBy("last_run_at").limit(MOST_WATERMARKS + 1).collect()]
+    if len(runs) > MOST_WATERMARKS:
+        raise ValueError(f"more than {MOST_WATERMARKS} times of last runs; run campaigns in cycles")
+    base = hard_filters(jobs)
+    parts = [vector_topk_many(base if at is None else base.where(F.col("first_seen_at") > F.lit(str(at)).cast("timestamp_ntz")), active.where(F.col("last_run_at").eqNullSafe(F.lit(None if at is None else str(at)).cast("timestamp_ntz"))), k) for at in runs]
+    moved = campaigns.withColumn("last_run_at", F.when(ready, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("last_run_at")))
+    if not parts:
+        return jobs.sparkSession.createDataFrame([], "campaign long, job long, score double, rank int"), moved
+    found = reduce(DataFrame.unionByName, parts).select(F.col("query").alias("campaign"), F.col("item").alias("job"), F.col("similarity").alias("score"), "rank")
+    return found.join(matches.select("campaign", "job"), ["campaign", "job"], "left_anti"), moved
+
+
 def pointwise_pairs(pool: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query, item, text): query and document text composed for an outer judge."""
     q, d = queries.select("query", F.col("text").alias("qt")), docs.select("item", F.col("text").alias("dt"))
@@ -172,19 +312,47 @@ FIELD_WEIGHTS = {"required skills": 3.0, "role": 2.0, "preferred skills": 1.5, "
 def field_weighted_similarity(items: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:
     """query, item, weighted, plain, rank: means of the cosines of labels that both have, by weight and unweighted.
 
-    Both sides are long tables (item or query, label, vector). Other labels weigh 0.5. The stated queries are
-    broadcast, in blocks, and meet items on the label; the k best of a query come back.
+    Both sides are long tables (item or query, label, vector). Other labels weigh 0.5. Items are gathered by item; the
+    stated queries are broadcast in blocks, and the product of each label's vectors adds to the sums of all pairs. Each
+    task keeps its k best. A label that comes twice counts twice; unusable vectors count as absent.
     """
-    return _in_blocks(queries, lambda block: _weighted(items, block, k, weights))
-
-
-def _weighted(items: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None) -> DataFrame:
-    weight = F.lit(0.5)
-    for label, value in (FIELD_WEIGHTS if weights is None else weights).items():
-        weight = F.when(F.col("label") == label, value).otherwise(weight)
-    met = items.join(F.broadcast(queries.withColumnRenamed("vector", "q")), "label").select("query", "item", weight.alias("w"), (dot("vector", "q") / F.sqrt(dot("vector", "vector") * dot("q", "q"))).alias("s"))
-    means = met.groupBy("query", "item").agg(F.round(F.sum(F.col("w") * F.col("s")) / F.sum("w"), 4).alias("weighted"), F.round(F.avg("s"), 4).alias("plain"))
-    return _ranked(means, "query", "weighted", k)
+    return _in_blocks(queries, -(-queries.count() // MOST_QUERIES), lambda block: _weighted(items, block, k, FIELD_WEIGHTS if weights is None else weights))
+
+
+def _weighted(items: DataFrame, queries: DataFrame, k: int, weights: dict[str, float]) -> DataFrame:
+    table = queries.select("query", "label", "vector").where("query IS NOT NULL AND label IS NOT NULL").toArrow()
+    at, matrix = unit_vectors(table.column("vector"))
+    names, query = np.unique(ids(table.column("query").combine_chunks())[at], return_inverse=True)
+    shared = items.sparkSession.sparkContext.broadcast((names, query, ids(table.column("label").combine_chunks())[at], matrix))
+    fields = items.where("item IS NOT NULL AND label IS NOT NULL").groupBy("item").agg(F.collect_list(F.struct("label", "vector")).alias("fields"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, query, query_label, matrix = shared.value
+        best = Best(len(names), k, 4)
+        rows = max(1, BLOCK // max(len(names), 1))
+        for batch in batches:
+            for begin in range(0, batch.num_rows if len(names) else 0, rows):
+                part = batch.slice(begin, rows)
+                own = part.column("fields")
+                item = np.repeat(np.arange(part.num_rows), own.value_lengths().to_numpy(zero_copy_only=False))
+                at, vectors = unit_vectors(own.flatten().field("vector"), matrix.shape[1])
+                item, label = item[at], ids(own.flatten().field("label"))[at]
+                sums, weight, plain, n = (np.zeros((part.num_rows, len(names))) for _ in range(4))
+                for x in np.unique(query_label):
+                    i, j = np.flatnonzero(label == x), np.flatnonzero(query_label == x)
+                    cell = (item[i][:, None], query[j][None, :])
+                    cosines = vectors[i] @ matrix[j].T
+                    w = weights.get(str(x), 0.5)
+                    for total, value in ((sums, w * cosines), (weight, np.full_like(cosines, w)), (plain, cosines), (n, np.ones_like(cosines))):
+                        np.add.at(total, cell, value)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    best.add(ids(part.column("item")), sums / weight, plain / n)
+        out = best.batch(names, ["weighted", "plain"])
+        if out is not None:
+            yield out
+
+    found = fields.mapInArrow(run, _schema(queries, items, "weighted", "plain"))
+    return _ranked(found.withColumn("weighted", F.round("weighted", 4)).withColumn("plain", F.round("plain", 4)), "query", "weighted", k)
 
 
 def location_filtered_match(jobs: DataFrame, vector: list[float], scores: DataFrame, location: str = "", remote: str | None = None, pool: int = 250, keep: int = 40, k: int = 15) -> DataFrame:

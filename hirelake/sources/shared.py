@@ -10,9 +10,24 @@ from pyspark.sql import SparkSession
 _own: list[str] = []
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Unset, it is an error on a cluster; a local session (tests) gets a temporary one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known and not _own:
+    if known:
+        return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-"))
-    return f"{(known or _own[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return _own[0]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path with all it holds; one that isn't there is no error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

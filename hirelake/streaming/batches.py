@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.shared import delete
+
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
@@ -26,6 +28,8 @@ def start_carrying(stream: DataFrame, step: Step, carried: str, path: str, **tri
         after.write.mode("overwrite").parquet(f"{path}/state/batch={n}")
         out.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
         batch.unpersist()
+        # A repeated batch reads what the one before it carried; older versions are of no more use.
+        delete(spark, f"{path}/state/batch={n - 2}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
@@ -35,6 +39,7 @@ def start_latest(stream: DataFrame, path: str, **trigger) -> StreamingQuery:
 
     def each(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        delete(batch.sparkSession, f"{path}/out/batch={n - 2}")
 
     return stream.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 

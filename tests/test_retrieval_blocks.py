@@ -1,16 +1,76 @@
-"""More queries than one broadcast side holds are searched for in blocks."""
+"""Searches against plain Python: several blocks of queries, unusable vectors, ties, nulls, repeated and empty input."""
 
+import math
 import random
 
-from hirelake.operators import retrieval
+import pytest
 
+from hirelake.operators import blocks, retrieval
 
-def test_many_queries_are_searched_in_blocks(spark, monkeypatch):
+
+def cosine(a, b):
+    return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+
+@pytest.mark.parametrize("most", [10_000, 5])
+def test_nearest_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", most)
+    monkeypatch.setattr(blocks, "BLOCK", 40)
     rng = random.Random(1)
-    vectors = lambda n: [(i, label, [rng.random() for _ in range(4)]) for i in range(n) for label in ("role", "team")]
-    items = spark.createDataFrame(vectors(30), "item long, label string, vector array<double>")
-    queries = spark.createDataFrame(vectors(12), "query long, label string, vector array<double>")
-    runs = (lambda: retrieval.vector_topk_many(items.where("label = 'role'"), queries.where("label = 'role'"), 3), lambda: retrieval.field_weighted_similarity(items, queries, 3))
-    whole = [sorted(run().collect()) for run in runs]
-    monkeypatch.setattr(retrieval, "MOST_QUERIES", 5)
-    assert [sorted(run().collect()) for run in runs] == whole and len(whole[0]) == len(whole[1]) == 36
+    vectors = {i: [float(rng.randint(-2, 2)) for _ in range(3)] for i in range(80)}
+    odd = [(100, None), (101, []), (102, [0.0, 0.0, 0.0]), (103, [1.0, None, 2.0]), (104, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
+    items = spark.createDataFrame([*vectors.items(), *odd], "item long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([*[(i, v) for i, v in vectors.items() if i % 7 == 0], (103, None)], "query long, vector array<double>")
+    good = {i: v for i, v in vectors.items() if any(v)}
+    want = set()
+    for q, v in good.items():
+        if q % 7 == 0:
+            near = sorted((-round(cosine(v, w), 4) + 0.0, i) for i, w in good.items())[:5]
+            want |= {(q, i, -s + 0.0, k) for k, (s, i) in enumerate(near, 1)}
+    assert {tuple(r) for r in retrieval.vector_topk_many(items, queries, 5).collect()} == want
+    assert retrieval.vector_topk_many(items.where("false"), queries, 5).count() == 0
+    assert retrieval.vector_topk_many(items, queries.where("false"), 5).count() == 0
+
+
+def test_labelled_vectors_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = lambda n, key: [(i, label, [rng.random() for _ in range(4)]) for i in range(n) for label in ("role", "team", "x") if rng.random() < 0.7] + [(0, "role", None)]
+    a, b = rows(30, "item"), rows(12, "query")
+    a.append((1, "role", [0.5, 0.1, 0.2, 0.9]))  # a label that comes twice
+    got = retrieval.field_weighted_similarity(spark.createDataFrame(a, "item long, label string, vector array<double>"), spark.createDataFrame(b, "query long, label string, vector array<double>"), 100)
+    want = {}
+    for q, lq, v in b:
+        for i, li, w in a:
+            if lq == li and v and w:
+                want.setdefault((q, i), []).append(({"role": 2.0, "team": 1.0}.get(li, 0.5), cosine(v, w)))
+    rows = {(r.query, r.item): (r.weighted, r.plain) for r in got.collect()}
+    assert rows.keys() == want.keys()
+    for k, pairs in want.items():
+        assert abs(rows[k][0] - sum(w * s for w, s in pairs) / sum(w for w, _ in pairs)) < 1e-4 and abs(rows[k][1] - sum(s for _, s in pairs) / len(pairs)) < 1e-4
+
+
+@pytest.mark.parametrize("cells", [16_000_000, 20])
+@pytest.mark.parametrize("mode", ["any", "all"])
+def test_words_by_brute_force(spark, monkeypatch, cells, mode):
+    monkeypatch.setattr(retrieval, "MOST_TERM_CELLS", cells)
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("ab cd ef gh ij kl mn op".split()) for _ in range(n))
+    docs = [(i, text(rng.randint(0, 12))) for i in range(40)] + [(90, None), (91, ""), (92, "AB, ab")]
+    queries = [(i, text(3)) for i in range(8)] + [(8, None), (9, "never")]
+    split = {i: (t or "").lower().replace(",", "").split() for i, t in docs}
+    n, mean = len(docs), sum(map(len, split.values())) / len(docs)
+    want = set()
+    for q, t in queries:
+        terms = set((t or "").split())
+        hits = []
+        for i, w in split.items():
+            met = [x for x in terms if x in w]
+            if met and (mode == "any" or len(met) == len(terms)):
+                score = 0
+                for x in met:
+                    df, tf = sum(x in v for v in split.values()), w.count(x)
+                    score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                hits.append((-round(score, 6), i))
+        want |= {(q, i, -s, k) for k, (s, i) in enumerate(sorted(hits)[:4], 1)}
+    got = retrieval.lexical_search(spark.createDataFrame(docs, "item long, text string").repartition(3), spark.createDataFrame(queries, "query long, text string"), 4, mode)
+    assert {tuple(r) for r in got.collect()} == want
