@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import delete, shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset (tests), a temporary one is chosen and set."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    hadoop = spark.sparkContext._jvm.System.getProperties()
-    own = hadoop.getProperty("hirelake.shared.dir")
-    if not own:
-        own = tempfile.mkdtemp(prefix="spark-")
-        hadoop.setProperty("hirelake.shared.dir", own)
-    return own
+_made: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes on leaving what ``written`` made inside, but for the paths that the caller puts into the list it gets."""
+    before, keep = _made[:], []
+    yield keep
+    for path in _made[len(before) :]:
+        if path not in keep:
+            delete(spark, path)
+    _made[len(before) :] = keep
+
