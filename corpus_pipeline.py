@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import bpe, decontaminate, jaccard, quality, suffix
-from hirelake.llm.tables import written
+from hirelake.llm.tables import scratch, written
+from hirelake.sources.shared import delete
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Of the tables written on the way only the last stage's input is left."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep += [f.rsplit("/", 1)[0] for f in docs.inputFiles()[:1]]
+        if last:
+            delete(spark, last)
+        last = keep[0] if keep else None
     return STAGES[-1][1](spark, docs, sf_dir)
