@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .arrays import chunks, flat, grams, joined, mix, word_hashes, words
+from .arrays import flat, grams, joined, owners, word_hashes, words
 from .repeats import covered, first_of_equal, ragged
 
 SCHEMA = "doc_id long, n_words long, spans array<struct<begin:int,end:int>>, kept string"
@@ -29,19 +29,34 @@ def _levels(length: int) -> list[int]:
 def _find(length: int):
     seed = _levels(length)[0]
 
-    def find(texts: pa.Array):
+    def find(texts: pa.Array, order: np.ndarray):
         data, offs = flat(texts)
         starts, ends, woffs = words(data, offs)
         h = word_hashes(data, starts, ends)
-        seeds = grams(h, seed)
-        doc, lo, n, anchor = repeats.segments(seeds, woffs, length, seed)
-        whole = grams(h, length)
+        seeds, whole = grams(h, seed), grams(h, length)
+        owner = owners(woffs)[: len(whole)]
+        at = np.flatnonzero(np.arange(len(whole)) + length <= woffs[1:][owner])
+        alive = at[doubled(h, at, _levels(length))]
+        repeated = alive[repeats.later(whole[alive], order[owner[alive]] << 32 | alive - woffs[owner[alive]])]
+        again = np.zeros(len(h), bool)
+        again[repeated] = True
+        doc, lo, n, anchor = repeats.segments(seeds, woffs, length, seed, again)
         seg = joined(joined(whole[lo], whole[lo + n - 1]), n.astype(np.uint64))
-        return doc, lo - woffs[doc], n, seeds[anchor], seg
+        settled = owner[repeated], repeated - woffs[owner[repeated]], np.ones(len(repeated), np.int64)
+        return doc, lo - woffs[doc], n, seeds[anchor], seg, settled
 
     return find
 
 
+def _hashes(length: int):
+    def hashes(texts: pa.Array, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        data, offs = flat(texts)
+        starts, ends, woffs = words(data, offs)
+        return grams(word_hashes(data, starts, ends), length)[ragged(woffs[doc] + lo, n.astype(np.int64))]
+
+    return hashes
+
+
 def _cut(length: int):
     def cut(texts: pa.Array, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.Array:
         data, offs = flat(texts)
@@ -54,11 +69,11 @@ def _cut(length: int):
     return cut
 
 
-def doubled(h: np.ndarray, ends: np.ndarray, starts: np.ndarray, levels: list[int]) -> np.ndarray:
+def doubled(h: np.ndarray, starts: np.ndarray, levels: list[int]) -> np.ndarray:
     """Of the windows that begin at ``starts``, those repeated at every level; by their place in starts.
 
-    h holds the unit hashes of all segments one after the other; ends is where the segment of each start ends. At each
-    level a window survives if its hash occurs again among the windows that its twin halves make candidates of.
+    h holds the unit hashes of all texts one after the other. At each level a window survives if both of its halves
+    occur again among the halves of windows that survived the level before.
     """
     level = levels[0]
     hashes = grams(h, level)
@@ -88,18 +103,18 @@ def _compare(length: int):
         n = batch.column("n").to_numpy().astype(np.int64)
         seg = np.repeat(np.arange(len(n)), n)
         starts = ragged(seg_start, n)
-        alive = doubled(h, (seg_start + sizes)[seg], starts, levels)
+        alive = doubled(h, starts, levels)
         if not len(alive):
             return
         seg, starts = seg[alive], starts[alive]
         doc, ties, lo = batch.column("doc_id").to_numpy()[seg], batch.column("tie").to_numpy()[seg], batch.column("lo").to_numpy()[seg] + starts - seg_start[seg]
         anchor = batch.column("anchor").to_numpy()[seg]
-        at, first = first_of_equal((anchor, grams(h, length)[starts]), (doc, ties, lo))
+        at, first = first_of_equal((anchor, grams(h, length)[starts]), (doc, ties, lo), once=True)
         again = at[~first]
         if not len(again):
             return
         rseg, rlo, rn = repeats.merged(seg[again], lo[again], np.ones(len(again), np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rseg)), batch.column("tie").take(pa.array(rseg)), pa.array(rlo), pa.array(rn.astype(np.int32))], names=["doc_id", "tie", "lo", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rseg)), batch.column("tie").take(pa.array(rseg)), pa.array(rlo.astype(np.int32)), pa.array(rn.astype(np.int32))], names=["doc_id", "tie", "lo", "n"])
 
     return compare
 
@@ -109,21 +124,22 @@ def remove_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:
 
     Words are maximal runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. A
     sequence starts earlier in a document of smaller doc_id or further up in the same one; windows are judged on the
-    input. Level by level: windows of a quarter of the length (through their anchors), of half, of the whole; a window
-    goes on to the next level only if it is repeated at this one.
+    input. Inside a shard of documents, level by level: windows of a quarter of the length, of half, of the whole; a
+    window goes on to the next level only if it is repeated at this one. Between shards, the first level is counted
+    through anchors (see repeats), and what different surroundings leave is doubled again.
 
     Returns doc_id, n_words, spans (removed words, begin and end) and kept (the other words joined by one space), one
     row for each row of docs. A null text has no words. Rows equal in doc_id and text count as one document (none
     makes the other repeated); rows that share a doc_id with different texts follow each other by a hash of the text.
-    Rows without a doc_id have no place in the order: they are kept
-    whole and make nothing repeated. Columns other than doc_id and text are ignored.
+    Rows without a doc_id have no place in the order: they are kept whole and make nothing repeated. An empty table
+    gives no rows. Columns other than doc_id and text are ignored.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), repeats.tie().alias("tie"), "text")
-    runs = repeats.repeated_windows(keyed.where("doc_id IS NOT NULL"), _find(length), _cut(length), _compare(length), "array<long>")
-    both = keyed.join(runs, (keyed.doc_id == runs.doc_id) & (keyed.tie == runs.tie), "left").select(keyed.doc_id, keyed.text, runs.runs)
+    keyed = repeats.with_tie(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    runs = repeats.repeated_windows(keyed, _find(length), _cut(length), _hashes(length), _compare(length), "array<long>")
+    both = repeats.with_runs(keyed, runs, "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in repeats.unpacked(batches):
             data, offs = flat(chunk.column("text"))
             starts, ends, woffs = words(data, offs)
             raw = data.tobytes()

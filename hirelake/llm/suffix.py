@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .arrays import chunks, eights, flat, joined, padded
+from .arrays import eights, flat, joined, owners, padded
 from .repeats import covered, first_of_equal, ragged
 
 SEED = 32
@@ -20,26 +20,26 @@ SHARD_BYTES = 1 << 20
 SCHEMA = "doc_id long, n_bytes long, spans array<struct<begin:int,end:int>>, kept binary"
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks by Larsson and Sadakane's refinement.
 
     Suffixes are first ordered by eight bytes; each round doubles the order's depth, and looks only at groups of
-    suffixes that are still equal. A group's rank is its last place.
+    suffixes that are still equal. A group's rank is its last place. With ``most``, suffixes equal in that many bytes
+    may stay in any order.
     """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     key = eights(padded(text), n).byteswap()
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key).astype(np.int32)
     sorted_keys = key[sa]
-    new = np.ones(n, bool)
-    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    new = np.append(np.append(True, sorted_keys[1:] != sorted_keys[:-1]), True)
+    rank = np.empty(n, np.int32)
+    bounds = np.flatnonzero(new)
+    rank[sa] = np.repeat((bounds[1:] - 1).astype(np.int32), np.diff(bounds))
     # A suffix shorter than eight bytes goes before the longer ones that start with it and zeros.
-    rank = np.empty(n, np.int64)
-    bounds = np.append(np.flatnonzero(new), n)
-    rank[sa] = np.repeat(bounds[1:] - 1, np.diff(bounds))
     depth = 8
-    while depth < 2 * n:
+    while depth < min(2 * n, most or 2 * n):
         size = np.diff(bounds)
         open_groups = np.flatnonzero(size > 1)
         if not len(open_groups):
@@ -47,53 +47,75 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places = ragged(bounds[open_groups], size[open_groups])
         group = np.repeat(open_groups, size[open_groups])
         suffix = sa[places]
-        follow = suffix + depth
-        after = np.where(follow < n, rank[np.minimum(follow, n - 1)], -1 - np.minimum(follow - n, n))
-        order = np.lexsort((after, group))
-        suffix, after = suffix[order], after[order]
+        follow = suffix.astype(np.int64) + depth
+        after = np.where(follow < n, rank[np.minimum(follow, n - 1)], -1 - np.minimum(follow - n, n)) + n + 1
+        both = group << 32 | after
+        order = np.argsort(both)
+        suffix, both = suffix[order], both[order]
         sa[places] = suffix
-        fresh = np.ones(len(places), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
-        new = np.zeros(n + 1, bool)
-        new[bounds] = True
+        fresh = np.append(True, both[1:] != both[:-1])
         new[places[fresh]] = True
         bounds = np.flatnonzero(new)
-        at = np.searchsorted(bounds, places, "right")
-        rank[suffix] = bounds[at] - 1
+        edges = np.append(np.flatnonzero(fresh), len(places))
+        rank[suffix] = np.repeat(places[edges[1:] - 1].astype(np.int32), np.diff(edges))
         depth *= 2
     return sa, rank
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+#: Places of the text that one lane of ``common_prefixes`` goes through.
+LANE = 64
+
+
+def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
     """Kasai's lengths: how many bytes each suffix shares with the one before it in the suffix array, up to ``most``.
 
-    A suffix shares at least one byte less than the suffix one place further up in the text did. All parts of the
-    text (starts, sizes) advance together, one place a step.
+    A suffix shares at least one byte less than the suffix one place further up in the text did, if what that one was
+    before also comes before this one (it may not where the array is sorted by ``most`` bytes only). The text is cut
+    into lanes that advance together, one place a step; bytes are compared eight at a time.
     """
     n = len(text)
-    ends = np.append(text, 0)
-    lcp = np.zeros(n, np.int64)
-    before = np.full(n, -1, np.int64)
+    lcp = np.zeros(n, np.int16 if most < 32768 else np.int64)
+    if n < 2:
+        return lcp
+    view = eights(np.concatenate([padded(text), np.zeros(most + 8, np.uint8)]), n + most + 8)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    by_size = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[by_size], sizes[by_size]
-    length = np.zeros(len(starts), np.int64)
-    for step in range(int(sizes.max(initial=0))):
-        live = int(np.searchsorted(-sizes, -step))  # those longer than step
-        at = starts[:live] + step
+    starts = np.arange(0, n, LANE)
+    length, other = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+    for step in range(LANE):
+        at = starts + step
+        if at[-1] >= n:
+            starts, length, at, other = starts[:-1], length[:-1], at[:-1], other[:-1]
+            if not len(at):
+                break
+        length = np.where((other >= 0) & (rank[np.minimum(other + 1, n - 1)] < rank[at]), length, 0)
         other = before[at]
-        now = np.where(other < 0, 0, np.maximum(length[:live] - 1, 0))
-        go = np.flatnonzero((other >= 0) & (now < most))
+        room = np.minimum(most, n - np.maximum(at, other))
+        now = np.where(other < 0, 0, np.maximum(length - 1, 0))
+        go = np.flatnonzero((other >= 0) & (now < room))
         while len(go):
-            i, j = at[go] + now[go], other[go] + now[go]
-            go = go[(i < n) & (j < n) & (ends[np.minimum(i, n)] == ends[np.minimum(j, n)])]
-            now[go] += 1
-            go = go[now[go] < most]
-        length[:live] = now
-        lcp[rank[at]] = now
+            x = view[at[go] + now[go]] ^ view[other[go] + now[go]]
+            alike = x == 0
+            x[alike] = 1
+            now[go] += np.where(alike, 8, np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3)
+            go = go[alike & (now[go] < room[go])]
+        length = np.minimum(now, room) if (other >= 0).all() else np.where(other < 0, 0, np.minimum(now, room))
+        lcp[rank[at]] = length
     return lcp
 
 
+def repeated_in_shard(text: np.ndarray, at: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Of the strings of ``length`` bytes from the places ``at`` on, those of which an equal one is less in ``order``."""
+    sa, rank = suffix_array(text, length)
+    # Ranks of suffixes equal in so many bytes need not be places: number them by the array itself.
+    rank[sa] = np.arange(len(sa), dtype=np.int32)
+    classes = np.cumsum(common_prefixes(text, sa, rank, length) < length)[rank[at]]
+    many = np.flatnonzero(np.bincount(classes, minlength=1)[classes] > 1)
+    out = np.zeros(len(at), bool)
+    out[many] = repeats.later(classes[many], order[many])
+    return out
+
+
 class Shard:
     """The windows of some segments, sorted through their suffix array; equal windows share a class."""
 
@@ -103,21 +125,21 @@ class Shard:
         text = np.zeros(len(content) + m, np.uint8)
         starts = np.cumsum(sizes + 1) - sizes - 1
         text[ragged(starts, sizes)] = content
-        sa, rank = suffix_array(text)
-        lcp = common_prefixes(text, sa, rank, starts, sizes, length)
+        sa, rank = suffix_array(text, length)
+        rank[sa] = np.arange(len(sa), dtype=np.int32)
+        lcp = common_prefixes(text, sa, rank, length)
         seg = np.repeat(np.arange(m), windows)
         at = ragged(starts, windows)
         sorted_at = np.argsort(rank[at])
         self.seg, at = seg[sorted_at], at[sorted_at]
         self.offset = at - starts[self.seg]
         classes = np.cumsum(lcp < length)[rank[at]]
-        self.order = tuple(x[self.seg] + (self.offset if i == len(order) - 1 else 0) for i, x in enumerate(order))
-        rows, first = first_of_equal((classes,), self.order)
-        self.first = np.zeros(len(at), bool)
-        self.first[rows[first]] = True
+        order = tuple(x[self.seg] + (self.offset if i == len(order) - 1 else 0) for i, x in enumerate(order))
+        # A repeated document brings its windows again, maybe in other segments: they count once.
+        rows, self.first = first_of_equal((classes,), order, once=True)
+        self.seg, self.offset, at, self.order = self.seg[rows], self.offset[rows], at[rows], tuple(x[rows] for x in order)
         #: The first of each class, in the order of their bytes.
         self.heads = np.flatnonzero(self.first)
-        self.heads = self.heads[np.argsort(classes[self.heads])]
         self.text, self.at, self.length = text, at, length
 
     def keys(self) -> np.ndarray:
@@ -138,31 +160,56 @@ class Shard:
             earlier |= equal & (x[a] < y[b])
             equal &= x[a] == y[b]
         other.first[b[earlier]] = False
-        self.first[a[~earlier]] = False
+        self.first[a[~earlier & ~equal]] = False
 
 
 def _find(length: int):
-    def find(texts: pa.Array):
+    def find(texts: pa.Array, order: np.ndarray):
         data, offs = flat(texts)
-        pad, n = padded(data), len(data)
-        view = eights(pad, n)
-        m = max(0, n - SEED + 1)
-        pair = joined(view[: n - 15], view[8 : n - 7]) if n >= 16 else np.zeros(0, np.uint64)
-        seeds = joined(pair[:m], pair[16 : 16 + m]) if m else np.zeros(0, np.uint64)
-        doc, lo, k, anchor = repeats.segments(seeds, offs, length, SEED)
-
-        def window(at: np.ndarray) -> np.ndarray:
-            out = seeds[at]
-            for step in [*range(SEED, length - SEED, SEED), length - SEED]:
-                out = joined(out, seeds[at + step])
-            return out
-
-        seg = joined(joined(window(lo), window(lo + k - 1)), k.astype(np.uint64))
-        return doc, lo - offs[doc], k, seeds[anchor], seg
+        seeds = _seeds(data)
+        owner = owners(offs)
+        valid = np.arange(len(data)) + length <= offs[1:][owner]
+        place = order[owner] << 32 | np.arange(len(data)) - offs[owner]
+        again = np.zeros(len(data), bool)
+        for begin in range(0, len(data), SHARD_BYTES):  # one text may be longer than a shard
+            at = begin + np.flatnonzero(valid[begin : begin + SHARD_BYTES])
+            if len(at):
+                again[at] = repeated_in_shard(data[begin : begin + SHARD_BYTES + length - 1], at - begin, place[at], length)
+        doc, lo, k, anchor = repeats.segments(seeds, offs, length, SEED, again)
+        seg = joined(joined(_window(seeds, lo, length), _window(seeds, lo + k - 1, length)), k.astype(np.uint64))
+        at = np.flatnonzero(again)
+        return doc, lo - offs[doc], k, seeds[anchor], seg, (owner[at], at - offs[owner[at]], np.ones(len(at), np.int64))
 
     return find
 
 
+def _seeds(data: np.ndarray) -> np.ndarray:
+    """The hash of the SEED bytes from each place."""
+    n = len(data)
+    m = max(0, n - SEED + 1)
+    if not m:
+        return np.zeros(0, np.uint64)
+    view = eights(padded(data), n)
+    pair = joined(view[: n - 15], view[8 : n - 7])
+    return joined(pair[:m], pair[16 : 16 + m])
+
+
+def _window(seeds: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the ``length`` bytes from each of the places."""
+    out = seeds[at]
+    for step in [*range(SEED, length - SEED, SEED), length - SEED]:
+        out = joined(out, seeds[at + step])
+    return out
+
+
+def _hashes(length: int):
+    def hashes(texts: pa.Array, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        data, offs = flat(texts)
+        return _window(_seeds(data), ragged(offs[doc] + lo, n.astype(np.int64)), length)
+
+    return hashes
+
+
 def _cut(length: int):
     def cut(texts: pa.Array, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.Array:
         data, offs = flat(texts)
@@ -206,7 +253,7 @@ def _compare(length: int):
                 seg = done.seg[again] + base
                 rseg, rlo, rn = repeats.merged(seg, lo[seg] + done.offset[again], np.ones(len(seg), np.int64))
                 if len(rseg):
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rseg)), batch.column("tie").take(pa.array(rseg)), pa.array(rlo), pa.array(rn.astype(np.int32))], names=["doc_id", "tie", "lo", "n"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rseg)), batch.column("tie").take(pa.array(rseg)), pa.array(rlo.astype(np.int32)), pa.array(rn.astype(np.int32))], names=["doc_id", "tie", "lo", "n"])
             open_shards = []
 
     return compare
@@ -216,31 +263,32 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     """Removes each byte covered by a string of ``length`` UTF-8 bytes that also starts earlier.
 
     A string starts earlier in a document of smaller doc_id or further up in the same one; matches never cross
-    documents, overlaps count, and strings are judged on the input. Shards are dealt by anchor (see repeats), so equal
-    strings meet in one shard, or in shards of one task that are merged by binary search.
+    documents, overlaps count, and strings are judged on the input. Every shard of the corpus has a suffix array, which
+    settles what repeats inside it; what is left is merged between shards (see repeats): by the hash of whole segments
+    and, where surroundings differ, through suffix arrays of the segments, merged by binary search.
 
     Returns doc_id, n_bytes, spans (maximal removed runs, begin and end) and kept (the other bytes), one row for each
     row of docs. A null text is empty. Rows equal in doc_id and text count as one document; rows that share a doc_id
     with different texts follow each other by a hash of the text. Rows without a doc_id are kept whole and make
     nothing repeated. Columns other than doc_id and text are ignored.
     """
-    keyed, runs = _runs(docs.select("doc_id", "text"), length)
-    both = keyed.join(runs, (keyed.doc_id == runs.doc_id) & (keyed.tie == runs.tie), "left").select(keyed.doc_id, keyed.text, runs.runs)
+    both = _with_runs(docs.select("doc_id", "text"), length)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in repeats.unpacked(batches):
             sizes, spans, kept = _left_over(chunk, length)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     return both.mapInArrow(remove, SCHEMA)
 
 
-def _runs(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """docs with ``tie``, and the repeated windows of each document."""
+def _with_runs(docs: DataFrame, length: int) -> DataFrame:
+    """docs in one struct ``row`` (with ``tie`` as its last field), and the repeated windows of each document."""
     if length < 2 * SEED:
         raise ValueError(f"the length must be at least {2 * SEED}")
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", repeats.tie())
-    return keyed, repeats.repeated_windows(keyed.where("doc_id IS NOT NULL"), _find(length), _cut(length), _compare(length), "binary")
+    keyed = repeats.with_tie(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+    runs = repeats.repeated_windows(keyed, _find(length), _cut(length), _hashes(length), _compare(length), "binary")
+    return repeats.with_runs(keyed, runs, "left")
 
 
 def _left_over(chunk: pa.RecordBatch, length: int) -> tuple[np.ndarray, list, list[bytes]]:
@@ -260,17 +308,17 @@ def strip_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
 
     A character cut in the middle goes as a whole. Rows of which nothing is left go; texts that were empty stay.
     """
-    keyed, runs = _runs(docs, length)
-    both = keyed.join(runs, (keyed.doc_id == runs.doc_id) & (keyed.tie == runs.tie), "left").select(*[keyed[c] for c in docs.columns], runs.runs)
-
     names = docs.columns
+    whole = docs.select(F.col("doc_id").alias("doc_id"), "text", F.struct(*[docs[f"`{c}`"] for c in names if c != "text"]).alias("whole"))
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in repeats.unpacked(batches):
             sizes, _, kept = _left_over(chunk, length)
             texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
             texts = pa.compute.if_else(chunk.column("text").is_valid(), texts, pa.scalar(None, pa.string()))
             stay = pa.array([bool(k) or not n for k, n in zip(kept, sizes, strict=True)])
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else chunk.column(i) for i, c in enumerate(names)], names=names).filter(stay)
+            row = chunk.column("row")
+            own = row.field(row.type.get_field_index("whole"))
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else own.field(own.type.get_field_index(c)) for c in names], names=names).filter(stay)
 
-    return both.mapInArrow(replace, keyed.drop("tie").schema)
+    return _with_runs(whole, length).mapInArrow(replace, docs.schema)
