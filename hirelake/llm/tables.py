@@ -31,3 +31,7 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             delete(spark, path)
     _made[len(before) :] = keep
 
+
+def newest() -> str:
+    """The path of the table that ``written`` made last."""
+    return _made[-1]
