@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import bpe, decontaminate, jaccard, quality, suffix
-from hirelake.llm.tables import scratch, written
+from hirelake.llm.tables import newest, scratch, written
 from hirelake.sources.shared import delete
 
 
@@ -64,8 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         with scratch(spark) as keep:
             docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-            keep += [f.rsplit("/", 1)[0] for f in docs.inputFiles()[:1]]
+            keep.append(newest())
         if last:
             delete(spark, last)
-        last = keep[0] if keep else None
+        last = keep[0]
     return STAGES[-1][1](spark, docs, sf_dir)
