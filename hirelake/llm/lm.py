@@ -20,67 +20,114 @@ from pyspark.sql import functions as F
 from .arrays import chunks, flat, owners, word_hashes, words
 from .tables import written
 
-#: Frequent words with an output each; all others share classes by their hash. The last class is the text's edge.
-FREQUENT, CLASSES = 192, 256
-SIDE, WIDTH, HIDDEN, BATCH = 2, 16, 32, 1024
-EDGE = CLASSES - 1
-#: Targets of one training step.
-STEP = 256
+#: Frequent words with a class each; all others share classes by their hash. The last class is the text's edge.
+FREQUENT, GROUPS, MEMBERS = 768, 32, 32
+CLASSES = GROUPS * MEMBERS
+SIDE, WIDTH, HIDDEN, BATCH = 2, 16, 32, 4096
+#: Targets of one training step, and its rate (each weight's steps shrink as its gradients add up).
+STEP, RATE = 1024, 0.1
+#: Tokens of a training shard. Shards are dealt by documents, so that a network does not depend on how Spark cuts them.
+SHARD_TOKENS = 2_000_000
 #: Words that make one in so many tokens or more are broadcast with their counts (so many words at most).
 COMMON = 2_000_000
-_SHAPES = [(CLASSES, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+_SHAPES = [(CLASSES, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, MEMBERS), (GROUPS, MEMBERS)]
+
+
+def class_of(place: np.ndarray) -> np.ndarray:
+    """The class at each place of the order of classes, so that neighbours in it are of different groups."""
+    return (place % GROUPS * MEMBERS + place // GROUPS).astype(np.uint16)
+
+
+EDGE = int(class_of(np.array(CLASSES - 1)))
 
 
 def start(seed: int = 11) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
-    return [(rng.standard_normal(s) * (0.1 if len(s) < 2 or s[0] == CLASSES else s[0] ** -0.5)).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _SHAPES]
+    e, w1, b1, wg, bg, wm, bm = (np.zeros(s, np.float32) for s in _SHAPES)
+    for weights, spread in ((e, 0.1), (w1, (2 * SIDE * WIDTH) ** -0.5), (wg, HIDDEN**-0.5), (wm, HIDDEN**-0.5)):
+        weights[...] = rng.standard_normal(weights.shape) * spread
+    return [e, w1, b1, wg, bg, wm, bm]
 
 
-def forward(net: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, hidden units, and log-probabilities of all classes, for rows of context classes."""
-    e, w1, b1, w2, b2 = net
-    x = e[context].reshape(len(context), -1)
-    h = x @ w1
-    h += b1
-    np.tanh(h, out=h)
-    z = h @ w2
-    z += b2
+def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (in place of z), and the log-probability of each row's target."""
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return x, h, z
+    at = z[np.arange(len(z)), target]
+    np.exp(z, out=z)
+    total = z.sum(1, keepdims=True)
+    z /= total
+    return z, at - np.log(total[:, 0])
 
 
-def train_step(net: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
-    e, w1, b1, w2, b2 = net
-    x, h, d = forward(net, context)
-    np.exp(d, out=d)
-    d[np.arange(len(target)), target] -= 1
-    d /= len(target)
-    dh = (d @ w2.T) * (1 - h * h)
+def forward(net: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What a step needs: inputs, hidden units, the order of rows by group with the groups' bounds, probabilities of
+    groups and (in that order) of members, and the log-probability of each target's class."""
+    e, w1, b1, wg, bg, wm, bm = net
+    x = e[context].reshape(len(context), -1)
+    h = np.tanh(x @ w1 + b1)
+    group, member = target // MEMBERS, target % MEMBERS
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    sorted_h = h[order]
+    z = np.empty((len(target), MEMBERS), np.float32)
+    for g in range(GROUPS):
+        a, b = bounds[g], bounds[g + 1]
+        if a < b:
+            np.matmul(sorted_h[a:b], wm[g], out=z[a:b])
+            z[a:b] += bm[g]
+    pm, logs = _softmax(z, member[order])
+    pg, out = _softmax(h @ wg + bg, group)
+    out[order] += logs
+    return x, h, order, bounds, pg, pm, out
+
+
+def train_step(net: list[np.ndarray], past: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
+    """One step of gradient descent; ``past`` holds the squares of each weight's gradients so far."""
+    e, w1, b1, wg, bg, wm, bm = net
+    x, h, order, bounds, dg, dm, _ = forward(net, context, target)
+    rows = np.arange(len(target))
+    dg[rows, target // MEMBERS] -= 1
+    dm[rows, (target % MEMBERS)[order]] -= 1
+    dh = dg @ wg.T
+    sorted_h, back = h[order], np.empty_like(h)
+    gm, gb = np.zeros_like(wm), np.zeros_like(bm)
+    for g in range(GROUPS):
+        a, b = bounds[g], bounds[g + 1]
+        if a < b:
+            np.matmul(dm[a:b], wm[g].T, out=back[a:b])
+            np.matmul(sorted_h[a:b].T, dm[a:b], out=gm[g])
+            dm[a:b].sum(0, out=gb[g])
+    dh[order] += back
+    dh *= 1 - h * h
     dx = (dh @ w1.T).reshape(-1, WIDTH)
-    w2 -= rate * (h.T @ d)
-    b2 -= rate * d.sum(0)
-    w1 -= rate * (x.T @ dh)
-    b1 -= rate * dh.sum(0)
     classes = context.ravel()
-    order = np.argsort(classes, kind="stable")
-    classes = classes[order]
+    by_class = np.argsort(classes, kind="stable")
+    classes = classes[by_class]
     at = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
-    e[classes[at]] -= rate * np.add.reduceat(dx[order], at)
+    ge = np.add.reduceat(dx[by_class], at)
+    for weights, squares, gradient in zip([w1, b1, wg, bg, wm, bm], past[1:], [x.T @ dh, dh.sum(0), h.T @ dg, dg.sum(0), gm, gb], strict=True):
+        gradient /= len(target)
+        squares += gradient * gradient
+        weights -= rate * gradient / np.sqrt(squares)
+    seen = classes[at]
+    ge /= len(target)
+    past[0][seen] += ge * ge
+    e[seen] -= rate * ge / np.sqrt(past[0][seen])
 
 
 class Tokens:
     """Classes of the words of some texts, and the context of each."""
 
-    def __init__(self, texts: pa.Array, frequent: np.ndarray):
+    def __init__(self, texts: pa.Array, frequent: tuple[np.ndarray, np.ndarray]):
+        frequent, order = frequent
         data, offs = flat(texts)
         starts, ends, woffs = words(data, offs)
         self.hash = word_hashes(data, starts, ends)
         self.counts, self.doc = np.diff(woffs), owners(woffs)
         at = np.searchsorted(frequent, self.hash) if len(frequent) else np.zeros(len(self.hash), np.int64)
         known = frequent[np.minimum(at, len(frequent) - 1)] == self.hash if len(frequent) else np.zeros(len(self.hash), bool)
-        rest = (FREQUENT + self.hash % np.uint64(EDGE - FREQUENT)).astype(np.int64)
-        self.classes = np.where(known, at, rest).astype(np.uint8)
+        rest = (FREQUENT + self.hash % np.uint64(CLASSES - 1 - FREQUENT)).astype(np.int64)
+        self.classes = class_of(np.where(known, order[np.minimum(at, len(order) - 1)], rest) if len(order) else rest)
         place = np.arange(len(self.hash)) - woffs[self.doc]
         self.before, self.after, self.place = place, self.counts[self.doc] - 1 - place, place
 
@@ -89,7 +136,7 @@ class Tokens:
         n = len(self.classes)
         for step in [*range(-SIDE, 0), *range(1, SIDE + 1)]:
             there = self.before[at] >= -step if step < 0 else self.after[at] >= step
-            columns.append(np.where(there, self.classes[np.clip(at + step, 0, n - 1)], EDGE))
+            columns.append(np.where(there, self.classes[np.clip(at + step, 0, n - 1)], np.uint16(EDGE)))
         return np.stack(columns, 1)
 
 
@@ -106,37 +153,67 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return written(docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
 
 
-def frequent_words(counts: DataFrame) -> np.ndarray:
-    """Hashes of the ``FREQUENT`` most frequent words; ties go to the lesser hash."""
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
+def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``FREQUENT`` most frequent words, sorted, and each one's place by count; ties go to the lesser hash."""
+    top = np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+    order = np.argsort(top)
+    return top[order], order
 
 
-def _trainer(frequent: np.ndarray, rate: float):
+def _trainer(frequent: tuple[np.ndarray, np.ndarray], net: list[np.ndarray], rate: float):
+    names = ["sums"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = start(), 0
+        own: list[np.ndarray] = []
+        past: list[np.ndarray] = []
+        shard, seen = None, 0
         totals = np.zeros(CLASSES)
-        context, target = np.zeros((0, 2 * SIDE), np.int64), np.zeros(0, np.int64)
-        for chunk in chunks(batches):
+        context, target = np.zeros((0, 2 * SIDE), np.uint16), np.zeros(0, np.uint16)
+
+        def ended() -> pa.RecordBatch:
+            flat_net = np.concatenate([p.ravel() for p in own]).astype(np.float64) * seen
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate([flat_net, totals, [seen]]).tobytes()], pa.binary())], names=names)
+
+        def step(size: int) -> None:
+            nonlocal context, target, seen
+            train_step(own, past, context[:size], target[:size], rate)
+            context, target, seen = context[size:], target[size:], seen + size
+
+        for chunk in chunks(_by_shard(batches)):
+            at = chunk.column("shard")[0].as_py()
+            if at != shard:
+                if shard is not None:
+                    if len(target):
+                        step(len(target))
+                    if seen:
+                        yield ended()
+                shard, seen, totals = at, 0, np.zeros(CLASSES)
+                own, past = [p.copy() for p in net], [np.full(p.shape, 1e-8, np.float32) for p in net]
             t = Tokens(chunk.column("text"), frequent)
             totals += np.bincount(t.classes, minlength=CLASSES)
             context = np.concatenate([context, t.context(np.arange(len(t.classes)))])
-            target = np.concatenate([target, t.classes.astype(np.int64)])
+            target = np.concatenate([target, t.classes])
             done = len(target) // STEP * STEP
-            for b in range(0, done, STEP):
-                train_step(net, context[b : b + STEP], target[b : b + STEP], rate)
-            seen += done
-            context, target = context[done:], target[done:]
+            for _ in range(0, done, STEP):
+                step(STEP)
         if len(target):  # a shorter step for what is left
-            train_step(net, context, target, rate * len(target) / STEP)
-            seen += len(target)
+            step(len(target))
         if seen:
-            flat_net = np.concatenate([p.ravel() for p in net]).astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([flat_net, totals, [seen]]).tobytes()], pa.binary())], names=["sums"])
+            yield ended()
 
     return run
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the shard changes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard = batch.column("shard").to_numpy()
+        edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]))
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -147,25 +224,36 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
-def train(docs: DataFrame, counts: DataFrame, rate: float = 0.5) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def train(docs: DataFrame, counts: DataFrame, rate: float = RATE, shard_tokens: int = SHARD_TOKENS) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray], np.ndarray]:
     """Frequent words, the network, and how many tokens each class has.
 
-    Each task trains a copy of one starting network on every position of its documents; the copies are averaged by the
-    number of their targets, added up in a tree. One network of some 60 KB reaches the driver, whatever the corpus;
-    what grows with the corpus is ``counts``, its vocabulary.
+    Documents are dealt into shards of some ``shard_tokens`` tokens by a hash of doc_id and text and ordered by it, so
+    what is learned follows from the rows alone, not from files, partitions or tasks. In each of two rounds (one if
+    there is one shard only) half of the shards each train a copy of the network on every position; the copies are
+    averaged by the number of their targets, added up in a tree, and are where the next round starts. One network of
+    some 400 KB reaches the driver, whatever the corpus; what grows with the corpus is ``counts``, its vocabulary, and
+    the number of shards.
     """
     frequent = frequent_words(counts)
-    nets = docs.select("text").mapInArrow(_trainer(frequent, rate), "sums binary")
-    total = nets.repartition(16).mapInArrow(_add, "sums binary").coalesce(1).mapInArrow(_add, "sums binary").first()
-    if total is None:
-        return frequent, start(), np.zeros(CLASSES)
-    sums = np.frombuffer(bytes(total.sums), np.float64)
-    values, out, at = (sums[: -1 - CLASSES] / sums[-1]).astype(np.float32), [], 0
-    for shape in _SHAPES:
-        size = int(np.prod(shape))
-        out.append(values[at : at + size].reshape(shape))
-        at += size
-    return frequent, out, sums[-1 - CLASSES : -1]
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-tokens // shard_tokens))
+    keyed = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key")).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    net, totals = start(), np.zeros(CLASSES)
+    rounds = min(2, shards)
+    for r in range(rounds):
+        part = keyed.where(F.col("shard") % rounds == r).repartition("shard").sortWithinPartitions("shard", "key")
+        nets = part.mapInArrow(_trainer(frequent, net, rate), "sums binary")
+        total = nets.repartition(16).mapInArrow(_add, "sums binary").coalesce(1).mapInArrow(_add, "sums binary").first()
+        if total is None:
+            continue
+        sums = np.frombuffer(bytes(total.sums), np.float64)
+        totals = totals + sums[-1 - CLASSES : -1]
+        values, net, at = (sums[: -1 - CLASSES] / sums[-1]).astype(np.float32), [], 0
+        for shape in _SHAPES:
+            size = int(np.prod(shape))
+            net.append(values[at : at + size].reshape(shape))
+            at += size
+    return frequent, net, totals
 
 
 def _places(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +264,7 @@ def _places(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, table[at] == hashes
 
 
-def score(docs: DataFrame, counts: DataFrame, frequent: np.ndarray, net: list[np.ndarray], totals: np.ndarray, common: int = COMMON) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], net: list[np.ndarray], totals: np.ndarray, common: int = COMMON) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum of the tokens' conditional log-probabilities) and mean_log_prob.
 
     One row for each row of docs. A text without words (null, empty) has 0 tokens, log-likelihood 0 and a null mean;
@@ -201,7 +289,7 @@ def score(docs: DataFrame, counts: DataFrame, frequent: np.ndarray, net: list[np
             logs = share[t.classes] + (np.where(there, logs_of[at], 0) if len(table) else 0)
             for b in range(0, len(logs), BATCH):
                 at = np.arange(b, min(b + BATCH, len(logs)))
-                logs[at] += forward(net, t.context(at))[2][np.arange(len(at)), t.classes[at]]
+                logs[at] += forward(net, t.context(at), t.classes[at])[-1]
             total = np.bincount(t.doc, logs, minlength=chunk.num_rows)
             rest = np.bincount(t.doc[~there], minlength=chunk.num_rows)
             yield pa.RecordBatch.from_arrays([chunk.column("key"), chunk.column("doc_id"), pa.array(t.counts), pa.array(total), pa.array(rest)], names=["key", "doc_id", "n_tokens", "known", "rest"])
