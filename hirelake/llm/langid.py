@@ -6,13 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import CHUNK_BYTES, chunks, flat
 
-#: Dimensions that n-grams are hashed to, centroids of a language, and labelled rows of a language that k-means sees.
-DIMENSIONS, CENTROIDS, SAMPLE_ROWS = 4096, 4, 1500
+#: Dimensions that n-grams are hashed to, and centroids of a language.
+DIMENSIONS, CENTROIDS = 4096, 4
+#: Different labelled texts of a language that k-means sees at most, and languages that are learned (those of most rows).
+SAMPLE_ROWS, MOST_LANGUAGES = 1500, 500
+#: Share of a language's own sample whose distance counts as too far.
+FAR_SHARE = 0.01
 _LETTER = np.full(256, 32, np.uint8)
 for _b in range(256):
     if chr(_b).isascii() and chr(_b).isalpha():
@@ -75,72 +79,82 @@ def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Centroids of each language and the weights of the dimensions."""
+    """Centroids of each language, the least cosine of each that isn't too far, and the weights of the dimensions."""
 
-    def __init__(self, languages: list[str], centroids: np.ndarray, idf: np.ndarray):
-        self.languages, self.centroids, self.idf = languages, centroids, idf
+    def __init__(self, languages: list[str], centroids: list[np.ndarray], least: np.ndarray, idf: np.ndarray):
+        self.languages, self.centroids, self.least, self.idf = languages, centroids, least, idf
 
-    def predict(self, texts: pa.Array, reject: float) -> tuple[list[str], np.ndarray]:
-        """Language and score; ``und`` where the best cosine is under ``reject``, or nothing can be told.
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest language, its score, the cosine of its nearest centroid, and whether that is too far.
 
-        The score is the best language's share of how near all languages are.
+        The score is the nearest language's share of how near all languages are. A text without a letter is ``und``
+        with score and cosine 0; so is every text if no language was learned.
         """
+        lettered = np.array([_has_letter(t) for t in texts.to_pylist()], bool)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        v = vectors(texts, self.idf)
-        best = np.stack([(v @ c.T).max(1) for c in self.centroids], 1).astype(np.float64)
-        at = best.argmax(1)
-        near = np.exp(20 * (best - best.max(1, keepdims=True)))
-        score = near.max(1) / near.sum(1)
-        know = np.array([_has_letter(t) for t in texts.to_pylist()]) & (best.max(1) >= reject)
-        return [self.languages[i] if k else "und" for i, k in zip(at, know, strict=True)], np.where(know, score, 0.0)
+            lettered[:] = False
+            best = np.zeros((len(texts), 1))
+        else:
+            v = vectors(texts, self.idf)
+            best = np.stack([(v @ c.T).max(1) for c in self.centroids], 1).astype(np.float64)
+        at, cosine = best.argmax(1), best.max(1)
+        score = 1 / np.exp(20 * (best - cosine[:, None])).sum(1)
+        far = ~lettered | (cosine < (self.least[at] if self.languages else 0))
+        return [self.languages[i] if k else "und" for i, k in zip(at, lettered, strict=True)], np.where(lettered, score, 0.0), np.where(lettered, np.clip(cosine, 0, 1), 0.0), far
 
 
 def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def fit(docs: DataFrame, learn: Column) -> Model:
-    """Learns from text and lang of the rows where ``learn`` holds and lang is not null.
+def fit(docs: DataFrame, learn: Column, most_languages: int = MOST_LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Learns from text and lang of the rows where ``learn`` holds and neither is null.
 
-    Document frequencies cover all of these rows (one number a dimension reaches the driver); k-means sees at most
-    about ``SAMPLE_ROWS`` of each language, picked by a hash of the text.
+    Document frequencies cover all of these rows (one number a dimension reaches the driver). k-means sees at most
+    ``sample_rows`` different texts of a language, those of least hash, of at most ``most_languages`` languages.
+    A language's distances in this sample give the cosine below which a text is too far from it.
     """
-    docs = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    docs = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("hash"))
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("hash").alias("n")).orderBy(F.desc("rows"), "lang").limit(most_languages)
     df = np.zeros(DIMENSIONS + 1)
     for r in docs.select("text").mapInArrow(_frequency, "dim long, docs long").groupBy("dim").agg(F.sum("docs").alias("n")).collect():
         df[r.dim + 1] = r.n
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(share)
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    # Twice as many as needed by the hash, then exactly so many of least hash: few rows are ranked.
+    near = docs.join(F.broadcast(sizes), "lang").where(F.abs(F.col("hash").cast("double")) <= F.lit(2.0**63) * 2 * sample_rows / F.col("n"))
+    one = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    sample = one.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.abs(F.col("hash").cast("double")), "hash"))).where(F.col("rn") <= sample_rows)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, limit=CHUNK_BYTES // 2):
             v = vectors(chunk.column("text"), idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([chunk.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], names=["lang", "v"])
 
-    rows: dict[str, list[np.ndarray]] = {}
-    for r in sample.mapInArrow(embed, "lang string, v binary").toLocalIterator():
-        rows.setdefault(r["lang"], []).append(np.frombuffer(bytes(r["v"]), np.float16))
-    languages = sorted(rows)
-    return Model(languages, [cluster(np.array(sorted(rows[x], key=lambda a: a.tobytes()), np.float32), CENTROIDS) for x in languages], idf)
+    rows: dict[str, list[bytes]] = {}
+    for r in sample.select("text", "lang").mapInArrow(embed, "lang string, v binary").toLocalIterator():
+        rows.setdefault(r["lang"], []).append(bytes(r["v"]))
+    languages, centroids, least = sorted(rows), [], []
+    for x in languages:
+        v = np.array([np.frombuffer(b, np.float16) for b in sorted(rows[x])], np.float32)
+        centroids.append(cluster(v, CENTROIDS))
+        least.append(np.quantile((v @ centroids[-1].T).max(1), FAR_SHARE))
+    return Model(languages, centroids, np.array(least), idf)
 
 
-def identify(docs: DataFrame, model: Model, reject: float = 0.0) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) of every text; one row for each row of docs, and no shuffle.
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1), nearest, cosine and rejected of every text, without a shuffle.
 
-    ``und`` with score 0: null texts, texts without a letter, and texts whose nearest centroid is further than
-    ``reject`` (a cosine; 0 rejects none). Columns other than doc_id and text are ignored; the model (a few hundred
-    KB, whatever the corpus) is broadcast.
+    One row for each row of docs; repeated rows give repeated results, an empty table none. ``nearest`` is the language
+    of the nearest centroid; ``lang_pred`` is that, or ``und`` if it is rejected as too far. Null texts and texts
+    without a letter are ``und`` in both, with score 0, and rejected. Columns other than doc_id and text are ignored.
+    The model (some 64 KB a language) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, limit=CHUNK_BYTES // 2):
-            lang, score = shared.value.predict(chunk.column("text"), reject)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            near, score, cosine, far = shared.value.predict(chunk.column("text"))
+            told = ["und" if f else x for x, f in zip(near, far, strict=True)]
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(told, pa.string()), pa.array(score), pa.array(near, pa.string()), pa.array(cosine), pa.array(far)], names=["doc_id", "lang_pred", "score", "nearest", "cosine", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, nearest string, cosine double, rejected boolean")
