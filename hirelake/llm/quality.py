@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .arrays import chunks, flat, owners, word_hashes, words
 from .tables import written
 
-#: Labelled rows that the fit sees at most (about), picked by a hash of doc_id.
+#: Labelled rows that the fit sees at most, those of least hash of doc_id.
 SAMPLE_ROWS = 20_000
 STATISTICS = ["n_words", "word_length", "upper_share", "digit_share", "punct_share", "symbol_share", "distinct_share", "repeat_share", "top_share", "line_words", "repeated_lines", "stop_share", "letter_words", "short_share"]
 _KIND = np.zeros(256, np.uint8)
@@ -112,13 +112,17 @@ def beside_statistics(docs: DataFrame, prefix: str) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs whose score is ``least`` or more, with all their columns.
 
-    Learns from the labelled rows that are not held out. Statistics of the labelled documents alone are made for the
-    fit; then each text is judged where it is read, without a shuffle of texts.
+    Learns from the labelled rows that are not held out. The sample for the fit is picked by id first, so that only its
+    texts are read for it, and each text is then judged where it is read: no text is shuffled. Null and empty texts are
+    scored as well; repeated rows stay or go together; an empty table gives an empty one. Columns may have any names.
     """
-    known = labels.where(learnable()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model = fit(with_statistics(docs.join(known, "doc_id", "left_semi")), labels, learnable())
+    sample = labelled_sample(labels, learnable())
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit(with_statistics(own), sample)
     prefix = "_quality_"
-    return beside_statistics(docs, prefix).where(model.column(prefix) >= least).select(*docs.columns)
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return beside_statistics(docs, prefix).where(model.column(prefix) >= least).select(*[f"`{c}`" for c in docs.columns])
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above the bound, bound)
@@ -217,15 +221,23 @@ class Model:
         return 1 / (1 + F.exp(-total))
 
 
-def fit(stats: DataFrame, labels: DataFrame, learn: Column, penalty: float = 5e-4) -> Model:
-    """Fits on rows of labels (doc_id, quality not null) where ``learn`` holds, about ``SAMPLE_ROWS`` at most.
+def labelled_sample(labels: DataFrame, learn: Column, most: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, y: at most ``most`` rows of labels (doc_id, quality not null) where ``learn`` holds, those of least hash."""
+    known = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).distinct()
+    hashed = F.abs(F.xxhash64("doc_id").cast("double"))
+    # Twice as many by the hash, then exactly so many: few rows are sorted.
+    near = known.where(hashed <= F.lit(2.0**63 * min(1.0, 2 * most / max(known.count(), 1))))
+    return written(near.orderBy(hashed, "doc_id", "y").limit(most), "sample")
 
-    Without labelled rows every score is 0.5; with one class only, it is near that class.
+
+def fit(stats: DataFrame, sample: DataFrame, penalty: float = 5e-4) -> Model:
+    """Fits on the rows of stats whose labels are in the sample (20,000 rows at most are broadcast).
+
+    Without labelled rows every score is 0.5; with one class only, it is near that class. Of rows that repeat a doc_id
+    one counts, that of least statistics.
     """
-    known = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    share = min(1.0, SAMPLE_ROWS / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = np.array([tuple(r) for r in stats.join(known, "doc_id").select("doc_id", "y", *STATISTICS).toLocalIterator()], float)
+    met = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("doc_id", "y", "s.*")
+    rows = np.array([tuple(r) for r in met.toLocalIterator()], float)
     if not len(rows):
         return Model(0.0, [])
     rows = rows[np.lexsort(rows.T[::-1])]
@@ -251,5 +263,5 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Da
     once to the shared folder and read for the fit and for the scores.
     """
     stats = written(with_statistics(docs), "statistics")
-    model = fit(stats, labels, learnable() if learn is None else learn)
+    model = fit(stats, labelled_sample(labels, learnable() if learn is None else learn))
     return stats.select("doc_id", model.column().alias("score"))
