@@ -132,6 +132,39 @@ def test_a_repeated_row_does_not_erase_itself(spark, rows, parts):
         assert len(got) == 2 * len(rows) and all(want[i] == kept for i, kept in got)
 
 
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_repeats_with_null_and_repeated_ids_and_hot_anchors(spark, rows, monkeypatch, hot):
+    """Rows that share a doc_id follow each other by the hash of their text; a null one has no part."""
+    xxhash = pytest.importorskip("xxhash")
+    monkeypatch.setattr(substring.repeats, "HOT", hot)
+    line = " ".join(f"common{k}" for k in range(14))  # between other words each time, so that segments differ
+    table = rows + [(i, f"{w} {line} {w}{i} " + " ".join(f"{w}{k}" for k in range(30))) for i, w in enumerate(["uu", "vv", "uu", "ww", "vv"], 9)] + [(9, rows[0][1]), (3, line * 3), (3, rows[4][1]), (None, rows[0][1]), (None, None)]
+    docs = spark.createDataFrame([(t, 5, i, "x") for i, t in table], "text string, tie int, doc_id int, runs string").repartition(6)
+    as_signed = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    order = lambda i, t: (i, as_signed(t or ""))
+    words = [(order(i, t), WORD.findall(t or "")) for i, t in table if i is not None]
+    gone = removed(words, 20)
+    want = sorted([(i[0], " ".join(x for x, g in zip(w, gone[i]) if not g)) for i, w in words] + [(-1, " ".join(WORD.findall(t or ""))) for i, t in table if i is None])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.kept) for r in substring.remove_repeated_words(docs, 20).collect()) == want
+    texts = [(order(i, t), (t or "").encode()) for i, t in table if i is not None]
+    gone = removed(texts, 64)
+    want = sorted([(i[0], bytes(x for x, g in zip(b, gone[i]) if not g)) for i, b in texts] + [(-1, (t or "").encode()) for i, t in table if i is None])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.kept)) for r in suffix.remove_repeated_bytes(docs, 64).collect()) == want
+    left = suffix.strip_repeated_bytes(docs, 64)
+    assert left.columns == docs.columns and {(r.tie, r.runs) for r in left.collect()} == {(5, "x")}
+
+
+def test_one_text_longer_than_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 1000)
+    rng = random.Random(9)
+    part = "".join(rng.choice("abcd") for _ in range(900))
+    table = [(1, part + "x" * 300 + part), (2, "".join(rng.choice("abcd") for _ in range(700)) + part)]
+    gone = removed([(i, t.encode()) for i, t in table], 100)
+    got = collected(suffix.remove_repeated_bytes(spark.createDataFrame(table, "doc_id long, text string"), 100))
+    for i, t in table:
+        assert bytes(got[i].kept) == bytes(x for x, g in zip(t.encode(), gone[i]) if not g)
+
+
 def test_the_pipeline_keeps_repeated_rows(spark):
     import corpus_pipeline
 
@@ -148,7 +181,7 @@ def test_suffix_array_sorts_and_merges():
     sa, rank = suffix.suffix_array(text)
     raw = text.tobytes()
     assert sa.tolist() == sorted(range(500), key=lambda i: raw[i:])
-    lcp = suffix.common_prefixes(text, sa, rank, np.array([0, 200]), np.array([200, 300]), 50)
+    lcp = suffix.common_prefixes(text, sa, rank, 50)
     for k in range(1, 500):
         a, b = raw[sa[k] :], raw[sa[k - 1] :]
         assert lcp[k] == min(50, next((x for x in range(min(len(a), len(b))) if a[x] != b[x]), min(len(a), len(b))))
@@ -214,19 +247,64 @@ def test_decontaminate(spark, docs, rows, empty):
 
 
 def test_language(spark, empty):
-    rng = random.Random(5)
-    words = {"aa": ["the", "and", "with", "this"], "bb": ["der", "und", "nicht", "eine"]}
-    table = [(i, " ".join(rng.choice(words[x]) for _ in range(30)), x) for i in range(60) for x in words] + [(900, None, "aa"), (901, "12 !!", "bb"), (902, "", None)]
-    docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
     from pyspark.sql import functions as F
 
+    rng = random.Random(5)
+    words = {"aa": ["the", "and", "with", "this"], "bb": ["der", "und", "nicht", "eine"]}
+    table = [(i, " ".join(rng.choice(words[x]) for _ in range(30)), x) for i in range(60) for x in words] + [(900, None, "aa"), (901, "12 !!", "bb"), (902, "", None), (903, "zzq xqj qxz jjq " * 9, None), (904, "the and with", None)]
+    docs = spark.createDataFrame([(*r, "own", 0.5) for r in table], "doc_id long, text string, lang string, score string, cosine double")
     model = langid.fit(docs, F.col("doc_id") % 4 != 2)
-    out = langid.identify(docs.where("doc_id % 4 = 2 OR doc_id >= 900"), model).collect()
-    assert {r.lang_pred for r in out if r.doc_id >= 900} == {"und"}
-    truth = {(i, t): x for i, t, x in table}
-    assert all(0 <= r.score <= 1 for r in out) and truth
-    assert {r.lang_pred for r in langid.identify(docs, model, reject=1.1).collect()} == {"und"}
-    assert langid.identify(docs, langid.fit(empty, F.lit(True))).where("lang_pred != 'und'").count() == 0
+    truth = {i: set() for i, _, _ in table}
+    for i, t, x in table:
+        truth[i].add((t, x))
+    rows = langid.identify(docs, model).collect()
+    assert len(rows) == len(table)
+    for r in rows:
+        if r.doc_id < 60:
+            assert r.nearest in words and 0 < r.cosine <= 1
+    told = {(t, x): langid.identify(docs.where(F.col("text") == t), model).first() for t, x in [(t, x) for i, t, x in table if i % 4 == 2 and i < 12]}
+    assert all(r.nearest == x for (_, x), r in told.items())
+    got = {r.doc_id: r for r in rows if r.doc_id >= 900}
+    assert all(got[i].lang_pred == got[i].nearest == "und" and got[i].score == 0 and got[i].rejected for i in (900, 901, 902))
+    assert got[903].rejected and got[903].lang_pred == "und" and got[903].nearest in words
+    assert got[904].nearest == "aa" and all(0 <= r.score <= 1 for r in rows)
+    # Of a language's own training texts about one in a hundred is too far.
+    assert sum(r.rejected for r in rows if r.doc_id < 60) <= 12
+    none = langid.identify(docs, langid.fit(empty, F.lit(True))).collect()
+    assert {r.lang_pred for r in none} == {"und"} and all(r.rejected for r in none)
+    one = langid.fit(docs, F.lit(True), most_languages=1, sample_rows=5)
+    assert one.languages == ["bb"]
+    assert langid.identify(empty, model).count() == 0
+
+
+def test_language_by_a_plain_loop(spark):
+    """Nearest centroid and rejection from the model's own numbers, one text at a time; and held-out accuracy."""
+    import zlib
+
+    import pyarrow as pa
+
+    from hirelake.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs, queries._remainder(4) != 2)
+    lang = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    held = right = 0
+    for r in queries.op5_language_id(spark, sf).collect():
+        text, truth = lang[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if text is None or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        v = np.log1p(langid.counts(pa.array([text]))[0]) * model.idf
+        best = {x: max(float(v @ c / np.linalg.norm(v)) for c in centroids) for x, centroids in zip(model.languages, model.centroids)}
+        assert best[r.lang_pred] > max(best.values()) - 1e-5 and abs(r.cosine - max(best.values())) < 1e-4
+        least = model.least[model.languages.index(r.lang_pred)]
+        assert r.rejected == (r.cosine < least) or abs(r.cosine - least) < 1e-4
+        assert abs(r.score - 1 / sum(np.exp(20 * (x - max(best.values()))) for x in best.values())) < 1e-3
+        if r.held_out and truth is not None:
+            held, right = held + 1, right + (r.lang_pred == truth)
+    assert held and right / held > 0.95
 
 
 def test_html():
@@ -240,10 +318,69 @@ def test_html_keeps_what_holds_the_text(around):
     assert html.main_text(around % "<p>the text</p><div class='share'>share</div><div class='x cookie-banner'>ok?</div>") == "the text"
 
 
-def test_site_templates(spark):
-    pages = [(i, f"http://h.example/{i}", f"<body><div>same on every page</div><p>page {i}</p><section><p>tail</p></section></body>") for i in range(9)] + [(50, None, None), (51, "http://g.example/", "<div>same on every page</div>")]
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<a " * 350_000, "<b>" * 100_000, "<p " + "a" * 500_000 + ">x", "<div class='" + "promo_" * 3000 + "!'>x", "<!" * 300_000, "<div>" * 30_000 + "<article>x</article>" * 30_000])
+def test_html_is_linear_and_takes_any_depth(page):
+    import time
+
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 20
+
+
+def site(n=12, host="h.example"):
+    """Pages of one host: a menu with other links on each, a dated footer, a notice inside the article, a quote on three."""
+    out = []
+    for i in range(n):
+        menu = "".join(f"<li><a href='/{i}/{k}'>{'abcdefgh'[(i + k) % 8]}{k}</a></li>" for k in range(3 + i % 4))
+        quote = "<p>to be or not to be</p>" if i < 3 else ""
+        body = f"<h1>Title {chr(97 + i)}</h1><p>{chr(97 + i) * 40} is what this page says</p>{quote}<p>Share this with all your friends</p>"
+        out.append((i, f"http://{host}/{i}", f"<html><body><div class=x1><ul>{menu}</ul></div><article>{body}</article><div>Seen {i} times, all rights reserved</div></body></html>"))
+    return out
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_site_templates(spark, monkeypatch, most):
+    """By a broadcast of all templates, and by a join."""
+    monkeypatch.setattr(html, "BROADCAST_ROWS", most)
+    pages = site() + [(50, None, None), (51, "http://g.example/", "<div>Seen 4 times, all rights reserved</div>"), (52, "http://h.example/b", ""), *site()[:2]]
+    table = spark.createDataFrame([(i, u, h, "own", i) for i, u, h in pages], "page_id long, url string, html string, host string, templates long").repartition(4)
+    rows = html.extract(table).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == len(pages)
+    for i in range(12):
+        want = [f"Title {chr(97 + i)}", f"{chr(97 + i) * 40} is what this page says"] + ["to be or not to be"] * (i < 3)
+        assert got[i].text == "\n".join(want) and got[i].n_templates == 3
+    assert got[50].text == "" and got[52].text == "" and got[51].text == "Seen 4 times, all rights reserved"
+    assert html.extract(table.where("false")).count() == 0
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    """Twenty copies of one text among other pages, each with an advert of its own, and twelve equal pages."""
+    text = "<p>one</p><p>" + "the longest block of the text " * 3 + "</p><p>three</p>"
+    pages = site() + [(100 + i, f"http://h.example/c{i}", f"<div>advert {chr(97 + i)}</div><div>{text}</div>") for i in range(20)]
+    pages += [(200 + i, "http://e.example/", "<div>always<p>the same</p></div>") for i in range(12)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got[3] == "page 3" and got[50] == "" and got[51] == "same on every page"
+    assert all(got[100 + i].split("\n")[1:] == ["one", "the longest block of the text " * 2 + "the longest block of the text", "three"] for i in range(20))
+    assert all(got[200 + i] == "always\nthe same" for i in range(12))
+
+
+def test_templates_by_brute_force(spark):
+    """The table of templates against counts in plain Python."""
+    pages = site(9) + site(7, "g.example") + site(9)[:4]
+    rows = {}
+    for i, u, h in {p[2] + p[1].split("/")[2]: p for p in pages}.values():
+        content, lead, trees = html.hash_subtrees(html.parse(h))
+        for tree, text in trees.items():
+            rows.setdefault((u.split("/")[2], tree), []).append((content, lead, text))
+    leads = {h: len({x[1] for k, v in rows.items() if k[0] == h for x in v}) for h in ("h.example", "g.example")}
+    want = set()
+    for (host, tree), seen in rows.items():
+        n, different = len({x[0] for x in seen}), len({x[1] for x in seen})
+        text = any(x[2] for x in seen)
+        if n >= 5 and different >= 5 and (not text or different >= leads[host] * html.TEXT_SHARE):
+            want.add(tree)
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.tree for r in html.site_templates(table).collect()} == want and len(want) >= 3
 
 
 def test_lm(docs, empty):
@@ -252,25 +389,72 @@ def test_lm(docs, empty):
     assert all(r.log_likelihood < 0 for r in got.values() if r.n_tokens)
     assert lm.pseudo_likelihood(empty).count() == 0
     rng = np.random.default_rng(0)
-    net, context, target = lm.start(), rng.integers(0, 9, (512, 4)), rng.integers(0, 9, 512)
-    before = lm.forward(net, context)[2][np.arange(512), target].mean()
+    net, past, context, target = lm.start(), [np.full(p.shape, 1e-8, np.float32) for p in lm.start()], rng.integers(0, 9, (512, 4)), rng.integers(0, 99, 512)
+    before = lm.forward(net, context, target)[-1].mean()
     for _ in range(60):
-        lm.train_step(net, context, target, 0.5)
-    assert lm.forward(net, context)[2][np.arange(512), target].mean() > before + 1
+        lm.train_step(net, past, context, target, 0.1)
+    assert lm.forward(net, context, target)[-1].mean() > before + 1
+
+
+def test_lm_scores_as_a_plain_loop_does(docs, rows):
+    counts = lm.vocabulary(docs)
+    (hashes, order), net, totals = lm.train(docs, counts)
+    e, w1, b1, wg, bg, wm, bm = (p.astype(float) for p in net)
+    n = {np.int64(r.word).view(np.uint64): r.n for r in counts.collect()}
+
+    def word(w):
+        from hirelake.llm.arrays import word_hashes
+
+        return word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]
+
+    def of_class(h):
+        at = np.flatnonzero(hashes == h)
+        return int(lm.class_of(order[at[0]] if len(at) else lm.FREQUENT + h % np.uint64(lm.CLASSES - 1 - lm.FREQUENT)))
+
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    got = collected(lm.score(docs, counts, (hashes, order), net, totals))
+    for i, t in rows[:12]:
+        found = [word(w) for w in WORD.findall(t or "")]
+        c = [of_class(h) for h in found]
+        want = 0.0
+        for k, h in enumerate(found):
+            around = [c[j] if 0 <= j < len(c) else lm.EDGE for j in (k - 2, k - 1, k + 1, k + 2)]
+            hidden = np.tanh(e[around].ravel() @ w1 + b1)
+            g, m = divmod(c[k], lm.MEMBERS)
+            want += np.log(softmax(hidden @ wg + bg)[g]) + np.log(softmax(hidden @ wm[g] + bm[g])[m]) + np.log(n[h]) - np.log(totals[c[k]])
+        assert abs(got[i].log_likelihood - want) < 1e-3 * max(1, len(found)) and got[i].n_tokens == len(found)
+
+
+def test_lm_learns_alike_from_any_partitions(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = docs.where("doc_id % 5 = 0")
+    learned = []
+    for parts in (1, 8):
+        own = docs.where("doc_id % 5 != 0").repartition(parts)
+        counts = lm.vocabulary(own)
+        frequent, net, totals = lm.train(own, counts, shard_tokens=10_000)
+        learned.append(lm.score(held, counts, frequent, net, totals).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0])
+        share = np.log(np.maximum(totals, 0.5) / totals.sum())
+        plain = lm.score(held, counts, frequent, [np.zeros_like(p) for p in net], totals).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
+        # A network of zeros gives each class an equal chance.
+        assert learned[-1] > plain + 0.5 and share.min() > -20
+    assert abs(learned[0] - learned[1]) < 1e-3
 
 
 def test_lm_tells_words_of_a_class_apart_and_learns_from_small_partitions(spark, docs):
     rng = random.Random(6)
-    often, seldom = [f"often{i}" for i in range(400)], [f"seldom{i}" for i in range(400)]
-    table = [(i, " ".join(rng.choice(often) for _ in range(30))) for i in range(2000)] + [(5000 + i, " ".join(seldom[30 * i : 30 * i + 30])) for i in range(13)]
+    often, seldom = [f"often{i}" for i in range(1200)], [f"seldom{i}" for i in range(390)]
+    table = [(i, " ".join(rng.choice(often) for _ in range(30))) for i in range(3000)] + [(5000 + i, " ".join(seldom[30 * i : 30 * i + 30])) for i in range(13)]
     own = spark.createDataFrame(table + table[:1], "doc_id long, text string").repartition(3)
     counts = lm.vocabulary(own)
     model = lm.train(own, counts)
-    assert model[2].sum() == sum(len(t.split()) for _, t in table + table[:1]) and counts.count() == 790
+    assert model[2].sum() == sum(len(t.split()) for _, t in table + table[:1]) and counts.count() == 1590
     got = lm.score(own, counts, *model).collect()
     mean = lambda rows: sum(r.log_likelihood for r in rows) / sum(r.n_tokens for r in rows)
     assert len(got) == len(table) + 1
-    # A word seen once is one in some 150 of what an often seen word of its class is: their logarithms differ by 5.
+    # A word seen once is one in some 75 of what an often seen word of its class is.
     assert mean([r for r in got if r.doc_id < 5000]) > mean([r for r in got if r.doc_id >= 5000]) + 3
     joined = sorted((r.doc_id, r.log_likelihood) for r in lm.score(own, counts, *model, common=1).collect())
     assert np.allclose([x for _, x in joined], [x for _, x in sorted((r.doc_id, r.log_likelihood) for r in got)], atol=1e-3)
@@ -291,6 +475,23 @@ def test_quality(spark, empty):
     assert quality.score(empty, labels).count() == 0
     assert {r.score for r in quality.score(docs, labels.where("false")).collect()} == {0.5}
     assert quality.reject(docs, labels).columns == docs.columns
+    # The rules' column against the rules themselves, and a filter that keeps what scores enough.
+    import pyarrow as pa
+
+    sample = quality.labelled_sample(labels, quality.learnable())
+    model = quality.fit(quality.with_statistics(docs), sample)
+    stats = quality.statistics(pa.array([t for _, t in table]))
+    total = model.bias + sum(w * quality.holds(rule, stats) for rule, w in model.rules)
+    want = {i: 1 / (1 + np.exp(-z)) for (i, _), z in zip(table, total)}
+    assert model.rules and all(abs(got[i].score - want[i]) < 1e-9 for i in want)
+    clash = docs.selectExpr("doc_id", "text", "1 AS _quality_n_words", "2 AS `n words`", "3 AS y")
+    clash = clash.union(clash.where("doc_id = 1"))
+    kept = quality.reject(clash, labels)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == sorted([i for i in want if want[i] >= 0.3] + [1] * int(want[1] >= 0.3))
+    assert quality.labelled_sample(labels, quality.learnable(), most=50).count() == 50
+    assert quality.reject(empty, labels).count() == 0
+    twice = labels.union(labels.selectExpr("doc_id", "1 - quality", "toxic").where("doc_id < 5"))
+    assert quality.labelled_sample(twice, quality.learnable()).count() > sample.count()
 
 
 def test_bpe(docs, rows, empty):
@@ -325,4 +526,54 @@ def test_pipeline(spark):
         assert docs.columns == columns, name
         assert 0 < docs.count() <= before
         before = docs.count()
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == before
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert sorted(map(str, last.collect())) == sorted(map(str, corpus_pipeline.run(spark, sf).collect()))
+
+
+def test_the_pipeline_by_brute_force(spark, rows, tmp_path):
+    """Stages 2 to 5 on a small corpus with nulls, copies, repeated rows and clashing columns, each in plain Python."""
+    import corpus_pipeline
+
+    tiktoken = pytest.importorskip("tiktoken")
+    P = pytest.importorskip("public_tokenizers")
+    table = [(i, t, len(t or ""), i % 3) for i, t in rows] + [(None, "no id at all", 12, 7), (0, rows[0][1], len(rows[0][1]), 5), (3000, "lead in " + rows[8][1] + " out", 1, 1)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, n_chars long, runs int")
+    spark.createDataFrame([(0, " ".join((rows[12][1] or "").split()[:30])), (1, "two words"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def shingles(t, size):
+        w = WORD.findall((t or "").lower())
+        return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+
+    # near duplicates: the least id of each group stays
+    sets = {i: shingles(t, 5) for i, t, _, _ in table if i is not None}
+    root = {i: i for i in sets}
+    find = lambda a: a if root[a] == a else find(root[a])
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    table = [r for r in table if r[0] is None or find(r[0]) == r[0]]
+    docs = stages["n-gram Jaccard join"](spark, docs, str(tmp_path))
+    assert sorted(map(str, map(tuple, docs.collect()))) == sorted(map(str, table))
+    # repeated bytes go; cut characters go as a whole
+    gone = removed(sorted({(i, (t or "").encode()) for i, t, _, _ in table if i is not None}), 100)
+    cut = []
+    for i, t, n, x in table:
+        kept = t if t is None or i is None else bytes(c for c, g in zip(t.encode(), gone[i]) if not g).decode("utf-8", "ignore")
+        if kept or not t:
+            cut.append((i, kept, None if kept is None else len(kept), x))
+    docs = stages["suffix-array dedup"](spark, docs, str(tmp_path))
+    assert sorted(map(str, map(tuple, docs.collect()))) == sorted(map(str, cut))
+    # benchmark items
+    items = [(" ".join((rows[12][1] or "").split()[:30])), "two words"]
+    hit = lambda t: any((k := min(5, len(q.split()))) and len(shingles(q, k) & shingles(t, k)) * 100 >= len(shingles(q, k)) * 80 for q in items)
+    clean = [r for r in cut if r[0] is None or not hit(r[1])]
+    docs = stages["benchmark decontamination"](spark, docs, str(tmp_path))
+    assert sorted(map(str, map(tuple, docs.collect()))) == sorted(map(str, clean)) and len(clean) < len(cut)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = sorted((str(i), own.encode_ordinary(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _, _ in clean)
+    assert sorted((str(r.doc_id), r.ids, r.decoded_sha256) for r in stages["byte-level BPE"](spark, docs, str(tmp_path)).collect()) == want
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.where("false") if "text" in docs.columns else docs, str(tmp_path)).count() == 0, name
