@@ -24,6 +24,19 @@ def shard_assign(companies: DataFrame, n: int = 60) -> DataFrame:
     return companies.withColumn("shard", (F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 4), 16, 10).cast("int") % n).cast("int"))
 
 
+def shard_ranges(companies: DataFrame, shards: int, buckets: int = 60) -> DataFrame:
+    """``owner``: which of so many shards has each company's bucket; shard i has those from i * buckets / shards on.
+
+    Ranges meet without a gap or an overlap, so every company with an id has one owner; more shards than buckets leave
+    some without any.
+    """
+    if shards < 1:
+        raise ValueError("at least one shard")
+    # The last i with floor(i * buckets / shards) <= bucket.
+    owner = F.floor(((F.col("shard") + 1) * shards - 1) / buckets)
+    return shard_assign(companies, buckets).withColumn("owner", owner.cast("int"))
+
+
 #: Entities decoded before and after tags go, the ampersand last; and elements whose end is a line break.
 ENTITIES = [
     ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("mdash", "—"), ("ndash", "–"), ("hellip", "…"),

@@ -14,7 +14,8 @@ from ..operators import lifecycle as C
 from ..operators import retrieval as R
 from ..operators import text as T
 from ..operators.joins import merge_writer, patch_nonnull
-from ..sources.tables import enriched_postings, load_tables, seeds_from_json, seeds_from_sql
+from ..sources.shared import shared_path
+from ..sources.tables import enriched_postings, load_tables, seeds_from_json, seeds_from_sql, snapshot_totals
 from .bindings import EVENTS_AS_OF as EV
 from .bindings import ORDERS_AS_OF as OR
 from .bindings import bind, with_clause
@@ -199,6 +200,7 @@ def _candidates(c: DataFrame) -> DataFrame:
 # --- text jobs
 register("dedup_keys", r"SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(lang, '')), '[ \t\n]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(coalesce(source, '')), '[ \t\n]+', ' ', 'g'))) AS role_key, CASE WHEN text <> '' THEN md5(text) END AS content_key FROM documents", "documents")(lambda d: T.dedup_keys(d.select("doc_id", F.col("lang").alias("title"), F.col("source").alias("location"), "text")).select("doc_id", "role_key", "content_key"))
 register("shard_assign", "SELECT id, CAST(CAST('0x' || substring(md5(CAST(id AS VARCHAR)), 1, 4) AS INT) % 60 AS INT) AS shard FROM companies", M)(lambda c: T.shard_assign(c).select("id", "shard"))
+register("shard_ranges", "SELECT c.id, r.i AS owner FROM (SELECT id, CAST('0x' || substring(md5(CAST(id AS VARCHAR)), 1, 4) AS INT) % 60 AS shard FROM companies) c JOIN (SELECT CAST(i AS INT) AS i, i * 60 // 7 AS b, (i + 1) * 60 // 7 AS e FROM range(7) t(i)) r ON shard >= b AND shard < e", M)(lambda c: T.shard_ranges(c, 7).select("id", "owner"))
 
 
 def _clean_sql() -> str:
@@ -408,4 +410,9 @@ def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_tables(spark, sf_dir, ["orders"], {"orders": ["o_orderkey", "o_totalprice"]}, {"orders": "o_orderstatus = 'O' AND o_totalprice > 200000"})["orders"]
 
 
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_totals(bind(spark, sf_dir, M), bind(spark, sf_dir, J), shared_path(spark, "totals"), OR)
+
+
+QUERIES["snapshot_totals"], ORACLES["snapshot_totals"] = _snapshot, f"{with_clause()} {_TOTALS}"
 QUERIES["load_tables"], ORACLES["load_tables"] = _loaded, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 200000"

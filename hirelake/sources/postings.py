@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lifecycle import archive_replay
 from ..operators.text import clean_html, compensation
 
 _LABEL = "STRUCT<label: STRING>"
@@ -201,3 +202,8 @@ def normalize_details(raw: DataFrame) -> DataFrame:
         "ats", "company_id", "external_id", F.nullif(_cleaned(F.col("markup")), F.lit("")).alias("description"), "location", "url", "department", "employment_type", "comp_min", "comp_max", "comp_currency",
         interval_of("pay_interval").alias("comp_interval"), "comp_text", F.col("place").alias("remote"), instant_of("published").alias("source_published_at"), "sr_function", "sr_industry", "sr_experience_level",
     )
+
+
+def replay_postings(archive: DataFrame, as_of: str) -> DataFrame:
+    """Postings derived again from archived payloads (with ats): each company's payload as of an instant, mapped anew."""
+    return normalize_postings(archive_replay(archive, as_of))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.analytics import totals_by_source
+from ..operators.joins import merge_writer
 from .shared import delete
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -68,6 +70,25 @@ def read_version(spark: SparkSession, path: str, number: int | None = None) -> D
     return spark.read.parquet(f"{path}/version={max(versions) if number is None else number}")
 
 
+def merge_version(path: str, batch: DataFrame, keys: list[str], update_cols: list[str]) -> int:
+    """Inserts or updates a batch by key into the newest version of a table, as its next version.
+
+    Where there is none yet, the batch is the first. Rows that repeat a key in the batch would repeat in the table.
+    """
+    spark = batch.sparkSession
+    known = _versions(spark, path)
+    return write_version(merge_writer(read_version(spark, path, max(known)), batch, keys, update_cols) if known else batch, path)
+
+
+def snapshot_totals(companies: DataFrame, jobs: DataFrame, path: str, as_of: str) -> DataFrame:
+    """Writes the totals of each source (with those new in 1, 7 and 30 days) as the next version, and reads it back.
+
+    Readers of the newest version see the old totals until the new ones are whole.
+    """
+    write_version(totals_by_source(companies, jobs, as_of), path)
+    return read_version(companies.sparkSession, path)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelake.operators import analytics, evaluation, filters, lifecycle, text
-from hirelake.sources.tables import read_version, write_version
+from hirelake.sources.postings import replay_postings
+from hirelake.sources.tables import merge_version, read_version, write_version
 
 
 def one(spark, values, column, kind="string"):
@@ -127,3 +128,26 @@ def test_titles_come_back_to_repeated_and_null_rows(spark):
     got = {r.id: (r.tag_family, r.tag_x, r.tag_by) for r in text.tag_titles(rows).collect()}
     assert got == {1: ("skilled_trades", "x", "rules"), 2: ("skilled_trades", "x", "rules"), 3: (None, "y", "low"), 4: (None, "y", "low")}
     assert text.tag_titles(rows.where(F.lit(False))).count() == 0
+
+
+def test_batches_merge_into_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for rows in ([(1, "a", 1), (2, "b", 1)], [(2, "c", 9), (3, "d", 9)], []):
+        merge_version(path, spark.createDataFrame(rows, "id int, x string, y int"), ["id"], ["x"])
+    assert sorted(map(tuple, read_version(spark, path).collect())) == [(1, "a", 1), (2, "c", 1), (3, "d", None)]
+
+
+@pytest.mark.parametrize("shards", [1, 4, 7, 60, 61])
+def test_shard_ranges_are_disjoint_and_complete(spark, shards):
+    got = text.shard_ranges(spark.createDataFrame([(i,) for i in range(500)] + [(None,)], "id long"), shards).collect()
+    for r in got:
+        if r.id is not None:
+            assert [i for i in range(shards) if i * 60 // shards <= r.shard < (i + 1) * 60 // shards] == [r.owner]
+    assert len(got) == 501 and [r.owner for r in got if r.id is None] == [None]
+
+
+def test_archived_payloads_are_mapped_again(spark):
+    body = '{"jobs": [{"id": 5, "title": "T", "location": {"name": "Berlin"}}]}'
+    archive = spark.createDataFrame([("greenhouse", 7, "h1", body, dt.datetime(2024, 1, 1)), ("greenhouse", 7, "h2", "{}", dt.datetime(2024, 1, 9))], "ats string, company_id long, content_hash string, body string, created_at timestamp_ntz")
+    assert [(r.external_id, r.title) for r in replay_postings(archive, "2024-01-05 00:00:00").collect()] == [("5", "T")]
+    assert replay_postings(archive, "2024-01-10 00:00:00").count() == replay_postings(archive, "2023-01-01 00:00:00").count() == 0
