@@ -20,6 +20,9 @@ from .arrays import flat, longs
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 #: Code points of a window, and slots of the sketch of a fingerprint.
 WINDOW, SLOTS = 16, 128
+#: Texts under so many code points have a second sketch, of short windows (of single points under the last number); two
+#: texts are compared by these if one is under the second number.
+SHORT, COMPARED_SHORT, SHORT_WINDOW, SHORT_SLOTS, TINY = 128, 64, 4, 64, 8
 CHUNK_POINTS = 1 << 18
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long, next_doc_id long"
 _U = np.uint64
@@ -96,12 +99,28 @@ def _spread(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
-def sketches(n: int, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def sketches(n: int, owner: np.ndarray, hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """For each of n texts, one byte for each slot: of the least spread window hash that falls there; 0 for none."""
     h = _spread(hashes)
-    least = np.full(n * SLOTS, np.iinfo(np.uint64).max, _U)
-    np.minimum.at(least, owner * SLOTS + (h & _U(SLOTS - 1)).astype(np.int64), h >> _U(7))
-    return np.where(least == np.iinfo(np.uint64).max, 0, _spread(least) % _U(255) + _U(1)).astype(np.uint8).reshape(n, SLOTS)
+    least = np.full(n * slots, np.iinfo(np.uint64).max, _U)
+    np.minimum.at(least, owner * slots + (h & _U(slots - 1)).astype(np.int64), h >> _U(7))
+    return np.where(least == np.iinfo(np.uint64).max, 0, _spread(least) % _U(255) + _U(1)).astype(np.uint8).reshape(n, slots)
+
+
+def short_sketches(texts: list[np.ndarray]) -> np.ndarray:
+    """Sketches of short windows of the texts (code points) under ``SHORT``; zeros for longer ones."""
+    out = np.zeros((len(texts), SHORT_SLOTS), np.uint8)
+    at = np.flatnonzero([0 < len(t) < SHORT for t in texts])
+    if len(at):
+        size = np.array([len(texts[i]) for i in at])
+        owner = np.repeat(np.arange(len(at)), size)
+        start = np.cumsum(size) - size
+        width = np.where(size < TINY, 1, SHORT_WINDOW)[owner]
+        place = np.arange(len(owner))
+        hashes = PrefixHashes(np.concatenate([texts[i] for i in at]))
+        inside = place - start[owner] + width <= size[owner]
+        out[at] = sketches(len(at), owner[inside], hashes.spans(place[inside], (place + width)[inside]), SHORT_SLOTS)
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -119,8 +138,13 @@ def points_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), heads[offs]
 
 
-def _hex(h: np.ndarray, sketch: np.ndarray) -> list[str]:
-    return [f"{int(x):016x}{row.tobytes().hex()}" for x, row in zip(h, sketch, strict=True)]
+def _hex(h: np.ndarray, sketch: np.ndarray, short: np.ndarray) -> list[str]:
+    """The fingerprint: the whole text's hash, the sketch, and that of short windows where there is one."""
+    return [f"{int(x):016x}{row.tobytes().hex()}{few.tobytes().hex() if few.any() else ''}" for x, row, few in zip(h, sketch, short, strict=True)]
+
+
+def _alike(a: np.ndarray, b: np.ndarray, short_a: np.ndarray, short_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, same: np.ndarray) -> np.ndarray:
+    return np.where((np.minimum(size_a, size_b) < COMPARED_SHORT) & (np.maximum(size_a, size_b) < SHORT), likeness(short_a, short_b, same), likeness(a, b, same))
 
 
 def _pairs(ids: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
@@ -153,15 +177,17 @@ def _pairs(ids: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
     little = np.flatnonzero((keep + take < k) & (keep + take > 0))
     edited_sketch = sketches(n, np.concatenate([owner[own], owner[new] - 1, at, little]), np.concatenate([windows[own], windows[new], across, edited[little]]))
     prefix = hashes.extension(start[:n], start[1:], np.minimum(size[:n], size[1:]))
+    few = short_sketches([points[i : i + m] for i, m in zip(start, size, strict=True)])
+    edited_few = short_sketches([np.concatenate([points[i : i + m], points[r : r + t]]) if m + t < SHORT else points[:0] for i, m, r, t in zip(start[:n], keep, right, take, strict=True)])
     sha = [hashlib.sha256(np.concatenate([points[s : s + m], points[r : r + t]]).tobytes().decode("utf-32-le").encode()).hexdigest() for s, m, r, t in zip(start[:n], keep, right, take, strict=True)]
     rows = {
         "doc_id": ids[:n],
         "n_chars": size[:n],
         "edited_sha256": sha,
-        "fingerprint": _hex(whole[:n], sketch[:n]),
-        "edited_fingerprint": _hex(edited, edited_sketch),
-        "near_edited": likeness(sketch[:n], edited_sketch, whole[:n] == edited),
-        "near_next": likeness(sketch[:n], sketch[1:], whole[:n] == whole[1:]),
+        "fingerprint": _hex(whole[:n], sketch[:n], few[:n]),
+        "edited_fingerprint": _hex(edited, edited_sketch, edited_few),
+        "near_edited": _alike(sketch[:n], edited_sketch, few[:n], edited_few, size[:n], keep + take, whole[:n] == edited),
+        "near_next": _alike(sketch[:n], sketch[1:], few[:n], few[1:], size[:n], size[1:], whole[:n] == whole[1:]),
         "common_prefix": prefix,
         "next_doc_id": ids[1:],
     }
