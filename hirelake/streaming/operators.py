@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lifecycle import KEYS, close_unseen, lifecycle_merge
 from ..operators.retrieval import incremental_match, vector_topk_many
@@ -58,19 +62,22 @@ def stream_rolling_block(probes: DataFrame, path: str, n: int = 20, **trigger) -
 
 
 def stream_archive_dedup(raw: DataFrame, path: str, **trigger) -> StreamingQuery:
-    """Payloads whose content differs from the company's one before (A, B, A are three); carries one hash a company."""
+    """Payloads whose content differs from the company's one before (A, B, A are three), written under path/out.
 
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = batch.select("company_id", "id", "fetched_at", F.sha2(F.coalesce("body", F.lit("")), 256).alias("content_hash"))
-        order = Window.partitionBy("company_id").orderBy("fetched_at", "id")
-        old = before.withColumnRenamed("content_hash", "known")
-        rows = new.withColumn("last", F.lag("content_hash").over(order)).join(old, "company_id", "left")
-        changed = rows.where(~F.col("content_hash").eqNullSafe(F.coalesce("last", "known"))).select("company_id", "id", "content_hash")
-        latest = new.groupBy("company_id").agg(F.max_by("content_hash", F.struct("fetched_at", "id")).alias("newest"))
-        after = before.join(latest, "company_id", "full_outer").select("company_id", F.coalesce("newest", "content_hash").alias("content_hash"))
-        return changed, after
-
-    return start_carrying(raw, step, "company_id LONG, content_hash STRING", path, **trigger)
+    The state is one hash a company, in the state store: a micro-batch touches only the companies that it holds. What a
+    task holds of a company are hashes of one micro-batch, ordered by (fetched_at, id), unknown times first. Payloads
+    without a company are left out; a null one is an empty one.
+    """
+    new = raw.where("company_id IS NOT NULL").select(F.col("company_id").cast("long").alias("company_id"), F.col("id").cast("long").alias("id"), "fetched_at", F.sha2(F.coalesce("body", F.lit("")), 256).alias("content_hash"))
+
+    def changed(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(["fetched_at", "id"], na_position="first")
+        before = rows["content_hash"].shift(fill_value=state.get[0] if state.exists else "")
+        state.update((rows["content_hash"].iloc[-1],))
+        yield rows.loc[rows["content_hash"] != before, ["company_id", "id", "content_hash"]]
+
+    out = new.groupBy("company_id").applyInPandasWithState(changed, "company_id LONG, id LONG, content_hash STRING", "content_hash STRING", "append", GroupStateTimeout.NoTimeout)
+    return out.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_stale_runs(run_events: DataFrame, path: str, minutes: int = 45, **trigger) -> StreamingQuery:

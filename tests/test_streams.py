@@ -31,10 +31,10 @@ def feed(spark, tmp_path):
 
 
 def test_archive_keeps_a_return_to_old_content(spark, feed):
-    stream, path = feed([[(1, 1, at(0), "a"), (1, 2, at(1), "b")], [(1, 3, at(2), "b"), (2, 4, at(2), None)], [(1, 5, at(3), "a"), (2, 6, at(3), "")]], "company_id LONG, id LONG, fetched_at TIMESTAMP_NTZ, body STRING")
+    stream, path = feed([[(1, 1, at(0), "a"), (1, 2, at(1), "b")], [(1, 3, at(2), "b"), (2, 4, at(2), None)], [(1, 5, at(3), "a"), (2, 6, at(3), ""), (None, 7, at(3), "z")]], "company_id LONG, id LONG, fetched_at TIMESTAMP_NTZ, body STRING")
     S.stream_archive_dedup(stream, path).awaitTermination()
     assert sorted(r.id for r in results(spark, path).collect()) == [1, 2, 4, 5]
-    assert carried(spark, path).count() == 2
+    assert spark.read.format("statestore").load(f"{path}/checkpoint").count() == 2
 
 
 def test_rolling_rate_runs_on_over_batches(spark, feed):
