@@ -31,8 +31,6 @@ def _ranked(df: DataFrame, by: str, score: str, k: int, item: str = "item") -> D
 
 #: Queries are a broadcast side; more than about this many are searched for in blocks, each broadcast by itself.
 MOST_QUERIES = 10_000
-#: Times of campaigns' last runs that one matching goes through.
-MOST_WATERMARKS = 200
 #: Numbers in the broadcast matrix of query terms by queries.
 MOST_TERM_CELLS = 16_000_000
 
@@ -49,36 +47,42 @@ def _schema(queries: DataFrame, items: DataFrame, *scores: str) -> T.StructType:
     return T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("item", items.schema["item"].dataType), *(T.StructField(s, T.DoubleType()) for s in scores)])
 
 
-def vector_topk_many(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def vector_topk_many(items: DataFrame, queries: DataFrame, k: int, newer: tuple[str, str] | None = None) -> DataFrame:
     """query, item, similarity (4 digits), rank: the k nearest items of each query by cosine, exactly.
 
     Every item meets every stated query once, as blocks of a matrix product; vectors are brought to length one once, and
     each task keeps its k best of a query, so that k rows a task and query are shuffled. Ties go to the lesser item.
     Vectors that are null, zero, hold a null or have another width than the queries' have no similarity to anything.
-    An item or query that comes twice is found twice. Other columns are ignored.
+    An item or query that comes twice is found twice. With ``newer`` (a time of items, a time of queries) a query meets
+    only items of a later time than its own; one without a time meets all. Other columns are ignored.
     """
-    return _in_blocks(queries, -(-queries.count() // MOST_QUERIES), lambda block: _topk(items, block, k))
+    return _in_blocks(queries, -(-queries.count() // MOST_QUERIES), lambda block: _topk(items, block, k, newer))
 
 
-def _topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    table = queries.select("query", "vector").where("query IS NOT NULL").toArrow()
+def _topk(items: DataFrame, queries: DataFrame, k: int, newer: tuple[str, str] | None) -> DataFrame:
+    never = -(2**63)
+    micros = lambda i: F.coalesce(F.unix_micros(F.col(newer[i]).cast("timestamp")), F.lit(never)) if newer else F.lit(never)
+    table = queries.where("query IS NOT NULL").select("query", "vector", micros(1).alias("since")).toArrow()
     at, matrix = unit_vectors(table.column("vector"))
-    shared = items.sparkSession.sparkContext.broadcast((ids(table.column("query").combine_chunks())[at], matrix))
+    shared = items.sparkSession.sparkContext.broadcast((ids(table.column("query").combine_chunks())[at], matrix, table.column("since").to_numpy()[at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
+        names, matrix, since = shared.value
         best = Best(len(matrix), k, 4)
         rows = max(1, BLOCK // max(len(matrix), 1))
         for batch in batches:
             for begin in range(0, batch.num_rows if len(matrix) else 0, rows):
                 part = batch.slice(begin, rows)
                 at, vectors = unit_vectors(part.column("vector"), matrix.shape[1])
-                best.add(ids(part.column("item"))[at], vectors @ matrix.T)
+                scores = vectors @ matrix.T
+                if newer:
+                    scores[(part.column("time").to_numpy()[at][:, None] <= since) & (since > never)] = np.nan
+                best.add(ids(part.column("item"))[at], scores)
         out = best.batch(names, ["similarity"])
         if out is not None:
             yield out
 
-    found = items.select("item", "vector").where("item IS NOT NULL").mapInArrow(run, _schema(queries, items, "similarity"))
+    found = items.where("item IS NOT NULL").select("item", "vector", micros(0).alias("time")).mapInArrow(run, _schema(queries, items, "similarity"))
     return _ranked(found.withColumn("similarity", F.round("similarity", 4)), "query", "similarity", k)
 
 
@@ -282,20 +286,13 @@ def campaign_match(campaigns: DataFrame, jobs: DataFrame, matches: DataFrame, k:
     campaigns: campaign, status, last_run_at, vector. jobs: item, vector, first_seen_at and the filtered columns. Jobs
     are open, not known noise, and first seen after the campaign's last run (all, before its first). Each campaign finds
     its k nearest of these; a rank is the place among what it found, and pairs in ``matches`` are not given again.
-    Campaigns that last ran at one time are searched together. One without a vector finds nothing and keeps its
-    watermark, as inactive ones do.
+    One without a vector finds nothing and keeps its watermark, as inactive ones do.
     """
     ready = (F.col("status") == "active") & F.col("vector").isNotNull()
     active = campaigns.where(ready).select(F.col("campaign").alias("query"), "vector", "last_run_at")
-    runs = [r.last_run_at for r in active.select("last_run_at").distinct().orderBy("last_run_at").limit(MOST_WATERMARKS + 1).collect()]
-    if len(runs) > MOST_WATERMARKS:
-        raise ValueError(f"more than {MOST_WATERMARKS} times of last runs; run campaigns in cycles")
-    base = hard_filters(jobs)
-    parts = [vector_topk_many(base if at is None else base.where(F.col("first_seen_at") > F.lit(str(at)).cast("timestamp_ntz")), active.where(F.col("last_run_at").eqNullSafe(F.lit(None if at is None else str(at)).cast("timestamp_ntz"))), k) for at in runs]
+    found = vector_topk_many(hard_filters(jobs), active, k, ("first_seen_at", "last_run_at"))
+    found = found.select(F.col("query").alias("campaign"), F.col("item").alias("job"), F.col("similarity").alias("score"), "rank")
     moved = campaigns.withColumn("last_run_at", F.when(ready, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("last_run_at")))
-    if not parts:
-        return jobs.sparkSession.createDataFrame([], "campaign long, job long, score double, rank int"), moved
-    found = reduce(DataFrame.unionByName, parts).select(F.col("query").alias("campaign"), F.col("item").alias("job"), F.col("similarity").alias("score"), "rank")
     return found.join(matches.select("campaign", "job"), ["campaign", "job"], "left_anti"), moved
 
 

@@ -32,6 +32,16 @@ def test_nearest_by_brute_force(spark, monkeypatch, most):
     assert retrieval.vector_topk_many(items, queries.where("false"), 5).count() == 0
 
 
+def test_only_newer_items_are_met(spark):
+    import datetime as dt
+
+    day = lambda n: None if n is None else dt.datetime(2024, 1, n)
+    items = spark.createDataFrame([(i, [1.0, float(i)], day(d)) for i, d in enumerate([1, 2, 3, None], 1)], "item long, vector array<double>, seen timestamp_ntz")
+    queries = spark.createDataFrame([(7, [1.0, 1.0], day(2)), (8, [1.0, 1.0], None), (9, [1.0, 1.0], day(9))], "query long, vector array<double>, ran timestamp_ntz")
+    got = retrieval.vector_topk_many(items, queries, 9, ("seen", "ran")).collect()
+    assert {(r.query, r.item) for r in got} == {(7, 3), (8, 1), (8, 2), (8, 3), (8, 4)}
+
+
 def test_labelled_vectors_by_brute_force(spark):
     rng = random.Random(2)
     rows = lambda n, key: [(i, label, [rng.random() for _ in range(4)]) for i in range(n) for label in ("role", "team", "x") if rng.random() < 0.7] + [(0, "role", None)]
