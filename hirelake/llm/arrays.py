@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 2000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -34,14 +34,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of a piece hold ``limit`` bytes at most; one longer text is a piece of its own."""
+    """The batches cut so that the texts of a piece hold ``limit`` bytes at most, in ``CHUNK_ROWS`` rows at most; one longer
+    text is a piece of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offs = flat(batch.column(text))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
+            to = min(max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1), at + CHUNK_ROWS)
             yield batch.slice(at, to - at)
             at = to
 

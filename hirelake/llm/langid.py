@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import CHUNK_BYTES, chunks, flat
+from .arrays import chunks, flat
 
 #: Dimensions that n-grams are hashed to, and centroids of a language.
 DIMENSIONS, CENTROIDS = 4096, 4
@@ -71,7 +71,7 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarra
 
 def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(DIMENSIONS, np.int64), 0
-    for chunk in chunks(batches, limit=CHUNK_BYTES // 2):
+    for chunk in chunks(batches):
         df += (counts(chunk.column("text")) > 0).sum(0)
         n += chunk.num_rows
     if n:
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, learn: Column, most_languages: int = MOST_LANGUAGES, sa
     sample = one.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.abs(F.col("hash").cast("double")), "hash"))).where(F.col("rn") <= sample_rows)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, limit=CHUNK_BYTES // 2):
+        for chunk in chunks(batches):
             v = vectors(chunk.column("text"), idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([chunk.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], names=["lang", "v"])
 
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, limit=CHUNK_BYTES // 2):
+        for chunk in chunks(batches):
             near, score, cosine, far = shared.value.predict(chunk.column("text"))
             told = ["und" if f else x for x, f in zip(near, far, strict=True)]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(told, pa.string()), pa.array(score), pa.array(near, pa.string()), pa.array(cosine), pa.array(far)], names=["doc_id", "lang_pred", "score", "nearest", "cosine", "rejected"])
