@@ -31,6 +31,8 @@ from .tables import written
 
 #: Segments of one anchor that a task compares by content; windows of an anchor with more are dealt one by one.
 HOT = 20_000
+#: So many such anchors (16 bytes each) are broadcast; more are joined.
+BROADCAST_HOT = 100_000
 #: n > 0: n windows from lo on, to be compared. n < 0: -n windows known to repeat.
 ROWS = "route long, seg long, doc_id long, tie long, lo int, n int"
 FOUND = "doc_id long, tie long, lo int, n int, anchor long"
@@ -234,7 +236,8 @@ def repeated_windows(docs: DataFrame, find: Callable, cut: Callable, hashes: Cal
     keys = ["route", "seg", "doc_id", "tie", "lo"]
     found = written(known_ids.mapInArrow(_map(find), ROWS).repartition("route").sortWithinPartitions(*keys).mapInArrow(_resolve, FOUND), "segments")
     left = found.where("n > 0")
-    hot = left.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
+    hot = written(left.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
     wanted = left.join(hot, "anchor", "left").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("lo", "n", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     pieces = with_runs(docs, wanted, "inner").mapInArrow(_cut(cut, hashes), f"kind int, anchor long, doc_id long, tie long, lo int, n int, content {content}")
     settled = pieces.repartition("kind", "anchor").sortWithinPartitions("kind", "anchor", "doc_id", "tie", "lo").mapInArrow(_settle(compare), "doc_id long, tie long, lo int, n int")
