@@ -26,6 +26,8 @@ MOST_MATCHES, VERIFY_COST = 3, 8.0
 _B = np.uint64(BUCKETS - 1)
 #: Bits of a set's parity bitmap, and the most documents whose ids are broadcast to pick them from the corpus.
 BITS, BROADCAST_IDS = 2048, 1_000_000
+#: Sets of copies that are broadcast at most, and the least copies of one.
+HOT_SETS, LEAST_COPIES = 10_000, 1000
 #: Sets from this size on have a wide bitmap as well, as a narrow one tells nothing of them.
 WIDE_FROM, WIDE_BITS = 1200, 32768
 
@@ -203,6 +205,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame, size: int,
     return counted.where(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent)
 
 
+def _speakers(members: DataFrame) -> DataFrame:
+    """doc_id, n, node: of the documents with equal sets the least id speaks for all; no node for an empty set.
+
+    Sets with more copies than one document in ``1 / HOT_SETS`` (1,000 at least) are no more than ``HOT_SETS``: they are
+    broadcast, so that no task gets all copies of one. The others are joined.
+    """
+    keys = ["n", "s1", "s2"]
+    some = F.expr("n > 0 AND doc_id IS NOT NULL")
+    sets = members.where(some).groupBy(*keys).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    most = max(LEAST_COPIES, members.count() // HOT_SETS)
+    hot = F.broadcast(sets.where(F.col("copies") > most).select(*keys, F.col("node").alias("hot")))
+    marked = members.where(some).join(hot, keys, "left")
+    cold = marked.where("hot IS NULL").select("doc_id", *keys).join(sets.where(F.col("copies") <= most), keys)
+    none = members.where(~F.coalesce(some, F.lit(False))).select("doc_id", "n", F.lit(None).cast("long").alias("node"))
+    return marked.where("hot IS NOT NULL").select("doc_id", "n", F.col("hot").alias("node")).unionByName(cold.select("doc_id", "n", "node")).unionByName(none)
+
+
 def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents whose sets of word shingles are alike, as connected by links of at least ``percent`` Jaccard.
 
@@ -226,8 +245,7 @@ def link_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     excess = _excess(frequencies(summary.where("n < 0").select("counts")))
     members = summary.where("n >= 0").select("doc_id", "n", "s1", "s2")
     bitmaps = summary.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits", "wide")
-    speakers = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    nodes = written(members.join(speakers, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "nodes")
+    nodes = written(_speakers(members), "nodes")
 
     rows = docs.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(excess)), "token long, doc_id long, info int, last int")
     often = rows.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
