@@ -132,11 +132,12 @@ def test_a_repeated_row_does_not_erase_itself(spark, rows, parts):
         assert len(got) == 2 * len(rows) and all(want[i] == kept for i, kept in got)
 
 
-@pytest.mark.parametrize("hot", [1, 20_000])
-def test_repeats_with_null_and_repeated_ids_and_hot_anchors(spark, rows, monkeypatch, hot):
+@pytest.mark.parametrize("hot, sent", [(1, 100_000), (1, 0), (20_000, 100_000)])
+def test_repeats_with_null_and_repeated_ids_and_hot_anchors(spark, rows, monkeypatch, hot, sent):
     """Rows that share a doc_id follow each other by the hash of their text; a null one has no part."""
     xxhash = pytest.importorskip("xxhash")
     monkeypatch.setattr(substring.repeats, "HOT", hot)
+    monkeypatch.setattr(substring.repeats, "BROADCAST_HOT", sent)
     line = " ".join(f"common{k}" for k in range(14))  # between other words each time, so that segments differ
     table = rows + [(i, f"{w} {line} {w}{i} " + " ".join(f"{w}{k}" for k in range(30))) for i, w in enumerate(["uu", "vv", "uu", "ww", "vv"], 9)] + [(9, rows[0][1]), (3, line * 3), (3, rows[4][1]), (None, rows[0][1]), (None, None)]
     docs = spark.createDataFrame([(t, 5, i, "x") for i, t in table], "text string, tie int, doc_id int, runs string").repartition(6)
@@ -220,6 +221,46 @@ def test_jaccard(spark, docs, rows, empty):
     assert sorted((r.doc_id or -1, r.component_id) for r in jaccard.link_similar(twice, 4, 85).collect())[1:] == [(1, 1), (9, 1)]
 
 
+@pytest.mark.parametrize("change", [{"LEAST_COPIES": 1, "HOT_SETS": 1000}, {"BROADCAST_IDS": 0}, {"WIDE_FROM": 5}, {"BUCKETS": 8, "_B": np.uint64(7)}])
+def test_jaccard_by_every_plan(docs, monkeypatch, change):
+    """Copies by broadcast, ids by a join, wide bitmaps, a sketch that tells nothing: the groups stay the same."""
+    want = {r.doc_id: tuple(r) for r in jaccard.link_similar(docs, 4, 85).collect()}
+    for name, value in change.items():
+        monkeypatch.setattr(jaccard, name, value)
+    assert {r.doc_id: tuple(r) for r in jaccard.link_similar(docs, 4, 85).collect()} == want
+
+
+def test_decontaminate_by_joins(spark, docs, rows, monkeypatch):
+    table = spark.createDataFrame([(0, " ".join(rows[8][1].split()[5:40])), (1, "one two")], "item_id long, text string")
+    want = sorted(decontaminate.find_items(docs, table).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    assert sorted(decontaminate.find_items(docs, table).collect()) == want and want
+
+
+def test_likeness_is_near_the_share_of_common_windows(spark):
+    """Against the sets of windows themselves; the sketch's error is some 0.1 at most in 128 slots."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 200")
+    texts = dict(docs.select("doc_id", "text").collect())
+    order = sorted(texts)
+    dice = lambda a, b: 2 * len(a & b) / max(1, len(a) + len(b))
+    windows = lambda t: {t[k : k + 16] for k in range(len(t) - 15)}
+    errors = []
+    for r in fingerprints.fingerprint_with_next(docs, partitions=4).collect():
+        text, after = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        errors += [abs(r.near_next - dice(windows(text), windows(after))), abs(r.near_edited - dice(windows(text), windows(edited)))]
+    assert max(errors) < 0.25 and sum(errors) / len(errors) < 0.05
+
+
+def test_short_texts_have_a_likeness(spark):
+    table = [(1, "Short text, 30 points at most."), (2, "Another one of few code points"), (3, "Another one of few code pOints"), (4, "abc"), (5, "abd"), (6, ""), (7, "x" * 90), (8, "x" * 90)]
+    got = collected(fingerprints.fingerprint_with_next(spark.createDataFrame(table, "doc_id long, text string"), partitions=1))
+    assert 0.2 < got[1].near_edited < 0.9 and got[1].near_next < 0.3 and 0.6 < got[2].near_next < 1
+    assert 0 < got[4].near_next < 1 and got[6].near_edited == 1 and got[7].near_next == 1
+    assert len(set(got[i].fingerprint for i in range(1, 8))) == 7 and got[7].fingerprint == got[8].fingerprint == got[7].edited_fingerprint
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
