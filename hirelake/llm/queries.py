@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, html, jaccard, langid, lm, quality, substring, suffix
+from . import ballcodes, bpe, decontaminate, fim, fingerprints, html, jaccard, langid, lm, quality, search, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-byte codes of all embeddings, with their errors."""
+    out = ballcodes.compress(_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text reordered, and rebuilt from what came out."""
+    out = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", fim.restored()))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five embeddings nearest to each fiftieth one."""
+    return search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +97,9 @@ QUERIES = {
         op8_lm_scoring,
         op9_quality,
         op10_bpe,
+        op11_ball_codes,
+        op12_fill_in_middle,
+        op13_exact_search,
     )
 }
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -110,4 +131,4 @@ t AS (SELECT doc_id, max(e) AS f FROM g GROUP BY doc_id),
 p AS (SELECT doc_id, b, n, substring(h, CAST(2 * f + 1 AS INT), CAST(2 * (b - f) AS INT)) AS part FROM k JOIN d USING (doc_id) UNION ALL SELECT doc_id, 1099511627776, 0, substring(h, CAST(2 * coalesce(f, 0) + 1 AS INT)) FROM d LEFT JOIN t USING (doc_id))
 SELECT doc_id, length(h) // 2 AS n_bytes, n_removed, n_spans, kept_sha256 FROM (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(string_agg(part, '' ORDER BY b))) AS kept_sha256 FROM p GROUP BY doc_id) o JOIN d USING (doc_id)
 """
-ORACLES: dict[str, str] = {"op2_substring": _OP2, "op3_jaccard_join": _OP3, "op4_decontaminate": decontaminate.ORACLE, "op6_suffix_array": _OP6}
+ORACLES: dict[str, str] = {"op2_substring": _OP2, "op3_jaccard_join": _OP3, "op4_decontaminate": decontaminate.ORACLE, "op6_suffix_array": _OP6, "op11_ball_codes": ballcodes.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_exact_search": search.ORACLE}

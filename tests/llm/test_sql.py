@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 queries = pytest.importorskip("hirelake.llm.queries")
@@ -12,12 +13,13 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         p = Path(SF, f"{t}.parquet")
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
     want = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(want.columns)
-    rows = lambda df: sorted(tuple(x.item() if hasattr(x, "item") else x for x in r) for r in df[columns].itertuples(index=False))
+    plain = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) and x.is_integer() else x.item() if hasattr(x, "item") else x
+    rows = lambda df: sorted((tuple(map(plain, r)) for r in df[columns].itertuples(index=False)), key=str)
     assert rows(got) == rows(want) and len(want)
