@@ -39,7 +39,10 @@ def _health(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     return results(spark, path, latest=True).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@register("stream_rolling_block", f"SELECT ats, id, round(blocks / seen, 4) AS rate, CASE WHEN seen < 20 THEN NULL WHEN blocks / seen > 0.05 THEN 'throttle' WHEN blocks / seen < 0.01 THEN 'recover' END AS flag FROM (SELECT ats, id, sum(CASE WHEN {_BLOCK} THEN 1 ELSE 0 END) OVER w AS blocks, count(*) OVER w AS seen FROM {_PC} WINDOW w AS (PARTITION BY ats ORDER BY created_at, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) q")
+_RATED = f"SELECT ats, id, created_at, blocks / seen AS rate, CASE WHEN seen < 20 THEN NULL WHEN blocks / seen > 0.05 THEN 'throttle' WHEN blocks / seen < 0.01 THEN 'recover' END AS turn FROM (SELECT ats, id, created_at, sum(CASE WHEN {_BLOCK} THEN 1 ELSE 0 END) OVER w AS blocks, count(*) OVER w AS seen FROM {_PC} WINDOW w AS (PARTITION BY ats ORDER BY created_at, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) q"
+
+
+@register("stream_rolling_block", f"SELECT ats, id, created_at, round(rate, 4) AS rate, turn FROM (SELECT *, lag(turn, 1, 'recover') OVER (PARTITION BY ats ORDER BY created_at, id) AS last FROM ({_RATED}) r WHERE turn IS NOT NULL) t WHERE turn <> last")
 def _rolling(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     sources = bind(spark, sf_dir, "companies").select(F.col("id").alias("company_id"), "ats")
     S.stream_rolling_block(_probes(spark, sf_dir).join(sources, "company_id"), path).awaitTermination()

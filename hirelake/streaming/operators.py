@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.lifecycle import KEYS, close_unseen, lifecycle_merge
 from ..operators.retrieval import incremental_match, vector_topk_many
 from .batches import start_carrying
+from .keyed import RollingBlock, StaleRuns, start_keyed
 
 
 def _blocked() -> Column:
@@ -40,25 +41,17 @@ def stream_first_seen(listing: DataFrame, watermark: str, time: str = "listed_at
     return _zoned(listing, time).withWatermark(time, watermark).dropDuplicatesWithinWatermark(KEYS)
 
 
-def stream_rolling_block(probes: DataFrame, path: str, n: int = 20, **trigger) -> StreamingQuery:
-    """Share of blocks in the last n outcomes of a source (column ats), and its flag; carries n - 1 outcomes a source.
+def stream_rolling_block(probes: DataFrame, path: str, n: int = 20, above: float = 0.05, below: float = 0.01, **trigger) -> StreamingQuery:
+    """Turns of a source (column ats) between throttled and not, by the share of blocks in its last n outcomes.
 
-    Outcomes are ordered by (created_at, id) inside a micro-batch, and micro-batches follow one another.
+    A full window of more than ``above`` blocks throttles a source that isn't, one of less than ``below`` lets it recover;
+    each turn is a row: ats, id, created_at, rate, turn. The state is a ring of n - 1 outcomes a source, so a micro-batch
+    touches only the sources that it holds. Outcomes are ordered by (created_at, id) inside a micro-batch (unknown times
+    first), and micro-batches follow one another. Outcomes without a source are left out. A task holds 17 bytes or so an
+    outcome of its sources in one micro-batch, which the trigger bounds.
     """
-
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = batch.select("ats", "id", "created_at", _blocked().cast("int").alias("block"), F.lit(True).alias("new"))
-        rows = before.withColumn("new", F.lit(False)).unionByName(new)
-        # rows of earlier batches come first, whatever their times
-        by_age = Window.partitionBy("ats").orderBy("new", "created_at", "id")
-        last = by_age.rowsBetween(-(n - 1), 0)
-        seen, rate = F.count("*").over(last), F.sum("block").over(last) / F.count("*").over(last)
-        rated = rows.select("ats", "id", "new", F.round(rate, 4).alias("rate"), F.when(seen < n, None).when(rate > 0.05, "throttle").when(rate < 0.01, "recover").alias("flag"))
-        newest = Window.partitionBy("ats").orderBy(F.desc("new"), F.desc("created_at"), F.desc("id"))
-        kept = rows.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") < n).select(*before.columns)
-        return rated.where("new").drop("new"), kept
-
-    return start_carrying(probes, step, "ats STRING, id LONG, created_at TIMESTAMP_NTZ, block INT", path, **trigger)
+    rows = probes.where("ats IS NOT NULL").select("ats", F.col("id").cast("long").alias("id"), "created_at", _blocked().cast("int").alias("block"))
+    return start_keyed(rows, "ats", RollingBlock(n, above, below), "ats STRING, id LONG, created_at TIMESTAMP_NTZ, rate DOUBLE, turn STRING", "None", path, **trigger)
 
 
 def stream_archive_dedup(raw: DataFrame, path: str, **trigger) -> StreamingQuery:
@@ -80,25 +73,17 @@ def stream_archive_dedup(raw: DataFrame, path: str, **trigger) -> StreamingQuery
     return out.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_stale_runs(run_events: DataFrame, path: str, minutes: int = 45, **trigger) -> StreamingQuery:
-    """Runs (run_id, at, ended) without an end for longer than some minutes, as failed; carries runs not failed, and the clock.
+def stream_stale_runs(run_events: DataFrame, path: str, minutes: int = 45, watermark: str = "0 seconds", **trigger) -> StreamingQuery:
+    """Runs (run_id, at, ended) without an end for longer than some minutes, as failed: run_id, started_at, status.
 
-    The clock is the newest time seen. An end may come before its start. A failed run that goes on later is a new run.
+    The clock is the watermark: the newest time of the micro-batches so far, less ``watermark``; events older than it come
+    too late and are left out, as are those without a run or time. Each run has its start and an event-time timer in the
+    state store; when the timer runs out, the run's state goes, failed or ended. An end may come before its start. A failed
+    run that goes on later is a new run. Times count in milliseconds.
     """
-
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = batch.select("run_id", F.col("at").alias("started_at"), F.col("at").alias("clock"), F.coalesce("ended", F.lit(False)).alias("ended"))
-        rows = before.unionByName(new)
-        runs = rows.groupBy("run_id").agg(F.min("started_at").alias("started_at"), F.max("clock").alias("clock"), F.bool_or("ended").alias("ended"))
-        timed = runs.crossJoin(F.broadcast(rows.agg(F.max("clock").alias("now"))))
-        stale = ~F.col("ended") & (F.col("started_at") < F.col("now") - F.expr(f"INTERVAL {minutes} MINUTE"))
-        out = timed.where(stale & F.col("run_id").isNotNull()).select("run_id", "started_at", F.lit("failed").alias("status"))
-        # runs that ended are kept for as long as a start of theirs could be taken for a new run
-        recent = F.col("clock") >= F.col("now") - F.expr(f"INTERVAL {minutes} MINUTE")
-        kept = timed.where(~F.coalesce(stale, F.lit(False)) & (~F.col("ended") | recent)).select(*before.columns)
-        return out, kept
-
-    return start_carrying(run_events, step, "run_id STRING, started_at TIMESTAMP_NTZ, clock TIMESTAMP_NTZ, ended BOOLEAN", path, **trigger)
+    rows = _zoned(run_events.where("run_id IS NOT NULL AND at IS NOT NULL"), "at").withWatermark("at", watermark)
+    rows = rows.select("run_id", "at", F.coalesce("ended", F.lit(False)).alias("ended"))
+    return start_keyed(rows, "run_id", StaleRuns(minutes), "run_id STRING, started_at TIMESTAMP_NTZ, status STRING", "EventTime", path, **trigger)
 
 
 _JOBS = "company_id LONG, external_id STRING, title STRING, first_seen_at TIMESTAMP_NTZ, last_seen_at TIMESTAMP_NTZ, closed_at TIMESTAMP_NTZ"

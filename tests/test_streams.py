@@ -37,22 +37,45 @@ def test_archive_keeps_a_return_to_old_content(spark, feed):
     assert spark.read.format("statestore").load(f"{path}/checkpoint").count() == 2
 
 
-def test_rolling_rate_runs_on_over_batches(spark, feed):
-    rows = [("s", i, at(i), 429 if i >= 19 and i % 10 == 0 else 200) for i in range(60)]
-    stream, path = feed([rows[:7], rows[7:30], rows[30:31], rows[31:]], "ats STRING, id LONG, created_at TIMESTAMP_NTZ, http_status INT")
+def turns_of(rows, n=20):
+    """By hand: a source is throttled above 5 % of blocks in a full window, and recovers below 1 %."""
+    out, throttled = [], False
+    for i in range(n - 1, len(rows)):
+        rate = sum(r[3] in (403, 429) for r in rows[i - n + 1 : i + 1]) / n
+        if rate > 0.05 and not throttled or rate < 0.01 and throttled:
+            throttled = not throttled
+            out.append((rows[i][0], rows[i][1], round(rate, 4), "throttle" if throttled else "recover"))
+    return out
+
+
+def test_rolling_turns_over_batches_and_restarts(spark, feed):
+    rows = [("s", i, at(i), 429 if i in (3, 21, 25, 60, 61, 62, 120, 121) else 200) for i in range(150)]
+    other = [("t", 1000 + i, at(i), 403 if i % 7 == 0 else None) for i in range(25)]
+    batches = [rows[:7], rows[7:30][::-1] + other[:3], rows[30:31], other[3:] + [(None, 1, at(1), 429)], rows[31:90], rows[90:]]
+    want = sorted(turns_of(rows) + turns_of(other))
+    assert [t for *_, t in turns_of(rows)] == ["throttle", "recover"] * 3
+    stream, path = feed(batches, "ats STRING, id LONG, created_at TIMESTAMP_NTZ, http_status INT")
     S.stream_rolling_block(stream, path).awaitTermination()
-    got = {r.id: (r.rate, r.flag) for r in results(spark, path).collect()}
-    assert len(got) == 60
-    for i in range(60):
-        last = [r[3] == 429 for r in rows[max(0, i - 19) : i + 1]]
-        rate = round(sum(last) / len(last), 4)
-        assert got[i] == (rate, None if len(last) < 20 else "throttle" if rate > 0.05 else "recover" if rate < 0.01 else None)
+    assert sorted((r.ats, r.id, r.rate, r.turn) for r in results(spark, path).collect()) == want
+    state = spark.read.format("statestore").option("stateVarName", "outcomes").load(f"{path}/checkpoint")
+    assert sorted((r.key.ats, len(r.value.ring)) for r in state.select("key", "value").collect()) == [("s", 19), ("t", 19)]
+
+
+def test_rolling_goes_on_after_a_restart(spark, tmp_path):
+    rows = [("s", i, at(i), 429 if i in (21, 25, 60, 61) else 200) for i in range(100)]
+    schema, path = "ats STRING, id LONG, created_at TIMESTAMP_NTZ, http_status INT", str(tmp_path / "in")
+    for begin in range(0, 100, 17):  # the query ends after each file, and starts again
+        spark.createDataFrame(rows[begin : begin + 17], schema).coalesce(1).write.mode("append").parquet(path)
+        S.stream_rolling_block(spark.readStream.schema(schema).parquet(path), str(tmp_path / "out")).awaitTermination()
+    assert sorted((r.ats, r.id, r.rate, r.turn) for r in results(spark, str(tmp_path / "out")).collect()) == sorted(turns_of(rows))
 
 
 def test_stale_runs_fail_once(spark, feed):
-    stream, path = feed([[("a", at(0), False), ("b", at(1), False)], [("b", at(30), True), ("c", at(40), False), (None, at(2), False)], [("d", at(60), False)], [("e", at(90), None)]], "run_id STRING, at TIMESTAMP_NTZ, ended BOOLEAN")
+    stream, path = feed([[("a", at(0), False), ("b", at(1), False)], [("b", at(30), True), ("c", at(40), False), (None, at(2), False), ("z", None, False)], [("d", at(60), False)], [("e", at(90), None), ("f", at(85), True), ("f", at(84), False)], [("a", at(91), False), ("d", at(105), False)], [("g", at(140), True)]], "run_id STRING, at TIMESTAMP_NTZ, ended BOOLEAN")
     S.stream_stale_runs(stream, path).awaitTermination()
-    assert sorted((r.run_id, r.started_at) for r in results(spark, path).collect()) == [("a", at(0)), ("c", at(40))]
+    # e began exactly 50 minutes before the clock, a came back as a new run, and d's start is its first event
+    assert sorted((r.run_id, r.started_at) for r in results(spark, path).collect()) == [("a", at(0)), ("a", at(91)), ("c", at(40)), ("d", at(60)), ("e", at(90))]
+    assert spark.read.format("statestore").option("stateVarName", "run").load(f"{path}/checkpoint").select("key").collect()[0].key.run_id == "g"
 
 
 def test_lifecycle_closes_and_reopens(spark, feed):
