@@ -54,6 +54,30 @@ def totals_by_source(companies: DataFrame, jobs: DataFrame, as_of: str) -> DataF
     return rows.groupBy("ats").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "active", "new_1d", "new_7d", "new_30d")])
 
 
+#: What is kept between batches to tell totals: postings by source and, for the newest 30 days, by when they were first seen.
+LEDGER = "ats STRING, at TIMESTAMP_NTZ, total LONG, active LONG"
+
+
+def totals_ledger(ledger: DataFrame, changes: DataFrame, companies: DataFrame, as_of: str) -> DataFrame:
+    """The ledger after a batch of life-cycle changes (company_id, first_seen_at, event), each counted as +1 or -1.
+
+    Only changed postings are read. What was first seen more than 30 days before as_of is one row a source; later
+    instants, one a batch, are kept apart. Postings of unknown companies count nowhere.
+    """
+    event, oldest = F.col("event"), instant(as_of) - F.expr("INTERVAL 30 DAY")
+    signed = (_count(event.isin("new", "reopened")) - _count(event == "closed")).alias("active")
+    delta = changes.groupBy("company_id", F.when(event == "new", F.col("first_seen_at")).alias("at")).agg(_count(event == "new").alias("total"), signed)
+    rows = ledger.unionByName(delta.join(_sources(companies), "company_id").select("ats", "at", "total", "active"))
+    return rows.groupBy("ats", F.when(F.col("at") > oldest, F.col("at")).alias("at")).agg(F.sum("total").alias("total"), F.sum("active").alias("active"))
+
+
+def totals_of_ledger(ledger: DataFrame, companies: DataFrame, as_of: str) -> DataFrame:
+    """As ``totals_by_source``, from the ledger alone."""
+    new = lambda days: F.sum(F.when(F.col("at") > instant(as_of) - F.expr(f"INTERVAL {days} DAY"), F.col("total")).otherwise(0)).alias(f"new_{days}d")
+    sums = ledger.groupBy("ats").agg(F.sum("total").alias("total"), F.sum("active").alias("active"), new(1), new(7), new(30))
+    return companies.select("ats").distinct().join(sums, "ats", "left").select("ats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "active", "new_1d", "new_7d", "new_30d")])
+
+
 def totals_rollup(companies: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:
     """Totals of each source, and one row for all (is_total 1)."""
     rows = totals_by_source(companies, jobs, as_of)

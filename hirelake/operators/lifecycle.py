@@ -47,6 +47,27 @@ def lifecycle_events(before: DataFrame, after: DataFrame, as_of: str) -> DataFra
     return rows.select(*KEYS, event.alias("event"))
 
 
+def lifecycle_changes(jobs: DataFrame, listing: DataFrame, as_of: str) -> DataFrame:
+    """The rows that a run's listing changes, as they are after it, with ``event``: new, seen, closed or reopened.
+
+    A listed row is new, reopened or seen (if anything of it has changed, last_seen_at included); an open row that its
+    company no longer lists is closed, if it was last seen before the run. Rows of companies that the listing doesn't hold
+    are left alone, so jobs may be without them. The listing must be whole for its companies.
+    """
+    now = instant(as_of)
+    known = jobs.join(listing.select("company_id").distinct(), "company_id", "left_semi")
+    merged = lifecycle_merge(known.select("*", F.struct(*jobs.columns).alias("_before")), listing, as_of)
+    gone = F.col("closed_at").isNull() & (F.col("last_seen_at") < now)
+    after = merged.withColumn("closed_at", F.when(gone, now).otherwise(F.col("closed_at")))
+    event = (
+        F.when(F.col("_before").isNull(), "new")
+        .when(F.col("_before.closed_at").isNotNull() & F.col("closed_at").isNull(), "reopened")
+        .when(F.col("_before.closed_at").isNull() & F.col("closed_at").isNotNull(), "closed")
+        .when(~F.struct(*jobs.columns).eqNullSafe(F.col("_before")), "seen")
+    )
+    return after.select(*jobs.columns, event.alias("event")).where("event IS NOT NULL")
+
+
 def run_totals(events: DataFrame) -> DataFrame:
     """How many rows had each event."""
     return events.groupBy("event").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
 from ..streaming import operators as S
-from ..streaming.batches import results, start_carrying, start_latest
+from ..streaming.batches import results, start_latest
 from .bindings import SQL, bind, with_clause
 from .registry import _BLOCK, _PC, _TOP, ORACLES, QUERIES
 
@@ -71,10 +71,37 @@ def _stale(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     return results(spark, path)
 
 
-@register("stream_lifecycle", "SELECT company_id, external_id, title, (SELECT max(first_seen_at) FROM jobs) AS first_seen_at, (SELECT max(first_seen_at) FROM jobs) AS last_seen_at, CAST(NULL AS TIMESTAMP) AS closed_at FROM jobs")
+#: Runs that list the postings: each leaves out a quarter of the companies and, of the others, a third of the postings.
+_RUNS = ["2001-09-01 00:00:00", "2001-09-20 12:00:00", "2001-10-01 00:00:00", "2001-10-01 18:00:00", "2001-10-06 00:00:00"]
+_LISTED = "(company_id + {0}) % 4 <> 1 AND (id // 4 + {0} // 2) % 3 <> 0"
+_EVENTS = f"""runs_ AS (SELECT unnest(range({len(_RUNS)})) AS r, unnest({_RUNS})::TIMESTAMP AS t),
+listed AS (SELECT j.company_id, j.external_id, j.title, r, t, {_LISTED.format("r")} AS l FROM jobs j, runs_),
+asked AS (SELECT * FROM listed QUALIFY bool_or(l) OVER (PARTITION BY company_id, r)),
+steps AS (SELECT *, min(CASE WHEN l THEN t END) OVER w AS first_seen_at, max(CASE WHEN l THEN t END) OVER w AS last_seen_at, lag(l) OVER (PARTITION BY company_id, external_id ORDER BY r) AS was FROM asked WINDOW w AS (PARTITION BY company_id, external_id ORDER BY r)),
+events_ AS (SELECT company_id, external_id, title, first_seen_at, last_seen_at, CASE WHEN NOT l THEN t END AS closed_at, t, CASE WHEN l AND first_seen_at = t THEN 'new' WHEN l AND NOT was THEN 'reopened' WHEN l THEN 'seen' WHEN was THEN 'closed' END AS event FROM steps)"""
+
+
+def _listings(spark: SparkSession, sf_dir: str, path: str, companies: DataFrame | None = None) -> None:
+    """One run after another lists the postings; the stream starts again for each."""
+    jobs = bind(spark, sf_dir, "jobs")
+    for r, t in enumerate(_RUNS):
+        listing = jobs.where(_LISTED.format(r).replace("//", "DIV")).select("company_id", "external_id", "title", F.lit(t).cast("timestamp_ntz").alias("listed_at"))
+        listing.write.mode("append").parquet(f"{path}/in")
+        S.stream_lifecycle(spark.readStream.schema(listing.schema).parquet(f"{path}/in"), path, companies, buckets=16, most=3).awaitTermination()
+
+
+def register_run(name: str, sql: str) -> Callable:
+    def add(f: Callable[[SparkSession, str, str], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, shared_path(spark, name))
+        ORACLES[name] = f"{with_clause()}, {_EVENTS} {sql}"
+        return f
+
+    return add
+
+
+@register_run("stream_lifecycle", "SELECT * EXCLUDE (t) FROM events_ WHERE event IS NOT NULL")
 def _lifecycle(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
-    jobs = spark.sql(SQL["jobs"], orders=table_stream(spark, sf_dir, "orders"))
-    S.stream_lifecycle(jobs.select("company_id", "external_id", "title", F.col("first_seen_at").alias("listed_at")), path).awaitTermination()
+    _listings(spark, sf_dir, path)
     return results(spark, path)
 
 
@@ -87,16 +114,11 @@ def _match(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     return results(spark, path)
 
 
-def _totals(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The totals of all batches so far, of a batch's counts and those carried."""
-    new = batch.groupBy("ats").agg(F.count("*").alias("total_jobs"), F.count_if(F.col("closed_at").isNull()).alias("active_jobs"))
-    both = before.unionByName(new).groupBy("ats").agg(F.sum("total_jobs").alias("total_jobs"), F.sum("active_jobs").alias("active_jobs"))
-    return both, both
+_NEW = ", ".join(f"CAST(count(event) FILTER (WHERE event = 'new' AND t > TIMESTAMP '{_RUNS[-1]}' - INTERVAL {d} DAY) AS BIGINT) AS new_{d}d" for d in (1, 7, 30))
 
 
-@register("totals_snapshot", "SELECT c.ats, count(j.id) AS total_jobs, count(j.id) FILTER (WHERE j.closed_at IS NULL) AS active_jobs FROM jobs j JOIN companies c ON c.id = j.company_id GROUP BY c.ats")
+@register_run("totals_snapshot", f"SELECT ats, count(event) FILTER (WHERE event = 'new') AS total, count(event) FILTER (WHERE event IN ('new', 'reopened')) - count(event) FILTER (WHERE event = 'closed') AS active, {_NEW} FROM companies c LEFT JOIN events_ e ON e.company_id = c.id GROUP BY ats")
 def _snapshot(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
-    sources = bind(spark, sf_dir, "companies").select(F.col("id").alias("company_id"), "ats")
-    jobs = spark.sql(SQL["jobs"], orders=table_stream(spark, sf_dir, "orders")).join(sources, "company_id")
-    start_carrying(jobs, _totals, "ats STRING, total_jobs LONG, active_jobs LONG", path).awaitTermination()
-    return results(spark, path)
+    companies = bind(spark, sf_dir, "companies")
+    _listings(spark, sf_dir, path, companies)
+    return S.stream_totals(spark, path, companies)

@@ -22,12 +22,14 @@ def start_carrying(stream: DataFrame, step: Step, carried: str, path: str, **tri
 
     def each(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
         before = spark.read.schema(carried).parquet(f"{path}/state/batch={n - 1}") if n else spark.createDataFrame([], carried)
-        out, after = step(batch, before)
-        after.write.mode("overwrite").parquet(f"{path}/state/batch={n}")
-        out.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
-        batch.unpersist()
+        batch = batch.persist()
+        try:
+            out, after = step(batch, before)
+            after.write.mode("overwrite").parquet(f"{path}/state/batch={n}")
+            out.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        finally:
+            batch.unpersist()
         # A repeated batch reads what the one before it carried; older versions are of no more use.
         delete(spark, f"{path}/state/batch={n - 2}")
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.lifecycle import KEYS, close_unseen, lifecycle_merge
+from ..operators.analytics import LEDGER, totals_ledger, totals_of_ledger
+from ..operators.lifecycle import KEYS, lifecycle_changes
 from ..operators.retrieval import incremental_match, vector_topk_many
+from ..sources.buckets import BucketTable
 from .batches import start_carrying
 from .keyed import RollingBlock, StaleRuns, start_keyed
 
@@ -89,21 +91,53 @@ def stream_stale_runs(run_events: DataFrame, path: str, minutes: int = 45, water
 _JOBS = "company_id LONG, external_id STRING, title STRING, first_seen_at TIMESTAMP_NTZ, last_seen_at TIMESTAMP_NTZ, closed_at TIMESTAMP_NTZ"
 
 
-def stream_lifecycle(listing: DataFrame, path: str, **trigger) -> StreamingQuery:
-    """The life-cycle table after each listing batch (company_id, external_id, title, listed_at); carries that table.
+def lifecycle_table(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    """The life-cycle table that ``stream_lifecycle`` keeps, in buckets by company."""
+    return BucketTable(spark, f"{path}/table", KEYS, f"{_JOBS}, event STRING", buckets, ["company_id"])
 
-    A batch is a run at its newest listed_at: listed rows are new, seen or reopened, and a company in the batch closes
-    what it no longer lists. A batch must hold whole listings of its companies. An empty batch changes nothing.
-    """
 
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        now = batch.agg(F.max("listed_at").cast("string")).first()[0]
-        if now is None:
-            return before, before
-        after = close_unseen(lifecycle_merge(before, batch, now), batch, now)
-        return after, after
+def stream_lifecycle(listing: DataFrame, path: str, companies: DataFrame | None = None, buckets: int = 64, most: int = 8, **trigger) -> StreamingQuery:
+    """What each listing batch (company_id, external_id, title, listed_at) changes, under path/out; keeps the table as a log.
 
-    return start_carrying(listing, step, _JOBS, path, **trigger)
+    A batch is a run at its newest listed_at: listed rows are new, seen or reopened, and a company in the batch closes
+    what it no longer lists. A batch must hold whole listings of its companies; an empty one changes nothing. It reads
+    the buckets of its companies only and adds the changed rows to them; a bucket of more than ``most`` folders is
+    rewritten as one. With companies (id, ats), path/totals/batch=n holds the totals ledger after batch n, which reads
+    the changes and the ledger before only. The table's manifest names the newest batch that it holds: a repeated batch
+    before that point overwrites its own files, after it there is nothing left to do.
+    """
+    spark = listing.sparkSession
+    table = lifecycle_table(spark, path, buckets)
+
+    def each(batch: DataFrame, n: int) -> None:
+        note = table.manifest()["note"]
+        if note.get("batch", -1) >= n:
+            return
+        batch = batch.persist()
+        try:
+            now = batch.agg(F.max("listed_at").cast("string")).first()[0]
+            if now is None:
+                return
+            known = table.read(only=table.touched(batch)).drop("event")
+            lifecycle_changes(known, batch, now).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        finally:
+            batch.unpersist()
+        changes = spark.read.schema(table.schema).parquet(f"{path}/out/batch={n}")
+        if companies is not None:
+            before = spark.read.schema(LEDGER).parquet(f"{path}/totals/batch={note['batch']}") if "batch" in note else spark.createDataFrame([], LEDGER)
+            totals_ledger(before, changes, companies, now).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals/batch={n}")
+        version = table.append(changes, {"batch": n, "as_of": now})["version"]
+        if table.compact(most)["version"] > version:
+            table.vacuum(keep=most)
+
+    return listing.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_totals(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
+    """The totals of each source after the newest batch of a ``stream_lifecycle`` with companies."""
+    note = lifecycle_table(spark, path).manifest()["note"]
+    ledger = spark.read.schema(LEDGER).parquet(f"{path}/totals/batch={note['batch']}") if note else spark.createDataFrame([], LEDGER)
+    return totals_of_ledger(ledger, companies, note.get("as_of", "1970-01-01 00:00:00"))
 
 
 def stream_incremental_match(postings: DataFrame, campaigns: DataFrame, path: str, k: int, **trigger) -> StreamingQuery:

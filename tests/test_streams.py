@@ -1,12 +1,13 @@
 """Streams over several micro-batches, with late, repeated and empty input, against what they must add up to."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from hirelake.streaming import operators as S
-from hirelake.streaming.batches import carried, results
+from hirelake.streaming.batches import results
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -81,8 +82,36 @@ def test_stale_runs_fail_once(spark, feed):
 def test_lifecycle_closes_and_reopens(spark, feed):
     stream, path = feed([[(1, "x", "X", at(0)), (1, "y", "Y", at(0)), (2, "z", "Z", at(0))], [(1, "x", "X", at(9))], [(1, "y", "Y2", at(20)), (1, "y", "Y2", at(20))]], "company_id LONG, external_id STRING, title STRING, listed_at TIMESTAMP_NTZ")
     S.stream_lifecycle(stream, path).awaitTermination()
-    got = {r.external_id: (r.title, r.first_seen_at, r.last_seen_at, r.closed_at) for r in carried(spark, path).collect()}
+    got = {r.external_id: (r.title, r.first_seen_at, r.last_seen_at, r.closed_at) for r in S.lifecycle_table(spark, path).read().collect()}
     assert got == {"x": ("X", at(0), at(9), at(20)), "y": ("Y2", at(0), at(20), None), "z": ("Z", at(0), at(0), None)}
+    said = spark.read.parquet(f"{path}/out")
+    assert sorted((r.batch, r.external_id, r.event) for r in said.collect()) == [(0, "x", "new"), (0, "y", "new"), (0, "z", "new"), (1, "x", "seen"), (1, "y", "closed"), (2, "x", "closed"), (2, "y", "reopened")]
+
+
+def test_lifecycle_log_and_totals_equal_a_recount(spark, tmp_path):
+    from hirelake.operators.analytics import totals_by_source
+
+    rng, jobs = random.Random(4), {}
+    companies = spark.createDataFrame([(i, f"s{i % 3}", f"c{i}", True) for i in range(12)] + [(99, "none", "c", True)], "id LONG, ats STRING, slug STRING, enabled BOOLEAN")
+    schema, path = "company_id LONG, external_id STRING, title STRING, listed_at TIMESTAMP_NTZ", str(tmp_path / "t")
+    for n in range(10):
+        now = at(n * 60 * 24 * 4)  # four days a batch, so that postings leave the trailing windows
+        listed = {(c, str(rng.randrange(15))): f"title {rng.randrange(2)}" for c in rng.sample(range(13), 5) for _ in range(rng.randint(1, 12))}  # company 12 is unknown
+        spark.createDataFrame([(*k, title, now) for k, title in listed.items()], schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        S.stream_lifecycle(spark.readStream.schema(schema).parquet(f"{path}/in"), path, companies, buckets=8, most=2).awaitTermination()
+        before = dict(jobs)
+        for k, title in listed.items():
+            jobs[k] = (title, jobs[k][1] if k in jobs else now, now, None)
+        for k, (title, first, last, closed) in before.items():
+            if k[0] in {c for c, _ in listed} and k not in listed and closed is None:
+                jobs[k] = (title, first, last, now)
+        if n % 3 == 0 or n == 9:
+            table = S.lifecycle_table(spark, path).read()
+            assert {(r.company_id, r.external_id): (r.title, r.first_seen_at, r.last_seen_at, r.closed_at) for r in table.collect()} == jobs
+            want = totals_by_source(companies, table, str(now))
+            assert sorted(map(tuple, S.stream_totals(spark, path, companies).collect())) == sorted(map(tuple, want.collect()))
+    changed = {k for k in jobs if jobs[k] != before.get(k)}
+    assert {(r.company_id, r.external_id) for r in spark.read.parquet(f"{path}/out").where("batch = 9").collect()} == changed
 
 
 def test_matches_come_once(spark, feed):
