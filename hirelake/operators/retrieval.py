@@ -7,13 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import shared_path
 from .blocks import BLOCK, Best, ids, unit_vectors
 from .filters import location_match
+from .lexical import index_for, query_terms, search_index
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -31,8 +32,6 @@ def _ranked(df: DataFrame, by: str, score: str, k: int, item: str = "item") -> D
 
 #: Queries are a broadcast side; more than about this many are searched for in blocks, each broadcast by itself.
 MOST_QUERIES = 10_000
-#: Numbers in the broadcast matrix of query terms by queries.
-MOST_TERM_CELLS = 16_000_000
 
 
 def _in_blocks(queries: DataFrame, blocks: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -92,84 +91,25 @@ def vector_topk(items: DataFrame, vector: list[float], k: int) -> DataFrame:
     return items.withColumn("_q", q).select("item", cosine("vector", "_q").alias("similarity")).where("similarity IS NOT NULL").orderBy(F.desc("similarity"), "item").limit(k)
 
 
-#: What parts words.
-WORDS = r"[^a-z0-9À-ɏ]+"
-
-
-def tokens(col: str) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), WORDS), lambda t: t != "")
-
-
-def lexical_search(docs: DataFrame, queries: DataFrame, k: int, mode: str = "all", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def lexical_search(docs: DataFrame, queries: DataFrame, k: int | None, mode: str = "all", k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
     """BM25 over (item, text) for (query, text): the k best of each query with rank and score (6 digits).
 
-    mode "all" asks for every query term, "any" for one. Texts are whole; null ones have no terms. Lengths and document
-    frequencies are counted over all documents, for the terms of the stated queries. Documents are then weighed and
-    multiplied with the broadcast matrix of query terms, and each task keeps its k best of a query, so that a common word
-    meets its queries in no single task. Ties go to the lesser item; a query that comes twice counts once.
+    mode "all" asks for every query word, "any" for one. Without k every answer is given, with its score and no rank. Texts
+    are whole; null ones have no words. Lengths and document frequencies are counted over all documents. Without an index
+    (``lexical.build_index``) one of the queries' words is written first; documents are cut into words once. Each task meets
+    its segments with the broadcast queries, in blocks of these, passes over what block maxima rule out, and keeps its k
+    best of a query, so that a common word meets its queries in no single task. Ties go to the lesser item; a query that
+    comes twice counts as one with the words of both.
     """
-    wanted = queries.select("query", F.explode(F.array_distinct(tokens("text"))).alias("term")).where("query IS NOT NULL").distinct()
-    size = wanted.agg(F.count("*").alias("rows"), F.count_distinct("query").alias("queries")).first()
-    blocks = int(np.ceil(np.sqrt(size["rows"] * size["queries"] / MOST_TERM_CELLS)))
-    split = docs.where("item IS NOT NULL").select("item", F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), WORDS).alias("t"))
-    return _in_blocks(wanted, blocks, lambda block: _lexical(split, block, k, mode, k1, b))
-
-
-def _frequencies(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, ...]:
-    """Lengths of the documents, and document, term and count of each query term in them."""
-    words = batch.column("t")
-    doc = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
-    flat = words.flatten()
-    lengths = np.bincount(doc[pc.not_equal(flat, "").to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
-    term = pc.index_in(flat, value_set=terms).fill_null(-1).to_numpy()
-    met, tf = np.unique(doc[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
-    return lengths, met // max(len(terms), 1), met % max(len(terms), 1), tf
-
-
-def _lexical(split: DataFrame, wanted: DataFrame, k: int, mode: str, k1: float, b: float) -> DataFrame:
-    table = wanted.toArrow()
-    names, query = np.unique(ids(table.column("query").combine_chunks()), return_inverse=True)
-    vocabulary = table.column("term").combine_chunks().dictionary_encode()
-    terms = vocabulary.dictionary
-    matrix = np.zeros((len(terms), len(names)))
-    matrix[vocabulary.indices.to_numpy(), query] = 1
-    sc = split.sparkSession.sparkContext
-    known = sc.broadcast(terms)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, words = np.zeros(len(known.value), np.int64), 0, 0
-        for batch in batches:
-            lengths, _, term, _ = _frequencies(batch, known.value)
-            df += np.bincount(term, minlength=len(df))
-            docs, words = docs + batch.num_rows, words + int(lengths.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(df))), pa.array(np.concatenate([[docs, words], df]))], names=["term", "n"])
-
-    n = np.zeros(len(terms) + 2)
-    for row in split.select("t").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        n[row.term + 2] = row.n
-    idf = np.log(1 + (n[0] - n[2:] + 0.5) / (n[2:] + 0.5))
-    shared = sc.broadcast((names, matrix, matrix.sum(0), idf, n[1] / max(n[0], 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix, asked, idf, mean = shared.value
-        best = Best(len(names), k, 6)
-        rows = max(1, BLOCK // max(len(idf), len(names), 1))
-        for batch in batches:
-            for begin in range(0, batch.num_rows if len(names) else 0, rows):
-                part = batch.slice(begin, rows)
-                lengths, doc, term, tf = _frequencies(part, known.value)
-                weights = np.zeros((part.num_rows, len(idf)))
-                weights[doc, term] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
-                scores = weights @ matrix
-                if mode == "all":
-                    scores[(weights > 0) @ matrix < asked] = 0
-                best.add(ids(part.column("item")), np.where(scores > 0, scores, np.nan))
-        out = best.batch(names, ["score"])
-        if out is not None:
-            yield out
-
-    found = split.mapInArrow(run, _schema(wanted, split, "score"))
-    return _ranked(found.withColumn("score", F.round("score", 6)), "query", "score", k)
+    spark = docs.sparkSession
+    path = shared_path(spark, "query-terms")
+    wanted = query_terms(queries)
+    wanted.write.parquet(path)
+    terms = spark.read.schema(wanted.schema).parquet(path)
+    count = terms.agg(F.count_distinct("query")).first()[0]
+    known = index_for(docs, terms) if index is None else index
+    found = _in_blocks(terms, -(-count // MOST_QUERIES), lambda block: search_index(known, block, k, mode, k1, b))
+    return found if k is None else _ranked(found, "query", "score", k)
 
 
 def rrf_fuse(rankings: DataFrame, k: int = 60) -> DataFrame:

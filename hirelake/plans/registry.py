@@ -312,7 +312,7 @@ SELECT query, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 
 register("lexical_search", "SELECT * FROM " + _bm25("SELECT doc_id AS item, text FROM documents", "SELECT item_id AS query, text FROM benchmark", 10) + " b", "documents", "benchmark")(lambda d, b: R.lexical_search(d.select(F.col("doc_id").alias("item"), "text"), b.select(F.col("item_id").alias("query"), "text"), 10, mode="any"))
 _ALL = "SELECT query, item FROM (SELECT DISTINCT query, unnest(t) AS term, len(list_distinct(t)) AS n FROM (SELECT doc_id AS query, regexp_extract_all(lower(text), '[a-z0-9À-ɏ]+') AS t FROM documents WHERE doc_id % 100 = 0) a) q JOIN (SELECT DISTINCT doc_id AS item, unnest(regexp_extract_all(lower(text), '[a-z0-9À-ɏ]+')) AS term FROM documents) d USING (term) GROUP BY query, item, n HAVING count(*) = n"
-register("lexical_search_all", _ALL, "documents")(lambda d: R.lexical_search(d.select(F.col("doc_id").alias("item"), "text"), d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text"), 1_000_000).select("query", "item"))
+register("lexical_search_all", _ALL, "documents")(lambda d: R.lexical_search(d.select(F.col("doc_id").alias("item"), "text"), d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text"), None).select("query", "item"))
 
 
 def _embedded(j: DataFrame, e: DataFrame) -> DataFrame:

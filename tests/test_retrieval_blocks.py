@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from hirelake.operators import blocks, retrieval
+from hirelake.operators import blocks, lexical, retrieval
 
 
 def cosine(a, b):
@@ -59,10 +59,14 @@ def test_labelled_vectors_by_brute_force(spark):
         assert abs(rows[k][0] - sum(w * s for w, s in pairs) / sum(w for w, _ in pairs)) < 1e-4 and abs(rows[k][1] - sum(s for _, s in pairs) / len(pairs)) < 1e-4
 
 
-@pytest.mark.parametrize("cells", [16_000_000, 20])
+@pytest.mark.parametrize("few", [False, True])
 @pytest.mark.parametrize("mode", ["any", "all"])
-def test_words_by_brute_force(spark, monkeypatch, cells, mode):
-    monkeypatch.setattr(retrieval, "MOST_TERM_CELLS", cells)
+def test_words_by_brute_force(spark, monkeypatch, few, mode):
+    if few:  # several blocks of queries, segments, and steps of a segment
+        monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
+        monkeypatch.setattr(lexical, "SEGMENT_ROWS", 7)
+        monkeypatch.setattr(lexical, "BLOCK_ROWS", 2)
+        monkeypatch.setattr(lexical, "BLOCK", 9)
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice("ab cd ef gh ij kl mn op".split()) for _ in range(n))
     docs = [(i, text(rng.randint(0, 12))) for i in range(40)] + [(90, None), (91, ""), (92, "AB, ab")]
@@ -84,3 +88,41 @@ def test_words_by_brute_force(spark, monkeypatch, cells, mode):
         want |= {(q, i, -s, k) for k, (s, i) in enumerate(sorted(hits)[:4], 1)}
     got = retrieval.lexical_search(spark.createDataFrame(docs, "item long, text string").repartition(3), spark.createDataFrame(queries, "query long, text string"), 4, mode)
     assert {tuple(r) for r in got.collect()} == want
+    every = retrieval.lexical_search(spark.createDataFrame(docs, "item long, text string").repartition(3), spark.createDataFrame(queries, "query long, text string"), None, mode)
+    assert {(r.query, r.item) for r in every.collect()} >= {w[:2] for w in want}
+    assert retrieval.lexical_search(spark.createDataFrame([], "item long, text string"), spark.createDataFrame(queries, "query long, text string"), 4, mode).count() == 0
+    assert retrieval.lexical_search(spark.createDataFrame(docs, "item long, text string"), spark.createDataFrame([], "query long, text string"), 4, mode).count() == 0
+
+
+def test_words_are_cut_as_by_the_pattern():
+    import re
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [None, "", "İstanbul KELVIN \u212a ẞ", "Ȿɏɐ ÷ × ÿ Ā"] + ["".join(rng.choice("aZ9 é-ÀɏɐȾ語_\n😀ß") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    doc, found = lexical.words(pa.array(texts))
+    assert list(zip(doc.tolist(), found.to_pylist())) == [(i, w) for i, t in enumerate(texts) for w in re.findall("[a-z0-9À-ɏ]+", (t or "").lower())]
+
+
+def test_block_maxima_bound_scores_and_rule_out(spark, tmp_path):
+    import numpy as np
+
+    rng = random.Random(9)
+    tongues = [[f"{a}{b}" for b in "abcdefghij"] for a in "wxyz"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(tongues[i % 4]) for _ in range(30)) + (" rare" if i % 97 == 0 else "")) for i in range(1000)], "item long, text string").coalesce(1)
+    index = lexical.build_index(docs, str(tmp_path / "index"))
+    assert index.count() == 1
+    asked = lexical.Asked(lexical.query_terms(spark.createDataFrame([(1, "wa wb rare"), (2, "xa"), (3, "never")], "query long, text string")).toArrow())
+    asked.weigh(1000, 30000, np.full(len(asked.terms), 50.0), 1.2, 0.75)
+    batch = index.toArrow().combine_chunks().to_batches()[0]
+    segment = lexical.Segment({c: batch.column(c)[0].values for c in batch.schema.names}, asked)
+    bound = segment.bounds("any")
+    scores = np.full((1000, len(asked.names)), np.nan)
+    for items, part in segment.scores(bound > 0, "any"):
+        scores[[segment.items.to_pylist().index(i) for i in items.to_pylist()]] = part
+    best = np.array([np.nan_to_num(scores[i : i + lexical.BLOCK_ROWS]).max(0) for i in range(0, 1000, lexical.BLOCK_ROWS)])
+    assert (bound >= best - 1e-9).all()
+    assert (bound[:, 1] == 0).mean() > 0.5  # blocks of other languages
+    found = retrieval.lexical_search(docs, spark.createDataFrame([(7, "wa rare")], "query long, text string"), 3, "any", index=index).collect()
+    assert len(found) == 3 and all(r.item % 97 == 0 for r in found)
