@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..sources.shared import shared_path
 from .blocks import BLOCK, Best, ids
@@ -39,7 +40,8 @@ def words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     starts, ends = edges[::2], edges[1::2]
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
     flat = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[word]))
-    return np.searchsorted(np.cumsum([len(x) for x in lowered]), starts, "right"), flat.dictionary_encode()
+    until = np.searchsorted(starts, np.cumsum([len(x) for x in lowered]))
+    return np.repeat(np.arange(len(lowered)), np.diff(until, prepend=0)), flat.dictionary_encode()
 
 
 def _segment_schema(item: T.DataType) -> T.StructType:
@@ -77,7 +79,7 @@ def _segment(items: pa.Array, texts: pa.Array, wanted: pa.Array | None) -> pa.Re
     return pa.RecordBatch.from_arrays([one(items.take(pa.array(order))), one(names), *lists], names=["items", "terms", "lengths", "counts", "docs", "tfs", "block_counts", "blocks", "top_tfs", "least_lengths"])
 
 
-def build_index(docs: DataFrame, path: str, terms: DataFrame | None = None) -> DataFrame:
+def build_index(docs: DataFrame, path: str, terms: DataFrame | pa.Table | None = None) -> DataFrame:
     """Writes the index of docs (item, text) under path and reads it back; each document is cut into words once.
 
     With terms (a column ``term``, for a standing set of queries) only these words are indexed; they are broadcast. Lengths
@@ -85,7 +87,7 @@ def build_index(docs: DataFrame, path: str, terms: DataFrame | None = None) -> D
     ``SEGMENT_ROWS`` documents and ``SEGMENT_BYTES`` of texts at most, or one longer text.
     """
     schema = _segment_schema(docs.schema["item"].dataType)
-    wanted = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms.select("term").distinct().toArrow().column(0).combine_chunks())
+    wanted = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms.column("term").unique() if isinstance(terms, pa.Table) else terms.select("term").distinct().toArrow().column(0).combine_chunks())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -191,10 +193,11 @@ class Segment:
             at = to
 
 
-def search_index(index: DataFrame, terms: DataFrame, k: int | None, mode: str, k1: float, b: float) -> DataFrame:
+def search_index(index: DataFrame, terms: DataFrame | pa.Table, k: int | None, mode: str, k1: float, b: float) -> DataFrame:
     """query, item, score of the k best of a task (all that meet, if k is None) for a block of (query, term)."""
     sc = index.sparkSession.sparkContext
-    asked = Asked(terms.toArrow())
+    table = terms if isinstance(terms, pa.Table) else terms.toArrow()
+    asked = Asked(table)
     known = sc.broadcast(asked.terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +215,7 @@ def search_index(index: DataFrame, terms: DataFrame, k: int | None, mode: str, k
         n[row.term + 2] = row.n
     asked.weigh(n[0], n[1], n[2:], k1, b)
     shared = sc.broadcast(asked)
-    schema = T.StructType([terms.schema["query"], T.StructField("item", index.schema["items"].dataType.elementType), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("query", from_arrow_type(table.schema.field("query").type)), T.StructField("item", index.schema["items"].dataType.elementType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
@@ -235,6 +238,13 @@ def search_index(index: DataFrame, terms: DataFrame, k: int | None, mode: str, k
     return index.mapInArrow(run, schema).withColumn("score", F.round("score", 6))
 
 
-def index_for(docs: DataFrame, terms: DataFrame) -> DataFrame:
+#: Documents of less than so many bytes are dealt out evenly before they are cut: their file may be one piece.
+SMALL = 256 << 20
+
+
+def index_for(docs: DataFrame, terms: DataFrame | pa.Table) -> DataFrame:
     """The index of docs for the words of a stated query set, in the shared folder."""
-    return build_index(docs, shared_path(docs.sparkSession, "lexical-index"), terms)
+    spark = docs.sparkSession
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+        docs = docs.select("item", "text").repartition(spark.sparkContext.defaultParallelism)
+    return build_index(docs, shared_path(spark, "lexical-index"), terms)

@@ -101,14 +101,16 @@ def lexical_search(docs: DataFrame, queries: DataFrame, k: int | None, mode: str
     best of a query, so that a common word meets its queries in no single task. Ties go to the lesser item; a query that
     comes twice counts as one with the words of both.
     """
-    spark = docs.sparkSession
-    path = shared_path(spark, "query-terms")
-    wanted = query_terms(queries)
-    wanted.write.parquet(path)
-    terms = spark.read.schema(wanted.schema).parquet(path)
-    count = terms.agg(F.count_distinct("query")).first()[0]
+    blocks = -(-queries.count() // MOST_QUERIES)
+    terms = query_terms(queries)
+    if blocks <= 1:
+        terms = terms.toArrow()  # the words of one block of queries
+    else:
+        path = shared_path(docs.sparkSession, "query-terms")
+        terms.write.parquet(path)
+        terms = docs.sparkSession.read.schema(terms.schema).parquet(path)
     known = index_for(docs, terms) if index is None else index
-    found = _in_blocks(terms, -(-count // MOST_QUERIES), lambda block: search_index(known, block, k, mode, k1, b))
+    found = _in_blocks(terms, blocks, lambda block: search_index(known, block, k, mode, k1, b))
     return found if k is None else _ranked(found, "query", "score", k)
 
 
