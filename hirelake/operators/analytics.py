@@ -109,14 +109,16 @@ def recent_cycles(runs: DataFrame, jobs: DataFrame, n: int = 30) -> DataFrame:
 
     New postings of an ok cycle are those first seen inside its window, ends included; of others, what the runs
     reported. The count before is that of the ok cycle before, so that a failed one between isn't taken for it. Where
-    there is none, or the cycle isn't ok, re-opened is null. Only postings inside the n windows are joined.
+    there is none, or the cycle isn't ok, re-opened is null. The n cycles are read first; postings meet their windows in
+    one scan, a broadcast join and one count by cycle.
     """
     newest = cycle_rollup(runs).orderBy(F.desc("started_at"), F.desc("cycle_id")).limit(n)
+    newest = runs.sparkSession.createDataFrame(newest.collect(), newest.schema).coalesce(1)  # n rows
     windows = newest.where("status = 'ok'").select(F.col("cycle_id").alias("cycle"), "started_at", "ended_at")
-    seen = interval_join(jobs.select("first_seen_at"), windows, "first_seen_at", "started_at", "ended_at").groupBy("cycle").agg(F.count("*").alias("n"))
+    seen = interval_join(jobs.select("first_seen_at"), F.broadcast(windows), "first_seen_at", "started_at", "ended_at").groupBy("cycle").agg(F.count("*").alias("n"))
     ok = F.col("status") == "ok"
     order = Window.partitionBy(ok).orderBy("started_at", "cycle_id")  # over n rows
-    rows = newest.join(seen, newest.cycle_id == seen.cycle, "left").withColumn("active_before", F.when(ok, F.lag("active_after").over(order)))
+    rows = newest.join(F.broadcast(seen), newest.cycle_id == seen.cycle, "left").withColumn("active_before", F.when(ok, F.lag("active_after").over(order)))
     rows = rows.withColumnRenamed("new_jobs", "new_jobs_reported").withColumn("new_jobs", F.when(ok, F.coalesce("n", F.lit(0))).otherwise(F.col("new_jobs_reported")))
     seconds = F.unix_timestamp(F.col("ended_at").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp"))
     residual = F.col("active_after") - F.col("active_before") - F.col("new_jobs") + F.col("closed_jobs")

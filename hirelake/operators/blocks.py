@@ -33,6 +33,64 @@ def unit_vectors(column: pa.Array, width: int | None = None) -> tuple[np.ndarray
     return at[good], flat[good] / norm[good][:, None]
 
 
+#: Items that are put into clusters together, and the clusters made of them.
+CLUSTERED, CLUSTERS = 8192, 64
+
+
+class Clusters:
+    """Unit vectors in clusters, each with its centre and the widest angle to it, which bound all cosines with a query.
+
+    By the triangle inequality of angles, an item of a cluster of radius r whose centre is at an angle a from the query is
+    at an angle of a - r or more.
+    """
+
+    def __init__(self, vectors: np.ndarray, count: int):
+        centres = vectors[np.arange(count) * len(vectors) // count]
+        for _ in range(2):
+            own = np.concatenate([(vectors[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(vectors), 4096)])
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, vectors)
+            norm = np.sqrt((sums * sums).sum(1))
+            centres = np.where((norm > 0)[:, None], sums / np.where(norm > 0, norm, 1)[:, None], centres)
+        self.order = np.argsort(own, kind="stable")
+        self.ends = np.cumsum(np.bincount(own, minlength=count))
+        self.centres, angles = centres, np.arccos(np.clip((vectors * centres[own]).sum(1), -1, 1))
+        self.radius = np.zeros(count)
+        np.maximum.at(self.radius, own, angles)
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The greatest cosine that an item of each cluster can have with each query, with room for rounding."""
+        angle = np.arccos(np.clip(self.centres @ queries.T, -1, 1))
+        return np.cos(np.maximum(angle - self.radius[:, None], 0)) + 1e-7
+
+    def members(self, cluster: int) -> np.ndarray:
+        return self.order[(self.ends[cluster - 1] if cluster else 0) : self.ends[cluster]]
+
+
+def meet(best: Best, items: np.ndarray, vectors: np.ndarray, queries: np.ndarray, met: list[int] | None = None) -> None:
+    """Adds all items to the best of all queries, but for clusters and queries whose bound is below the query's k-th best.
+
+    With few queries a product with all is cheaper than clusters. ``met`` gets how many pairs were worked out, and of how many.
+    """
+    count = min(CLUSTERS, len(items) // 32)
+    groups = [(np.arange(len(items)), None)]
+    if count > 1 and len(queries) > 2 * count:
+        clusters = Clusters(vectors, count)
+        reach = np.floor(clusters.bounds(queries) * best.unit + 0.5)
+        nearest = np.argsort(-clusters.bounds(queries).max(1), kind="stable")  # these raise the bar for the others
+        groups = [(clusters.members(c), reach[c]) for c in nearest]
+    for rows, reach in groups:
+        step = max(1, BLOCK // max(len(queries), 1))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            alive = np.arange(len(queries)) if reach is None else np.flatnonzero(reach >= best.least)
+            if met is not None:
+                met[0], met[1] = met[0] + len(part) * len(alive), met[1] + len(part) * len(queries)
+            if not len(alive):
+                break
+            best.add(items[part], vectors[part] @ queries[alive].T, which=None if len(alive) == len(queries) else alive)
+
+
 class Best:
     """The k best items of each query by a score rounded to some digits, ties by the lesser item."""
 
@@ -41,16 +99,16 @@ class Best:
         self.least = np.full(queries, -np.inf)
         self.query, self.rounded, self.item, self.values = np.zeros(0, np.int64), np.zeros(0), None, []
 
-    def add(self, items: np.ndarray, scores: np.ndarray, *others: np.ndarray) -> None:
-        """scores: a row for each item and a column for each query, NaN where they don't meet; others go along."""
+    def add(self, items: np.ndarray, scores: np.ndarray, *others: np.ndarray, which: np.ndarray | None = None) -> None:
+        """scores: a row for each item and a column for each query (of ``which``), NaN where they don't meet; others go along."""
         if not len(items):
             return
         rounded = np.where(np.isnan(scores), -np.inf, np.floor(scores * self.unit + 0.5))
-        bar = self.least
+        bar = self.least if which is None else self.least[which]
         if len(items) > self.k:
             bar = np.maximum(bar, np.partition(rounded, len(items) - self.k, axis=0)[len(items) - self.k])
         i, j = np.nonzero((rounded >= bar) & (rounded > -np.inf))
-        query, value, item = np.append(self.query, j), np.append(self.rounded, rounded[i, j]), items[i] if self.item is None else np.append(self.item, items[i])
+        query, value, item = np.append(self.query, j if which is None else which[j]), np.append(self.rounded, rounded[i, j]), items[i] if self.item is None else np.append(self.item, items[i])
         values = [x[i, j] for x in (scores, *others)]
         if self.values:
             values = [np.append(a, b) for a, b in zip(self.values, values, strict=True)]

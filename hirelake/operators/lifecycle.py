@@ -68,11 +68,23 @@ def lifecycle_changes(jobs: DataFrame, listing: DataFrame, as_of: str) -> DataFr
     return after.select(*jobs.columns, event.alias("event")).where("event IS NOT NULL")
 
 
-def run_totals(events: DataFrame) -> DataFrame:
+def event_totals(events: DataFrame) -> DataFrame:
     """How many rows had each event."""
     return events.groupBy("event").agg(F.count("*").alias("n"))
 
 
+def run_totals(outcomes: DataFrame, events: DataFrame) -> DataFrame:
+    """A row a run: companies probed, ok, in error and with a failed write (``run_outcomes``), new and closed postings.
+
+    events (run_id, event) are those of ``lifecycle_events`` or ``lifecycle_changes`` with their run. A posting that comes
+    back counts as new, as it was not among the open ones. Events are counted by run before the join; a run without any
+    has 0, and events of runs that probed nothing are in no row.
+    """
+    counts = events.groupBy("run_id").agg(F.count_if(F.col("event").isin("new", "reopened")).alias("_new"), F.count_if(F.col("event") == "closed").alias("_closed"))
+    rows = outcomes.join(counts, "run_id", "left")
+    return rows.select("run_id", "probed", "ok", "error", "write_failed", F.coalesce("_new", F.lit(0)).alias("new_jobs"), F.coalesce("_closed", F.lit(0)).alias("closed_jobs"))
+
+
 def run_outcomes(probes: DataFrame) -> DataFrame:
     """Companies probed in each run, and of them those ok, in error, and (of those ok) whose write failed.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import shared_path
-from .blocks import BLOCK, Best, ids, unit_vectors
+from .blocks import BLOCK, CLUSTERED, Best, ids, meet, unit_vectors
 from .filters import location_match
 from .lexical import index_for, query_terms, search_index
 
@@ -49,8 +49,9 @@ def _schema(queries: DataFrame, items: DataFrame, *scores: str) -> T.StructType:
 def vector_topk_many(items: DataFrame, queries: DataFrame, k: int, newer: tuple[str, str] | None = None) -> DataFrame:
     """query, item, similarity (4 digits), rank: the k nearest items of each query by cosine, exactly.
 
-    Every item meets every stated query once, as blocks of a matrix product; vectors are brought to length one once, and
-    each task keeps its k best of a query, so that k rows a task and query are shuffled. Ties go to the lesser item.
+    Items meet the stated queries in blocks of a matrix product, and each task keeps its k best of a query, so that k rows a
+    task and query are shuffled. With many queries a task puts its items into clusters first, and passes over those whose
+    centre and radius say that no item of theirs can be among a query's k best. Ties go to the lesser item.
     Vectors that are null, zero, hold a null or have another width than the queries' have no similarity to anything.
     An item or query that comes twice is found twice. With ``newer`` (a time of items, a time of queries) a query meets
     only items of a later time than its own; one without a time meets all. Other columns are ignored.
@@ -68,14 +69,16 @@ def _topk(items: DataFrame, queries: DataFrame, k: int, newer: tuple[str, str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix, since = shared.value
         best = Best(len(matrix), k, 4)
-        rows = max(1, BLOCK // max(len(matrix), 1))
+        rows = max(1, BLOCK // max(len(matrix), 1)) if newer else CLUSTERED
         for batch in batches:
             for begin in range(0, batch.num_rows if len(matrix) else 0, rows):
                 part = batch.slice(begin, rows)
                 at, vectors = unit_vectors(part.column("vector"), matrix.shape[1])
+                if not newer:
+                    meet(best, ids(part.column("item"))[at], vectors, matrix)
+                    continue
                 scores = vectors @ matrix.T
-                if newer:
-                    scores[(part.column("time").to_numpy()[at][:, None] <= since) & (since > never)] = np.nan
+                scores[(part.column("time").to_numpy()[at][:, None] <= since) & (since > never)] = np.nan
                 best.add(ids(part.column("item"))[at], scores)
         out = best.batch(names, ["similarity"])
         if out is not None:
@@ -119,6 +122,14 @@ def rrf_fuse(rankings: DataFrame, k: int = 60) -> DataFrame:
     return rankings.groupBy("query", "item").agg(F.round(F.sum(1 / (k + F.col("rank"))), 8).alias("rrf"))
 
 
+def arm_rank(scored: DataFrame, score: str, pool: int) -> DataFrame:
+    """The pool best (query, item, score) of each query in one arm of a search, with their rank in it.
+
+    Ties go to the lesser item, null scores come last. Spark cuts each task's rows to the pool before it shuffles them.
+    """
+    return _ranked(scored, "query", score, pool)
+
+
 def _pool(limit: int) -> int:
     """How many of each arm are fused."""
     return min(max(2 * limit, 100), 400)

@@ -129,33 +129,42 @@ def slug_variants(companies: DataFrame, key: str = "company_id") -> DataFrame:
     return companies.where("slug IS NOT NULL AND slug != ''").select(key, F.posexplode(good).alias("place", "variant"))
 
 
-#: Currency signs in the order that they are looked for, words of an interval, and how a number looks.
+#: Currency signs in the order that they are looked for, codes, the forms of an interval, how a number looks,
+#: and what counts as white space. A word's edge is that of ASCII letters, digits and _.
 SIGNS = [("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY")]
-INTERVALS = [("hour", "per hour|hourly|/hr"), ("day", "per day|daily"), ("week", "per week|weekly"), ("month", "per month|monthly"), ("year", "per year|per annum|annual|yearly")]
-
-NUMBER = r"(\d[\d,.]*)\s*([KkMm])?"
+CODES = ["USD", "EUR", "GBP", "CAD", "AUD", "JPY", "INR", "SGD", "CHF", "SEK", "NOK", "DKK"]
+BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_OPEN, _SHUT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+HOURLY = rf"(?i)/{BLANK}*hr|{_OPEN}per{BLANK}+hour|{_OPEN}hourly{_SHUT}"
+YEARLY = rf"(?i){_OPEN}per{BLANK}+year|{_OPEN}annual|(?<=[A-Za-z0-9_])/{BLANK}*yr"
+NUMBER = rf"(\d[\d,.]*){BLANK}*([KkMm])?"
 
 
 def compensation(col: str) -> list[Column]:
-    """comp_min, comp_max, comp_currency, comp_interval of a pay text; all null where none or nonsense."""
+    """comp_min, comp_max, comp_currency, comp_interval of a pay text; all null for none and blank ones.
+
+    The first two numbers are the range. Any sign decides the currency before any code, and of codes the first in the text.
+    Without words for it, numbers all under 1,000 are hourly. Where the first number is over twice the second it is no
+    range: both are null, currency and interval stay.
+    """
     text = F.col(col)
     numbers = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))
     units = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(2))
     scale = lambda u: F.when(F.lower(u) == "k", 1e3).when(F.lower(u) == "m", 1e6).otherwise(1.0)
     values = F.zip_with(numbers, units, lambda n, u: F.regexp_replace(n, ",", "").try_cast("double") * scale(u))
-    values = F.filter(values, lambda v: v > 0)
+    values = F.filter(values, lambda v: v.isNotNull())
     low, high = F.get(values, F.lit(0)), F.coalesce(F.get(values, F.lit(1)), F.get(values, F.lit(0)))
-    sane = low.isNotNull() & (low <= high * 2)
-    currency = F.lit(None).cast("string")
+    sane = low <= high * 2
+    currency = F.nullif(F.upper(F.regexp_extract(text, f"(?i){_OPEN}({'|'.join(CODES)}){_SHUT}", 1)), F.lit(""))
     for sign, code in reversed(SIGNS):
-        currency = F.when(F.contains(text, F.lit(sign)) | F.contains(F.upper(text), F.lit(code)), code).otherwise(currency)
-    interval = F.when(F.greatest(low, high) < 1000, "hour")
-    for name, pattern in reversed(INTERVALS):
-        interval = F.when(F.lower(text).rlike(pattern), name).otherwise(interval)
-    return [F.when(sane, low).alias("comp_min"), F.when(sane, high).alias("comp_max"), F.when(low.isNotNull(), currency).alias("comp_currency"), F.when(sane, interval).alias("comp_interval")]
+        currency = F.when(F.contains(text, F.lit(sign)), code).otherwise(currency)
+    small = low.isNotNull() & F.forall(values, lambda v: v < 1000)
+    interval = F.when(text.rlike(HOURLY), "hour").when(text.rlike(YEARLY), "year").when(small, "hour")
+    return [F.when(sane, low).alias("comp_min"), F.when(sane, high).alias("comp_max"), currency.alias("comp_currency"), interval.alias("comp_interval")]
 
 
 def compensation_table(postings: DataFrame, key: str, col: str) -> DataFrame:
+    """Each row's key, pay text and what ``compensation`` reads from it."""
     return postings.select(key, F.col(col).alias("text"), *compensation(col))
 
 

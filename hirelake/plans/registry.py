@@ -54,7 +54,7 @@ register("posting_detail", """SELECT id, '{"title":"' || title || '",' || CASE W
 register("browse_postings", f"SELECT id, title, ats, first_seen_at, (SELECT count(*) FROM {_JC} WHERE title ILIKE '%high%' AND closed_at IS NULL AND comp_max IS NOT NULL) AS total FROM {_JC} WHERE title ILIKE '%high%' AND closed_at IS NULL AND comp_max IS NOT NULL ORDER BY first_seen_at DESC, id LIMIT 50 OFFSET 50", J, M)(lambda j, c: L.browse_postings(j, c, q="high", comp=True, page_number=2))
 register("browse_companies", "SELECT id, ats, slug, enabled, consecutive_errors, (SELECT count(*) FROM companies WHERE consecutive_errors > 0) AS total FROM companies WHERE consecutive_errors > 0 ORDER BY consecutive_errors DESC, slug, id LIMIT 50", M)(lambda c: L.browse_companies(c, state="errored"))
 for _mode, _where, _order in (("all", "TRUE", "created_at DESC, id"), ("failed", "NOT schema_ok", "created_at DESC, id"), ("blocked", _BLOCK, "created_at DESC, id"), ("slowest", "TRUE", "latency_ms DESC NULLS LAST, id")):
-    register(f"browse_probes_{_mode}", f"SELECT id, company_id, http_status, latency_ms, created_at, (SELECT count(*) FROM probes WHERE run_id = '2024-01-05-1-2' AND {_where}) AS total FROM probes WHERE run_id = '2024-01-05-1-2' AND {_where} ORDER BY {_order} LIMIT 20 OFFSET 20", P)(lambda p, m=_mode: L.browse_probes(p, "2024-01-05-1-2", m, page_number=2, size=20))
+    register(f"browse_probes_{_mode}", f"SELECT id, company_id, http_status, latency_ms, created_at, (SELECT count(*) FROM probes WHERE run_id = '2024-01-17-1-0' AND {_where}) AS total FROM probes WHERE run_id = '2024-01-17-1-0' AND {_where} ORDER BY {_order} LIMIT 5 OFFSET 5", P)(lambda p, m=_mode: L.browse_probes(p, "2024-01-17-1-0", m, page_number=2, size=5))
 register("browse_scans", "SELECT id, started_at, status, (SELECT count(*) FROM runs WHERE status = 'ok') AS total FROM runs WHERE status = 'ok' ORDER BY started_at DESC, id LIMIT 30", U)(lambda r: L.browse_scans(r, "ok"))
 register("title_search", f"SELECT id, title, slug, first_seen_at FROM {_JC} WHERE closed_at IS NULL AND title ILIKE '%urgent%' ORDER BY first_seen_at DESC, id LIMIT 50", J, M)(lambda j, c: L.title_search(j, c, "urgent"))
 register("three_valued_target", "SELECT id, is_target FROM jobs WHERE is_target IS DISTINCT FROM FALSE", J)(lambda j: L.three_valued_target(j).select("id", "is_target"))
@@ -92,19 +92,19 @@ register("totals_rollup", "SELECT c.ats, count(j.id) AS total, count(j.id) FILTE
 
 
 def _events_as_jobs(p: DataFrame) -> DataFrame:
-    return p.where("id % 4 = 0").select("company_id", F.col("created_at").alias("first_seen_at"))
+    return p.select("company_id", F.col("created_at").alias("first_seen_at"))
 
 
-_CYCLE_NEW = "SELECT w.cycle_id, c.ats, count(*) AS new_jobs FROM (SELECT cycle_id, min(started_at) AS s, max(ended_at) AS e FROM runs WHERE status = 'ok' GROUP BY cycle_id) w JOIN probes p ON p.id % 4 = 0 AND p.created_at BETWEEN w.s AND w.e JOIN companies c ON c.id = p.company_id GROUP BY ALL"
+_CYCLE_NEW = "SELECT w.cycle_id, c.ats, count(*) AS new_jobs FROM (SELECT cycle_id, min(started_at) AS s, max(ended_at) AS e FROM runs WHERE status = 'ok' GROUP BY cycle_id) w JOIN probes p ON p.created_at BETWEEN w.s AND w.e JOIN companies c ON c.id = p.company_id GROUP BY ALL"
 register("new_by_cycle_source", _CYCLE_NEW, U, P, M)(lambda r, p, c: A.new_by_cycle_source(r, _events_as_jobs(p), c))
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 register("new_by_cycle_source_pivot", "SELECT cycle_id, " + ", ".join(f"CAST(coalesce(sum(new_jobs) FILTER (WHERE ats = '{s}'), 0) AS BIGINT) AS {s.lower()}" for s in _SEGMENTS) + ", CAST(sum(CASE WHEN ats IN (" + ", ".join(f"'{s}'" for s in _SEGMENTS) + f") THEN new_jobs ELSE 0 END) AS BIGINT) AS total FROM ({_CYCLE_NEW}) n GROUP BY cycle_id", U, P, M)(lambda r, p, c: A.pivot_sources(A.new_by_cycle_source(r, _events_as_jobs(p), c), _SEGMENTS))
 _CYCLE = "SELECT cycle_id, arg_min(id, shard_index) AS id, min(started_at) AS started_at, max(ended_at) AS ended_at, CASE WHEN bool_or(status = 'running') THEN 'running' WHEN bool_and(status = 'ok') THEN 'ok' ELSE 'failed' END AS status, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("companies_probed", "companies_ok", "companies_error", "new_jobs", "closed_jobs")) + ", CAST((list(active_jobs_after ORDER BY ended_at DESC NULLS LAST, id DESC))[1] AS BIGINT) AS active_after FROM runs GROUP BY cycle_id"
 register("cycle_rollup", _CYCLE, U)(A.cycle_rollup)
-_RECENT = f"SELECT cycle_id, status, CAST(floor(epoch(ended_at)) AS BIGINT) - CAST(floor(epoch(started_at)) AS BIGINT) AS duration_s, n AS new_jobs, new_jobs AS new_jobs_reported, closed_jobs, active_before, active_after, CASE WHEN active_before IS NOT NULL THEN greatest(0, active_after - active_before - n + closed_jobs) END AS reopened FROM (SELECT *, CAST(CASE WHEN status = 'ok' THEN (SELECT count(*) FROM probes p WHERE p.id % 4 = 0 AND p.created_at BETWEEN r.started_at AND r.ended_at) ELSE new_jobs END AS BIGINT) AS n, CASE WHEN status = 'ok' THEN lag(active_after) OVER w END AS active_before FROM (SELECT * FROM ({_CYCLE}) c ORDER BY started_at DESC, cycle_id DESC LIMIT 30) r WINDOW w AS (PARTITION BY status = 'ok' ORDER BY started_at, cycle_id)) q"
+_RECENT = f"SELECT cycle_id, status, CAST(floor(epoch(ended_at)) AS BIGINT) - CAST(floor(epoch(started_at)) AS BIGINT) AS duration_s, n AS new_jobs, new_jobs AS new_jobs_reported, closed_jobs, active_before, active_after, CASE WHEN active_before IS NOT NULL THEN greatest(0, active_after - active_before - n + closed_jobs) END AS reopened FROM (SELECT *, CAST(CASE WHEN status = 'ok' THEN (SELECT count(*) FROM probes p WHERE p.created_at BETWEEN r.started_at AND r.ended_at) ELSE new_jobs END AS BIGINT) AS n, CASE WHEN status = 'ok' THEN lag(active_after) OVER w END AS active_before FROM (SELECT * FROM ({_CYCLE}) c ORDER BY started_at DESC, cycle_id DESC LIMIT 30) r WINDOW w AS (PARTITION BY status = 'ok' ORDER BY started_at, cycle_id)) q"
 register("recent_cycles", _RECENT, U, P)(lambda r, p: A.recent_cycles(r, _events_as_jobs(p)))
 register("active_balance_check", f"SELECT cycle_id, active_after - active_before - new_jobs - reopened + closed_jobs AS residual FROM ({_RECENT}) r WHERE active_before IS NOT NULL AND active_after - active_before - new_jobs - reopened + closed_jobs <> 0", U, P)(lambda r, p: A.active_balance_check(A.recent_cycles(r, _events_as_jobs(p))))
-register("scan_rows", "SELECT r.id, r.status, r.shard_index, CAST(CASE WHEN r.status = 'ok' AND r.shard_index = 0 THEN (SELECT count(*) FROM probes p WHERE p.id % 4 = 0 AND p.created_at BETWEEN r.started_at AND r.ended_at) ELSE r.new_jobs END AS BIGINT) AS new_jobs, CAST(r.new_jobs AS BIGINT) AS new_jobs_reported FROM runs r", U, P)(lambda r, p: A.scan_rows(r, _events_as_jobs(p)))
+register("scan_rows", "SELECT r.id, r.status, r.shard_index, CAST(CASE WHEN r.status = 'ok' AND r.shard_index = 0 THEN (SELECT count(*) FROM probes p WHERE p.created_at BETWEEN r.started_at AND r.ended_at) ELSE r.new_jobs END AS BIGINT) AS new_jobs, CAST(r.new_jobs AS BIGINT) AS new_jobs_reported FROM runs r", U, P)(lambda r, p: A.scan_rows(r, _events_as_jobs(p)))
 register("active_delta", f"SELECT id, CAST(active_jobs_after AS BIGINT) AS active_jobs_after, CAST(previous AS BIGINT) AS previous, CAST(active_jobs_after - previous AS BIGINT) AS delta, {_pct('(active_jobs_after - previous)', 'previous')} AS delta_pct FROM (SELECT *, lag(active_jobs_after) OVER (ORDER BY started_at, id) AS previous FROM (SELECT * FROM runs WHERE status = 'ok' ORDER BY started_at DESC, id DESC LIMIT 3) r) q WHERE previous IS NOT NULL", U)(A.active_delta)
 _UNIQUE = f"SELECT company_id, fingerprint, id, first_seen_at, ats FROM (SELECT *, row_number() OVER (PARTITION BY company_id, fingerprint ORDER BY first_seen_at, id) AS rn FROM {_JC} WHERE closed_at IS NULL) q WHERE rn = 1"
 register("unique_active", _UNIQUE, J, M)(A.unique_active)
@@ -157,8 +157,19 @@ def _closed(j: DataFrame) -> DataFrame:
 register("lifecycle_merge", _MERGED, J)(_merged)
 register("close_unseen", _CLOSED, J)(_closed)
 register("lifecycle_events", _EVENTS, J)(lambda j: C.lifecycle_events(j, _closed(j), OR))
-register("run_totals", f"SELECT event, count(*) AS n FROM ({_EVENTS}) e GROUP BY event", J)(lambda j: C.run_totals(C.lifecycle_events(j, _closed(j), OR)))
-register("run_outcomes", "SELECT run_id, count(*) AS probed, count(*) FILTER (WHERE schema_ok AND NOT w) AS ok, count(*) FILTER (WHERE NOT schema_ok AND NOT w) AS error, count(*) FILTER (WHERE w) AS write_failed FROM (SELECT *, coalesce(error LIKE 'db_write:%', FALSE) AS w, row_number() OVER (PARTITION BY run_id, company_id ORDER BY created_at DESC, id DESC) AS rn FROM probes) p WHERE rn = 1 GROUP BY run_id", P)(C.run_outcomes)
+register("event_totals", f"SELECT event, count(*) AS n FROM ({_EVENTS}) e GROUP BY event", J)(lambda j: C.event_totals(C.lifecycle_events(j, _closed(j), OR)))
+_OUTCOMES = "SELECT run_id, count(*) AS probed, count(*) FILTER (WHERE schema_ok AND NOT w) AS ok, count(*) FILTER (WHERE NOT schema_ok AND NOT w) AS error, count(*) FILTER (WHERE w) AS write_failed FROM (SELECT *, coalesce(error LIKE 'db_write:%', FALSE) AS w, row_number() OVER (PARTITION BY run_id, company_id ORDER BY created_at DESC, id DESC) AS rn FROM probes) p WHERE rn = 1 GROUP BY run_id"
+register("run_outcomes", _OUTCOMES, P)(C.run_outcomes)
+#: Each company's events belong to the run that probed it last.
+_RUN_EVENTS = f"SELECT r.run_id, event FROM ({_EVENTS}) e JOIN (SELECT company_id, arg_max(run_id, (created_at, id)) AS run_id FROM probes GROUP BY company_id) r ON r.company_id = e.company_id"
+
+
+def _run_totals(j: DataFrame, p: DataFrame) -> DataFrame:
+    run = p.groupBy("company_id").agg(F.max_by("run_id", F.struct("created_at", "id")).alias("run_id"))
+    return C.run_totals(C.run_outcomes(p), C.lifecycle_events(j, _closed(j), OR).join(run, "company_id"))
+
+
+register("run_totals", f"SELECT run_id, probed, ok, error, write_failed, coalesce(new_jobs, 0) AS new_jobs, coalesce(closed_jobs, 0) AS closed_jobs FROM ({_OUTCOMES}) o LEFT JOIN (SELECT run_id, count(*) FILTER (WHERE event IN ('new', 'reopened')) AS new_jobs, count(*) FILTER (WHERE event = 'closed') AS closed_jobs FROM ({_RUN_EVENTS}) x GROUP BY run_id) e USING (run_id)", J, P)(_run_totals)
 register("changed_descriptions", "SELECT company_id, external_id, h AS description_hash FROM (SELECT *, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 2 = 0 THEN md5(title) ELSE description_hash END AS h FROM jobs) l WHERE h IS NOT NULL AND h IS DISTINCT FROM description_hash", J)(lambda j: C.changed_descriptions(j, j.withColumn("description_hash", F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 2 == 0, F.md5("title")).otherwise(F.col("description_hash")))))
 register("invalidate_derived", "SELECT id, CASE WHEN id % 2 = 0 THEN NULL ELSE job_family END AS job_family FROM jobs", J)(lambda j: C.invalidate_derived(j, j.withColumn("description_hash", F.when(F.col("id") % 2 == 0, F.concat(F.lit("x"), F.col("external_id"))).otherwise(F.col("description_hash"))), ["job_family"]).select("id", "job_family"))
 register("source_state_update", "SELECT c.id, c.slug, CAST(CASE WHEN good IS NULL THEN consecutive_errors WHEN good THEN 0 ELSE consecutive_errors + 1 END AS INT) AS consecutive_errors, enabled AND NOT coalesce(NOT good AND consecutive_errors + 1 >= 5, FALSE) AS enabled, CASE WHEN NOT good THEN coalesce(error, 'HTTP ' || http_status, 'unknown') END AS last_error, CASE WHEN NOT good THEN created_at ELSE last_error_at END AS last_error_at, CASE WHEN good THEN created_at END AS last_success_at FROM companies c LEFT JOIN (SELECT *, schema_ok AS good, row_number() OVER (PARTITION BY company_id ORDER BY created_at DESC, id DESC) AS rn FROM probes) p ON p.company_id = c.id AND rn = 1", M, P)(C.source_state_update)
@@ -188,12 +199,12 @@ register("seeds_from_sql", "SELECT ats, slug, 'https://c/' || id AS careers_url,
 register("seeds_from_json", "SELECT ats, slug, CAST(NULL AS VARCHAR) AS careers_url, CASE WHEN k = 1 THEN 'https://p/' || id END AS probe_url FROM companies, (SELECT unnest([1, 2]) AS k) t WHERE k = 1 OR id % 2 = 0", M)(lambda c: seeds_from_json(c.select(F.expr("""'[{"ats":"' || ats || '","slug":"' || slug || '","probe_url":"https://p/' || id || '"}' || CASE WHEN id % 2 = 0 THEN ',{"slug":"' || slug || '","ats":"' || ats || '"}' ELSE ',{"slug":"none"}' END || ']'""").alias("value"))))
 register("merge_writer", "SELECT j.id, CASE WHEN j.id % 2 = 0 THEN 'merged' ELSE j.title END AS title, j.location FROM jobs j", J)(lambda j: merge_writer(j.select("id", "title", "location"), j.where("id % 2 = 0").select("id", F.lit("merged").alias("title")), ["id"], ["title"]))
 register("patch_nonnull", "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN job_family END, title) AS title FROM jobs", J)(lambda j: patch_nonnull(j.select("id", "title"), j.where("id % 2 = 0").select("id", F.col("job_family").alias("title")), ["id"]))
-_CAND = "SELECT id AS company_id, lower(slug) || CASE WHEN k = 2 THEN CAST(id % 40 AS VARCHAR) ELSE '' END AS slug, k AS kind FROM companies, (SELECT unnest([1, 2, 3]) AS k) ks WHERE id % 5 = 0 AND (k > 1 OR id % 10 = 0)"
+_CAND = "SELECT id AS company_id, lower(slug) || CASE WHEN k = 2 THEN CAST(id % 40 AS VARCHAR) ELSE '' END AS slug, k AS kind FROM companies, (SELECT unnest([1, 2, 3]) AS k) ks WHERE k > 1 OR id % 10 = 0"
 register("pointer_recovery", f"SELECT company_id, slug, kind FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY kind, company_id) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY kind, slug) AS r1 FROM ({_CAND}) c WHERE slug NOT IN (SELECT lower(slug) FROM companies WHERE id % 20 = 0)) a WHERE r1 = 1) b WHERE r2 = 1", M)(lambda c: C.pointer_recovery(_candidates(c), c.where("id % 20 = 0").select(F.lower("slug").alias("slug"))))
 
 
 def _candidates(c: DataFrame) -> DataFrame:
-    k = c.where("id % 5 = 0").select("id", "slug", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("kind")).where("kind > 1 OR id % 10 = 0")
+    k = c.select("id", "slug", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("kind")).where("kind > 1 OR id % 10 = 0")
     return k.select(F.col("id").alias("company_id"), F.concat(F.lower("slug"), F.when(F.col("kind") == 2, (F.col("id") % 40).cast("string")).otherwise("")).alias("slug"), "kind")
 
 
@@ -280,8 +291,31 @@ register("tag_titles", _TAGS, "part")(lambda p: T.tag_titles(_titled(p)))
 register("tag_summary", f"SELECT tag_family, tag_target, tag_confidence, tag_by, count(*) AS n FROM ({_TAGS}) t GROUP BY ALL", "part")(lambda p: T.tag_summary(T.tag_titles(_titled(p))))
 _OPEN = "job_family IS NULL AND is_target IS NULL AND tag_confidence = 'high'"
 register("tag_backfill", f"SELECT j.id, CASE WHEN {_OPEN} THEN tag_family ELSE job_family END AS job_family, CASE WHEN {_OPEN} THEN tag_target ELSE is_target END AS is_target, CASE WHEN {_OPEN} THEN tag_seniority ELSE seniority END AS seniority, CASE WHEN {_OPEN} THEN tag_by END AS classified_by FROM jobs j LEFT JOIN ({_TAGS}) t ON t.id = j.id", J, "part")(lambda j, p: T.tag_backfill(j, T.tag_titles(_titled(p))))
-_PAY = "CASE p_partkey % 5 WHEN 0 THEN '$' || p_size || 'K - $' || (p_size + 20) || 'K' WHEN 1 THEN '€' || p_size || ' per hour' WHEN 2 THEN CAST(p_size AS STRING) || ',000 GBP per year' WHEN 3 THEN '300K to ' || p_size || 'K USD' ELSE 'Competitive' END"
-register("compensation_table", f"SELECT p_partkey, {_PAY} AS text, CASE p_partkey % 5 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN p_size * 1000.0 WHEN 3 THEN CASE WHEN 300 <= p_size * 2 THEN 300000.0 END END AS comp_min, CASE p_partkey % 5 WHEN 0 THEN (p_size + 20) * 1000.0 WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN p_size * 1000.0 WHEN 3 THEN CASE WHEN 300 <= p_size * 2 THEN p_size * 1000.0 END END AS comp_max, CASE p_partkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' WHEN 3 THEN 'USD' END AS comp_currency, CASE p_partkey % 5 WHEN 1 THEN 'hour' WHEN 2 THEN 'year' END AS comp_interval FROM part", "part")(lambda p: T.compensation_table(p.withColumn("pay", F.expr(_PAY)), "p_partkey", "pay"))
+#: Pay texts round a number n from 1 to 50 (p_size), and what they say: least, greatest, currency, interval.
+_PAYS_OF = [
+    ("'$' || n || 'K - $' || (n + 20) || 'K'", "n * 1000", "(n + 20) * 1000", "USD", None),
+    ("'€' || n || ' per hour'", "n", "n", "EUR", "hour"),
+    ("n || ',000 GBP per year'", "n * 1000", "n * 1000", "GBP", "year"),
+    ("'300K to ' || n || 'K USD'", "NULL", "NULL", "USD", None),
+    ("'Competitive'", "NULL", "NULL", None, None),
+    ("'1' || n || ',000 CAD per  Year'", "CAST('1' || n AS INT) * 1000", "CAST('1' || n AS INT) * 1000", "CAD", "year"),
+    ("'EUR ' || n || ' / £' || n", "n", "n", "GBP", "hour"),
+    ("'EUROPE ' || n", "n", "n", None, "hour"),
+    ("'$' || (n + 40) || ' to $10 per hour'", "CASE WHEN n + 40 <= 20 THEN n + 40 END", "CASE WHEN n + 40 <= 20 THEN 10 END", "USD", "hour"),
+    ("'$' || n || '000 / hr'", "n * 1000", "n * 1000", "USD", "hour"),
+    ("n || '0,000/yr aud'", "n * 10000", "n * 10000", "AUD", "year"),
+    ("'inr ' || n || '.5M annually'", "(n + 0.5) * 1000000", "(n + 0.5) * 1000000", "INR", "year"),
+    ("'SGD ' || n || ' - ' || (n + 1) || ' hourly'", "n", "n + 1", "SGD", "hour"),
+    ("'chf ' || n || ',000 then nok'", "n * 1000", "n * 1000", "CHF", None),
+    ("'NOK ' || n", "n", "n", "NOK", "hour"),
+    ("n || ' dkk/HR'", "n", "n", "DKK", "hour"),
+    ("'¥' || n || ',000,000 SEK'", "n * 1000000", "n * 1000000", "JPY", None),
+    ("'SEK ' || n || '.1.1 or ' || (n + 2000)", "n + 2000", "n + 2000", "SEK", None),
+    ("'JPY'", "NULL", "NULL", "JPY", None),
+]
+_PAY = f"CASE p_partkey % {len(_PAYS_OF)} " + " ".join(f"WHEN {i} THEN {text}" for i, (text, *_) in enumerate(_PAYS_OF)) + " END"
+_PAY_SQL = "SELECT p_partkey, text, " + ", ".join(f"CAST(CASE k {' '.join(f'WHEN {i} THEN {row[c]}' for i, row in enumerate(_PAYS_OF))} END AS DOUBLE) AS {name}" for c, name in ((1, "comp_min"), (2, "comp_max"))) + ", " + ", ".join(f"CASE k {' '.join(f'WHEN {i} THEN {_literal(row[c])}' for i, row in enumerate(_PAYS_OF))} END AS {name}" for c, name in ((3, "comp_currency"), (4, "comp_interval"))) + f" FROM (SELECT *, {_PAY} AS text FROM (SELECT p_partkey, p_size AS n, p_partkey % {len(_PAYS_OF)} AS k FROM part) q) p"
+register("compensation_table", _PAY_SQL, "part")(lambda p: T.compensation_table(p.withColumn("n", F.col("p_size")).withColumn("pay", F.expr(_PAY)), "p_partkey", "pay"))
 _LABELS = "'Source: ' || source || chr(10) || 'Lang: ' || lang || chr(10) || 'Skills: ' || lang || ', ' || source || '/x' || chr(10) || 'Note: unknown' || chr(10) || 'Lang: last'"
 register("labelled_fields", "SELECT doc_id, unnest(['source', 'lang', 'skills']) AS label, unnest([source, 'last', lang || ', ' || source || '/x']) AS value FROM documents", "documents")(lambda d: T.labelled_fields(d.withColumn("card", F.expr(_LABELS)), "doc_id", "card"))
 register("skill_index", "SELECT doc_id, unnest([lang, source]) AS skill FROM documents", "documents")(lambda d: T.skill_index(d.withColumn("s", F.expr("lang || ', ' || source || '/x'")), "doc_id", "s"))
@@ -350,8 +384,7 @@ _RANKB = f"SELECT query, item, similarity, row_number() OVER (PARTITION BY query
 
 
 def _second(e: DataFrame) -> DataFrame:
-    top = _dense(e).where("item % 2 = 0")
-    return top.drop("rank").withColumn("rank", F.row_number().over(R.Window.partitionBy("query").orderBy("item")))
+    return R.arm_rank(_dense(e).where("item % 2 = 0").withColumn("score", -F.col("item")), "score", 10).drop("score")
 
 
 register("arm_rank", _RANKB, "embeddings")(_second)

@@ -33,6 +33,8 @@ def test_markup(spark):
 
 def test_pay(spark):
     cases = {"$120K - $180K": (120000, 180000, "USD", None), "$50/hour": (50, 50, "USD", "hour"), "€90K – €120K": (90000, 120000, "EUR", None), "120,000 GBP per year": (120000, 120000, "GBP", "year"), "300K to 100K USD": (None, None, "USD", None), "Competitive": (None,) * 4, "": (None,) * 4, None: (None,) * 4}
+    cases |= {"120,000 CAD per year": (120000, 120000, "CAD", "year"), "EUR 50 / £40": (50, 40, "GBP", "hour"), "EUROPE 50": (50, 50, None, "hour"), "$50 to $10 per hour": (None, None, "USD", "hour"), "$2000 / hr": (2000, 2000, "USD", "hour"), "90,000/yr": (90000, 90000, None, "year"), "$90,000 /yr": (90000, 90000, "USD", None)}
+    cases |= {"chf 1.2M annually": (1200000, 1200000, "CHF", "year"), "0 - 100 NOK": (0, 100, "NOK", "hour"), "inr 5 then usd": (5, 5, "INR", "hour"), "1.2.3 or 4000": (4000, 4000, None, None), "¥ 5,000\u00a0k": (5000000, 5000000, "JPY", None), "Competitive $": (None, None, "USD", None), "hourly": (None, None, None, "hour"), "semihourly SEK_9000": (9000, 9000, None, None), "per  Hour 30 - 40 Dkk": (30, 40, "DKK", "hour"), "10 to 4": (None, None, None, "hour"), " \u00a0 ": (None,) * 4}
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(cases)], "i int, v string")
     got = [(r.comp_min, r.comp_max, r.comp_currency, r.comp_interval) for r in text.compensation_table(rows, "i", "v").orderBy("i").collect()]
     assert got == list(cases.values())

@@ -32,6 +32,24 @@ def test_nearest_by_brute_force(spark, monkeypatch, most):
     assert retrieval.vector_topk_many(items, queries.where("false"), 5).count() == 0
 
 
+def test_clusters_are_passed_over_and_nothing_is_lost():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    near = lambda n: centres[rng.integers(0, 40, n)] + 0.1 * rng.normal(size=(n, 24))
+    unit = lambda x: x / np.sqrt((x * x).sum(1))[:, None]
+    for items, queries in ((unit(near(6000)), unit(near(300))), (unit(rng.normal(size=(3000, 24))), unit(rng.normal(size=(300, 24)))), (np.repeat(unit(near(10)), 300, axis=0), unit(near(200)))):
+        met, best, plain = [0, 0], blocks.Best(len(queries), 5, 4), blocks.Best(len(queries), 5, 4)
+        for at in range(0, len(items), 1500):
+            blocks.meet(best, np.arange(at, min(at + 1500, len(items))), items[at : at + 1500], queries, met)
+        plain.add(np.arange(len(items)), items @ queries.T)
+        assert (best.query == plain.query).all() and (best.item == plain.item).all() and (best.rounded == plain.rounded).all()
+        assert met[1] == len(items) * len(queries)
+        share = met[0] / met[1]
+        assert share < 0.35 if len(items) == 6000 else share <= 1
+
+
 def test_only_newer_items_are_met(spark):
     import datetime as dt
 
