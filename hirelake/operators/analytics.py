@@ -113,7 +113,7 @@ def recent_cycles(runs: DataFrame, jobs: DataFrame, n: int = 30) -> DataFrame:
     one scan, a broadcast join and one count by cycle.
     """
     newest = cycle_rollup(runs).orderBy(F.desc("started_at"), F.desc("cycle_id")).limit(n)
-    newest = runs.sparkSession.createDataFrame(newest.collect(), newest.schema).coalesce(1)  # n rows
+    newest = runs.sparkSession.createDataFrame(newest.toArrow(), newest.schema)  # n rows, part of the plan from here on
     windows = newest.where("status = 'ok'").select(F.col("cycle_id").alias("cycle"), "started_at", "ended_at")
     seen = interval_join(jobs.select("first_seen_at"), F.broadcast(windows), "first_seen_at", "started_at", "ended_at").groupBy("cycle").agg(F.count("*").alias("n"))
     ok = F.col("status") == "ok"
