@@ -48,9 +48,13 @@ _CONTENT = frozenset("article main".split())
 #: Blocks that hold running text.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th b i em strong a span figcaption br".split())
 _NAME = r"(?:ads?|advert[a-z]*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo[a-z]*|related|respond|share|sharing|sidebar|skip|social|sponsor[a-z]*|subscribe|toolbar|widget)"
-#: A class or id made of such names alone (cookie-banner, but not has-sidebar, no-comments or social-science).
-_NAMES = re.compile(rf"(?:^|\s){_NAME}(?:[-_]+{_NAME})*(?:\s|$)", re.I)
-#: Elements that are never dropped for a class or id, and neither is what holds one.
+#: What stands round an article, and words that go with these (comment-list, reader-comments, related-posts).
+_ROUND = r"(?:comment(?:s|list)?|disqus|recommend(?:ed|ations)|related|respond|share|sharing|teasers?|trending)"
+_WITH = r"(?:area|articles?|bar|block|body|box|buttons?|container|content|entry|form|inner|items?|links?|list|more|page|posts?|readers?|section|site|stories|thread|title|user|wrap|wrapper)"
+#: A class or id made of such names alone (cookie-banner, but not has-sidebar, no-comments, related-work or social-science).
+_NAMES = re.compile(rf"(?:^|\s)(?:{_NAME}(?:[-_]+{_NAME})*|(?:{_WITH}[-_]+)*{_ROUND}(?:[-_]+(?:{_ROUND}|{_WITH}))*)(?:\s|$)", re.I)
+_ROUNDS = re.compile(rf"(?:^|[\s_-]){_ROUND}(?:[\s_-]|$)", re.I)
+#: Elements that are never dropped for a class or id, but for an article in another one.
 _WHOLE = frozenset("html body main article".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 #: An open element of the key is closed by the start of one of the values.
@@ -62,11 +66,17 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd ma
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "named", "kept", "parts", "hash", "template")
+    __slots__ = ("tag", "dropped", "named", "round", "told", "parts", "hash", "template")
 
-    def __init__(self, tag: str, dropped: bool, named: bool = False):
-        #: named: dropped for nothing but its class or id. hash: what templates are told by, None where it can't be one.
-        self.tag, self.dropped, self.named, self.kept, self.parts, self.hash, self.template = tag, dropped or named, named and not dropped, False, [], None, False
+    def __init__(self, tag: str, told: bool = False, named: bool = False, round_: bool = False):
+        #: told: by attributes. named: dropped for nothing but its class or id, round: for one that stands round an article.
+        #: hash: what templates are told by, None where it can't be one.
+        dropped = told or tag in _DROP
+        self.tag, self.told, self.dropped, self.named, self.round, self.parts, self.hash, self.template = tag, told, dropped or named, named and not dropped, round_, [], None, False
+
+    def holds(self) -> bool:
+        """Whether an article may be inside although this is dropped: a form round all, or a name such as banner."""
+        return self.tag == "form" and not self.told or self.named and not self.round
 
 
 class _Open:
@@ -91,7 +101,7 @@ class _Open:
 
 def parse(html: str) -> Node:
     """A tree of elements and their text; broken markup is closed as browsers roughly do. Linear in the page."""
-    root = Node("html", False)
+    root = Node("html")
     stack = _Open(root)
     at, n = 0, len(html)
     while at < n:
@@ -117,14 +127,13 @@ def parse(html: str) -> Node:
             if not top or tag not in _CLOSED_BY.get(stack.nodes[top].tag, ()):
                 break
             stack.close(top)
-        if tag in _WHOLE:
-            for x in reversed(stack.nodes):
-                if x.kept:
-                    break
-                x.kept = True
-                if x.named:
-                    x.dropped = x.named = False
-        node = Node(tag, tag in _DROP or _told(m[3]), tag not in _WHOLE and _named(m[3]))
+        if tag in ("h1", "h2") and (headers := stack.of_tag.get("header")):
+            top = stack.nodes[headers[-1]]  # the heading of an article, not of the site
+            if any(x and x[-1] < headers[-1] for x in map(stack.of_tag.get, _CONTENT)) and not top.told and not top.named:
+                top.dropped = False
+        inner = tag == "article" and opened
+        name = _name(m[3]) if inner or tag not in _WHOLE else ""
+        node = Node(tag, _told(m[3]), bool(_NAMES.search(name)), bool(_ROUNDS.search(name)))
         stack.nodes[-1].parts.append(node)
         if tag in _RAW:
             end = _RAW_END[tag].search(html, at)
@@ -135,9 +144,11 @@ def parse(html: str) -> Node:
     return root
 
 
-def _named(attributes: str) -> bool:
-    """Whether a class or id names something that is no main text."""
-    return "=" in attributes and any(name.lower() in ("class", "id") and _NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values))) is not None for name, *values in _ATTRIBUTE.findall(attributes))
+def _name(attributes: str) -> str:
+    """The classes and the id of an element, the parts of each joined by hyphens."""
+    if "=" not in attributes:
+        return ""
+    return " ".join(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)) for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
 
 
 def _told(attributes: str) -> bool:
@@ -193,20 +204,33 @@ def hash_subtrees(root: Node) -> tuple[int, int, dict[int, bool]]:
     return int.from_bytes(told[id(root)][0], "little", signed=True), lead, out
 
 
-def _articles(root: Node) -> list[Node]:
-    """The outermost article elements, or main ones where there are none; not those inside what goes."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    stack = [root]
+def _article(root: Node) -> Node | None:
+    """The article with the longest text of the outermost ones, or else the first main element.
+
+    Those inside what goes count only where there are no others, and only if what goes is a form or has a name such as
+    banner. What stands in comments, related posts, menus or templates is never the article.
+    """
+    found: dict[tuple[bool, str], list[Node]] = {}
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        if node is not root and (node.dropped or node.template):
+        node, inside = stack.pop()
+        if node is not root and node.template:
             continue
+        if node is not root and node.dropped:
+            if not node.holds():
+                continue
+            inside = True
         if node.tag in _CONTENT:
-            found[node.tag].append(node)
+            found.setdefault((inside, node.tag), []).append(node)
             if node.tag == "article":
                 continue
-        stack.extend(part for part in reversed(node.parts) if isinstance(part, Node))
-    return found["article"] or found["main"][:1]
+        stack.extend((part, inside) for part in reversed(node.parts) if isinstance(part, Node))
+    for inside in (False, True):
+        if articles := found.get((inside, "article")):
+            return articles[0] if len(articles) == 1 else max(articles, key=lambda x: len(_lines(x)))
+        if mains := found.get((inside, "main")):
+            return mains[0]
+    return None
 
 
 def _blocks(root: Node, lines: list[list[str]]) -> None:
@@ -217,7 +241,7 @@ def _blocks(root: Node, lines: list[list[str]]) -> None:
             lines.append([])
         elif isinstance(node, str):
             lines[-1].append(node)
-        elif node.dropped or node.template:
+        elif node is not root and (node.template or node.dropped):
             lines.append([])
         else:
             if node.tag in _BLOCK:
@@ -226,15 +250,27 @@ def _blocks(root: Node, lines: list[list[str]]) -> None:
             stack.extend(reversed(node.parts))
 
 
-def text_of(root: Node) -> str:
-    """Blocks of the main text of a tree in page order, one a line."""
+def _lines(node: Node) -> str:
     lines: list[list[str]] = [[]]
-    for node in _articles(root) or [root]:
-        _blocks(node, lines)
+    _blocks(node, lines)
     texts = (" ".join(unescape("".join(x)).split()) for x in lines)
     return "\n".join(t for t in texts if t)
 
 
+def text_of(root: Node) -> str:
+    """Blocks of the main text of a tree in page order, one a line. A page of which all stands in forms is taken whole."""
+    text = _lines(_article(root) or root)
+    if text:
+        return text
+    nodes = [root]
+    for node in nodes:
+        if node.tag == "form" and not node.told and not node.template:
+            node.dropped = node.named
+        if node is root or not node.dropped:
+            nodes.extend(part for part in node.parts if isinstance(part, Node))
+    return _lines(root)
+
+
 def mark(root: Node, templates: frozenset[int] | set[int]) -> int:
     """Marks the outermost subtrees that are templates, and counts them; the root's hashes must be set."""
     marked, stack = 0, [root]

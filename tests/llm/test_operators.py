@@ -359,6 +359,36 @@ def test_html_keeps_what_holds_the_text(around):
     assert html.main_text(around % "<p>the text</p><div class='share'>share</div><div class='x cookie-banner'>ok?</div>") == "the text"
 
 
+BODY = "<article><h1>Title</h1><p>the main text of this page</p></article>"
+AFTER = [
+    '<div id="comments"><article class="comment-body"><p>a long comment of a reader, longer than the text</p></article></div>',
+    '<section class="related"><article><h2>Other</h2><p>teaser</p></article></section>',
+    '<aside><article><p>another teaser that is longer than the main text is</p></article></aside>',
+    "<article><p>a second one</p></article>",
+    *[f'<div class="{c}"><p>nice!</p></div>' for c in ("comment-list", "post-comments", "reader-comments", "comments-area", "related-posts", "shareButtons")],
+    '<div id="disqus_thread"><p>loading</p></div>',
+]
+
+
+@pytest.mark.parametrize("after", AFTER)
+def test_html_leaves_out_what_stands_round_an_article(after):
+    for page in (BODY + after, f"<body>{after}{BODY}</body>", f"<main>{BODY}{after}</main>", BODY.replace("</article>", after + "</article>") if "second" not in after else BODY + after):
+        assert html.main_text(page) == "Title\nthe main text of this page"
+    if "article" not in after:  # without a marked article too
+        assert html.main_text(f"<body><h1>Title</h1><p>the main text of this page</p>{after}</body>") == "Title\nthe main text of this page"
+
+
+def test_html_keeps_forms_round_all_and_headings_in_headers():
+    assert html.main_text(f'<body><form id="aspnetForm"><nav>menu</nav>{BODY}<input value="x"></form></body>') == "Title\nthe main text of this page"
+    assert html.main_text('<body><form id="aspnetForm"><div><p>some text</p><nav>menu</nav></div></form></body>') == "some text"
+    assert html.main_text("<body><p>text</p><form><p>search</p></form></body>") == "text"
+    assert html.main_text("<body><header><h1>Site</h1></header><article><header><h1>Title</h1><nav>menu</nav></header><p>text</p><footer>by</footer></article></body>") == "Title\ntext"
+    assert html.main_text("<article><header><p>no heading</p></header><p>text</p></article>") == "text"
+    assert html.main_text("<div class='banner'><article><p>text</p></article></div>") == "text"
+    kept = "<article><p>text</p>" + "".join(f'<div class="{c}"><p>kept</p></div>' for c in ("has-sidebar", "no-comments", "social-science", "related-work", "share-price", "post-content")) + "</article>"
+    assert html.main_text(kept) == "\n".join(["text"] + ["kept"] * 6)
+
+
 @pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<a " * 350_000, "<b>" * 100_000, "<p " + "a" * 500_000 + ">x", "<div class='" + "promo_" * 3000 + "!'>x", "<!" * 300_000, "<div>" * 30_000 + "<article>x</article>" * 30_000])
 def test_html_is_linear_and_takes_any_depth(page):
     import time
