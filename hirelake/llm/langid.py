@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from .arrays import chunks, flat
 
 #: Dimensions that n-grams are hashed to, and centroids of a language.
 DIMENSIONS, CENTROIDS = 4096, 4
-#: Different labelled texts of a language that k-means sees at most, and languages that are learned (those of most rows).
-SAMPLE_ROWS, MOST_LANGUAGES = 1500, 500
+#: Different labelled texts of a language that k-means sees at most.
+SAMPLE_ROWS = 1500
 #: Share of a language's own sample whose distance counts as too far.
 FAR_SHARE = 0.01
 _LETTER = np.full(256, 32, np.uint8)
@@ -107,21 +108,22 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def fit(docs: DataFrame, learn: Column, most_languages: int = MOST_LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from text and lang of the rows where ``learn`` holds and neither is null.
 
     Document frequencies cover all of these rows (one number a dimension reaches the driver). k-means sees at most
-    ``sample_rows`` different texts of a language, those of least hash, of at most ``most_languages`` languages.
-    A language's distances in this sample give the cosine below which a text is too far from it.
+    ``sample_rows`` different texts of a language, those of least hash; the driver holds one language's at a time, and of
+    each only its centroids. A language's distances in this sample give the cosine below which a text is too far from it.
+    Repeated texts count once in k-means; without any row the model knows no language. Other columns are ignored.
     """
     docs = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("hash"))
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("hash").alias("n")).orderBy(F.desc("rows"), "lang").limit(most_languages)
+    sizes = docs.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"))
     df = np.zeros(DIMENSIONS + 1)
     for r in docs.select("text").mapInArrow(_frequency, "dim long, docs long").groupBy("dim").agg(F.sum("docs").alias("n")).collect():
         df[r.dim + 1] = r.n
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
     # Twice as many as needed by the hash, then exactly so many of least hash: few rows are ranked.
-    near = docs.join(F.broadcast(sizes), "lang").where(F.abs(F.col("hash").cast("double")) <= F.lit(2.0**63) * 2 * sample_rows / F.col("n"))
+    near = docs.join(sizes, "lang").where(F.abs(F.col("hash").cast("double")) <= F.lit(2.0**63) * 2 * sample_rows / F.col("n"))
     one = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
     sample = one.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.abs(F.col("hash").cast("double")), "hash"))).where(F.col("rn") <= sample_rows)
 
@@ -130,12 +132,11 @@ def fit(docs: DataFrame, learn: Column, most_languages: int = MOST_LANGUAGES, sa
             v = vectors(chunk.column("text"), idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([chunk.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], names=["lang", "v"])
 
-    rows: dict[str, list[bytes]] = {}
-    for r in sample.select("text", "lang").mapInArrow(embed, "lang string, v binary").toLocalIterator():
-        rows.setdefault(r["lang"], []).append(bytes(r["v"]))
-    languages, centroids, least = sorted(rows), [], []
-    for x in languages:
-        v = np.array([np.frombuffer(b, np.float16) for b in sorted(rows[x])], np.float32)
+    languages, centroids, least = [], [], []
+    rows = sample.orderBy("lang").select("text", "lang").mapInArrow(embed, "lang string, v binary").toLocalIterator()
+    for language, own in groupby(rows, lambda r: r["lang"]):
+        v = np.array([np.frombuffer(b, np.float16) for b in sorted(bytes(r["v"]) for r in own)], np.float32)
+        languages.append(language)
         centroids.append(cluster(v, CENTROIDS))
         least.append(np.quantile((v @ centroids[-1].T).max(1), FAR_SHARE))
     return Model(languages, centroids, np.array(least), idf)

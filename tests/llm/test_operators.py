@@ -348,6 +348,18 @@ def test_language_by_a_plain_loop(spark):
     assert held and right / held > 0.95
 
 
+def test_any_number_of_languages_is_learned(spark):
+    rng = random.Random(11)
+    words = {x: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3)] for x in range(600)}
+    rows = [(i, " ".join(rng.choice(words[i % 600]) for _ in range(12)), f"l{i % 600:03d}") for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, langid.F.lit(True))
+    assert len(model.languages) == 600
+    import pyarrow as pa
+
+    assert model.predict(pa.array([" ".join(words[599]), " ".join(words[3])]))[0] == ["l599", "l003"]
+
+
 def test_html():
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>menu</ul></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>x  y\n<b>z<p>second<br>line<script>var t='</p>'</script><div id='comments'><p>me too</p></div></article><footer>f</footer></body></html>"
     assert html.main_text(page) == "A & B\nx y z\nsecond\nline"
