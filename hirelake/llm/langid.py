@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import chunks, flat
+from .tables import scratch, written
 
 #: Dimensions that n-grams are hashed to, and centroids of a language.
 DIMENSIONS, CENTROIDS = 4096, 4
@@ -116,29 +117,31 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model
     each only its centroids. A language's distances in this sample give the cosine below which a text is too far from it.
     Repeated texts count once in k-means; without any row the model knows no language. Other columns are ignored.
     """
-    docs = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("hash"))
-    sizes = docs.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"))
-    df = np.zeros(DIMENSIONS + 1)
-    for r in docs.select("text").mapInArrow(_frequency, "dim long, docs long").groupBy("dim").agg(F.sum("docs").alias("n")).collect():
-        df[r.dim + 1] = r.n
-    idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-    # Twice as many as needed by the hash, then exactly so many of least hash: few rows are ranked.
-    near = docs.join(sizes, "lang").where(F.abs(F.col("hash").cast("double")) <= F.lit(2.0**63) * 2 * sample_rows / F.col("n"))
-    one = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
-    sample = one.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.abs(F.col("hash").cast("double")), "hash"))).where(F.col("rn") <= sample_rows)
-
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            v = vectors(chunk.column("text"), idf).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([chunk.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], names=["lang", "v"])
-
-    languages, centroids, least = [], [], []
-    rows = sample.orderBy("lang").select("text", "lang").mapInArrow(embed, "lang string, v binary").toLocalIterator()
-    for language, own in groupby(rows, lambda r: r["lang"]):
-        v = np.array([np.frombuffer(b, np.float16) for b in sorted(bytes(r["v"]) for r in own)], np.float32)
-        languages.append(language)
-        centroids.append(cluster(v, CENTROIDS))
-        least.append(np.quantile((v @ centroids[-1].T).max(1), FAR_SHARE))
+    with scratch(docs.sparkSession):
+        docs = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("hash"))
+        # A written table's size is known: Spark broadcasts a small one, and shuffles texts by language only for a large one.
+        sizes = written(docs.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")), "languages")
+        df = np.zeros(DIMENSIONS + 1)
+        for r in docs.select("text").mapInArrow(_frequency, "dim long, docs long").groupBy("dim").agg(F.sum("docs").alias("n")).collect():
+            df[r.dim + 1] = r.n
+        idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
+        # Twice as many as needed by the hash, then exactly so many of least hash: few rows are ranked.
+        near = docs.join(sizes, "lang").where(F.abs(F.col("hash").cast("double")) <= F.lit(2.0**63) * 2 * sample_rows / F.col("n"))
+        one = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+        sample = one.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.abs(F.col("hash").cast("double")), "hash"))).where(F.col("rn") <= sample_rows)
+
+        def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in chunks(batches):
+                v = vectors(chunk.column("text"), idf).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([chunk.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], names=["lang", "v"])
+
+        languages, centroids, least = [], [], []
+        rows = sample.orderBy("lang").select("text", "lang").mapInArrow(embed, "lang string, v binary").toLocalIterator()
+        for language, own in groupby(rows, lambda r: r["lang"]):
+            v = np.array([np.frombuffer(b, np.float16) for b in sorted(bytes(r["v"]) for r in own)], np.float32)
+            languages.append(language)
+            centroids.append(cluster(v, CENTROIDS))
+            least.append(np.quantile((v @ centroids[-1].T).max(1), FAR_SHARE))
     return Model(languages, centroids, np.array(least), idf)
 
 
