@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,19 +192,55 @@ def location_match(df: DataFrame, col: str, query: str) -> DataFrame:
     return df.where((low != "") & met)
 
 
+class NameFinder:
+    """Finds all names of many queries in one pass over a text; it goes to workers as its names and is built there once."""
+
+    def __init__(self, queries: list[str]):
+        self.names: dict[str, list[str]] = {}
+        for query in queries:
+            for name in place_names(query):
+                self.names.setdefault(name, []).append(query)
+        self.automaton = None
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "automaton": None}
+
+    def queries_in(self, place: str) -> set[str]:
+        """The queries of which a name is in the place; short names and those with a full stop only by themselves."""
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for name, queries in self.names.items():
+                self.automaton.add_word(name, (len(name), len(name) <= 3 or "." in name, queries))
+            self.automaton.make_automaton()
+        found: set[str] = set()
+        letter = lambda at: 0 <= at < len(place) and "a" <= place[at] <= "z"
+        for end, (length, alone, queries) in self.automaton.iter(place):
+            if not alone or not (letter(end - length) or letter(end + 1)):
+                found.update(queries)
+        return found
+
+
 def location_matches(df: DataFrame, key: str, col: str, queries: list[str]) -> DataFrame:
-    """(query, key) for many stated queries: distinct locations meet a broadcast table of names once, and rows join these.
+    """(query, key) for many stated queries: each distinct location is read once for all names of all queries.
 
-    Each query's names are a handful (a hundred for the US), so the broadcast side grows with the stated queries only.
+    The names of a query are a handful (a hundred for the US); they are broadcast and looked for by one automaton, so the
+    work grows with the locations and what is found, not with locations times names. Rows then join the locations. A
+    blank query keeps all rows, an empty location is nowhere.
     """
-    spark = df.sparkSession
     low = df.select(F.col(key), F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_place"))
-    table = [(q, name, len(name) <= 3 or "." in name) for q in dict.fromkeys(queries) if q and q.strip() for name in place_names(q)]
-    out = spark.createDataFrame([(q,) for q in dict.fromkeys(queries) if not q or not q.strip()], "query string").crossJoin(low.select(key))
-    if not table:
+    blank = [F.lit(q) for q in dict.fromkeys(queries) if not q or not q.strip()]
+    out = low.select(F.explode(F.array(*blank) if blank else F.array().cast("array<string>")).alias("query"), key)
+    asked = [q for q in dict.fromkeys(queries) if q and q.strip()]
+    if not asked:
         return out
-    names = F.broadcast(spark.createDataFrame(table, "query string, name string, alone boolean"))
-    places = low.select("_place").where("_place != ''").distinct()
-    alone = F.rlike(F.col("_place"), F.concat(F.lit("(^|[^a-z])\\Q"), F.col("name"), F.lit("\\E([^a-z]|$)")))
-    met = places.join(names, F.when(F.col("alone"), alone).otherwise(F.contains(F.col("_place"), F.col("name")))).select("query", "_place").distinct()
+    finder = df.sparkSession.sparkContext.broadcast(NameFinder(asked))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(0).to_pylist()
+            found = [finder.value.queries_in(p) for p in places]
+            rows = [(q, p) for p, qs in zip(places, found, strict=True) for q in qs]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string())], names=["query", "_place"])
+
+    met = low.select("_place").where("_place != ''").distinct().mapInArrow(find, "query string, _place string")
     return out.unionByName(low.join(met, "_place").select("query", key))

@@ -186,6 +186,24 @@ def skill_overlap(query_skills: DataFrame, doc_skills: DataFrame) -> DataFrame:
     return query_skills.distinct().join(doc_skills.distinct(), "skill").groupBy("query", "item").agg(F.count("*").alias("met")).join(size, "query").select("query", "item", F.round(F.col("met") / F.col("n"), 6).alias("overlap"))
 
 
+def skill_overlap_least(query_skills: DataFrame, doc_skills: DataFrame, least: float) -> DataFrame:
+    """``skill_overlap`` of the pairs whose share is ``least`` or more, without meeting all pairs that have a skill in common.
+
+    Of n skills, ceil(least * n) must be met, so one of the n - ceil(least * n) + 1 rarest must: only these find candidates,
+    and a common skill is looked up by queries that have few others. Candidates are then counted on whole sets. Skills
+    are counted over all documents; pairs without a common skill have no row, whatever ``least`` is.
+    """
+    asked, listed = query_skills.distinct(), doc_skills.distinct()
+    rarity = listed.groupBy("skill").agg(F.count("*").alias("df"))
+    known = asked.join(rarity, "skill", "left").groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "skill"))).alias("s"))
+    own = known.select("query", F.col("s.skill").alias("asked"), F.size("s").alias("n"), F.greatest(F.lit(1), F.ceil(F.lit(least) * F.size("s") - 1e-9)).cast("int").alias("need"))
+    rare = own.select("query", F.explode(F.slice("asked", F.lit(1), F.col("n") - F.col("need") + 1)).alias("skill"))
+    pairs = rare.join(listed, "skill").select("query", "item").distinct()
+    sets = listed.groupBy("item").agg(F.collect_list("skill").alias("listed"))
+    met = F.size(F.array_intersect("asked", "listed"))
+    return pairs.join(own, "query").join(sets, "item").where(met >= F.col("need")).select("query", "item", F.round(met / F.col("n"), 6).alias("overlap"))
+
+
 def minmax_normalize(scores: DataFrame, by: str, score: str) -> DataFrame:
     """``norm``: each score's place between the least and the greatest of its group; 0 where all are equal, null for null."""
     w = Window.partitionBy(by)

@@ -400,6 +400,13 @@ register("pointwise_pairs", f"SELECT query, item, q.text || chr(10) || '---' ||
 
 register("skill_overlap", "SELECT a.lang AS query, b.doc_id AS item, round(count(*) / 2, 6) AS overlap FROM (SELECT DISTINCT lang, unnest([lang, 'src1']) AS skill FROM documents) a JOIN (SELECT DISTINCT doc_id, unnest([lang, source]) AS skill FROM documents) b USING (skill) GROUP BY ALL", "documents")(lambda d: R.skill_overlap(d.select(F.col("lang").alias("query"), F.explode(F.array("lang", F.lit("src1"))).alias("skill")), d.select(F.col("doc_id").alias("item"), F.explode(F.array("lang", "source")).alias("skill"))))
 
+register("skill_overlap_least", "SELECT doc_id AS query, item, round(count(*) / n, 6) AS overlap FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, unnest([lang, source, 's' || doc_id % 7]) AS skill FROM documents WHERE doc_id % 100 = 0) x WHERE skill IS NOT NULL) a JOIN (SELECT DISTINCT doc_id AS item, unnest([lang, source, 's' || doc_id % 11]) AS skill FROM documents) b USING (skill) GROUP BY doc_id, item, n HAVING count(*) >= 0.9 * n", "documents")(lambda d: R.skill_overlap_least(_skills(d.where("doc_id % 100 = 0"), "query", 7), _skills(d, "item", 11), 0.9))
+
+
+def _skills(d: DataFrame, key: str, n: int) -> DataFrame:
+    return d.select(F.col("doc_id").alias(key), F.explode(F.array("lang", "source", F.concat(F.lit("s"), (F.col("doc_id") % n).cast("string")))).alias("skill")).where("skill IS NOT NULL")
+
+
 # --- evaluation: two methods rank each query's nearest vectors; a gain is the label they share
 _SCORES = f"(SELECT query, 'dense' AS method, item, similarity AS score FROM ({_TOP}) a UNION ALL SELECT query, 'even' AS method, item, CASE WHEN item % 5 <> 0 THEN CAST(-rank AS DOUBLE) END AS score FROM ({_RANKB}) b)"
 _GAINS = f"(SELECT query, item, CAST((item * 7 + query) % 11 AS DOUBLE) AS gain FROM ({_TOP}) t)"

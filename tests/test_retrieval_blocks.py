@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from hirelake.operators import blocks, lexical, retrieval
+from hirelake.operators import blocks, filters, lexical, retrieval
 
 
 def cosine(a, b):
@@ -144,3 +144,24 @@ def test_block_maxima_bound_scores_and_rule_out(spark, tmp_path):
     assert (bound[:, 1] == 0).mean() > 0.5  # blocks of other languages
     found = retrieval.lexical_search(docs, spark.createDataFrame([(7, "wa rare")], "query long, text string"), 3, "any", index=index).collect()
     assert len(found) == 3 and all(r.item % 97 == 0 for r in found)
+
+
+@pytest.mark.parametrize("least", [0.01, 0.5, 0.67, 1.0])
+def test_skills_by_brute_force(spark, least):
+    rng = random.Random(12)
+    pick = lambda n: [rng.choice("hot hot hot hot a b c d e f g".split()) for _ in range(n)]
+    q, d = {i: pick(rng.randint(1, 5)) for i in range(20)}, {i: pick(rng.randint(1, 8)) for i in range(60)}
+    rows = lambda x: [(i, s) for i, ss in x.items() for s in ss]
+    got = retrieval.skill_overlap_least(spark.createDataFrame(rows(q), "query long, skill string"), spark.createDataFrame(rows(d), "item long, skill string"), least)
+    want = {(i, j): len(set(a) & set(b)) / len(set(a)) for i, a in q.items() for j, b in d.items() if set(a) & set(b) and len(set(a) & set(b)) >= least * len(set(a)) - 1e-9}
+    assert {(r.query, r.item): r.overlap for r in got.collect()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_places_of_ten_thousand_queries(spark):
+    rng = random.Random(13)
+    names = ["".join(rng.choice("abcde .") for _ in range(rng.randint(1, 6))) for _ in range(10_000)] + ["us", "Texas", "", " "]
+    places = ["".join(rng.choice("abcde .,") for _ in range(rng.randint(0, 12))) for _ in range(30)] + [None, "Austin, TX"]
+    df = spark.createDataFrame(list(enumerate(places)), "i int, place string")
+    got = {(r.query, r.i) for r in filters.location_matches(df, "i", "place", names).collect()}
+    for query in [*names[:60], "us", "Texas", "", " "]:
+        assert {i for q, i in got if q == query} == {r.i for r in filters.location_match(df, "place", query).collect()}, query
