@@ -1,40 +1,12 @@
-"""Structured Streaming with a carried table.
-
-A step is a function of DataFrames, (batch, carried) -> (results, carried next). Each micro-batch writes both under its
-number, and reads what the number before it carried. A batch that is repeated after a failure overwrites its own
-folders, so results are exactly once. What a step carries is stated with it.
-"""
+"""What micro-batches write: a folder a batch under path/out. A repeated batch overwrites its own folder, so results are exactly once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.shared import delete
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
-
-
-def start_carrying(stream: DataFrame, step: Step, carried: str, path: str, **trigger) -> StreamingQuery:
-    """Starts a stream that writes results under path/out and the carried table (schema ``carried``) under path/state."""
-
-    def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(carried).parquet(f"{path}/state/batch={n - 1}") if n else spark.createDataFrame([], carried)
-        batch = batch.persist()
-        try:
-            out, after = step(batch, before)
-            after.write.mode("overwrite").parquet(f"{path}/state/batch={n}")
-            out.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
-        finally:
-            batch.unpersist()
-        # A repeated batch reads what the one before it carried; older versions are of no more use.
-        delete(spark, f"{path}/state/batch={n - 2}")
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
-
 
 def start_latest(stream: DataFrame, path: str, **trigger) -> StreamingQuery:
     """Starts an aggregation whose whole result each micro-batch replaces under path/out/batch=n; the greatest n is valid."""
@@ -53,14 +25,3 @@ def results(spark: SparkSession, path: str, latest: bool = False) -> DataFrame:
         newest = rows.agg({"batch": "max"}).first()[0]
         rows = rows if newest is None else rows.where(rows.batch == newest)
     return rows.drop("batch")
-
-
-def carried(spark: SparkSession, path: str) -> DataFrame:
-    """The carried table after the newest batch; an empty newest state reads as no rows."""
-    import re
-
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(f"{path}/state")
-    names = [f.getPath().getName() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
-    newest = max(int(m.group(1)) for m in (re.fullmatch(r"batch=(\d+)", x) for x in names) if m)
-    return spark.read.parquet(f"{path}/state/batch={newest}")

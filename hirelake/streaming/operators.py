@@ -14,7 +14,6 @@ from ..operators.analytics import LEDGER, totals_ledger, totals_of_ledger
 from ..operators.lifecycle import KEYS, lifecycle_changes
 from ..operators.retrieval import incremental_match, vector_topk_many
 from ..sources.buckets import BucketTable
-from .batches import start_carrying
 from .keyed import RollingBlock, StaleRuns, start_keyed
 
 
@@ -140,15 +139,34 @@ def stream_totals(spark: SparkSession, path: str, companies: DataFrame) -> DataF
     return totals_of_ledger(ledger, companies, note.get("as_of", "1970-01-01 00:00:00"))
 
 
-def stream_incremental_match(postings: DataFrame, campaigns: DataFrame, path: str, k: int, **trigger) -> StreamingQuery:
-    """The k nearest postings (item, vector) of a batch for each standing campaign (query, vector); carries known pairs.
+def match_log(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    """The pairs that ``stream_incremental_match`` has given, in buckets by job."""
+    return BucketTable(spark, f"{path}/known", ["campaign", "job"], "campaign LONG, job LONG", buckets, ["job"])
 
-    A pair is given once; ranks are those inside the batch.
+
+def stream_incremental_match(postings: DataFrame, campaigns: DataFrame, path: str, k: int, buckets: int = 64, most: int = 8, **trigger) -> StreamingQuery:
+    """The k nearest postings (item, vector) of a batch for each standing campaign (query, vector), under path/out.
+
+    A pair is given once; ranks are those inside the batch. Known pairs are a log in buckets by job: a batch reads the
+    buckets of the jobs that it found, adds what is new, and rewrites a bucket only when it consists of more than ``most``
+    folders. A batch that is repeated after its pairs are in the log has nothing left to do.
     """
+    spark = postings.sparkSession
+    table = match_log(spark, path, buckets)
 
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def each(batch: DataFrame, n: int) -> None:
+        if table.manifest()["note"].get("batch", -1) >= n:
+            return
+        out = f"{path}/out/batch={n}"
         found = vector_topk_many(batch, campaigns, k).select(F.col("query").alias("campaign"), F.col("item").alias("job"), F.col("similarity").alias("score"))
-        new = incremental_match(found, before)
-        return new, before.unionByName(new.select("campaign", "job"))
+        found = found.persist()
+        try:
+            incremental_match(found, table.read(only=table.touched(found))).write.mode("overwrite").parquet(out)
+        finally:
+            found.unpersist()
+        new = spark.read.parquet(out).select("campaign", "job")
+        version = table.append(new, {"batch": n})["version"]
+        if table.compact(most)["version"] > version:
+            table.vacuum(keep=most)
 
-    return start_carrying(postings, step, "campaign LONG, job LONG", path, **trigger)
+    return postings.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()

@@ -119,6 +119,10 @@ def test_matches_come_once(spark, feed):
     campaigns = spark.createDataFrame([(7, [1.0, 0.0])], "query LONG, vector ARRAY<FLOAT>")
     S.stream_incremental_match(stream, campaigns, path, 2).awaitTermination()
     assert sorted((r.job, r.rank) for r in results(spark, path).collect()) == [(1, 1), (2, 2), (3, 1)]
+    log = S.match_log(spark, path)
+    assert sorted(r.job for r in log.read().collect()) == [1, 2, 3]
+    first, second = log.manifest(1)["parts"], log.manifest()["parts"]
+    assert log.versions() == [1, 2] and all(second[b][: len(dirs)] == dirs for b, dirs in first.items())  # nothing was rewritten
 
 
 def test_late_facts_and_sliding_windows(spark, feed, tmp_path):
