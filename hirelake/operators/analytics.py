@@ -91,6 +91,7 @@ def new_by_cycle_source(runs: DataFrame, jobs: DataFrame, companies: DataFrame)
 
 
 def pivot_sources(counts: DataFrame, sources: list[str]) -> DataFrame:
+    """One row a cycle with a column for each of the stated sources (0 where it has none) and their total."""
     wide = counts.groupBy("cycle_id").pivot("ats", sources).agg(F.sum("new_jobs"))
     total = sum((F.coalesce(F.col(f"`{s}`"), F.lit(0)) for s in sources), F.lit(0))
     return wide.select("cycle_id", *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s.lower()) for s in sources], total.alias("total"))
@@ -204,6 +205,7 @@ def sla_freshness(probes: DataFrame, companies: DataFrame, as_of: str) -> DataFr
 
 
 def sla_summary(health: DataFrame, jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The worst block share of any source, open postings and the end of the last ok run, with whether the first two are in bounds."""
     worst = health.agg(F.max("block_pct").alias("worst_block_pct"))
     active = jobs.agg(_count("closed_at IS NULL").alias("active"))
     last = runs.where("status = 'ok'").agg(F.max("ended_at").alias("last_ok_run"))
@@ -211,6 +213,7 @@ def sla_summary(health: DataFrame, jobs: DataFrame, runs: DataFrame) -> DataFram
 
 
 def headline_counts(jobs: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
+    """Open postings, those first seen in the last 24 hours, and the end of the last ok run; one row."""
     counts = jobs.agg(_count("closed_at IS NULL").alias("open_jobs"), _count(F.col("first_seen_at") > instant(as_of) - F.expr("INTERVAL 1 DAY")).alias("new_24h"))
     return counts.crossJoin(runs.where("status = 'ok'").agg(F.max("ended_at").alias("last_ok_run")))
 
@@ -223,6 +226,7 @@ def write_failure_rate(runs: DataFrame, window: str, as_of: str) -> DataFrame:
 
 
 def zombie_open(jobs: DataFrame, companies: DataFrame, runs: DataFrame, hours: int = 12) -> DataFrame:
+    """Open postings of enabled companies, by company, last seen some hours before the newest ok run began."""
     newest = runs.where("status = 'ok'").agg(F.max("started_at").alias("newest"))
     rows = jobs.where("closed_at IS NULL").join(_sources(companies).where("enabled"), "company_id").crossJoin(F.broadcast(newest))
     return rows.where(F.col("last_seen_at") < F.col("newest") - F.expr(f"INTERVAL {hours} HOUR")).groupBy("slug").agg(F.count("*").alias("zombies"))
@@ -236,6 +240,7 @@ def error_breakdown(probes: DataFrame, run_id: str | None = None, n: int = 12) -
 
 
 def error_signature_counts(probes: DataFrame, prefix: str = "db_write:") -> DataFrame:
+    """Facts of each run whose error begins with the prefix."""
     return probes.where(F.col("error").startswith(prefix)).groupBy("run_id").agg(F.count("*").alias("n"))
 
 
@@ -247,6 +252,7 @@ def metric_series(runs: DataFrame, metric: str, n: int) -> DataFrame:
 
 
 def source_outcomes(probes: DataFrame, companies: DataFrame) -> DataFrame:
+    """Outcomes of each source by status: 2xx is ok, 403 and 429 a block, all else (none included) an error."""
     outcome = F.when(F.col("http_status").between(200, 299), "ok").when(F.col("http_status").isin(403, 429), "block").otherwise("error")
     rows = probes.join(_sources(companies), "company_id").withColumn("outcome", outcome)
     return rows.groupBy("ats").agg(*[_count(F.col("outcome") == o).alias(f"{o}s") for o in ("ok", "block", "error")], _percent(_count(F.col("outcome") == "block"), F.count("*")).alias("block_pct"))
@@ -283,6 +289,7 @@ def rolling_block_rate(probes: DataFrame, companies: DataFrame, n: int = 20, day
 
 
 def slug_counts(mentions: DataFrame) -> DataFrame:
+    """Mentions of each (source, slug): hits add up, the latest year counts."""
     return mentions.groupBy("ats", "slug").agg(F.sum("hits").alias("hits"), F.max("latest_year").alias("latest_year"))
 
 
@@ -316,5 +323,6 @@ def proportional_allocate(pool: DataFrame, group_col: str, target: int, order_co
 
 
 def class_coverage(jobs: DataFrame) -> DataFrame:
+    """Postings and their share by family and relevance, unknown ones included. The share's window runs over the counts."""
     counts = jobs.groupBy("job_family", "is_target").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))

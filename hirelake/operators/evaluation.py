@@ -59,6 +59,7 @@ def judge_agreement(judgements: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def method_leaderboard(scores: DataFrame, gains: DataFrame, k: int = 10) -> DataFrame:
+    """Means of NDCG, gain and recall of each method over its queries, the best NDCG first."""
     rows = ndcg_at_k(scores, gains, k).join(mean_gain_at_k(scores, gains, k), BY, "left").join(recall_at_k(scores, gains, k), BY, "left")
     return rows.groupBy("method").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("ndcg", "mean_gain", "recall")]).orderBy(F.desc("ndcg"), "method")
 

@@ -216,6 +216,7 @@ LEVELS = ["intern", "junior", "mid", "senior", "staff", "principal", "manager",
 
 
 def seniority_closeness(a: Column, b: Column) -> Column:
+    """1 for equal levels, less by an eighth for each level between, 0.5 where one is unknown."""
     at = lambda c: F.nullif(F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.coalesce(c, F.lit(""))), F.lit(0))
     return F.coalesce(1 - F.abs(at(a) - at(b)) / (len(LEVELS) - 1), F.lit(0.5))
 

@@ -298,5 +298,6 @@ def embedding_input(jobs: DataFrame) -> DataFrame:
 
 
 def token_cost_estimate(texts: DataFrame, col: str, price_per_million: float) -> DataFrame:
+    """Tokens of all texts, at four characters each and rounded up by text, and what they cost; null texts count nothing."""
     tokens = F.sum(F.ceil(F.length(col) / 4))
     return texts.agg(tokens.alias("tokens"), F.round(tokens * price_per_million / 1e6, 6).alias("cost"))

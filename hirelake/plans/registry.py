@@ -14,6 +14,7 @@ from ..operators import lifecycle as C
 from ..operators import retrieval as R
 from ..operators import text as T
 from ..operators.joins import merge_writer, patch_nonnull
+from ..sources.buckets import BucketTable
 from ..sources.shared import shared_path
 from ..sources.tables import enriched_postings, load_tables, seeds_from_json, seeds_from_sql, snapshot_totals
 from .bindings import EVENTS_AS_OF as EV
@@ -454,5 +455,18 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_totals(bind(spark, sf_dir, M), bind(spark, sf_dir, J), shared_path(spark, "totals"), OR)
 
 
+def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in buckets, and three merges into it: keys of a few buckets, half of the others, and new ones."""
+    jobs = bind(spark, sf_dir, J).select("id", "title", "location")
+    table = BucketTable(spark, shared_path(spark, "buckets"), ["id"], jobs.schema, buckets=16)
+    table.merge(jobs)
+    table.merge(jobs.where("id % 100 = 7").select("id", F.lit("seventh").alias("title")), ["title"])
+    table.merge(jobs.where("id % 2 = 0").select("id", F.lit("merged").alias("title")), ["title"])
+    table.merge(jobs.where("id % 10 = 3").select((-F.col("id")).alias("id"), "title", "location"))
+    return table.read()
+
+
+_MERGES = "SELECT id, CASE WHEN id % 2 = 0 THEN 'merged' WHEN id % 100 = 7 THEN 'seventh' ELSE title END AS title, location FROM jobs UNION ALL SELECT -id, title, location FROM jobs WHERE id % 10 = 3"
+QUERIES["merge_buckets"], ORACLES["merge_buckets"] = _buckets, f"{with_clause()} {_MERGES}"
 QUERIES["snapshot_totals"], ORACLES["snapshot_totals"] = _snapshot, f"{with_clause()} {_TOTALS}"
 QUERIES["load_tables"], ORACLES["load_tables"] = _loaded, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 200000"
