@@ -13,19 +13,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited text, and their likeness."""
     return fingerprints.fingerprint_with_next(_table(spark, sf_dir, "documents"))
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the windows of 20 words that start earlier too."""
     out = substring.remove_repeated_words(_table(spark, sf_dir, "documents"), length=20)
     return out.select("doc_id", "n_words", substring.removed_count().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group by four-word shingles at a Jaccard of 0.85 or more."""
     return jaccard.link_similar(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
@@ -34,6 +38,7 @@ def _remainder(n: int) -> Column:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest learned language of every text."""
     docs = _table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.fit(docs, _remainder(4) != 2))
     # A rejected text is told by its column: the contract asks for a learned language wherever there is a letter.
@@ -41,24 +46,29 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the strings of 100 bytes that start earlier too."""
     out = suffix.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", substring.removed_count().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the network that all of them train."""
     return lm.pseudo_likelihood(_table(spark, sf_dir, "documents"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by rules learned from four fifths of the labels."""
     out = quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder(5) != 0)
     return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded."""
     import public_tokenizers
 
     out = bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
