@@ -34,7 +34,9 @@ def suffix_array(text: np.ndarray, most: int | None = None) -> tuple[np.ndarray,
     sa = np.argsort(key).astype(np.int32)
     sorted_keys = key[sa]
     new = np.append(np.append(True, sorted_keys[1:] != sorted_keys[:-1]), True)
-    rank = np.empty(n, np.int32)
+    # Behind the ranks stand those of what would follow the text's end, the nearer the higher, all below the others.
+    ranks = np.concatenate([np.zeros(n, np.int32), -1 - np.arange(min(2 * n, most or 2 * n) + 8, dtype=np.int32)])
+    rank = ranks[:n]
     bounds = np.flatnonzero(new)
     rank[sa] = np.repeat((bounds[1:] - 1).astype(np.int32), np.diff(bounds))
     # A suffix shorter than eight bytes goes before the longer ones that start with it and zeros.
@@ -47,9 +49,7 @@ def suffix_array(text: np.ndarray, most: int | None = None) -> tuple[np.ndarray,
         places = ragged(bounds[open_groups], size[open_groups])
         group = np.repeat(open_groups, size[open_groups])
         suffix = sa[places]
-        follow = suffix.astype(np.int64) + depth
-        after = np.where(follow < n, rank[np.minimum(follow, n - 1)], -1 - np.minimum(follow - n, n)) + n + 1
-        both = group << 32 | after
+        both = group << 32 | ranks[suffix + depth] + np.int64(2 * n + 16)
         order = np.argsort(both)
         suffix, both = suffix[order], both[order]
         sa[places] = suffix
@@ -94,11 +94,11 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: in
         now = np.where(other < 0, 0, np.maximum(length - 1, 0))
         go = np.flatnonzero((other >= 0) & (now < room))
         while len(go):
-            x = view[at[go] + now[go]] ^ view[other[go] + now[go]]
-            alike = x == 0
-            x[alike] = 1
-            now[go] += np.where(alike, 8, np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3)
-            go = go[alike & (now[go] < room[go])]
+            so_far = now[go]
+            x = view[at[go] + so_far] ^ view[other[go] + so_far]
+            alike = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3  # bytes below the lowest bit that differs
+            now[go] = so_far = so_far + alike
+            go = go[(alike == 8) & (so_far < room[go])]
         length = np.minimum(now, room) if (other >= 0).all() else np.where(other < 0, 0, np.minimum(now, room))
         lcp[rank[at]] = length
     return lcp
