@@ -104,8 +104,32 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: in
     return lcp
 
 
-def repeated_in_shard(text: np.ndarray, at: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Of the strings of ``length`` bytes from the places ``at`` on, those of which an equal one is less in ``order``."""
+#: Counters by which ``repeated_in_shard`` tells seeds that occur once.
+COUNTERS = 1 << 22
+
+
+def repeated_in_shard(text: np.ndarray, seeds: np.ndarray, at: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Of the strings of ``length`` bytes from the places ``at`` on, those of which an equal one is less in ``order``.
+
+    seeds are the hashes of the ``SEED`` bytes from each place. A string that holds a seed which occurs once in the
+    shard has no equal one; what no other string covers is left out of the suffix array.
+    """
+    slot = (seeds & np.uint64(COUNTERS - 1)).astype(np.int64)
+    often = np.bincount(slot, minlength=COUNTERS)[slot] > 1
+    once = np.append(0, np.cumsum(~often, dtype=np.int32))
+    maybe = np.flatnonzero(once[at + length - SEED + 1] == once[at])
+    out = np.zeros(len(at), bool)
+    if not len(maybe):
+        return out
+    edges = np.bincount(at[maybe], minlength=len(text) + 1) - np.bincount(at[maybe] + length, minlength=len(text) + 1)
+    keep = np.cumsum(edges[:-1]) > 0
+    place = np.cumsum(keep) - 1
+    out[maybe] = _repeated(text[keep], place[at[maybe]], order[maybe], length)
+    return out
+
+
+def _repeated(text: np.ndarray, at: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """As ``repeated_in_shard``, by the suffix array of all of text."""
     sa, rank = suffix_array(text, length)
     # Ranks of suffixes equal in so many bytes need not be places: number them by the array itself.
     rank[sa] = np.arange(len(sa), dtype=np.int32)
@@ -172,9 +196,9 @@ def _find(length: int):
         place = order[owner] << 32 | np.arange(len(data)) - offs[owner]
         again = np.zeros(len(data), bool)
         for begin in range(0, len(data), SHARD_BYTES):  # one text may be longer than a shard
-            at = begin + np.flatnonzero(valid[begin : begin + SHARD_BYTES])
+            at, end = begin + np.flatnonzero(valid[begin : begin + SHARD_BYTES]), min(begin + SHARD_BYTES + length - 1, len(data))
             if len(at):
-                again[at] = repeated_in_shard(data[begin : begin + SHARD_BYTES + length - 1], at - begin, place[at], length)
+                again[at] = repeated_in_shard(data[begin:end], seeds[begin : max(begin, end - SEED + 1)], at - begin, place[at], length)
         doc, lo, k, anchor = repeats.segments(seeds, offs, length, SEED, again)
         seg = joined(joined(_window(seeds, lo, length), _window(seeds, lo + k - 1, length)), k.astype(np.uint64))
         at = np.flatnonzero(again)
