@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +25,10 @@ def _sources(companies: DataFrame) -> DataFrame:
 
 
 def source_health(probes: DataFrame, companies: DataFrame, window: str, as_of: str) -> DataFrame:
-    """Probes, outcomes and latency of each source over a trailing window; a probe without status is in no outcome."""
+    """Probes, outcomes and latency of each source over a trailing window; a probe without status is in no outcome.
+
+    One shuffle, in which a task holds a source's different latencies; ``source_health_spread`` holds none.
+    """
     rows = probes.where(F.col("created_at") > instant(as_of) - F.expr(f"INTERVAL {window}")).join(_sources(companies), "company_id")
     blocked = "http_status IN (403, 429)"
     return rows.groupBy("ats").agg(
@@ -38,6 +44,64 @@ def source_health(probes: DataFrame, companies: DataFrame, window: str, as_of: s
     )
 
 
+#: Bins of ``percentiles`` for each doubling of the value.
+BINS = 16
+
+
+def percentiles(counted: DataFrame, by: str, value: str, n: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles of each group from how often (column n) it has each value: by, one column a share.
+
+    A first pass counts bins of a sixteenth of a doubling; only the bins that hold a wanted rank are then put in order,
+    so no task holds a group's values. Values are finite numbers. Null values count as absent; a group with no others is in no row. Nulls of by
+    are a group.
+    """
+    place = F.floor(F.signum(F.col(value)) * F.log1p(F.abs(F.col(value))) * (BINS / math.log(2)))
+    rows = counted.where(F.col(value).isNotNull()).select(F.struct(by).alias("_by"), F.col(value).cast("double").alias("_v"), place.alias("_bin"), F.col(n).alias("_n"))
+    # A group has as many rows here as bins, some hundreds.
+    bins = rows.groupBy("_by", "_bin").agg(F.sum("_n").alias("_in"))
+    all_of = Window.partitionBy("_by")
+    bins = bins.withColumn("_all", F.sum("_in").over(all_of)).withColumn("_from", F.sum("_in").over(all_of.orderBy("_bin")) - F.col("_in"))
+    rank = lambda share: (F.col("_all") - 1) * F.lit(float(share))
+    ends = [end for share in shares.values() for end in (F.floor(rank(share)), F.ceil(rank(share)))]
+    wanted = bins.where(functools.reduce(Column.__or__, [(end >= F.col("_from")) & (end < F.col("_from") + F.col("_in")) for end in ends]))
+    inside = Window.partitionBy("_by", "_bin").orderBy("_v")
+    values = rows.join(wanted, ["_by", "_bin"]).groupBy("_by", "_bin", "_v", "_from", "_all").agg(F.sum("_n").alias("_n"))
+    values = values.withColumn("_to", F.col("_from") + F.sum("_n").over(inside))
+    at = lambda end: F.max(F.when((end >= F.col("_to") - F.col("_n")) & (end < F.col("_to")), F.col("_v")))
+    found = values.groupBy("_by").agg(F.first("_all").alias("_all"), *[at(end).alias(f"_{i}") for i, end in enumerate(ends)])
+    out = []
+    for i, (name, share) in enumerate(shares.items()):
+        low, high = F.col(f"_{2 * i}"), F.col(f"_{2 * i + 1}")
+        between = (F.ceil(rank(share)) - rank(share)) * low + (rank(share) - F.floor(rank(share))) * high
+        out.append(F.when(low == high, low).otherwise(between).alias(name))
+    return found.select(F.col(f"_by.{by}").alias(by), *out)
+
+
+def source_health_spread(probes: DataFrame, companies: DataFrame, window: str, as_of: str) -> DataFrame:
+    """``source_health`` for sources of more different latencies than one task should hold.
+
+    Probes are counted by source and latency in one shuffle; totals, the mean and the exact percentiles follow from these
+    counts.
+    """
+    rows = probes.where(F.col("created_at") > instant(as_of) - F.expr(f"INTERVAL {window}")).join(_sources(companies), "company_id")
+    counted = rows.groupBy("ats", "latency_ms").agg(
+        F.count("*").alias("n"),
+        _count("schema_ok").alias("ok"),
+        _count("http_status IN (403, 429)").alias("blocked"),
+        _count("NOT schema_ok AND http_status NOT IN (403, 429)").alias("errored"),
+    )
+    latency = F.sum(F.col("latency_ms").cast("decimal(12,0)") * F.col("n").cast("decimal(18,0)"))
+    timed = F.sum(F.when(F.col("latency_ms").isNotNull(), F.col("n"))).cast("decimal(20,0)")
+    total = counted.groupBy("ats").agg(
+        *[F.sum(c).alias(to) for c, to in [("n", "probes"), ("ok", "ok"), ("blocked", "blocked"), ("errored", "errored")]],
+        _percent(F.sum("blocked"), F.sum("n")).alias("block_pct"),
+        _percent(F.sum("ok"), F.sum("n")).alias("success_pct"),
+        F.round(F.try_divide(latency, timed).cast("decimal(16,4)"), 0).cast("double").alias("avg_latency"),
+    )
+    half = percentiles(counted, "ats", "latency_ms", "n", {"p50_latency": 0.5, "p95_latency": 0.95}).withColumnRenamed("ats", "_ats")
+    return total.join(half, F.col("ats").eqNullSafe(F.col("_ats")), "left").select(*total.columns, F.bround("p50_latency", 0).alias("p50_latency"), F.bround("p95_latency", 0).alias("p95_latency"))
+
+
 def company_health(companies: DataFrame, probes: DataFrame, as_of: str, window: str = "7 DAY") -> DataFrame:
     """Probes and successes of each company over a trailing window; one without probes has 0 and a null share."""
     recent = probes.where(F.col("created_at") > instant(as_of) - F.expr(f"INTERVAL {window}"))

@@ -85,6 +85,7 @@ _HEALTH = f"""SELECT ats, count(*) AS probes, count(*) FILTER (WHERE schema_ok)
 round_even(percentile_cont(0.5) WITHIN GROUP (ORDER BY latency_ms), 0) AS p50_latency, round_even(percentile_cont(0.95) WITHIN GROUP (ORDER BY latency_ms), 0) AS p95_latency
 FROM {_PC} WHERE created_at > TIMESTAMP '{EV}' - INTERVAL 7 DAY GROUP BY ats"""
 register("source_health", _HEALTH, P, M)(lambda p, c: A.source_health(p, c, "7 DAY", EV))
+register("source_health_spread", _HEALTH, P, M)(lambda p, c: A.source_health_spread(p, c, "7 DAY", EV))
 register("company_health", f"SELECT c.id AS company_id, c.slug, count(p.id) AS probes, count(*) FILTER (WHERE schema_ok) AS ok, {_pct('count(*) FILTER (WHERE schema_ok)', 'count(p.id)')} AS success_pct FROM companies c LEFT JOIN (SELECT * FROM probes WHERE created_at > TIMESTAMP '{EV}' - INTERVAL 7 DAY) p ON p.company_id = c.id GROUP BY c.id, c.slug", M, P)(lambda c, p: A.company_health(c, p, EV))
 _NEW = ", ".join(f"count(*) FILTER (WHERE first_seen_at > TIMESTAMP '{OR}' - INTERVAL {d} DAY) AS new_{d}d" for d in (1, 7, 30))
 _TOTALS = f"SELECT c.ats, count(j.id) AS total, count(j.id) FILTER (WHERE j.closed_at IS NULL) AS active, {_NEW} FROM companies c LEFT JOIN jobs j ON j.company_id = c.id GROUP BY c.ats"
