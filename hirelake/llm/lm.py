@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .arrays import chunks, flat, owners, word_hashes, words
@@ -28,6 +28,8 @@ SIDE, WIDTH, HIDDEN, BATCH = 2, 16, 32, 4096
 STEP, RATE = 1024, 0.1
 #: Tokens of a training shard. Shards are dealt by documents, so that a network does not depend on how Spark cuts them.
 SHARD_TOKENS = 2_000_000
+#: Networks (some 900 KB each) that a task adds up.
+FAN_IN = 64
 #: Words that make one in so many tokens or more are broadcast with their counts (so many words at most).
 COMMON = 2_000_000
 _SHAPES = [(CLASSES, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, MEMBERS), (GROUPS, MEMBERS)]
@@ -224,26 +226,42 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
+def rounds_of(shards: int) -> int:
+    """Rounds of training: 1, 2, 3, 4, ... for 1, 2, 4, 8, ... shards."""
+    return max(1, shards.bit_length())
+
+
+def _added(nets: DataFrame) -> Row | None:
+    """The sum of all rows, in a tree in which no task adds up more than ``FAN_IN`` of them."""
+    nets = written(nets, "nets")
+    rows = nets.count()
+    while rows > FAN_IN:
+        rows = -(-rows // FAN_IN)
+        nets = written(nets.repartition(rows).mapInArrow(_add, "sums binary"), "nets")
+    return nets.coalesce(1).mapInArrow(_add, "sums binary").first()
+
+
 def train(docs: DataFrame, counts: DataFrame, rate: float = RATE, shard_tokens: int = SHARD_TOKENS) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray], np.ndarray]:
     """Frequent words, the network, and how many tokens each class has.
 
     Documents are dealt into shards of some ``shard_tokens`` tokens by a hash of doc_id and text and ordered by it, so
     what is learned follows from the rows alone, not from files, partitions or tasks. In each of two rounds (one if
-    there is one shard only) half of the shards each train a copy of the network on every position; the copies are
-    averaged by the number of their targets, added up in a tree, and are where the next round starts. One network of
-    some 400 KB reaches the driver, whatever the corpus; what grows with the corpus is ``counts``, its vocabulary, and
-    the number of shards.
+    shards, and each shard is in one of them: in a round its shards each train a copy of the network on every position;
+    the copies are averaged by the number of their targets, added up in a tree, and are where the next round starts.
+    One network of some 900 KB a round reaches the driver, whatever the corpus; what grows with the corpus is ``counts``,
+    its vocabulary, the number of shards, and the rounds, each of which reads the texts again. With no rows or no words
+    the starting network comes back; null texts have no tokens, and repeated rows are trained on again.
     """
     frequent = frequent_words(counts)
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-tokens // shard_tokens))
     keyed = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key")).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
     net, totals = start(), np.zeros(CLASSES)
-    rounds = min(2, shards)
+    rounds = rounds_of(shards)
     for r in range(rounds):
         part = keyed.where(F.col("shard") % rounds == r).repartition("shard").sortWithinPartitions("shard", "key")
-        nets = part.mapInArrow(_trainer(frequent, net, rate), "sums binary")
-        total = nets.repartition(16).mapInArrow(_add, "sums binary").coalesce(1).mapInArrow(_add, "sums binary").first()
+        nets = part.mapInArrow(lambda batches, net=net: _add(_trainer(frequent, net, rate)(batches)), "sums binary")
+        total = _added(nets)
         if total is None:
             continue
         sums = np.frombuffer(bytes(total.sums), np.float64)

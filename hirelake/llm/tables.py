@@ -23,13 +23,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes on leaving what ``written`` made inside, but for the paths that the caller puts into the list it gets."""
+    """Deletes on leaving, after a failure too, what ``written`` made inside, but for the paths that the caller puts into the
+    list it gets."""
     before, keep = _made[:], []
-    yield keep
-    for path in _made[len(before) :]:
-        if path not in keep:
-            delete(spark, path)
-    _made[len(before) :] = keep
+    try:
+        yield keep
+    finally:
+        for path in _made[len(before) :]:
+            if path not in keep:
+                delete(spark, path)
+        _made[len(before) :] = keep
 
 
 def newest() -> str:

@@ -659,3 +659,25 @@ def test_the_pipeline_by_brute_force(spark, rows, tmp_path):
     assert sorted((str(r.doc_id), r.ids, r.decoded_sha256) for r in stages["byte-level BPE"](spark, docs, str(tmp_path)).collect()) == want
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.where("false") if "text" in docs.columns else docs, str(tmp_path)).count() == 0, name
+
+
+def test_masked_network_learns_more_from_more_text(spark):
+    from pyspark.sql import functions as F
+
+    assert [lm.rounds_of(n) for n in (1, 2, 3, 4, 16, 1 << 20)] == [1, 2, 2, 3, 5, 21]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    held, own = docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 != 0")
+    gains = []
+    for part in (own.where("doc_id % 10 = 3"), own):
+        counts = lm.vocabulary(part)
+        frequent, net, totals = lm.train(part, counts, shard_tokens=20_000)
+        with_net, without = (lm.score(held, counts, frequent, n, totals).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0] for n in (net, [np.zeros_like(p) for p in net]))
+        gains.append(with_net - without)
+    assert gains[1] > gains[0] + 0.02
+
+
+def test_networks_add_up_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN_IN", 3)
+    rows = spark.createDataFrame([(np.array([i, 1.0]).tobytes(),) for i in range(40)], "sums binary").repartition(40)
+    assert np.frombuffer(bytes(lm._added(rows).sums), np.float64).tolist() == [sum(range(40)), 40.0]
+    assert lm._added(rows.where("false")) is None
