@@ -681,3 +681,23 @@ def test_networks_add_up_in_a_tree(spark, monkeypatch):
     rows = spark.createDataFrame([(np.array([i, 1.0]).tobytes(),) for i in range(40)], "sums binary").repartition(40)
     assert np.frombuffer(bytes(lm._added(rows).sums), np.float64).tolist() == [sum(range(40)), 40.0]
     assert lm._added(rows.where("false")) is None
+
+
+def test_strings_left_out_of_the_suffix_array_are_not_repeated():
+    from hirelake.llm import suffix
+
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(rng.integers(100, 4000))
+        text = rng.integers(97, 97 + int(rng.integers(1, 4)), n).astype(np.uint8)
+        for _ in range(int(rng.integers(0, 6))):
+            size = min(int(rng.integers(50, 300)), n // 2)
+            a, b = rng.integers(0, n - size, 2)
+            text[b : b + size] = text[a : a + size].copy()
+        at = np.flatnonzero(rng.random(n - 99) < rng.random())
+        order = rng.permutation(len(at))
+        first = {}
+        for i in np.argsort(order):
+            first.setdefault(text[at[i] : at[i] + 100].tobytes(), order[i])
+        want = [bool(order[i] > first[text[at[i] : at[i] + 100].tobytes()]) for i in range(len(at))]
+        assert suffix.repeated_in_shard(text, suffix._seeds(text), at, order, 100).tolist() == want
