@@ -21,6 +21,8 @@ from .tables import written
 
 #: Counters of the frequency sketch: every shingle of every document is counted in one of them.
 BUCKETS = 1 << 18
+#: Arrays of counters that a task adds up.
+FAN_IN = 64
 #: Largest m that a document may pick, and the cost of verifying a candidate in prefix rows.
 MOST_MATCHES, VERIFY_COST = 3, 8.0
 _B = np.uint64(BUCKETS - 1)
@@ -113,8 +115,15 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequencies(parts: DataFrame) -> np.ndarray:
-    """The tasks' counts added up in a tree; what reaches the driver is one array of ``BUCKETS`` numbers."""
-    total = parts.mapInArrow(_add, "counts binary").repartition(16).mapInArrow(_add, "counts binary").coalesce(1).mapInArrow(_add, "counts binary").first()
+    """The tasks' counts added up in a tree in which no task adds up more than some ``FAN_IN`` of them.
+
+    What reaches the driver is one array of ``BUCKETS`` numbers.
+    """
+    rows = parts.count()
+    while rows > FAN_IN:
+        rows = -(-rows // FAN_IN)
+        parts = written(parts.repartition(rows).mapInArrow(_add, "counts binary"), "counts")
+    total = parts.repartition(1).mapInArrow(_add, "counts binary").first()
     return np.frombuffer(bytes(total.counts), np.int64) if total else np.zeros(BUCKETS, np.int64)
 
 

@@ -245,9 +245,9 @@ def train(docs: DataFrame, counts: DataFrame, rate: float = RATE, shard_tokens:
     """Frequent words, the network, and how many tokens each class has.
 
     Documents are dealt into shards of some ``shard_tokens`` tokens by a hash of doc_id and text and ordered by it, so
-    what is learned follows from the rows alone, not from files, partitions or tasks. In each of two rounds (one if
-    shards, and each shard is in one of them: in a round its shards each train a copy of the network on every position;
-    the copies are averaged by the number of their targets, added up in a tree, and are where the next round starts.
+    what is learned follows from the rows alone, not from files, partitions or tasks. There are as many rounds as the
+    number of shards has binary digits, and each shard is in one of them: in a round its shards each train a copy of the
+    network on every position; the copies are averaged by the number of their targets, added up in a tree, and are where the next round starts.
     One network of some 900 KB a round reaches the driver, whatever the corpus; what grows with the corpus is ``counts``,
     its vocabulary, the number of shards, and the rounds, each of which reads the texts again. With no rows or no words
     the starting network comes back; null texts have no tokens, and repeated rows are trained on again.

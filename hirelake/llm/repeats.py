@@ -12,6 +12,10 @@ equal anchor, is compared by content, by what the caller brings. An anchor with
 (a line in a third of all documents, each time between other texts) would be too much for one task: its windows are
 dealt one by one, by the hash of the whole window, and no group of rows is ever held.
 
+Before that, all segments of an anchor would meet to be settled. So one document in ``HINT_SHARE`` is cut first, and
+anchors that many of its segments have are dealt by segment as well. That is a hint to the shuffle only: equal segments
+meet whether it is right or wrong, and the rows that come out are the same.
+
 Documents are ordered by doc_id, then by a 64-bit hash of the text for rows that share a doc_id. Rows equal in both
 count as one document.
 """
@@ -33,6 +37,8 @@ from .tables import written
 HOT = 20_000
 #: So many such anchors (16 bytes each) are broadcast; more are joined.
 BROADCAST_HOT = 100_000
+#: Documents cut to tell which anchors have many segments: one in so many. It changes who meets where, and no result.
+HINT_SHARE = 64
 #: n > 0: n windows from lo on, to be compared. n < 0: -n windows known to repeat.
 ROWS = "route long, seg long, doc_id long, tie long, lo int, n int"
 FOUND = "doc_id long, tie long, lo int, n int, anchor long"
@@ -181,7 +187,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by route, segment, document and place, a batch at a time; of a group no more than one row is held.
 
     The first of equal segments stays, later ones are known to repeat; a segment that stays goes on if its anchor has
-    another one.
+    another one. Of an anchor dealt by segment (a column ``parts``, not null) every segment that stays goes on.
     """
 
     def rows(ids, ties, lo, n, anchor) -> pa.RecordBatch:
@@ -191,9 +197,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] | None = None  # the last segment that stayed, and whether its anchor had one before it
     for batch in batches:
         columns = [batch.column(c).to_numpy() for c in ("route", "seg", "doc_id", "tie", "lo", "n")]
+        dealt = batch.column("parts").is_valid().to_numpy(zero_copy_only=False) if "parts" in batch.schema.names else np.zeros(len(columns[0]), bool)
+        columns.append(dealt)
         known = columns[5] < 0
         if known.any():
-            ids, ties, lo, n = (x[known] for x in columns[2:])
+            ids, ties, lo, n = (x[known] for x in columns[2:6])
             yield rows(ids, ties, lo, n, np.zeros(len(n), np.int64))
             columns = [x[~known] for x in columns]
         if not len(columns[0]):
@@ -202,9 +210,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = ~other & _changes(columns[2:5], last[2:5] if last else None)
         last = [x[-1] for x in columns]
         if again.any():
-            ids, ties, lo, n = (x[again] for x in columns[2:])
+            ids, ties, lo, n = (x[again] for x in columns[2:6])
             yield rows(ids, ties, lo, -n, np.zeros(len(n), np.int64))
-        stay = [columns[i][other] for i in (2, 3, 4, 5, 0)] + [np.zeros(int(other.sum()), bool)]
+        stay = [columns[i][other] for i in (2, 3, 4, 5, 0, 6)]
         if held is not None:
             stay = [np.concatenate(x) for x in zip(held, stay, strict=True)]
         if not len(stay[0]):
@@ -221,6 +229,22 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*held[:5])
 
 
+def _dealt(known_ids: DataFrame, find: Callable) -> DataFrame:
+    """The segments of all documents, those of one anchor in one partition, or in several if it seems to have many.
+
+    An anchor of which the hint's documents have more than ``HOT / HINT_SHARE`` segments is dealt in ``parts``, by the
+    hash of the segment; so are no more than ``BROADCAST_HOT`` anchors, as each has more than its part of the hint's rows.
+    """
+    rows = known_ids.mapInArrow(_map(find), ROWS)
+    some = known_ids.where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(HINT_SHARE)) == 0).mapInArrow(_map(find), ROWS)
+    hint = written(some.where("n > 0").groupBy("route").agg(F.count("*").alias("rows")).where(F.col("rows") * HINT_SHARE > HOT), "hint")
+    least = max(HOT // HINT_SHARE, (hint.agg(F.sum("rows")).first()[0] or 0) // BROADCAST_HOT if BROADCAST_HOT else 0)
+    often = hint.where(F.col("rows") > least).select("route", F.ceil(F.col("rows") * HINT_SHARE / HOT).alias("parts"))
+    if not often.limit(1).count():
+        return rows.repartition("route")
+    return rows.join(F.broadcast(often), "route", "left").repartition("route", F.pmod("seg", F.coalesce("parts", F.lit(1))))
+
+
 def repeated_windows(docs: DataFrame, find: Callable, cut: Callable, hashes: Callable, compare: Callable, content: str) -> DataFrame:
     """The windows of each document that also start earlier: doc_id, tie, runs array<struct<lo, n>>.
 
@@ -234,7 +258,7 @@ def repeated_windows(docs: DataFrame, find: Callable, cut: Callable, hashes: Cal
     """
     known_ids = docs.where("doc_id IS NOT NULL").select("doc_id", "tie", "text")
     keys = ["route", "seg", "doc_id", "tie", "lo"]
-    found = written(known_ids.mapInArrow(_map(find), ROWS).repartition("route").sortWithinPartitions(*keys).mapInArrow(_resolve, FOUND), "segments")
+    found = written(_dealt(known_ids, find).sortWithinPartitions(*keys).mapInArrow(_resolve, FOUND), "segments")
     left = found.where("n > 0")
     hot = written(left.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot

@@ -132,9 +132,10 @@ def test_a_repeated_row_does_not_erase_itself(spark, rows, parts):
         assert len(got) == 2 * len(rows) and all(want[i] == kept for i, kept in got)
 
 
-@pytest.mark.parametrize("hot, sent", [(1, 100_000), (1, 0), (20_000, 100_000)])
-def test_repeats_with_null_and_repeated_ids_and_hot_anchors(spark, rows, monkeypatch, hot, sent):
+@pytest.mark.parametrize("hot, sent, share", [(1, 100_000, 64), (1, 100_000, 1), (1, 0, 2), (20_000, 100_000, 64)])
+def test_repeats_with_null_and_repeated_ids_and_hot_anchors(spark, rows, monkeypatch, hot, sent, share):
     """Rows that share a doc_id follow each other by the hash of their text; a null one has no part."""
+    monkeypatch.setattr(substring.repeats, "HINT_SHARE", share)
     xxhash = pytest.importorskip("xxhash")
     monkeypatch.setattr(substring.repeats, "HOT", hot)
     monkeypatch.setattr(substring.repeats, "BROADCAST_HOT", sent)
@@ -221,9 +222,9 @@ def test_jaccard(spark, docs, rows, empty):
     assert sorted((r.doc_id or -1, r.component_id) for r in jaccard.link_similar(twice, 4, 85).collect())[1:] == [(1, 1), (9, 1)]
 
 
-@pytest.mark.parametrize("change", [{"LEAST_COPIES": 1, "HOT_SETS": 1000}, {"BROADCAST_IDS": 0}, {"WIDE_FROM": 5}, {"BUCKETS": 8, "_B": np.uint64(7)}])
+@pytest.mark.parametrize("change", [{"LEAST_COPIES": 1, "HOT_SETS": 1000}, {"BROADCAST_IDS": 0}, {"WIDE_FROM": 5}, {"FAN_IN": 2}, {"BUCKETS": 8, "_B": np.uint64(7)}])
 def test_jaccard_by_every_plan(docs, monkeypatch, change):
-    """Copies by broadcast, ids by a join, wide bitmaps, a sketch that tells nothing: the groups stay the same."""
+    """Copies by broadcast, ids by a join, wide bitmaps, counts added up in a tree of many levels, a sketch that tells nothing: the groups stay the same."""
     want = {r.doc_id: tuple(r) for r in jaccard.link_similar(docs, 4, 85).collect()}
     for name, value in change.items():
         monkeypatch.setattr(jaccard, name, value)
