@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Numbers in one block of scores.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 def ids(column: pa.Array) -> np.ndarray:
@@ -92,35 +92,57 @@ def meet(best: Best, items: np.ndarray, vectors: np.ndarray, queries: np.ndarray
 
 
 class Best:
-    """The k best items of each query by a score rounded to some digits, ties by the lesser item."""
+    """The k best items of each query by a score rounded to some digits, ties by the lesser item.
+
+    New candidates are kept apart and sorted in when they are a quarter of what is held, so that small blocks cost no
+    sort of all that is held; ``least`` is the bar as of then.
+    """
 
     def __init__(self, queries: int, k: int, digits: int):
         self.k, self.unit = k, 10.0**digits
         self.least = np.full(queries, -np.inf)
-        self.query, self.rounded, self.item, self.values = np.zeros(0, np.int64), np.zeros(0), None, []
+        self._held: list[np.ndarray] | None = None  # query, rounded, item, values
+        self._new: list[list[np.ndarray]] = []
+        self._count = 0
+
+    query, rounded, item = (property(lambda self, i=i: self._settled()[i]) for i in range(3))
 
     def add(self, items: np.ndarray, scores: np.ndarray, *others: np.ndarray, which: np.ndarray | None = None) -> None:
         """scores: a row for each item and a column for each query (of ``which``), NaN where they don't meet; others go along."""
         if not len(items):
             return
-        rounded = np.where(np.isnan(scores), -np.inf, np.floor(scores * self.unit + 0.5))
+        rounded = scores * self.unit
+        rounded += 0.5
+        np.floor(rounded, out=rounded)
+        rounded[np.isnan(rounded)] = -np.inf
         bar = self.least if which is None else self.least[which]
         if len(items) > self.k:
             bar = np.maximum(bar, np.partition(rounded, len(items) - self.k, axis=0)[len(items) - self.k])
         i, j = np.nonzero((rounded >= bar) & (rounded > -np.inf))
-        query, value, item = np.append(self.query, j if which is None else which[j]), np.append(self.rounded, rounded[i, j]), items[i] if self.item is None else np.append(self.item, items[i])
-        values = [x[i, j] for x in (scores, *others)]
-        if self.values:
-            values = [np.append(a, b) for a, b in zip(self.values, values, strict=True)]
-        order = np.lexsort((item, -value, query))
-        query = query[order]
-        start = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
-        place = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
-        order = order[place < self.k]
-        self.least[query[place == self.k - 1]] = value[order][place[place < self.k] == self.k - 1]
-        self.query, self.rounded, self.item, self.values = query[place < self.k], value[order], item[order], [x[order] for x in values]
+        if self._held is not None and not len(i):
+            return
+        self._new.append([j if which is None else which[j], rounded[i, j], items[i], *(x[i, j] for x in (scores, *others))])
+        self._count += len(i)
+        if self._held is None or 4 * self._count >= len(self._held[0]):
+            self._settled()
+
+    def _settled(self) -> list[np.ndarray]:
+        """What is held, with the new candidates sorted in."""
+        if self._new:
+            parts = self._new if self._held is None else [self._held, *self._new]
+            held = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            self._new, self._count = [], 0
+            query, value, item = held[:3]
+            order = np.lexsort((item, -value, query))
+            query = query[order]
+            start = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+            place = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+            self.least[query[place == self.k - 1]] = value[order[place == self.k - 1]]
+            self._held = [x[order[place < self.k]] for x in held]
+        return self._held or [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
 
     def batch(self, queries: np.ndarray, names: list[str]) -> pa.RecordBatch | None:
-        if self.item is None or not len(self.query):
+        query, _, item, *values = self._settled()
+        if not len(query):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(queries[self.query]), pa.array(self.item), *(pa.array(x) for x in self.values)], names=["query", "item", *names])
+        return pa.RecordBatch.from_arrays([pa.array(queries[query]), pa.array(item), *(pa.array(x) for x in values)], names=["query", "item", *names])

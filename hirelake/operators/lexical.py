@@ -19,9 +19,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from ..sources.shared import shared_path
-from .blocks import BLOCK, Best, ids
+from .blocks import Best, ids
 
+#: Pairs of a word (in a block or document) and a query that asks for it, and numbers of a block of scores, that are worked out at a time.
+BLOCK = 1_000_000
 SEGMENT_ROWS, SEGMENT_BYTES, BLOCK_ROWS = 1024, 4 << 20, 64
+#: Spark decodes a row group at once, and a row is a whole segment: groups are closed at so many bytes, which is looked at after every row.
+ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1"}
 #: Words are runs of a-z, 0-9 and the letters from À to U+024F, in lower case. In UTF-8 these letters are two bytes each,
 #: the first from C3 to C9, where C9 goes as far as C9 8F.
 _ALNUM = np.zeros(256, bool)
@@ -107,7 +111,7 @@ def build_index(docs: DataFrame, path: str, terms: DataFrame | pa.Table | None =
         table = pa.Table.from_batches(parts).combine_chunks()
         return _segment(table.column("item").combine_chunks(), table.column("text").combine_chunks(), wanted.value if wanted else None)
 
-    docs.where("item IS NOT NULL").select("item", "text").mapInArrow(cut, schema).write.parquet(path)
+    docs.where("item IS NOT NULL").select("item", "text").mapInArrow(cut, schema).write.options(**ROW_GROUPS).parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -131,12 +135,19 @@ class Asked:
         terms = table.column("term").combine_chunks().dictionary_encode()
         self.terms, term = terms.dictionary, terms.indices.to_numpy()
         order = np.argsort(term, kind="stable")
-        self.query, self.count = query[order], np.bincount(term, minlength=len(self.terms))
+        self.query, self.count = query[order].astype(np.int32), np.bincount(term, minlength=len(self.terms))
         self.start = np.cumsum(self.count) - self.count
         self.size = np.bincount(query, minlength=len(self.names))  # words of each query
 
     def weigh(self, docs: int, words: int, df: np.ndarray, k1: float, b: float) -> None:
         self.idf, self.mean, self.k1, self.b = np.log(1 + (docs - df + 0.5) / (df + 0.5)), words / max(docs, 1) or 1, k1, b
+        term = np.repeat(np.arange(len(self.terms)), self.count)
+        self.rarest_first = term[np.lexsort((df[term], self.query))].astype(np.int32)  # words of each query, the rarest first
+        self.first = np.cumsum(self.size) - self.size
+        rarest = self.rarest_first[self.first]
+        self.by_rarest = np.argsort(rarest, kind="stable")
+        self.rarest_count = np.bincount(rarest, minlength=len(self.terms))
+        self.rarest_start = np.cumsum(self.rarest_count) - self.rarest_count
 
     def part(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
         return self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.mean))
@@ -147,8 +158,16 @@ class Asked:
         entry = np.repeat(np.arange(len(term)), n)
         return entry, self.query[self.start[term][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)]
 
+    def steps(self, term: np.ndarray) -> Iterator[slice]:
+        """Entries, some at a time: ``BLOCK`` pairs, or those of one word."""
+        pairs, at = np.concatenate([[0], np.cumsum(self.count[term])]), 0
+        while at < len(term):
+            to = max(at + 1, int(np.searchsorted(pairs, pairs[at] + BLOCK, "right")) - 1)
+            yield slice(at, to)
+            at = to
+
     def sums(self, row: np.ndarray, rows: int, query: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        return np.bincount(row * len(self.names) + query, value, rows * len(self.names)).reshape(rows, len(self.names))
+        return np.bincount(row.astype(np.int64) * len(self.names) + query, value, rows * len(self.names)).reshape(rows, len(self.names))
 
 
 class Segment:
@@ -167,9 +186,42 @@ class Segment:
     def bounds(self, mode: str) -> np.ndarray:
         """What a document of each block can score at most for each query; 0 where none can be an answer."""
         a, n = self.asked, -(-len(self.lengths) // BLOCK_ROWS)
-        entry, query = a.spread(self.block_term)
-        out = a.sums(self.block[entry], n, query, a.part(self.block_term, self.top_tf, self.least)[entry])
-        return np.where(a.sums(self.block[entry], n, query, None) < a.size, 0, out) if mode == "all" else out
+        out, met = np.zeros((n, len(a.names))), np.zeros((n, len(a.names)), np.int64)
+        value = a.part(self.block_term, self.top_tf, self.least)
+        for some in a.steps(self.block_term):
+            entry, query = a.spread(self.block_term[some])
+            out += a.sums(self.block[some][entry], n, query, value[some][entry])
+            if mode == "all":
+                met += a.sums(self.block[some][entry], n, query, None)
+        return np.where(met < a.size, 0, out) if mode == "all" else out
+
+    def answers(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All documents that hold all words of a query: document, query and score, some at a time.
+
+        A query's rarest word finds its documents; these are held against its other words, one after another.
+        """
+        a, width = self.asked, max(len(self.asked.terms), 1)
+        key = self.doc.astype(np.int64) * width + self.term
+        order = np.argsort(key)
+        key, value = key[order], a.part(self.term, self.tf, self.lengths[self.doc])[order]
+        doc, term = key // width, key % width
+        n = a.rarest_count[term]
+        pairs, at = np.concatenate([[0], np.cumsum(n)]), 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(pairs, pairs[at] + BLOCK, "right")) - 1)
+            here = np.repeat(np.arange(at, to), n[at:to])
+            query = a.by_rarest[a.rarest_start[term[here]] + np.arange(len(here)) - (pairs[here] - pairs[at])]
+            own, score, step = doc[here], value[here], 1
+            while len(own):
+                ended = a.size[query] == step
+                if ended.any():
+                    yield own[ended], query[ended], score[ended]
+                    own, query, score = own[~ended], query[~ended], score[~ended]
+                wanted = own * width + a.rarest_first[a.first[query] + step]
+                place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                there = key[place] == wanted
+                own, query, score, step = own[there], query[there], score[there] + value[place[there]], step + 1
+            at = to
 
     def scores(self, alive: np.ndarray, mode: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """Documents and their scores for each query, some documents at a time; NaN where they don't meet or block and query aren't alive."""
@@ -223,6 +275,10 @@ def search_index(index: DataFrame, terms: DataFrame | pa.Table, k: int | None, m
         for batch in batches:
             for i in range(batch.num_rows if len(asked.names) else 0):
                 segment = Segment({c: batch.column(c)[i].values for c in batch.schema.names}, asked)
+                if k is None and mode == "all":
+                    for doc, query, score in segment.answers():
+                        yield pa.RecordBatch.from_arrays([pa.array(asked.names[query]), segment.items.take(pa.array(doc)), pa.array(score)], names=["query", "item", "score"])
+                    continue
                 bound = segment.bounds(mode)
                 alive = (bound > 0) & ((k is None) | (np.floor((bound + 1e-5) * best.unit) >= best.least))
                 for items, scores in segment.scores(alive, mode):

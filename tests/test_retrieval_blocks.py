@@ -165,3 +165,42 @@ def test_places_of_ten_thousand_queries(spark):
     got = {(r.query, r.i) for r in filters.location_matches(df, "i", "place", names).collect()}
     for query in [*names[:60], "us", "Texas", "", " "]:
         assert {i for q, i in got if q == query} == {r.i for r in filters.location_match(df, "place", query).collect()}, query
+
+
+def test_pairs_of_words_and_queries_are_worked_out_some_at_a_time(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    rng = random.Random(21)
+    docs = [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(12))) for i in range(300)]
+    queries = [(i, " ".join(sorted(set(t.split()))[: 3 + i % 5])) for i, t in docs[:60]] + [(900, "a never"), (901, None)]
+    index = lexical.build_index(spark.createDataFrame(docs, "item long, text string").coalesce(1), str(tmp_path / "index"))
+    asked = lexical.Asked(lexical.query_terms(spark.createDataFrame(queries, "query long, text string")).toArrow())
+    asked.weigh(300, 3600, np.full(len(asked.terms), 50.0), 1.2, 0.75)
+    batch = index.toArrow().combine_chunks().to_batches()[0]
+    segment = lexical.Segment({c: batch.column(c)[0].values for c in batch.schema.names}, asked)
+    whole, met, spread = {m: segment.bounds(m) for m in ("any", "all")}, [], asked.spread
+    monkeypatch.setattr(lexical, "BLOCK", 100)
+    monkeypatch.setattr(asked, "spread", lambda term: met.append(len(spread(term)[0])) or spread(term))
+    for mode, bound in whole.items():
+        assert abs(segment.bounds(mode) - bound).max() < 1e-9
+    assert max(met) <= 100 < sum(met) / 2
+    got = [(int(q), segment.items[int(d)].as_py(), s) for part in segment.answers() for d, q, s in zip(*part, strict=True)]
+    assert {(int(asked.names[q]), d) for q, d, _ in got} == {(q, d) for q, t in queries if t for d, u in docs if set(t.split()) <= set(u.split())}
+    assert len({(q, d) for q, d, _ in got}) == len(got)
+    scores = {(int(q), items[int(d)].as_py()): part[d, q] for items, part in segment.scores(whole["all"] > 0, "all") for d, q in zip(*(~np.isnan(part)).nonzero(), strict=True)}
+    assert scores.keys() == {(q, d) for q, d, _ in got} and all(abs(scores[q, d] - s) < 1e-9 for q, d, s in got)
+
+
+def test_row_groups_of_an_index_are_small(spark, monkeypatch, tmp_path):
+    """Spark's reader decodes a row group at once, so a file of many segments must not be one group."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical, "SEGMENT_ROWS", 50)
+    monkeypatch.setitem(lexical.ROW_GROUPS, "parquet.block.size", "20000")
+    rng = random.Random(22)
+    docs = spark.createDataFrame([(i, " ".join(str(rng.randrange(5000)) for _ in range(100))) for i in range(400)], "item long, text string").coalesce(1)
+    assert lexical.build_index(docs, str(tmp_path / "index")).count() == 8
+    (file,) = glob.glob(str(tmp_path / "index" / "*.parquet"))
+    assert pq.ParquetFile(file).metadata.num_row_groups == 8
