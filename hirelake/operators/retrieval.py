@@ -189,19 +189,26 @@ def skill_overlap(query_skills: DataFrame, doc_skills: DataFrame) -> DataFrame:
 def skill_overlap_least(query_skills: DataFrame, doc_skills: DataFrame, least: float) -> DataFrame:
     """``skill_overlap`` of the pairs whose share is ``least`` or more, without meeting all pairs that have a skill in common.
 
-    Of n skills, ceil(least * n) must be met, so one of the n - ceil(least * n) + 1 rarest must: only these find candidates,
-    and a common skill is looked up by queries that have few others. Candidates are then counted on whole sets. Skills
-    are counted over all documents; pairs without a common skill have no row, whatever ``least`` is.
+    Queries of equal skills, and documents of equal skills, are one class each; classes meet, and members come last, so that
+    what is shuffled grows with the rows and with the pairs of a query and a class, and a pair of members is made where it
+    is given. Of n skills, ceil(least * n) must be met, so one of the n - ceil(least * n) + 1 rarest must: only these find
+    candidates, a candidate is held against the whole sets at once, and counts by the first of its rare skills alone.
+    Skills are counted over all documents, null ones nowhere; pairs without a common skill have no row, whatever ``least`` is.
     """
-    asked, listed = query_skills.distinct(), doc_skills.distinct()
-    rarity = listed.groupBy("skill").agg(F.count("*").alias("df"))
-    known = asked.join(rarity, "skill", "left").groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "skill"))).alias("s"))
-    own = known.select("query", F.col("s.skill").alias("asked"), F.size("s").alias("n"), F.greatest(F.lit(1), F.ceil(F.lit(least) * F.size("s") - 1e-9)).cast("int").alias("need"))
-    rare = own.select("query", F.explode(F.slice("asked", F.lit(1), F.col("n") - F.col("need") + 1)).alias("skill"))
-    pairs = rare.join(listed, "skill").select("query", "item").distinct()
-    sets = listed.groupBy("item").agg(F.collect_list("skill").alias("listed"))
+    whole = lambda rows, key, name: rows.where(f"{key} IS NOT NULL AND skill IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_set("skill")).alias(name))
+    asked, listed = whole(query_skills, "query", "asked"), whole(doc_skills, "item", "listed")
+    kinds = listed.groupBy("listed").agg(F.count("*").alias("n"))
+    by_skill = kinds.select("listed", "n", F.explode("listed").alias("skill"))
+    rarity = by_skill.groupBy("skill").agg(F.sum("n").alias("df"))
+    wanted = asked.select("asked").distinct().select("asked", F.explode("asked").alias("skill"))
+    ranked = wanted.join(rarity, "skill", "left").groupBy("asked").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "skill"))).alias("s"))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.size("s") - 1e-9)).cast("int")
+    own = ranked.select("asked", need.alias("need"), F.slice("s.skill", F.lit(1), F.size("s") - need + 1).alias("rare"))
+    found = own.select("*", F.explode("rare").alias("skill")).join(by_skill.select("listed", "skill"), "skill")
     met = F.size(F.array_intersect("asked", "listed"))
-    return pairs.join(own, "query").join(sets, "item").where(met >= F.col("need")).select("query", "item", F.round(met / F.col("n"), 6).alias("overlap"))
+    pairs = found.where((met >= F.col("need")) & (F.array_intersect("rare", "listed")[0] == F.col("skill")))
+    pairs = pairs.select("asked", "listed", F.round(met / F.size("asked"), 6).alias("overlap"))
+    return asked.join(pairs, "asked").select("query", "listed", "overlap").join(listed, "listed").select("query", "item", "overlap")
 
 
 def minmax_normalize(scores: DataFrame, by: str, score: str) -> DataFrame:

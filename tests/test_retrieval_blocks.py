@@ -204,3 +204,23 @@ def test_row_groups_of_an_index_are_small(spark, monkeypatch, tmp_path):
     assert lexical.build_index(docs, str(tmp_path / "index")).count() == 8
     (file,) = glob.glob(str(tmp_path / "index" / "*.parquet"))
     assert pq.ParquetFile(file).metadata.num_row_groups == 8
+
+
+def test_equal_skills_meet_as_classes(spark):
+    """300,000 pairs are given; none of them is shuffled."""
+    rows = lambda n: [(i, s) for i in range(n) for s in ("hot", f"k{i % 3}")]
+    queries, docs = spark.createDataFrame([*rows(300), (0, None)], "query long, skill string"), spark.createDataFrame(rows(3000), "item long, skill string")
+    store, gateway, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway, spark.sparkContext._jvm
+
+    def shuffled():
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert retrieval.skill_overlap_least(queries, docs, 0.9).agg({"overlap": "sum"}).first()[0] == 300_000
+        assert sum(n for s, n in shuffled().items() if s not in before) < 40_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
