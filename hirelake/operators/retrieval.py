@@ -289,21 +289,52 @@ def field_weighted_similarity(items: DataFrame, queries: DataFrame, k: int, weig
     """query, item, weighted, plain, rank: means of the cosines of labels that both have, by weight and unweighted.
 
     Both sides are long tables (item or query, label, vector). Other labels weigh 0.5. Items are gathered by item; the
-    stated queries are broadcast in blocks, and the product of each label's vectors adds to the sums of all pairs. Each
-    task keeps its k best. A label that comes twice counts twice; unusable vectors count as absent.
+    stated queries are broadcast in blocks, and the product of each label's vectors, added up by item and by query, adds to the
+    sums of all pairs. Each task keeps its k best. A label that comes twice counts twice; unusable vectors count as absent.
     """
     return _in_blocks(queries, -(-queries.count() // MOST_QUERIES), lambda block: _weighted(items, block, k, FIELD_WEIGHTS if weights is None else weights))
 
 
+def _summed(key: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, the sum of each one's vectors, and how many it has."""
+    keys, place = np.unique(key, return_inverse=True)
+    total = np.zeros((len(keys), vectors.shape[1]))
+    np.add.at(total, place, vectors)
+    return keys, total, np.bincount(place, minlength=len(keys)).astype(float)
+
+
+def label_means(rows: int, item: np.ndarray, label: np.ndarray, vectors: np.ndarray, queries: int, asked: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the cosines of rows of items with all queries, by weight and unweighted; NaN where they have no label in common.
+
+    asked holds for each label ``_summed`` vectors of the queries. Memory is that of some six results, however many labels.
+    """
+    sums, weight, plain, n = (np.zeros((rows, queries)) for _ in range(4))
+    for x, (query, total, times) in asked.items():
+        there = label == x
+        i, own_total, own_times = _summed(item[there], vectors[there])
+        cell = ... if (len(i), len(query)) == (rows, queries) else np.ix_(i, query)
+        for value, of_all, weighted in ((own_total @ total.T, plain, sums), (np.outer(own_times, times), n, weight)):
+            of_all[cell] += value
+            value *= weights.get(x, 0.5)
+            weighted[cell] += value
+            del value
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sums /= weight
+        plain /= n
+    return sums, plain
+
+
 def _weighted(items: DataFrame, queries: DataFrame, k: int, weights: dict[str, float]) -> DataFrame:
     table = queries.select("query", "label", "vector").where("query IS NOT NULL AND label IS NOT NULL").toArrow()
     at, matrix = unit_vectors(table.column("vector"))
     names, query = np.unique(ids(table.column("query").combine_chunks())[at], return_inverse=True)
-    shared = items.sparkSession.sparkContext.broadcast((names, query, ids(table.column("label").combine_chunks())[at], matrix))
+    label = ids(table.column("label").combine_chunks())[at]
+    asked = {str(x): _summed(query[label == x], matrix[label == x]) for x in np.unique(label)}
+    shared = items.sparkSession.sparkContext.broadcast((names, matrix.shape[1], asked))
     fields = items.where("item IS NOT NULL AND label IS NOT NULL").groupBy("item").agg(F.collect_list(F.struct("label", "vector")).alias("fields"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, query, query_label, matrix = shared.value
+        names, width, asked = shared.value
         best = Best(len(names), k, 4)
         rows = max(1, BLOCK // max(len(names), 1))
         for batch in batches:
@@ -311,18 +342,9 @@ def _weighted(items: DataFrame, queries: DataFrame, k: int, weights: dict[str, f
                 part = batch.slice(begin, rows)
                 own = part.column("fields")
                 item = np.repeat(np.arange(part.num_rows), own.value_lengths().to_numpy(zero_copy_only=False))
-                at, vectors = unit_vectors(own.flatten().field("vector"), matrix.shape[1])
+                at, vectors = unit_vectors(own.flatten().field("vector"), width)
                 item, label = item[at], ids(own.flatten().field("label"))[at]
-                sums, weight, plain, n = (np.zeros((part.num_rows, len(names))) for _ in range(4))
-                for x in np.unique(query_label):
-                    i, j = np.flatnonzero(label == x), np.flatnonzero(query_label == x)
-                    cell = (item[i][:, None], query[j][None, :])
-                    cosines = vectors[i] @ matrix[j].T
-                    w = weights.get(str(x), 0.5)
-                    for total, value in ((sums, w * cosines), (weight, np.full_like(cosines, w)), (plain, cosines), (n, np.ones_like(cosines))):
-                        np.add.at(total, cell, value)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    best.add(ids(part.column("item")), sums / weight, plain / n)
+                best.add(ids(part.column("item")), *label_means(part.num_rows, item, label, vectors, len(names), asked, weights))
         out = best.batch(names, ["weighted", "plain"])
         if out is not None:
             yield out

@@ -206,6 +206,29 @@ def test_row_groups_of_an_index_are_small(spark, monkeypatch, tmp_path):
     assert pq.ParquetFile(file).metadata.num_row_groups == 8
 
 
+def test_means_of_labels_take_the_memory_of_a_few_results():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(23)
+    unit = lambda n: (lambda v: v / np.sqrt((v * v).sum(1))[:, None])(rng.normal(size=(n, 8)))
+    labels = np.array([f"l{i}" for i in range(6)])
+    item, label, vectors = np.repeat(np.arange(300), 6), np.tile(labels, 300), unit(1800)
+    there = rng.random(6000) < 0.8
+    query, query_label, matrix = np.repeat(np.arange(1000), 6)[there], np.tile(labels, 1000)[there], unit(6000)[there]
+    asked = {str(x): retrieval._summed(query[query_label == x], matrix[query_label == x]) for x in labels}
+    tracemalloc.start()
+    weighted, plain = retrieval.label_means(300, item, label, vectors, 1000, asked, {"l1": 3.0})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * weighted.nbytes
+    for i, q in ((0, 0), (7, 500), (299, 999)):
+        w = np.array([3.0 if x == "l1" else 0.5 for x in query_label[query == q]])
+        s = np.array([vectors[item == i][label[item == i] == x][0] @ v for x, v in zip(query_label[query == q], matrix[query == q])])
+        assert abs(weighted[i, q] - (w * s).sum() / w.sum()) < 1e-9 and abs(plain[i, q] - s.mean()) < 1e-9
+
+
 def test_equal_skills_meet_as_classes(spark):
     """300,000 pairs are given; none of them is shuffled."""
     rows = lambda n: [(i, s) for i in range(n) for s in ("hot", f"k{i % 3}")]
