@@ -290,7 +290,7 @@ def score(docs: DataFrame, counts: DataFrame, frequent: tuple[np.ndarray, np.nda
     not have counts as one. Columns other than doc_id and text are ignored.
 
     Words less common than one token in ``common`` are joined with their counts; as none of them is frequent, no task
-    gets many rows of one. A row's words are told by a hash of its doc_id and text; rows equal in both have equal means.
+    gets many rows of one. Texts are cut into words once; what is written between holds eight bytes for each such word. A row's words are told by a hash of its doc_id and text; rows equal in both have equal means.
     """
     top = counts.where(F.col("n") * common >= float(totals.sum())).toArrow()
     hashes = top.column("word").to_numpy().view(np.uint64)
@@ -308,23 +308,15 @@ def score(docs: DataFrame, counts: DataFrame, frequent: tuple[np.ndarray, np.nda
             for b in range(0, len(logs), BATCH):
                 at = np.arange(b, min(b + BATCH, len(logs)))
                 logs[at] += forward(net, t.context(at), t.classes[at])[-1]
-            total = np.bincount(t.doc, logs, minlength=chunk.num_rows)
-            rest = np.bincount(t.doc[~there], minlength=chunk.num_rows)
-            yield pa.RecordBatch.from_arrays([chunk.column("key"), chunk.column("doc_id"), pa.array(t.counts), pa.array(total), pa.array(rest)], names=["key", "doc_id", "n_tokens", "known", "rest"])
+            total = np.bincount(t.doc, logs, minlength=chunk.num_rows).astype(float)  # of no words numpy makes whole numbers
+            offs = np.concatenate([[0], np.cumsum(np.bincount(t.doc[~there], minlength=chunk.num_rows))])
+            rest = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(t.hash[~there].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([chunk.column("key"), chunk.column("doc_id"), pa.array(t.counts), pa.array(total), rest], names=["key", "doc_id", "n_tokens", "known", "rest"])
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value[3]
-        for chunk in chunks(batches):
-            data, offs = flat(chunk.column("text"))
-            starts, ends, woffs = words(data, offs)
-            h = word_hashes(data, starts, ends)
-            left = np.flatnonzero(~_places(table, h)[1])
-            keys = chunk.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys[owners(woffs)[left]]), pa.array(h[left].view(np.int64))], names=["key", "word"])
-
-    rare = keyed.select("key", "text").mapInArrow(others, "key long, word long").join(counts.where(F.col("n") * common < float(totals.sum())), "word", "left")
+    first = written(keyed.mapInArrow(known, "key long, doc_id long, n_tokens long, known double, rest array<long>"), "known")
+    rare = first.select("key", F.explode("rest").alias("word")).join(counts.where(F.col("n") * common < float(totals.sum())), "word", "left")
     means = rare.groupBy("key").agg(F.avg(F.log(F.coalesce("n", F.lit(1)))).alias("mean"))
-    both = keyed.mapInArrow(known, "key long, doc_id long, n_tokens long, known double, rest long").join(means, "key", "left")
+    both = first.select("key", "doc_id", "n_tokens", "known", F.size("rest").alias("rest")).join(means, "key", "left")
     total = F.col("known") + F.col("rest") * F.coalesce("mean", F.lit(0.0))
     return both.select("doc_id", "n_tokens", total.alias("log_likelihood")).withColumn("mean_log_prob", F.expr("CASE WHEN n_tokens > 0 THEN log_likelihood / n_tokens END"))
 

@@ -702,3 +702,12 @@ def test_strings_left_out_of_the_suffix_array_are_not_repeated():
             first.setdefault(text[at[i] : at[i] + 100].tobytes(), order[i])
         want = [bool(order[i] > first[text[at[i] : at[i] + 100].tobytes()]) for i in range(len(at))]
         assert suffix.repeated_in_shard(text, suffix._seeds(text), at, order, 100).tolist() == want
+
+
+def test_scoring_cuts_texts_into_words_once(spark):
+    """Rare words are written with the sums of the known ones, so the joins read no texts."""
+    docs = spark.createDataFrame([(1, "a b a c"), (2, None), (3, "c d"), (3, "c d")], "doc_id long, text string")
+    counts = lm.vocabulary(docs)
+    scored = lm.score(docs, counts, *lm.train(docs, counts), common=2)
+    assert "MapInArrow" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.n_tokens) for r in scored.collect()) == [(1, 4), (2, 0), (3, 2), (3, 2)]
