@@ -52,69 +52,70 @@ def start(seed: int = 11) -> list[np.ndarray]:
 
 
 def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities (in place of z), and the log-probability of each row's target."""
-    z -= z.max(1, keepdims=True)
-    at = z[np.arange(len(z)), target]
+    """Probabilities (in place of z, a column for each row of the batch), and the log-probability of each row's target."""
+    z -= z.max(0)
+    at = z[target, np.arange(z.shape[1])]
     np.exp(z, out=z)
-    total = z.sum(1, keepdims=True)
+    total = z.sum(0)
     z /= total
-    return z, at - np.log(total[:, 0])
+    return z, at - np.log(total)
 
 
 def forward(net: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What a step needs: inputs, hidden units, the order of rows by group with the groups' bounds, probabilities of
-    groups and (in that order) of members, and the log-probability of each target's class."""
+    """What a step needs: the order of rows by group with the groups' bounds, and (in that order) inputs, hidden units
+    with a one at the end, and a column of probabilities of groups and of members a row; last, as the rows came, the
+    log-probability of each target's class."""
     e, w1, b1, wg, bg, wm, bm = net
-    x = e[context].reshape(len(context), -1)
-    h = np.tanh(x @ w1 + b1)
-    group, member = target // MEMBERS, target % MEMBERS
+    group = (target // MEMBERS).astype(np.uint8)
     order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    sorted_h = h[order]
-    z = np.empty((len(target), MEMBERS), np.float32)
+    bounds = np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS)))
+    group, member = group[order], (target % MEMBERS)[order]
+    x = e.take(context[order], axis=0).reshape(len(target), -1)
+    h = np.ones((len(target), HIDDEN + 1), np.float32)
+    np.tanh(x @ w1 + b1, out=h[:, :-1])
+    pg, logs = _softmax(np.concatenate([wg, bg[None]]).T @ h.T, group)
+    members = np.concatenate([wm, bm[:, None]], 1)
+    z = np.empty((MEMBERS, len(target)), np.float32)
     for g in range(GROUPS):
         a, b = bounds[g], bounds[g + 1]
         if a < b:
-            np.matmul(sorted_h[a:b], wm[g], out=z[a:b])
-            z[a:b] += bm[g]
-    pm, logs = _softmax(z, member[order])
-    pg, out = _softmax(h @ wg + bg, group)
-    out[order] += logs
-    return x, h, order, bounds, pg, pm, out
+            np.matmul(members[g].T, h[a:b].T, out=z[:, a:b])
+    pm, more = _softmax(z, member)
+    out = np.empty_like(logs)
+    out[order] = logs + more
+    return order, bounds, x, h, pg, pm, out
+
+
+#: Where each class's numbers lie in the flat table of embeddings.
+_FLAT = np.arange(CLASSES * WIDTH).reshape(CLASSES, WIDTH)
 
 
 def train_step(net: list[np.ndarray], past: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent; ``past`` holds the squares of each weight's gradients so far."""
-    e, w1, b1, wg, bg, wm, bm = net
-    x, h, order, bounds, dg, dm, _ = forward(net, context, target)
+    _, w1, _, wg, _, wm, _ = net
+    order, bounds, x, h, dg, dm, _ = forward(net, context, target)
+    context, target = context[order], target[order]
     rows = np.arange(len(target))
-    dg[rows, target // MEMBERS] -= 1
-    dm[rows, (target % MEMBERS)[order]] -= 1
-    dh = dg @ wg.T
-    sorted_h, back = h[order], np.empty_like(h)
-    gm, gb = np.zeros_like(wm), np.zeros_like(bm)
+    dg[target // MEMBERS, rows] -= 1
+    dm[target % MEMBERS, rows] -= 1
+    back, gm = np.empty((len(target), HIDDEN), np.float32), np.zeros((GROUPS, HIDDEN + 1, MEMBERS), np.float32)
     for g in range(GROUPS):
         a, b = bounds[g], bounds[g + 1]
         if a < b:
-            np.matmul(dm[a:b], wm[g].T, out=back[a:b])
-            np.matmul(sorted_h[a:b].T, dm[a:b], out=gm[g])
-            dm[a:b].sum(0, out=gb[g])
-    dh[order] += back
-    dh *= 1 - h * h
-    dx = (dh @ w1.T).reshape(-1, WIDTH)
-    classes = context.ravel()
-    by_class = np.argsort(classes, kind="stable")
-    classes = classes[by_class]
-    at = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
-    ge = np.add.reduceat(dx[by_class], at)
-    for weights, squares, gradient in zip([w1, b1, wg, bg, wm, bm], past[1:], [x.T @ dh, dh.sum(0), h.T @ dg, dg.sum(0), gm, gb], strict=True):
+            d = dm[:, a:b].T
+            np.matmul(d, wm[g].T, out=back[a:b])
+            np.matmul(h[a:b].T, d, out=gm[g])
+    gg, hidden = h.T @ dg.T, h[:, :-1]
+    dh = dg.T @ wg.T
+    dh += back
+    dh *= 1 - hidden * hidden
+    ge = np.bincount(_FLAT.take(context, axis=0).ravel(), (dh @ w1.T).ravel(), CLASSES * WIDTH).astype(np.float32).reshape(CLASSES, WIDTH)
+    for weights, squares, gradient in zip(net, past, [ge, x.T @ dh, dh.sum(0), gg[:-1], gg[-1], gm[:, :-1], gm[:, -1]], strict=True):
         gradient /= len(target)
         squares += gradient * gradient
-        weights -= rate * gradient / np.sqrt(squares)
-    seen = classes[at]
-    ge /= len(target)
-    past[0][seen] += ge * ge
-    e[seen] -= rate * ge / np.sqrt(past[0][seen])
+        gradient *= rate
+        gradient /= np.sqrt(squares)
+        weights -= gradient
 
 
 class Tokens:

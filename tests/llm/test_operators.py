@@ -711,3 +711,36 @@ def test_scoring_cuts_texts_into_words_once(spark):
     scored = lm.score(docs, counts, *lm.train(docs, counts), common=2)
     assert "MapInArrow" not in scored._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.doc_id, r.n_tokens) for r in scored.collect()) == [(1, 4), (2, 0), (3, 2), (3, 2)]
+
+
+def test_a_training_step_is_the_gradient_of_every_row_and_batches_lie_by_columns():
+    rng = np.random.default_rng(8)
+    net = [p.astype(np.float64) + rng.normal(0, 0.1, p.shape) for p in lm.start()]
+    context, target = rng.integers(0, lm.CLASSES, (60, 4)), rng.integers(0, lm.CLASSES, 60)
+    target[:9] = 5
+
+    def loss(net: list) -> float:
+        e, w1, b1, wg, bg, wm, bm = net
+        total = 0.0
+        for c, t in zip(context, target, strict=True):
+            h = np.tanh(e[c].ravel() @ w1 + b1)
+            g, m = divmod(int(t), lm.MEMBERS)
+            for z, at in ((h @ wg + bg, g), (h @ wm[g] + bm[g], m)):
+                total -= z[at] - np.log(np.exp(z).sum())
+        return total / len(target)
+
+    single = [p.astype(np.float32) for p in net]
+    *_, pg, pm, logs = lm.forward(single, context, target)
+    assert pg.shape == (lm.GROUPS, 60) and pm.shape == (lm.MEMBERS, 60)  # softmax runs along columns, not short rows
+    assert np.allclose(pg.sum(0), 1, atol=1e-5) and np.allclose(pm.sum(0), 1, atol=1e-5)
+    assert abs(-logs.mean() - loss(net)) < 1e-4
+    # With squares so large that a step is rate * gradient / 1000.
+    lm.train_step(single, [np.full(p.shape, 1e6, np.float32) for p in single], context, target, 1e6)
+    spots = [(0, (context[3, 1], 7)), (1, (40, 3)), (2, (5,)), (3, (9, 0)), (4, (0,)), (5, (0, 4, 5)), (6, (0, 5)), (6, (target[20] // lm.MEMBERS, 2))]
+    for i, at in spots:
+        up, down = [p.copy() for p in net], [p.copy() for p in net]
+        up[i][at] += 1e-5
+        down[i][at] -= 1e-5
+        slope = (loss(up) - loss(down)) / 2e-5
+        moved = (net[i][at] - single[i][at]) / 1000
+        assert abs(moved - slope) < 1e-5 + 1e-3 * abs(slope), (i, at, moved, slope)
