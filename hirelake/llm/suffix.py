@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .arrays import eights, flat, joined, owners, padded
+from .arrays import eights, flat, joined, padded
 from .repeats import covered, first_of_equal, ragged
 
 SEED = 32
@@ -34,6 +34,7 @@ def suffix_array(text: np.ndarray, most: int | None = None) -> tuple[np.ndarray,
     sa = np.argsort(key).astype(np.int32)
     sorted_keys = key[sa]
     new = np.append(np.append(True, sorted_keys[1:] != sorted_keys[:-1]), True)
+    del key, sorted_keys
     # Behind the ranks stand those of what would follow the text's end, the nearer the higher, all below the others.
     ranks = np.concatenate([np.zeros(n, np.int32), -1 - np.arange(min(2 * n, most or 2 * n) + 8, dtype=np.int32)])
     rank = ranks[:n]
@@ -47,9 +48,10 @@ def suffix_array(text: np.ndarray, most: int | None = None) -> tuple[np.ndarray,
         if not len(open_groups):
             break
         places = ragged(bounds[open_groups], size[open_groups])
-        group = np.repeat(open_groups, size[open_groups])
         suffix = sa[places]
-        both = group << 32 | ranks[suffix + depth] + np.int64(2 * n + 16)
+        both = np.repeat(open_groups << 32, size[open_groups])
+        both |= ranks[suffix + depth] + np.int64(2 * n + 16)
+        del size, open_groups
         order = np.argsort(both)
         suffix, both = suffix[order], both[order]
         sa[places] = suffix
@@ -114,9 +116,16 @@ def repeated_in_shard(text: np.ndarray, seeds: np.ndarray, at: np.ndarray, order
     seeds are the hashes of the ``SEED`` bytes from each place. A string that holds a seed which occurs once in the
     shard has no equal one; what no other string covers is left out of the suffix array.
     """
-    slot = (seeds & np.uint64(COUNTERS - 1)).astype(np.int64)
-    often = np.bincount(slot, minlength=COUNTERS)[slot] > 1
-    once = np.append(0, np.cumsum(~often, dtype=np.int32))
+    slot = (seeds & np.uint64(COUNTERS - 1)).astype(np.int32)
+    # Of the places of a slot the last one stays in ``last``: all others show that it has several.
+    last = np.zeros(COUNTERS, np.int32)
+    places = np.arange(len(slot), dtype=np.int32)
+    last[slot] = places
+    several = np.zeros(COUNTERS, bool)
+    several[slot[last[slot] != places]] = True
+    often = several[slot]
+    del last, several, places, slot
+    once = np.append(np.int32(0), np.cumsum(~often, dtype=np.int32))
     maybe = np.flatnonzero(once[at + length - SEED + 1] == once[at])
     out = np.zeros(len(at), bool)
     if not len(maybe):
@@ -191,18 +200,20 @@ def _find(length: int):
     def find(texts: pa.Array, order: np.ndarray):
         data, offs = flat(texts)
         seeds = _seeds(data)
-        owner = owners(offs)
-        valid = np.arange(len(data)) + length <= offs[1:][owner]
-        place = order[owner] << 32 | np.arange(len(data)) - offs[owner]
+        sizes = np.diff(offs)
+        valid = np.arange(len(data)) + length <= np.repeat(offs[1:], sizes)
+        place = np.repeat((order << 32) - offs[:-1], sizes) + np.arange(len(data))
         again = np.zeros(len(data), bool)
         for begin in range(0, len(data), SHARD_BYTES):  # one text may be longer than a shard
             at, end = begin + np.flatnonzero(valid[begin : begin + SHARD_BYTES]), min(begin + SHARD_BYTES + length - 1, len(data))
             if len(at):
                 again[at] = repeated_in_shard(data[begin:end], seeds[begin : max(begin, end - SEED + 1)], at - begin, place[at], length)
+        del valid, place
         doc, lo, k, anchor = repeats.segments(seeds, offs, length, SEED, again)
         seg = joined(joined(_window(seeds, lo, length), _window(seeds, lo + k - 1, length)), k.astype(np.uint64))
         at = np.flatnonzero(again)
-        return doc, lo - offs[doc], k, seeds[anchor], seg, (owner[at], at - offs[owner[at]], np.ones(len(at), np.int64))
+        owner = np.searchsorted(offs, at, "right") - 1
+        return doc, lo - offs[doc], k, seeds[anchor], seg, (owner, at - offs[owner], np.ones(len(at), np.int64))
 
     return find
 

@@ -744,3 +744,43 @@ def test_a_training_step_is_the_gradient_of_every_row_and_batches_lie_by_columns
         slope = (loss(up) - loss(down)) / 2e-5
         moved = (net[i][at] - single[i][at]) / 1000
         assert abs(moved - slope) < 1e-5 + 1e-3 * abs(slope), (i, at, moved, slope)
+
+
+def test_written_tables_meet_python_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from hirelake.llm.tables import written
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    # A projection of rows of a kilobyte, so that both limits are told apart.
+    wide = spark.range(0, 9000, 1, 1).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    long = spark.range(0, 1500, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    for docs, n in ((wide, 9000), (long, 1500)):
+        got = written(docs.mapInArrow(sizes, "rows long, bytes long"), "sizes").collect()
+        assert sum(r.rows for r in got) == n
+        assert max(r.rows for r in got) <= 2000 and max(r.bytes for r in got) < 6 << 20
+    assert spark.conf.get(key) == before
+
+
+def test_a_shard_of_repeated_bytes_is_settled_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    part = rng.integers(97, 123, 1 << 19).astype(np.uint8).tobytes().decode()
+    texts = pa.array([part, part])
+    find = suffix._find(100)
+    tracemalloc.start()
+    *_, settled = find(texts, np.arange(2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(settled[0].tolist()) == {1} and len(settled[0]) == len(part) - 99
+    assert peak < 200e6, peak  # 226 MB with counters of eight bytes and arrays kept to the end
