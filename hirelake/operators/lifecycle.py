@@ -18,7 +18,7 @@ def lifecycle_merge(jobs: DataFrame, listing: DataFrame, as_of: str) -> DataFram
     """
     now = instant(as_of)
     fields = [c for c in listing.columns if c in jobs.columns and c not in (*KEYS, "first_seen_at", "last_seen_at", "closed_at")]
-    new = listing.groupBy(*KEYS).agg(F.max(F.struct(F.lit(True).alias("in"), *fields)).alias("_new"))
+    new = listing.repartition(*KEYS).groupBy(*KEYS).agg(F.max(F.struct(F.lit(True).alias("in"), *fields)).alias("_new"))  # dealt first: few rows repeat
     both = jobs.join(new, KEYS, "full_outer")
     seen = F.coalesce("_new.in", F.lit(False))
     put = {"first_seen_at": F.coalesce("first_seen_at", now), "last_seen_at": F.when(seen, now).otherwise(F.col("last_seen_at")), "closed_at": F.when(seen, None).otherwise(F.col("closed_at"))}
@@ -53,19 +53,23 @@ def lifecycle_changes(jobs: DataFrame, listing: DataFrame, as_of: str) -> DataFr
     A listed row is new, reopened or seen (if anything of it has changed, last_seen_at included); an open row that its
     company no longer lists is closed, if it was last seen before the run. Rows of companies that the listing doesn't hold
     are left alone, so jobs may be without them. The listing must be whole for its companies.
+
+    Jobs and listing meet by key first, and only what would change is held against the listing's companies.
     """
     now = instant(as_of)
-    known = jobs.join(listing.select("company_id").distinct(), "company_id", "left_semi")
-    merged = lifecycle_merge(known.select("*", F.struct(*jobs.columns).alias("_before")), listing, as_of)
+    rest = [c for c in jobs.columns if c not in KEYS]
+    merged = lifecycle_merge(jobs.select("*", F.struct(*rest).alias("_before")), listing, as_of)
     gone = F.col("closed_at").isNull() & (F.col("last_seen_at") < now)
     after = merged.withColumn("closed_at", F.when(gone, now).otherwise(F.col("closed_at")))
     event = (
         F.when(F.col("_before").isNull(), "new")
         .when(F.col("_before.closed_at").isNotNull() & F.col("closed_at").isNull(), "reopened")
         .when(F.col("_before.closed_at").isNull() & F.col("closed_at").isNotNull(), "closed")
-        .when(~F.struct(*jobs.columns).eqNullSafe(F.col("_before")), "seen")
+        .when(~F.struct(*rest).eqNullSafe(F.col("_before")), "seen")
     )
-    return after.select(*jobs.columns, event.alias("event")).where("event IS NOT NULL")
+    changed = after.select(*jobs.columns, event.alias("event")).where("event IS NOT NULL")
+    asked = listing.select("company_id").distinct().withColumn("_asked", F.lit(True))
+    return changed.join(asked, "company_id", "left").where("event <> 'closed' OR _asked").select(*jobs.columns, "event")
 
 
 def event_totals(events: DataFrame) -> DataFrame:

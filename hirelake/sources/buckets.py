@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import delete
+from .shared import delete, empty
 
 BUCKET, SEQ = "_bucket", "_seq"
 
@@ -36,7 +36,7 @@ class BucketTable:
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: T.StructType | str, buckets: int = 64, bucket_by: list[str] | None = None):
         self.spark, self.path, self.keys, self.bucket_by, self.buckets = spark, path.rstrip("/"), keys, bucket_by or keys, buckets
-        self.schema = schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+        self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
     # --- versions
 
@@ -88,9 +88,20 @@ class BucketTable:
         logged = [f"{d}/{BUCKET}={b}" for b, dirs in parts.items() if len(dirs) > 1 for d in dirs]
         rows = [self._files(plain).select(*self.schema.names)] if plain else []
         if logged:
-            newest = self._files(logged).groupBy(*self.keys).agg(F.max_by(F.struct(*self.schema.names), SEQ).alias("_row"))
-            rows.append(newest.select("_row.*"))
-        return reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], self.schema)
+            rows.append(self._newest(self._files(logged)))
+        return reduce(DataFrame.unionByName, rows) if rows else empty(self.spark, self.schema)
+
+    def _newest(self, log: DataFrame) -> DataFrame:
+        """The newest row of each key.
+
+        A folder holds a key once, so that a task has next to nothing to put together before the shuffle: rows are dealt by
+        key first and sorted once. Keys stay the columns that they were grouped by, so a join on them deals no rows again.
+        """
+        rest = [c for c in self.schema.names if c not in self.keys]
+        if not rest:
+            return log.select(*self.schema.names).distinct()
+        newest = log.repartition(*self.keys).groupBy(*self.keys).agg(F.max_by(F.struct(*rest), SEQ).alias("_row"))
+        return newest.select(*[F.col("_row")[c].alias(c) if c in rest else c for c in self.schema.names])
 
     def _files(self, names: list[str]) -> DataFrame:
         return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(SEQ, T.LongType())])).parquet(*[f"{self.path}/data/{n}" for n in names])
@@ -118,7 +129,7 @@ class BucketTable:
         kind = {c: self.schema[c].dataType for c in self.schema.names}
         old = self.read(before["version"] or None, touched).select(*self.keys, F.struct(*self.schema.names).alias("_old"))
         new = batch.select(*[F.col(c).cast(kind[c]).alias(c) for c in self.keys], F.struct(F.lit(True).alias("_in"), *[F.col(c).cast(kind[c]).alias(c) for c in fields]).alias("_new"))
-        both = old.unionByName(new, allowMissingColumns=True).groupBy(*self.keys).agg(F.any_value("_old", True).alias("_old"), F.any_value("_new", True).alias("_new"))
+        both = old.unionByName(new, allowMissingColumns=True).repartition(*self.keys).groupBy(*self.keys).agg(F.any_value("_old", True).alias("_old"), F.any_value("_new", True).alias("_new"))
         value = lambda c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col("_old")[c]) if c in fields else F.col("_old")[c]
         merged = both.select(*[F.col(c) if c in self.keys else value(c).alias(c) for c in self.schema.names])
         return self._put(before, merged, touched, note, replace=True)

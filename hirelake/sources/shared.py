@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: list[str] = []
 
@@ -31,3 +33,9 @@ def delete(spark: SparkSession, path: str) -> None:
     """Deletes a path with all it holds; one that isn't there is no error."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """No rows, known as none when a query is planned; an empty list would be read by Python in tasks."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])

@@ -14,6 +14,7 @@ from ..operators.analytics import LEDGER, totals_ledger, totals_of_ledger
 from ..operators.lifecycle import KEYS, lifecycle_changes
 from ..operators.retrieval import incremental_match, vector_topk_many
 from ..sources.buckets import BucketTable
+from ..sources.shared import empty
 from .keyed import RollingBlock, StaleRuns, start_keyed
 
 
@@ -114,16 +115,16 @@ def stream_lifecycle(listing: DataFrame, path: str, companies: DataFrame | None
             return
         batch = batch.persist()
         try:
-            now = batch.agg(F.max("listed_at").cast("string")).first()[0]
+            now, touched = batch.agg(F.max("listed_at").cast("string"), F.collect_set(table.bucket())).first()
             if now is None:
                 return
-            known = table.read(only=table.touched(batch)).drop("event")
+            known = table.read(only=touched).drop("event")
             lifecycle_changes(known, batch, now).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
         finally:
             batch.unpersist()
         changes = spark.read.schema(table.schema).parquet(f"{path}/out/batch={n}")
         if companies is not None:
-            before = spark.read.schema(LEDGER).parquet(f"{path}/totals/batch={note['batch']}") if "batch" in note else spark.createDataFrame([], LEDGER)
+            before = spark.read.schema(LEDGER).parquet(f"{path}/totals/batch={note['batch']}") if "batch" in note else empty(spark, LEDGER)
             totals_ledger(before, changes, companies, now).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals/batch={n}")
         version = table.append(changes, {"batch": n, "as_of": now})["version"]
         if table.compact(most)["version"] > version:
@@ -135,7 +136,7 @@ def stream_lifecycle(listing: DataFrame, path: str, companies: DataFrame | None
 def stream_totals(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
     """The totals of each source after the newest batch of a ``stream_lifecycle`` with companies."""
     note = lifecycle_table(spark, path).manifest()["note"]
-    ledger = spark.read.schema(LEDGER).parquet(f"{path}/totals/batch={note['batch']}") if note else spark.createDataFrame([], LEDGER)
+    ledger = spark.read.schema(LEDGER).parquet(f"{path}/totals/batch={note['batch']}") if note else empty(spark, LEDGER)
     return totals_of_ledger(ledger, companies, note.get("as_of", "1970-01-01 00:00:00"))
 
 

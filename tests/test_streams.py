@@ -114,6 +114,38 @@ def test_lifecycle_log_and_totals_equal_a_recount(spark, tmp_path):
     assert {(r.company_id, r.external_id) for r in spark.read.parquet(f"{path}/out").where("batch = 9").collect()} == changed
 
 
+def test_lifecycle_deals_rows_by_key_once(spark, tmp_path):
+    """The log, the listing and nothing else is shuffled by key, none of it put together (and sorted) before that."""
+    from hirelake.operators.lifecycle import lifecycle_changes
+
+    table = S.lifecycle_table(spark, str(tmp_path), 1)
+    row = lambda c, e, n, closed=None: (c, e, "T", at(0), at(n), closed, "seen")
+    table.append(spark.createDataFrame([row(1, "x", 0), row(1, "y", 0), row(1, None, 0), row(None, "x", 0), row(2, "x", 0), row(3, "x", 0), row(3, "y", 0, at(0))], table.schema))
+    table.append(spark.createDataFrame([row(1, "y", 1), row(3, "x", 1)], table.schema))
+    listing = spark.createDataFrame([(1, "x", "T2", at(9)), (1, "x", "T1", at(9)), (1, None, "T", at(9)), (None, "x", "T", at(9)), (3, "y", "T", at(9))], "company_id LONG, external_id STRING, title STRING, listed_at TIMESTAMP_NTZ")
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        changes = lifecycle_changes(table.read().drop("event"), listing, str(at(9)))
+        plan = changes._jdf.queryExecution().sparkPlan().toString() + changes._jdf.queryExecution().executedPlan().toString()
+        # null keys meet nothing: such a listed row is new; 2 was not asked, and (null, x) belongs to no company
+        want = [(1, "x", "T2", at(9), None, "seen"), (1, "y", "T", at(1), at(9), "closed"), (1, None, "T", at(0), at(9), "closed"), (1, None, "T", at(9), None, "new"), (None, "x", "T", at(9), None, "new"), (3, "x", "T", at(1), at(9), "closed"), (3, "y", "T", at(9), None, "reopened")]
+        key = lambda r: tuple(map(str, r))
+        assert sorted(((r.company_id, r.external_id, r.title, r.last_seen_at, r.closed_at, r.event) for r in changes.collect()), key=key) == sorted(want, key=key)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    by_key = [line for line in plan.splitlines() if "Exchange hashpartitioning(company_id" in line and "external_id" in line]
+    assert len({line.split("hashpartitioning")[1].split(")")[0] for line in by_key}) == 2  # a plan may be told twice
+    assert all("REPARTITION_BY_COL" in line for line in by_key)
+
+
+def test_no_rows_are_planned_as_none(spark, tmp_path):
+    """An empty list of rows would be read by Python in tasks, in every run that begins without a table."""
+    rows = S.lifecycle_table(spark, str(tmp_path)).read()
+    assert rows.count() == 0 and rows.schema.simpleString() == S.lifecycle_table(spark, str(tmp_path)).schema.simpleString()
+    assert "LocalTableScan" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_matches_come_once(spark, feed):
     stream, path = feed([[(1, [1.0, 0.0]), (2, [0.0, 1.0])], [(1, [1.0, 0.0]), (3, [1.0, 1.0])]], "item LONG, vector ARRAY<FLOAT>")
     campaigns = spark.createDataFrame([(7, [1.0, 0.0])], "query LONG, vector ARRAY<FLOAT>")
