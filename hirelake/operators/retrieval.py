@@ -30,8 +30,14 @@ def _ranked(df: DataFrame, by: str, score: str, k: int, item: str = "item") -> D
     return df.withColumn("rank", rn).where(F.col("rank") <= k)
 
 
-#: Queries are a broadcast side; more than about this many are searched for in blocks, each broadcast by itself.
-MOST_QUERIES = 10_000
+#: Queries are a broadcast side, and a task holds the k best of each. More than about so many queries, or rows held by a
+#: task, are searched for in blocks, each broadcast by itself; for rows held a block is not made smaller than 1,000 queries.
+MOST_QUERIES, MOST_HELD = 10_000, 500_000
+
+
+def _blocks(queries: DataFrame, k: int | None) -> int:
+    """How many blocks the queries of a search for the k best (or for all answers) are put into."""
+    return -(-queries.count() // min(MOST_QUERIES, max(1_000, MOST_HELD // max(k or 1, 1))))
 
 
 def _in_blocks(queries: DataFrame, blocks: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -56,7 +62,7 @@ def vector_topk_many(items: DataFrame, queries: DataFrame, k: int, newer: tuple[
     An item or query that comes twice is found twice. With ``newer`` (a time of items, a time of queries) a query meets
     only items of a later time than its own; one without a time meets all. Other columns are ignored.
     """
-    return _in_blocks(queries, -(-queries.count() // MOST_QUERIES), lambda block: _topk(items, block, k, newer))
+    return _in_blocks(queries, _blocks(queries, k), lambda block: _topk(items, block, k, newer))
 
 
 def _topk(items: DataFrame, queries: DataFrame, k: int, newer: tuple[str, str] | None) -> DataFrame:
@@ -104,7 +110,7 @@ def lexical_search(docs: DataFrame, queries: DataFrame, k: int | None, mode: str
     best of a query, so that a common word meets its queries in no single task. Ties go to the lesser item; a query that
     comes twice counts as one with the words of both.
     """
-    blocks = -(-queries.count() // MOST_QUERIES)
+    blocks = _blocks(queries, k)
     terms = query_terms(queries)
     if blocks <= 1:
         terms = terms.toArrow()  # the words of one block of queries
@@ -292,7 +298,7 @@ def field_weighted_similarity(items: DataFrame, queries: DataFrame, k: int, weig
     stated queries are broadcast in blocks, and the product of each label's vectors, added up by item and by query, adds to the
     sums of all pairs. Each task keeps its k best. A label that comes twice counts twice; unusable vectors count as absent.
     """
-    return _in_blocks(queries, -(-queries.count() // MOST_QUERIES), lambda block: _weighted(items, block, k, FIELD_WEIGHTS if weights is None else weights))
+    return _in_blocks(queries, _blocks(queries, k), lambda block: _weighted(items, block, k, FIELD_WEIGHTS if weights is None else weights))
 
 
 def _summed(key: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

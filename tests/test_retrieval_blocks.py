@@ -247,3 +247,10 @@ def test_equal_skills_meet_as_classes(spark):
         assert sum(n for s, n in shuffled().items() if s not in before) < 40_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_blocks_of_queries_follow_what_a_task_holds(spark):
+    """A task holds k rows a query: 30,000 queries for their 100 best are not 10,000 at a time."""
+    queries = spark.range(30_000)
+    assert [retrieval._blocks(queries, k) for k in (None, 10, 50, 100, 100_000)] == [3, 3, 3, 6, 30]
+    assert retrieval._blocks(spark.range(0), 100) == 0
