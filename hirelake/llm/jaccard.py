@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .arrays import chunks, flat, grams, joined, longs, lowered, mix, owners, word_hashes, words
 from .components import components
-from .tables import written
+from .tables import small_batches, written
 
 #: Counters of the frequency sketch: every shingle of every document is counted in one of them.
 BUCKETS = 1 << 18
@@ -28,6 +28,8 @@ MOST_MATCHES, VERIFY_COST = 3, 8.0
 _B = np.uint64(BUCKETS - 1)
 #: Bits of a set's parity bitmap, and the most documents whose ids are broadcast to pick them from the corpus.
 BITS, BROADCAST_IDS = 2048, 1_000_000
+#: Documents whose bitmaps are made at a time: a bit is a count of eight bytes until its parity is taken.
+BITMAP_ROWS = 128
 #: Sets of copies that are broadcast at most, and the least copies of one.
 HOT_SETS, LEAST_COPIES = 10_000, 1000
 #: Sets from this size on have a wide bitmap as well, as a narrow one tells nothing of them.
@@ -72,8 +74,14 @@ def _parities(doc: np.ndarray, token: np.ndarray, n: int) -> pa.Array:
     The bits in which two bitmaps differ are at most as many as the hashes that only one of the sets has.
     """
     bit = (token >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64)
-    odd = (np.bincount(doc * BITS + bit, minlength=n * BITS) & 1).astype(np.uint8)
-    return pa.ListArray.from_arrays(np.arange(0, (n + 1) * (BITS // 64), BITS // 64, dtype=np.int32), pa.array(np.packbits(odd).view(np.int64)))
+    packed = []
+    for at in range(0, n, BITMAP_ROWS):
+        to = min(at + BITMAP_ROWS, n)
+        lo, hi = np.searchsorted(doc, [at, to])
+        odd = np.bincount((doc[lo:hi] - at) * BITS + bit[lo:hi], minlength=(to - at) * BITS)
+        odd &= 1
+        packed.append(np.packbits(odd.astype(np.uint8)))
+    return pa.ListArray.from_arrays(np.arange(0, (n + 1) * (BITS // 64), BITS // 64, dtype=np.int32), pa.array(np.concatenate([np.zeros(0, np.uint8), *packed]).view(np.int64)))
 
 
 def _wide(doc: np.ndarray, token: np.ndarray, n: int) -> pa.Array:
@@ -115,7 +123,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequencies(parts: DataFrame) -> np.ndarray:
-    """The tasks' counts added up in a tree in which no task adds up more than some ``FAN_IN`` of them.
+    """The tasks' counts added up in a tree in which no task adds up more than some ``FAN_IN`` of them, a few at a time.
 
     What reaches the driver is one array of ``BUCKETS`` numbers.
     """
@@ -123,7 +131,8 @@ def frequencies(parts: DataFrame) -> np.ndarray:
     while rows > FAN_IN:
         rows = -(-rows // FAN_IN)
         parts = written(parts.repartition(rows).mapInArrow(_add, "counts binary"), "counts")
-    total = parts.repartition(1).mapInArrow(_add, "counts binary").first()
+    with small_batches(parts.sparkSession):  # else Python gets all of them in one batch
+        total = parts.repartition(1).mapInArrow(_add, "counts binary").first()
     return np.frombuffer(bytes(total.counts), np.int64) if total else np.zeros(BUCKETS, np.int64)
 
 

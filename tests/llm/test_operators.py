@@ -4,10 +4,13 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("hirelake.llm")
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -231,6 +234,40 @@ def test_jaccard_by_every_plan(docs, monkeypatch, change):
     assert {r.doc_id: tuple(r) for r in jaccard.link_similar(docs, 4, 85).collect()} == want
 
 
+def test_jaccard_counts_a_few_at_a_time(spark, monkeypatch):
+    """No batch of the last sum holds more than a few of the tasks' arrays of counters, however many tasks there were."""
+    add = jaccard._add
+
+    def bounded(batches):
+        def checked():
+            for batch in batches:
+                assert batch.nbytes < 8_000_000
+                yield batch
+
+        return add(checked())
+
+    monkeypatch.setattr(jaccard, "_add", bounded)
+    n = 20
+    parts = spark.range(n).select(F.expr(f"CAST(repeat(decode(X'0100000000000000', 'ISO-8859-1'), {jaccard.BUCKETS}) AS BINARY)").alias("counts"))
+    got = jaccard.frequencies(parts)
+    assert len(got) == jaccard.BUCKETS and (got == n).all()
+
+
+def test_jaccard_bitmaps_of_many_short_texts():
+    """Bitmaps of a chunk of 2,000 short texts are made some at a time; they are the same as made one by one."""
+    texts = [f"w{i} a b c d e" if i % 7 else "" for i in range(2000)]
+    doc, token = jaccard.shingle_sets(pa.array(texts), 4)
+    jaccard._parities(doc, token, len(texts))
+    tracemalloc.start()
+    got = jaccard._parities(doc, token, len(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16_000_000
+    for i in (0, 1, 127, 128, 129, 1000, 1999):
+        bits = np.bincount((token[doc == i] >> np.uint64(40) & np.uint64(jaccard.BITS - 1)).astype(np.int64), minlength=jaccard.BITS) & 1
+        assert got[i].as_py() == np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def test_decontaminate_by_joins(spark, docs, rows, monkeypatch):
     table = spark.createDataFrame([(0, " ".join(rows[8][1].split()[5:40])), (1, "one two")], "item_id long, text string")
     want = sorted(decontaminate.find_items(docs, table).collect())
